@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcindex.functions.embed import embed, postings
-from srcindex.operators import knn
+from srcindex.operators import knn, review
+from srcindex.session import stage
 from srcindex.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,77 @@ def knn_sparse(spark, sf_dir):
 def knn_threshold(spark, sf_dir):
     return knn.sparse_knn(_bench_queries(spark, sf_dir), _line_index(spark, sf_dir), k=knn.DEFAULT_K,
                           max_distance=knn.DEFAULT_MAX_DISTANCE)
+
+
+# --- review assembly (2.E) -----------------------------------------------------
+
+def _review_stage1(spark, sf_dir):
+    """Valid requests, rejects, similar-snippet text for the benchmark requests."""
+    valid, rejects = review.split_requests(T.review_requests(spark, sf_dir))
+    index = _line_index(spark, sf_dir)
+    q = embed(valid.select(F.col("request_id").alias("query_id"), "code"), "code")
+    nb = knn.sparse_knn(q, index, k=knn.DEFAULT_K, max_distance=knn.DEFAULT_MAX_DISTANCE)
+    nb = stage(nb.withColumnRenamed("query_id", "request_id"))
+    docs = T.corpus_lines(spark, sf_dir).select("entry_id", F.col("txt").alias("document"))
+    similar = review.similar_snippets(nb, docs, knn.DEFAULT_MAX_DISTANCE)
+    return valid, rejects, similar
+
+
+@query("review_rejects")
+def review_rejects(spark, sf_dir):
+    return review.split_requests(T.review_requests(spark, sf_dir))[1]
+
+
+@query("prompt_style")
+def prompt_style(spark, sf_dir):
+    valid, _ = review.split_requests(T.review_requests(spark, sf_dir))
+    return review.style_prompts(valid)
+
+
+@query("similar_snippets")
+def similar_snippets(spark, sf_dir):
+    return _review_stage1(spark, sf_dir)[2]
+
+
+@query("prompt_duplication")
+def prompt_duplication(spark, sf_dir):
+    valid, _, similar = _review_stage1(spark, sf_dir)
+    return review.duplication_prompts(valid, similar)
+
+
+@query("job_review_prompts")
+def job_review_prompts(spark, sf_dir):
+    valid, _, similar = _review_stage1(spark, sf_dir)
+    return review.prompt_table(valid, similar)
+
+
+@query("model_requests")
+def model_requests(spark, sf_dir):
+    return review.model_payloads(job_review_prompts(spark, sf_dir))
+
+
+def _parsed_responses(spark, sf_dir):
+    return review.parse_responses(T.response_bodies(spark, sf_dir))
+
+
+@query("model_responses")
+def model_responses(spark, sf_dir):
+    return _parsed_responses(spark, sf_dir)[0]
+
+
+@query("response_rejects")
+def response_rejects(spark, sf_dir):
+    return _parsed_responses(spark, sf_dir)[1]
+
+
+@query("prompt_summary")
+def prompt_summary(spark, sf_dir):
+    return review.summary_prompts(_parsed_responses(spark, sf_dir)[0])
+
+
+@query("review_assemble")
+def review_assemble(spark, sf_dir):
+    good, bad = _parsed_responses(spark, sf_dir)
+    requests = T.turn_requests(spark, sf_dir).select("request_id", "code")
+    valid, _ = review.split_requests(requests)
+    return review.assemble_reviews(valid, good, bad)

@@ -103,3 +103,121 @@ SELECT query_id, rank, entry_id, distance FROM topk"""
 
 SQL["knn_threshold"] = with_(*_KNN_BASE, topk_cte("pairs", 5, where="distance <= 0.55")) + """
 SELECT query_id, rank, entry_id, distance FROM topk"""
+
+
+# --- review assembly (2.E) -----------------------------------------------------
+
+from srcindex.operators import review as R  # noqa: E402
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_fill(template: str, **exprs: str) -> str:
+    out, rest = [], template
+    while rest:
+        i = rest.find("{")
+        if i < 0:
+            out.append(lit(rest))
+            break
+        j = rest.index("}", i)
+        if i:
+            out.append(lit(rest[:i]))
+        out.append(f"({exprs[rest[i + 1:j]]})")
+        rest = rest[j + 1:]
+    return " || ".join(out)
+
+
+def trunc(expr: str) -> str:
+    return (f"CASE WHEN length({expr}) > {R.SNIPPET_MAX_CHARS} "
+            f"THEN substr({expr}, 1, {R.SNIPPET_MAX_CHARS}) || {lit(R.SNIPPET_ELLIPSIS)} ELSE {expr} END")
+
+
+REQUESTS = f"""
+req AS (
+  SELECT item_id AS request_id,
+         CASE WHEN item_id % 10 = 0 THEN '  ' || chr(10) || chr(9) || ' ' ELSE text END AS code
+  FROM benchmark
+),
+valid AS (SELECT request_id, code FROM req WHERE NOT {is_blank('code')})"""
+
+SIMILAR = (REQUESTS, CORPUS, postings_cte("dpost", "corpus", "entry_id", "txt"),
+           postings_cte("qpost", "valid", "request_id", "code"), sparse_pairs_cte("qpost", "dpost"),
+           topk_cte("pairs", 5, where="distance <= 0.55"), f"""
+sim AS (
+  SELECT t.query_id AS request_id,
+         string_agg('[Code ' || CAST(t.rank AS VARCHAR) || ']' || chr(10) || '```' || chr(10)
+                    || {pystrip(trunc('c.txt'))} || chr(10) || '```', chr(10) || chr(10) ORDER BY t.rank)
+           AS similar_code
+  FROM topk t JOIN corpus c ON c.entry_id = t.entry_id
+  GROUP BY 1
+)""", f"""
+dup AS (
+  SELECT v.request_id,
+         CASE WHEN s.similar_code IS NULL OR s.similar_code = '' THEN ''
+              ELSE {sql_fill(R.DUPLICATION_TEMPLATE, code=pystrip('v.code'), similar='s.similar_code')} END AS prompt
+  FROM valid v LEFT JOIN sim s ON s.request_id = v.request_id
+)""", f"""
+prompts AS (
+  SELECT request_id, 'style' AS kind, {sql_fill(R.STYLE_TEMPLATE, code=pystrip('code'))} AS prompt FROM valid
+  UNION ALL
+  SELECT request_id, 'duplication' AS kind, prompt FROM dup WHERE prompt <> ''
+)""")
+
+SQL["review_rejects"] = with_(REQUESTS) + f"""
+SELECT request_id, {lit(R.EMPTY_CODE_DETAIL)} AS reason FROM req WHERE {is_blank('code')}"""
+
+SQL["prompt_style"] = with_(REQUESTS) + f"""
+SELECT request_id, {sql_fill(R.STYLE_TEMPLATE, code=pystrip('code'))} AS prompt FROM valid"""
+
+SQL["similar_snippets"] = with_(*SIMILAR) + """
+SELECT request_id, similar_code FROM sim"""
+
+SQL["prompt_duplication"] = with_(*SIMILAR) + """
+SELECT request_id, prompt FROM dup"""
+
+SQL["job_review_prompts"] = with_(*SIMILAR) + """
+SELECT request_id, kind, prompt FROM prompts"""
+
+_o = R.MODEL_OPTIONS
+SQL["model_requests"] = with_(*SIMILAR) + f"""
+SELECT request_id, kind,
+       CAST(json_object('model', {lit(R.MODEL_NAME)}, 'prompt', prompt,
+                        'temperature', {_o['temperature']}::DOUBLE, 'top_k', {_o['top_k']},
+                        'top_p', {_o['top_p']}::DOUBLE, 'repeat_penalty', {_o['repeat_penalty']}::DOUBLE,
+                        'stream', false) AS VARCHAR) AS payload
+FROM prompts"""
+
+TURNS = """
+turns AS (
+  SELECT u.conv_id * 1000 + u.turn AS request_id, u.conv_id, u.text AS code, a.text AS answer
+  FROM conversations u JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'
+),
+resp AS (
+  SELECT request_id, conv_id, 'style' AS kind, answer AS response FROM turns
+  UNION ALL
+  SELECT request_id, conv_id, 'duplication', 'duplication: ' || answer FROM turns WHERE conv_id % 2 = 0
+  UNION ALL
+  SELECT request_id, conv_id, 'summary', 'summary: ' || answer FROM turns WHERE conv_id % 2 = 0
+)"""
+
+SQL["model_responses"] = with_(TURNS) + """
+SELECT request_id, kind, response FROM resp WHERE conv_id % 9 <> 0"""
+
+SQL["response_rejects"] = with_(TURNS) + """
+SELECT request_id, kind, 'unreadable response body' AS reason FROM resp WHERE conv_id % 9 = 0"""
+
+SQL["prompt_summary"] = with_(TURNS) + f"""
+SELECT request_id,
+       {pystrip(sql_fill(R.SUMMARY_TEMPLATE, duplication="'duplication: ' || answer", style='answer'))} AS prompt
+FROM turns WHERE conv_id % 2 = 0 AND conv_id % 9 <> 0"""
+
+SQL["review_assemble"] = with_(TURNS) + f"""
+SELECT request_id,
+       CASE WHEN conv_id % 2 = 0 THEN 'duplication: ' || answer ELSE {lit(R.NO_DUPLICATION)} END AS duplication_review,
+       answer AS style_review,
+       CASE WHEN conv_id % 2 = 0 THEN 'summary: ' || answer ELSE answer END AS summary
+FROM turns WHERE conv_id % 9 <> 0 AND NOT {is_blank('code')}"""

@@ -82,3 +82,14 @@ def spread(df, *keys: str, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def stage(df):
+    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+
+    Used where a costly intermediate (Python parsing, a kNN join) feeds more
+    than one branch; lost executors then re-read the files instead of
+    recomputing the whole lineage.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -49,3 +49,40 @@ def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id long, embedding array<float>, label int)"""
     return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+def turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns answered by the next (assistant) turn: request and style response.
+
+    (request_id long, conv_id long, code string, answer string). The pairing is
+    an equi-join on (conv_id, turn + 1), not a window, so one very long
+    conversation does not land in a single task.
+    """
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("code"))
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return u.join(a, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "conv_id", "code", "answer")
+
+
+def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model response bodies (request_id, kind, body) standing in for model calls.
+
+    Style: the assistant answer. Duplication and summary: only for even
+    conversations, derived from the answer. Bodies of every ninth conversation
+    are cut in half, i.e. unreadable JSON.
+    """
+    t = turn_requests(spark, sf_dir)
+    kinds = F.explode(F.array(
+        F.struct(F.lit("style").alias("kind"), F.col("answer").alias("text")),
+        F.struct(F.lit("duplication").alias("kind"), F.concat(F.lit("duplication: "), "answer").alias("text")),
+        F.struct(F.lit("summary").alias("kind"), F.concat(F.lit("summary: "), "answer").alias("text")),
+    ))
+    rows = t.select("request_id", "conv_id", kinds.alias("r")).select(
+        "request_id", "conv_id", F.col("r.kind").alias("kind"), F.col("r.text").alias("text"))
+    rows = rows.where((F.col("kind") == "style") | (F.col("conv_id") % 2 == 0))
+    body = F.to_json(F.struct(F.col("text").alias("response")))
+    cut = F.substring(body, 1, (F.length(body) / 2).cast("int"))
+    return rows.select("request_id", "kind",
+                       F.when(F.col("conv_id") % 9 == 0, cut).otherwise(body).alias("body"))
