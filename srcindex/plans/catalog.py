@@ -123,3 +123,100 @@ def review_assemble(spark, sf_dir):
     requests = T.turn_requests(spark, sf_dir).select("request_id", "code")
     valid, _ = review.split_requests(requests)
     return review.assemble_reviews(valid, good, bad)
+
+
+# --- chunking and analysis (2.B) --------------------------------------------------
+
+from srcindex.operators import chunks as CH  # noqa: E402
+from srcindex.sources.fixtures import rendered_modules  # noqa: E402
+
+
+def _facts(spark, sf_dir):
+    """Fact rows of the rendered corpus, staged once (the Python walk runs once)."""
+    return stage(CH.parse_sources(rendered_modules(spark, sf_dir).select("filepath", "code")))
+
+
+def _chunks(spark, sf_dir, method_slice="file"):
+    return CH.chunk_table(_facts(spark, sf_dir), method_slice=method_slice)
+
+
+def _txt(c: str):
+    return F.array_join(F.col(c), ",").alias(c)
+
+
+def _params_txt():
+    return F.array_join(F.transform("parameters", lambda p: F.concat_ws(
+        ":", p["name"], F.coalesce(p["type"], F.lit("")), F.coalesce(p["default"], F.lit("")), p["kind"])),
+        ",").alias("parameters")
+
+
+def _fn_query(name, col):
+    def q(spark, sf_dir):
+        c = _chunks(spark, sf_dir).where("is_function")
+        return c.select("filepath", "seq", col() if callable(col) else _txt(col))
+    QUERIES[name] = q
+
+
+@query("chunk_definitions")
+def chunk_definitions(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("filepath", "seq", "type", "name", "start_line", "end_line", "class_name")
+
+
+@query("chunk_skiplist")
+def chunk_skiplist(spark, sf_dir):
+    d = CH.definitions(_facts(spark, sf_dir))
+    return d.where(CH._skipped()).select("filepath", "type", "name", "start_line")
+
+
+@query("chunk_code")
+def chunk_code(spark, sf_dir):
+    return _chunks(spark, sf_dir).where(F.col("class_name").isNull()).select("filepath", "seq", "code")
+
+
+@query("chunk_dedent")
+def chunk_dedent(spark, sf_dir):
+    return _chunks(spark, sf_dir).where(F.col("class_name").isNotNull()).select("filepath", "seq", "code")
+
+
+@query("chunk_methods")
+def chunk_methods(spark, sf_dir):
+    return (_chunks(spark, sf_dir).where(F.col("class_name").isNotNull())
+            .select("filepath", "seq", "name", "class_name", "class_docstring", "start_line", "end_line"))
+
+
+@query("chunk_metadata")
+def chunk_metadata(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("filepath", "filename", "seq", "type", "name", "docstring",
+                                         "method_name", "is_async", "is_function", "start_line", "end_line")
+
+
+_fn_query("fn_calls", "calls_functions")
+_fn_query("fn_attributes", "accesses_attributes")
+_fn_query("fn_raises", "raises_exceptions")
+_fn_query("fn_decorators", "decorators")
+_fn_query("fn_imports_used", "imports_used")
+_fn_query("fn_parameters", _params_txt)
+_fn_query("fn_returns", lambda: F.col("return_annotation"))
+_fn_query("fn_complexity", lambda: F.col("complexity_score"))
+_fn_query("fn_overrides", lambda: F.col("overrides_method"))
+
+
+@query("fn_flags")
+def fn_flags(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("filepath", "seq", "is_static", "is_classmethod", "is_property")
+
+
+@query("file_imports")
+def file_imports(spark, sf_dir):
+    return CH.file_imports(_facts(spark, sf_dir))
+
+
+@query("cls_members")
+def cls_members(spark, sf_dir):
+    return (_chunks(spark, sf_dir).where(F.col("type") == "ClassDef")
+            .select("filepath", "seq", _txt("base_classes"), _txt("methods")))
+
+
+@query("cls_abstract")
+def cls_abstract(spark, sf_dir):
+    return _chunks(spark, sf_dir).where(F.col("type") == "ClassDef").select("filepath", "seq", "is_abstract")

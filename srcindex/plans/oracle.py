@@ -221,3 +221,133 @@ SELECT request_id,
        answer AS style_review,
        CASE WHEN conv_id % 2 = 0 THEN 'summary: ' || answer ELSE answer END AS summary
 FROM turns WHERE conv_id % 9 <> 0 AND NOT {is_blank('code')}"""
+
+
+# --- chunking and analysis (2.B): closed forms over `part` ----------------------
+
+from srcindex.sources import fixtures as FX  # noqa: E402
+
+NL = "chr(10)"
+IF4 = FX.IF_BLOCK.replace("        ", "    ", 1).replace("            ", "        ", 1)
+
+
+def _s(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+MODS = f"""
+mods AS (
+  SELECT p_partkey AS k, p_size AS s, p_size % 4 AS m, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS e,
+         p_name AS pn, p_type AS pt, p_brand AS pb,
+         'corpus/part_' || {_s('p_partkey')} || '.py' AS filepath,
+         CASE WHEN p_partkey % 7 = 0 THEN 'Migration' ELSE 'Part' || {_s('p_partkey')} END AS cls,
+         CASE WHEN p_partkey % 5 = 0 THEN 'AbstractBase, pkg.Mixin' ELSE 'Base' || {_s('p_size % 3')} END AS bases_src,
+         CASE WHEN p_partkey % 5 = 0 THEN 'AbstractBase,pkg.Mixin' ELSE 'Base' || {_s('p_size % 3')} END AS bases_txt
+  FROM part
+)"""
+
+_SCALE_HEAD = lit('def scale(self, by: float = 1.5, *rest, **opts) -> "Part":\n')
+_SCALE_UNTAGGED = (f"{_SCALE_HEAD} || repeat({lit(FX.IF_BLOCK)}, m) || CASE WHEN e = 1 THEN {lit(FX.SUPER_LINE)} "
+                   f"ELSE '' END || '        raise ValueError(\"' || pb || '\")'")
+_SCALE_TAGGED = (f"{_SCALE_HEAD} || repeat({lit(IF4)}, m) || CASE WHEN e = 1 THEN {lit('    super().scale(by)' + chr(10))} "
+                 f"ELSE '' END || '    raise ValueError(\"' || pb || '\")'")
+_LABEL = ("'def label(self) -> str:' || {nl} || '{i}\"\"\"Label of ' || pn || '.\"\"\"' || {nl} "
+          "|| '{i}return osp.join(\"' || pt || '\", self.size)'")
+_CLASS_CODE = (f"'class ' || cls || '(' || bases_src || '):' || {NL} || '    \"\"\"' || pn || ' part.\"\"\"' || {NL} "
+               f"|| '    def __init__(self, size=' || {_s('s')} || '):' || {NL} || '        self.size = size' || {NL} "
+               f"|| '    @property' || {NL} || '    def label(self) -> str:' || {NL} "
+               f"|| '        \"\"\"Label of ' || pn || '.\"\"\"' || {NL} "
+               f"|| '        return osp.join(\"' || pt || '\", self.size)' || {NL} || {_SCALE_UNTAGGED.replace('def scale', '    def scale', 1)}")
+_SCALE_CALLS = "'ValueError' || CASE WHEN m > 0 THEN ',root' ELSE '' END || CASE WHEN e = 1 THEN ',super,super().scale' ELSE '' END"
+_SCALE_ATTRS = "concat_ws(',', CASE WHEN m > 0 THEN 'self.size' END, CASE WHEN e = 1 THEN 'super().scale' END)"
+
+# columns: filepath, filename, seq, type, name, start_line, end_line, code, docstring, class_name,
+# class_docstring, method_name, is_async, is_function, is_static, is_classmethod, is_property,
+# decorators, parameters, return_annotation, calls_functions, accesses_attributes, imports_used,
+# raises_exceptions, overrides_method, complexity_score, base_classes, methods, is_abstract
+_FN_NULL_CLASS = "NULL::VARCHAR, NULL::VARCHAR, NULL::BOOLEAN"
+
+
+def _row(seq, typ, name, start, end, code, doc, cls, cdoc, is_async, prop, decos, params, ret, calls,
+         attrs, imports, raises, overrides, complexity, where):
+    return f"""
+  SELECT filepath, 'part_' || {_s('k')} || '.py' AS filename, CAST({seq} AS BIGINT) AS seq, '{typ}' AS type,
+         {name} AS name, CAST({start} AS INTEGER) AS start_line, CAST({end} AS INTEGER) AS end_line,
+         {code} AS code, {doc} AS docstring, {cls} AS class_name, {cdoc} AS class_docstring,
+         {name} AS method_name, {is_async} AS is_async, TRUE AS is_function, FALSE AS is_static,
+         FALSE AS is_classmethod, {prop} AS is_property, {decos} AS decorators, {params} AS parameters,
+         {ret} AS return_annotation, {calls} AS calls_functions, {attrs} AS accesses_attributes,
+         {imports} AS imports_used, {raises} AS raises_exceptions, {overrides} AS overrides_method,
+         CAST({complexity} AS INTEGER) AS complexity_score, {_FN_NULL_CLASS.split(', ')[0]} AS base_classes,
+         NULL::VARCHAR AS methods, NULL::BOOLEAN AS is_abstract
+  FROM mods WHERE {where}"""
+
+
+_P_INIT = "'self:::positional,size::' || " + _s("s") + " || ':positional'"
+_P_LABEL = "'self:::positional'"
+_P_SCALE = "'self:::positional,by:float:1.5:positional,*rest:::var_positional,**opts:::var_keyword'"
+_P_LOAD = "'path:::positional,retries:int:3:positional'"
+_NORMAL = "k % 7 <> 0"
+_LOAD_START = "15 + 2 * m + e"
+_SCALE_END = "13 + 2 * m + e"
+
+CHUNKS = MODS + ",\nexpected AS (" + f"""
+  SELECT filepath, 'part_' || {_s('k')} || '.py' AS filename, CAST(0 AS BIGINT) AS seq, 'ClassDef' AS type,
+         cls AS name, CAST(4 AS INTEGER) AS start_line, CAST({_SCALE_END} AS INTEGER) AS end_line,
+         {_CLASS_CODE} AS code, pn || ' part.' AS docstring, NULL::VARCHAR AS class_name,
+         NULL::VARCHAR AS class_docstring, NULL::VARCHAR AS method_name, FALSE AS is_async, FALSE AS is_function,
+         FALSE AS is_static, FALSE AS is_classmethod, FALSE AS is_property, NULL::VARCHAR AS decorators,
+         NULL::VARCHAR AS parameters, NULL::VARCHAR AS return_annotation, NULL::VARCHAR AS calls_functions,
+         NULL::VARCHAR AS accesses_attributes, NULL::VARCHAR AS imports_used, NULL::VARCHAR AS raises_exceptions,
+         NULL::BOOLEAN AS overrides_method, NULL::INTEGER AS complexity_score, bases_txt AS base_classes,
+         '__init__,label,scale' AS methods, (k % 5 = 0) AS is_abstract
+  FROM mods WHERE {_NORMAL}
+  UNION ALL""" + " UNION ALL".join([
+    _row(3, "FunctionDef", "'__init__'", 6, 7,
+         f"'def __init__(self, size=' || {_s('s')} || '):' || {NL} || '    self.size = size'",
+         "NULL::VARCHAR", "cls", "pn || ' part.'", "FALSE", "FALSE", "''", _P_INIT, "NULL::VARCHAR",
+         "''", "'self.size'", "''", "''", "FALSE", 1, _NORMAL),
+    _row(4, "FunctionDef", "'label'", 9, 11, _LABEL.format(nl=NL, i="    "), "'Label of ' || pn || '.'",
+         "cls", "pn || ' part.'", "FALSE", "TRUE", "'property'", _P_LABEL, "'str'", "'osp.join'",
+         "'osp.join,self.size'", "'os.path'", "''", "FALSE", 1, _NORMAL),
+    _row(5, "FunctionDef", "'scale'", 12, _SCALE_END, _SCALE_TAGGED, "NULL::VARCHAR", "cls", "pn || ' part.'",
+         "FALSE", "FALSE", "''", _P_SCALE, "'''Part'''", _SCALE_CALLS, _SCALE_ATTRS,
+         "CASE WHEN m > 0 THEN 'math.sqrt' ELSE '' END", "'ValueError'", "(e = 1)", "1 + 2 * m", _NORMAL),
+    _row(1 << 32, "AsyncFunctionDef", "'load_' || " + _s("k"), _LOAD_START, "16 + 2 * m + e",
+         f"'async def load_' || {_s('k')} || '(path, retries: int = 3):' || {NL} || '    return await fetch(path)'",
+         "NULL::VARCHAR", "NULL::VARCHAR", "NULL::VARCHAR", "TRUE", "FALSE", "''", _P_LOAD, "NULL::VARCHAR",
+         "'fetch'", "''", "''", "''", "FALSE", 1, "TRUE"),
+    _row(3 << 32, "FunctionDef", "'label'", 9, 11, _LABEL.format(nl=NL, i="        "),
+         "'Label of ' || pn || '.'", "NULL::VARCHAR", "NULL::VARCHAR", "FALSE", "TRUE", "'property'", _P_LABEL,
+         "'str'", "'osp.join'", "'osp.join,self.size'", "'os.path'", "''", "FALSE", 1, "TRUE"),
+    _row(4 << 32, "FunctionDef", "'scale'", 12, _SCALE_END, _SCALE_UNTAGGED, "NULL::VARCHAR", "NULL::VARCHAR",
+         "NULL::VARCHAR", "FALSE", "FALSE", "''", _P_SCALE, "'''Part'''", _SCALE_CALLS, _SCALE_ATTRS,
+         "CASE WHEN m > 0 THEN 'math.sqrt' ELSE '' END", "'ValueError'", "FALSE", "1 + 2 * m", "TRUE"),
+]) + "\n)"
+
+_C = with_(CHUNKS)
+SQL["chunk_definitions"] = _C + "\nSELECT filepath, seq, type, name, start_line, end_line, class_name FROM expected"
+SQL["chunk_skiplist"] = with_(MODS) + """
+SELECT filepath, 'FunctionDef' AS type, '__init__' AS name, CAST(6 AS INTEGER) AS start_line FROM mods
+UNION ALL
+SELECT filepath, 'ClassDef', 'Migration', CAST(4 AS INTEGER) FROM mods WHERE k % 7 = 0"""
+SQL["chunk_code"] = _C + "\nSELECT filepath, seq, code FROM expected WHERE class_name IS NULL"
+SQL["chunk_dedent"] = _C + "\nSELECT filepath, seq, code FROM expected WHERE class_name IS NOT NULL"
+SQL["chunk_methods"] = _C + """
+SELECT filepath, seq, name, class_name, class_docstring, start_line, end_line FROM expected
+WHERE class_name IS NOT NULL"""
+SQL["chunk_metadata"] = _C + """
+SELECT filepath, filename, seq, type, name, docstring, method_name, is_async, is_function, start_line, end_line
+FROM expected"""
+for _q, _col in [("fn_calls", "calls_functions"), ("fn_attributes", "accesses_attributes"),
+                 ("fn_raises", "raises_exceptions"), ("fn_decorators", "decorators"),
+                 ("fn_imports_used", "imports_used"), ("fn_parameters", "parameters"),
+                 ("fn_returns", "return_annotation"), ("fn_complexity", "complexity_score"),
+                 ("fn_overrides", "overrides_method")]:
+    SQL[_q] = _C + f"\nSELECT filepath, seq, {_col} FROM expected WHERE is_function"
+SQL["fn_flags"] = _C + "\nSELECT filepath, seq, is_static, is_classmethod, is_property FROM expected"
+SQL["file_imports"] = with_(MODS) + """
+SELECT filepath, 'osp' AS alias, 'os.path' AS full_name FROM mods
+UNION ALL SELECT filepath, 'root', 'math.sqrt' FROM mods"""
+SQL["cls_members"] = _C + "\nSELECT filepath, seq, base_classes, methods FROM expected WHERE type = 'ClassDef'"
+SQL["cls_abstract"] = _C + "\nSELECT filepath, seq, is_abstract FROM expected WHERE type = 'ClassDef'"
