@@ -220,3 +220,98 @@ def cls_members(spark, sf_dir):
 @query("cls_abstract")
 def cls_abstract(spark, sf_dir):
     return _chunks(spark, sf_dir).where(F.col("type") == "ClassDef").select("filepath", "seq", "is_abstract")
+
+
+# --- index preparation, store, stats (2.C, SNK, Q-5..Q-7, J-1) -----------------
+
+from srcindex.operators import prepare as PR  # noqa: E402
+from srcindex.session import scratch_path  # noqa: E402
+from srcindex.sources.index_store import IndexStore  # noqa: E402
+
+
+def _entries(spark, sf_dir, vectors=False):
+    return PR.prepare_entries(_chunks(spark, sf_dir), with_vectors=vectors)
+
+
+def _updates(spark, sf_dir):
+    """index_updates: chunks of modules with k % 10 = 0 re-rendered with brand 'changed'."""
+    mods = rendered_modules(spark, sf_dir, brand_override="changed").where(F.col("p_partkey") % 10 == 0)
+    facts = stage(CH.parse_sources(mods.select("filepath", "code")))
+    return PR.prepare_entries(CH.chunk_table(facts), with_vectors=True)
+
+
+@query("index_nonblank")
+def index_nonblank(spark, sf_dir):
+    return _entries(spark, sf_dir).select("filepath", "seq", "chunk_id")
+
+
+@query("index_document")
+def index_document(spark, sf_dir):
+    return _entries(spark, sf_dir).select("filepath", "seq", "document")
+
+
+@query("index_metadata")
+def index_metadata(spark, sf_dir):
+    return _entries(spark, sf_dir).select("filepath", "seq", "metadata")
+
+
+@query("index_chunk_id")
+def index_chunk_id(spark, sf_dir):
+    return _entries(spark, sf_dir).select("filepath", "seq", "chunk_id")
+
+
+@query("long_chunk_id")
+def long_chunk_id(spark, sf_dir):
+    ids = T.long_ids(spark, sf_dir)
+    return ids.select("page_id", PR.chunk_id().alias("chunk_id"))
+
+
+@query("index_keep_first")
+def index_keep_first(spark, sf_dir):
+    return PR.keep_first(_entries(spark, sf_dir)).select("chunk_id", "filepath", "seq")
+
+
+def _built_store(spark, sf_dir):
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    store.insert(PR.prepare_entries(_chunks(spark, sf_dir), with_vectors=True))
+    return store
+
+
+@query("index_insert_new")
+def index_insert_new(spark, sf_dir):
+    store = _built_store(spark, sf_dir)
+    store.insert(_updates(spark, sf_dir))        # every id already stored: nothing changes
+    return store.read().select("chunk_id", "document")
+
+
+@query("index_upsert")
+def index_upsert(spark, sf_dir):
+    store = _built_store(spark, sf_dir)
+    store.upsert(_updates(spark, sf_dir))
+    return store.read().select("chunk_id", "document")
+
+
+@query("index_reopen")
+def index_reopen(spark, sf_dir):
+    store = _built_store(spark, sf_dir)
+    reopened = IndexStore(spark, store.path.rsplit("/", 1)[0], store.collection)
+    return reopened.read().select("chunk_id", "filepath", "start_line", "name")
+
+
+@query("index_stats")
+def index_stats(spark, sf_dir):
+    return _built_store(spark, sf_dir).stats()
+
+
+@query("index_peek")
+def index_peek(spark, sf_dir):
+    return _built_store(spark, sf_dir).peek(5).select("chunk_id", "metadata")
+
+
+@query("job_index")
+def job_index(spark, sf_dir):
+    """J-1: corpus -> chunks -> entries -> insert into a new collection; read back."""
+    from srcindex.plans.jobs import index_corpus
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    index_corpus(rendered_modules(spark, sf_dir).select("filepath", "code"), store)
+    return store.read().select("chunk_id", "document", "metadata")

@@ -235,16 +235,18 @@ def _s(x: str) -> str:
     return f"CAST({x} AS VARCHAR)"
 
 
-MODS = f"""
-mods AS (
+MODS_T = """
+{name} AS (
   SELECT p_partkey AS k, p_size AS s, p_size % 4 AS m, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS e,
-         p_name AS pn, p_type AS pt, p_brand AS pb,
+         p_name AS pn, p_type AS pt, {brand} AS pb,
          'corpus/part_' || {_s('p_partkey')} || '.py' AS filepath,
          CASE WHEN p_partkey % 7 = 0 THEN 'Migration' ELSE 'Part' || {_s('p_partkey')} END AS cls,
          CASE WHEN p_partkey % 5 = 0 THEN 'AbstractBase, pkg.Mixin' ELSE 'Base' || {_s('p_size % 3')} END AS bases_src,
-         CASE WHEN p_partkey % 5 = 0 THEN 'AbstractBase,pkg.Mixin' ELSE 'Base' || {_s('p_size % 3')} END AS bases_txt
+         CASE WHEN p_partkey % 5 = 0 THEN 'AbstractBase,pkg.Mixin' ELSE 'Base' || {s3} END AS bases_txt
   FROM part
 )"""
+MODS_T = MODS_T.replace("{_s('p_partkey')}", _s('p_partkey')).replace("{_s('p_size % 3')}", "{s3}")
+MODS = MODS_T.format(name="mods", brand="p_brand", s3=_s("p_size % 3"))
 
 _SCALE_HEAD = lit('def scale(self, by: float = 1.5, *rest, **opts) -> "Part":\n')
 _SCALE_UNTAGGED = (f"{_SCALE_HEAD} || repeat({lit(FX.IF_BLOCK)}, m) || CASE WHEN e = 1 THEN {lit(FX.SUPER_LINE)} "
@@ -269,9 +271,9 @@ _FN_NULL_CLASS = "NULL::VARCHAR, NULL::VARCHAR, NULL::BOOLEAN"
 
 
 def _row(seq, typ, name, start, end, code, doc, cls, cdoc, is_async, prop, decos, params, ret, calls,
-         attrs, imports, raises, overrides, complexity, where):
+         attrs, imports, raises, overrides, complexity, where, meta=None):
     return f"""
-  SELECT filepath, 'part_' || {_s('k')} || '.py' AS filename, CAST({seq} AS BIGINT) AS seq, '{typ}' AS type,
+  SELECT k, {meta} AS params_meta, filepath, 'part_' || {_s('k')} || '.py' AS filename, CAST({seq} AS BIGINT) AS seq, '{typ}' AS type,
          {name} AS name, CAST({start} AS INTEGER) AS start_line, CAST({end} AS INTEGER) AS end_line,
          {code} AS code, {doc} AS docstring, {cls} AS class_name, {cdoc} AS class_docstring,
          {name} AS method_name, {is_async} AS is_async, TRUE AS is_function, FALSE AS is_static,
@@ -280,19 +282,20 @@ def _row(seq, typ, name, start, end, code, doc, cls, cdoc, is_async, prop, decos
          {imports} AS imports_used, {raises} AS raises_exceptions, {overrides} AS overrides_method,
          CAST({complexity} AS INTEGER) AS complexity_score, {_FN_NULL_CLASS.split(', ')[0]} AS base_classes,
          NULL::VARCHAR AS methods, NULL::BOOLEAN AS is_abstract
-  FROM mods WHERE {where}"""
+  FROM {{mods}} WHERE {where}"""
 
 
 _P_INIT = "'self:::positional,size::' || " + _s("s") + " || ':positional'"
 _P_LABEL = "'self:::positional'"
 _P_SCALE = "'self:::positional,by:float:1.5:positional,*rest:::var_positional,**opts:::var_keyword'"
 _P_LOAD = "'path:::positional,retries:int:3:positional'"
+_P_SCALE_META = "'self:None,by:float,*rest:None,**opts:None'"
 _NORMAL = "k % 7 <> 0"
 _LOAD_START = "15 + 2 * m + e"
 _SCALE_END = "13 + 2 * m + e"
 
-CHUNKS = MODS + ",\nexpected AS (" + f"""
-  SELECT filepath, 'part_' || {_s('k')} || '.py' AS filename, CAST(0 AS BIGINT) AS seq, 'ClassDef' AS type,
+CHUNKS_T = "{mods},\n{expected} AS (" + f"""
+  SELECT k, NULL::VARCHAR AS params_meta, filepath, 'part_' || {_s('k')} || '.py' AS filename, CAST(0 AS BIGINT) AS seq, 'ClassDef' AS type,
          cls AS name, CAST(4 AS INTEGER) AS start_line, CAST({_SCALE_END} AS INTEGER) AS end_line,
          {_CLASS_CODE} AS code, pn || ' part.' AS docstring, NULL::VARCHAR AS class_name,
          NULL::VARCHAR AS class_docstring, NULL::VARCHAR AS method_name, FALSE AS is_async, FALSE AS is_function,
@@ -301,30 +304,39 @@ CHUNKS = MODS + ",\nexpected AS (" + f"""
          NULL::VARCHAR AS accesses_attributes, NULL::VARCHAR AS imports_used, NULL::VARCHAR AS raises_exceptions,
          NULL::BOOLEAN AS overrides_method, NULL::INTEGER AS complexity_score, bases_txt AS base_classes,
          '__init__,label,scale' AS methods, (k % 5 = 0) AS is_abstract
-  FROM mods WHERE {_NORMAL}
+  FROM {{mods}} WHERE {_NORMAL}
   UNION ALL""" + " UNION ALL".join([
     _row(3, "FunctionDef", "'__init__'", 6, 7,
          f"'def __init__(self, size=' || {_s('s')} || '):' || {NL} || '    self.size = size'",
          "NULL::VARCHAR", "cls", "pn || ' part.'", "FALSE", "FALSE", "''", _P_INIT, "NULL::VARCHAR",
-         "''", "'self.size'", "''", "''", "FALSE", 1, _NORMAL),
+         "''", "'self.size'", "''", "''", "FALSE", 1, _NORMAL, "'self:None,size:None'"),
     _row(4, "FunctionDef", "'label'", 9, 11, _LABEL.format(nl=NL, i="    "), "'Label of ' || pn || '.'",
          "cls", "pn || ' part.'", "FALSE", "TRUE", "'property'", _P_LABEL, "'str'", "'osp.join'",
-         "'osp.join,self.size'", "'os.path'", "''", "FALSE", 1, _NORMAL),
+         "'osp.join,self.size'", "'os.path'", "''", "FALSE", 1, _NORMAL, "'self:None'"),
     _row(5, "FunctionDef", "'scale'", 12, _SCALE_END, _SCALE_TAGGED, "NULL::VARCHAR", "cls", "pn || ' part.'",
          "FALSE", "FALSE", "''", _P_SCALE, "'''Part'''", _SCALE_CALLS, _SCALE_ATTRS,
-         "CASE WHEN m > 0 THEN 'math.sqrt' ELSE '' END", "'ValueError'", "(e = 1)", "1 + 2 * m", _NORMAL),
+         "CASE WHEN m > 0 THEN 'math.sqrt' ELSE '' END", "'ValueError'", "(e = 1)", "1 + 2 * m", _NORMAL,
+         _P_SCALE_META),
     _row(1 << 32, "AsyncFunctionDef", "'load_' || " + _s("k"), _LOAD_START, "16 + 2 * m + e",
          f"'async def load_' || {_s('k')} || '(path, retries: int = 3):' || {NL} || '    return await fetch(path)'",
          "NULL::VARCHAR", "NULL::VARCHAR", "NULL::VARCHAR", "TRUE", "FALSE", "''", _P_LOAD, "NULL::VARCHAR",
-         "'fetch'", "''", "''", "''", "FALSE", 1, "TRUE"),
+         "'fetch'", "''", "''", "''", "FALSE", 1, "TRUE", "'path:None,retries:int'"),
     _row(3 << 32, "FunctionDef", "'label'", 9, 11, _LABEL.format(nl=NL, i="        "),
          "'Label of ' || pn || '.'", "NULL::VARCHAR", "NULL::VARCHAR", "FALSE", "TRUE", "'property'", _P_LABEL,
-         "'str'", "'osp.join'", "'osp.join,self.size'", "'os.path'", "''", "FALSE", 1, "TRUE"),
+         "'str'", "'osp.join'", "'osp.join,self.size'", "'os.path'", "''", "FALSE", 1, "TRUE", "'self:None'"),
     _row(4 << 32, "FunctionDef", "'scale'", 12, _SCALE_END, _SCALE_UNTAGGED, "NULL::VARCHAR", "NULL::VARCHAR",
          "NULL::VARCHAR", "FALSE", "FALSE", "''", _P_SCALE, "'''Part'''", _SCALE_CALLS, _SCALE_ATTRS,
-         "CASE WHEN m > 0 THEN 'math.sqrt' ELSE '' END", "'ValueError'", "FALSE", "1 + 2 * m", "TRUE"),
+         "CASE WHEN m > 0 THEN 'math.sqrt' ELSE '' END", "'ValueError'", "FALSE", "1 + 2 * m", "TRUE",
+         _P_SCALE_META),
 ]) + "\n)"
 
+def chunks_cte(expected: str = "expected", mods: str = "mods", brand: str = "p_brand") -> str:
+    head = MODS_T.format(name=mods, brand=brand, s3=_s("p_size % 3"))
+    body = CHUNKS_T.replace("{mods},", head + ",", 1).replace("{expected}", expected)
+    return body.replace("{mods}", mods)
+
+
+CHUNKS = chunks_cte()
 _C = with_(CHUNKS)
 SQL["chunk_definitions"] = _C + "\nSELECT filepath, seq, type, name, start_line, end_line, class_name FROM expected"
 SQL["chunk_skiplist"] = with_(MODS) + """
@@ -351,3 +363,79 @@ SELECT filepath, 'osp' AS alias, 'os.path' AS full_name FROM mods
 UNION ALL SELECT filepath, 'root', 'math.sqrt' FROM mods"""
 SQL["cls_members"] = _C + "\nSELECT filepath, seq, base_classes, methods FROM expected WHERE type = 'ClassDef'"
 SQL["cls_abstract"] = _C + "\nSELECT filepath, seq, is_abstract FROM expected WHERE type = 'ClassDef'"
+
+
+# --- index (2.C, SNK, Q-5..Q-7, J-1) ---------------------------------------------
+
+def _json_str(key: str, expr: str) -> str:
+    return f"CASE WHEN {expr} IS NOT NULL AND {expr} <> '' THEN '\"{key}\":' || to_json({expr}) END"
+
+
+def _json_raw(key: str, expr: str) -> str:
+    return f"CASE WHEN {expr} IS NOT NULL THEN '\"{key}\":' || CAST({expr} AS VARCHAR) END"
+
+
+def _json_bool(key: str, expr: str) -> str:
+    return f"CASE WHEN {expr} IS NOT NULL THEN '\"{key}\":' || CASE WHEN {expr} THEN 'true' ELSE 'false' END END"
+
+
+_META_PARTS = [
+    _json_str("type", "type"), _json_str("name", "name"), _json_raw("start_line", "start_line"),
+    _json_raw("end_line", "end_line"), _json_str("class_name", "class_name"), _json_str("method_name", "method_name"),
+    _json_bool("is_async", "is_async"), _json_bool("is_function", "is_function"), _json_bool("is_static", "is_static"),
+    _json_bool("is_classmethod", "is_classmethod"), _json_bool("is_property", "is_property"),
+    _json_str("filepath", "filepath"), _json_str("filename", "filename"), _json_str("decorators", "decorators"),
+    _json_str("parameters", "params_meta"), _json_str("return_annotation", "return_annotation"),
+    _json_str("calls_functions", "calls_functions"), _json_str("accesses_attributes", "accesses_attributes"),
+    _json_str("imports_used", "imports_used"), _json_str("raises_exceptions", "raises_exceptions"),
+    _json_bool("overrides_method", "overrides_method"), _json_raw("complexity_score", "complexity_score"),
+    _json_str("base_classes", "base_classes"), _json_str("methods", "methods"), _json_bool("is_abstract", "is_abstract"),
+]
+METADATA_SQL = "'{' || concat_ws(',', " + ", ".join(_META_PARTS) + ") || '}'"
+DOCUMENT_SQL = ("concat_ws(chr(10), CASE WHEN class_docstring <> '' THEN '# Class docstring: ' || class_docstring END, "
+                "CASE WHEN class_name <> '' THEN '# Class: ' || class_name END, "
+                "CASE WHEN docstring <> '' THEN '''''''' || docstring || '''''''' END, code)")
+CHUNK_ID_SQL = ("CASE WHEN length({b}) > 100 THEN name || ':' || substr(md5({b}), 1, 8) ELSE {b} END"
+                .format(b="(filepath || ':' || CAST(start_line AS VARCHAR) || ':' || name)"))
+
+
+def entries_cte(name: str, expected: str) -> str:
+    return f"""
+{name} AS (
+  SELECT k, filepath, seq, {CHUNK_ID_SQL} AS chunk_id, {DOCUMENT_SQL} AS document, {METADATA_SQL} AS metadata,
+         start_line, name
+  FROM {expected} WHERE NOT {is_blank('code')}
+),
+{name}_first AS (
+  SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY filepath, seq) = 1
+)"""
+
+
+_E = with_(CHUNKS, entries_cte("entries", "expected"))
+SQL["index_nonblank"] = _E + "\nSELECT filepath, seq, chunk_id FROM entries"
+SQL["index_document"] = _E + "\nSELECT filepath, seq, document FROM entries"
+SQL["index_metadata"] = _E + "\nSELECT filepath, seq, metadata FROM entries"
+SQL["index_chunk_id"] = _E + "\nSELECT filepath, seq, chunk_id FROM entries"
+SQL["index_keep_first"] = _E + "\nSELECT chunk_id, filepath, seq FROM entries_first"
+SQL["long_chunk_id"] = """
+WITH ids AS (SELECT page_id, repeat(url, 2) AS filepath, CAST(page_id AS INTEGER) AS start_line, 'page' AS name
+             FROM pages)
+SELECT page_id, """ + CHUNK_ID_SQL + " AS chunk_id FROM ids"
+SQL["index_insert_new"] = _E + "\nSELECT chunk_id, document FROM entries_first"
+SQL["index_reopen"] = _E + "\nSELECT chunk_id, filepath, start_line, name FROM entries_first"
+SQL["job_index"] = _E + "\nSELECT chunk_id, document, metadata FROM entries_first"
+SQL["index_stats"] = _E + """
+SELECT CAST(count(*) AS BIGINT) AS total_documents,
+       array_to_string(json_keys(arg_min(metadata, chunk_id)), ',') AS sample_metadata_keys,
+       'code_repository' AS collection_name
+FROM entries_first"""
+SQL["index_peek"] = _E + "\nSELECT chunk_id, metadata FROM entries_first ORDER BY chunk_id LIMIT 5"
+SQL["index_upsert"] = with_(CHUNKS, entries_cte("entries", "expected"),
+                            chunks_cte("expected_upd", "mods_upd", "'changed'"),
+                            entries_cte("upd_all", "expected_upd"), """
+upd AS (
+  SELECT chunk_id, document FROM upd_all WHERE k % 10 = 0
+  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC, filepath DESC) = 1
+)""") + """
+SELECT chunk_id, document FROM entries_first WHERE chunk_id NOT IN (SELECT chunk_id FROM upd)
+UNION ALL SELECT chunk_id, document FROM upd"""

@@ -86,3 +86,10 @@ def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.substring(body, 1, (F.length(body) / 2).cast("int"))
     return rows.select("request_id", "kind",
                        F.when(F.col("conv_id") % 9 == 0, cut).otherwise(body).alias("body"))
+
+
+def long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, filepath, start_line, name): paths long enough to need the hashed id."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return p.select("page_id", F.repeat(F.col("url"), 2).alias("filepath"),
+                    F.col("page_id").cast("int").alias("start_line"), F.lit("page").alias("name"))
