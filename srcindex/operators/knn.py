@@ -83,3 +83,113 @@ def sparse_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
     if max_distance is not None:
         cands = cands.where(F.col("distance") <= F.lit(float(max_distance)))
     return top_k(cands, k, query_id, entry_id).select(query_id, "rank", entry_id, "distance")
+
+
+# --- dense vectors -------------------------------------------------------------
+
+DENSE_BLOCK_ROWS = 20_000      # queries per broadcast block (64-d: ~10 MB)
+
+
+def _dense_partial_topk(block, k, max_distance, entry_id, vec):
+    """mapInArrow body: per index batch, keep the k nearest rows of every query.
+
+    ``block`` is a broadcast variable holding (query ids, query matrix).
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        qids, qmat = block.value
+        qn = (qmat * qmat).sum(axis=1)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            ids = b.column(entry_id).to_numpy(zero_copy_only=False)
+            lists = b.column(vec)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = flat.reshape(b.num_rows, -1)
+            d = qn[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (qmat @ x.T)
+            np.maximum(d, 0.0, out=d)
+            if max_distance is not None:
+                d[d > max_distance] = np.inf
+            kk = min(k, x.shape[0])
+            part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < x.shape[0] else \
+                np.tile(np.arange(x.shape[0]), (len(qids), 1))
+            rows = np.repeat(np.arange(len(qids)), part.shape[1])
+            cols = part.reshape(-1)
+            dist = d[rows, cols]
+            keep = np.isfinite(dist)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[rows[keep]], pa.int64()), pa.array(ids[cols[keep]], pa.int64()),
+                 pa.array(dist[keep], pa.float64())],
+                names=["query_id", entry_id, "distance"])
+    return run
+
+
+def dense_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, max_distance: float | None = None,
+              query_id: str = "query_id", qvec: str = "qvec", entry_id: str = "entry_id", vec: str = "embedding",
+              block_rows: int = DENSE_BLOCK_ROWS, rank_digits: int = 9) -> DataFrame:
+    """Exact k nearest by squared L2: (query_id, rank, entry_id, distance).
+
+    The index is scanned once per query block; each block holds at most
+    ``block_rows`` queries, collected and broadcast only after the query count
+    is known. Each task computes a float64 distance matrix with NumPy for its
+    Arrow batches and emits k candidates per query; Spark ranks them on
+    ``(round(distance, rank_digits), entry_id)``.
+    """
+    import numpy as np
+
+    sc = queries.sparkSession.sparkContext
+    n_q = queries.count()
+    n_blocks = max(1, -(-n_q // block_rows))
+    parts = []
+    for b in range(n_blocks):
+        block = queries if n_blocks == 1 else queries.where(
+            F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b)
+        tbl = block.select(query_id, qvec).toArrow()
+        if tbl.num_rows == 0:
+            continue
+        qids = tbl.column(query_id).to_numpy()
+        qmat = np.asarray(tbl.column(qvec).combine_chunks().flatten().to_numpy(zero_copy_only=False),
+                          dtype=np.float64).reshape(tbl.num_rows, -1)
+        fn = _dense_partial_topk(sc.broadcast((qids, qmat)), k, max_distance, entry_id, vec)
+        parts.append(index.select(F.col(entry_id).cast("long").alias(entry_id), vec)
+                     .mapInArrow(fn, f"query_id long, {entry_id} long, distance double"))
+    if not parts:
+        return queries.sparkSession.createDataFrame(
+            [], f"{query_id} long, rank int, {entry_id} long, distance double")
+    cands = parts[0]
+    for p in parts[1:]:
+        cands = cands.unionByName(p)
+    cands = cands.withColumn("_rd", F.round("distance", rank_digits))
+    out = top_k(cands, k, "query_id", entry_id, order="_rd")
+    return out.select(F.col("query_id").alias(query_id), "rank", entry_id, "distance")
+
+
+def nest_results(neighbours: DataFrame, query_id: str = "query_id", entry_id: str = "entry_id") -> DataFrame:
+    """Q-3: one row per query with its neighbours as a rank-ordered array of structs."""
+    return neighbours.groupBy(query_id).agg(
+        F.array_sort(F.collect_list(F.struct("rank", entry_id, "distance"))).alias("results"))
+
+
+def lsh_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, radius: float = 1.5,
+            bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7, query_id: str = "query_id",
+            qvec: str = "qvec", entry_id: str = "entry_id", vec: str = "embedding") -> DataFrame:
+    """Approximate candidates by random-projection LSH, re-ranked exactly.
+
+    Candidate pairs share a hash bucket in some table (an equi-join inside
+    ``approxSimilarityJoin``) and lie within Euclidean ``radius``; the top-k by
+    exact squared distance is kept. Recall is below 1 by design.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    a = index.select(F.col(entry_id).alias("id"), array_to_vector(vec).alias("v"))
+    b = queries.select(F.col(query_id).alias("id"), array_to_vector(qvec).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
+                                        numHashTables=num_tables, seed=seed).fit(a)
+    pairs = model.approxSimilarityJoin(b, a, radius, distCol="dist")
+    cands = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias(entry_id),
+                         (F.col("dist") * F.col("dist")).alias("distance"))
+    out = top_k(cands.withColumn("_rd", F.round("distance", 9)), k, "query_id", entry_id, order="_rd")
+    return out.select(F.col("query_id").alias(query_id), "rank", entry_id, "distance")

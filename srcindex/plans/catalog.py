@@ -315,3 +315,53 @@ def job_index(spark, sf_dir):
     store = IndexStore(spark, scratch_path(spark, "index"))
     index_corpus(rendered_modules(spark, sf_dir).select("filepath", "code"), store)
     return store.read().select("chunk_id", "document", "metadata")
+
+
+# --- dense / filtered / nested / LSH search (Q-1..Q-4) ------------------------------
+
+from srcindex.functions.where import where_to_column  # noqa: E402
+
+
+def _dense(spark, sf_dir):
+    v = T.dense_vectors(spark, sf_dir)
+    return (v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")),
+            v.select(F.col("vec_id").alias("entry_id"), "embedding", "label"))
+
+
+@query("knn_dense")
+def knn_dense(spark, sf_dir):
+    q, idx = _dense(spark, sf_dir)
+    r = knn.dense_knn(q, idx, k=knn.DEFAULT_K)
+    return r.select("query_id", "rank", "entry_id", F.round("distance", 6).alias("distance"))
+
+
+@query("knn_dense_filtered")
+def knn_dense_filtered(spark, sf_dir):
+    q, idx = _dense(spark, sf_dir)
+    idx = idx.where(where_to_column({"label": {"$in": [1, 3, 5]}}))
+    r = knn.dense_knn(q, idx, k=knn.DEFAULT_K, max_distance=1.5)
+    return r.select("query_id", "rank", "entry_id", F.round("distance", 6).alias("distance"))
+
+
+@query("knn_filtered")
+def knn_filtered(spark, sf_dir):
+    labels = T.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    lines = T.corpus_lines(spark, sf_dir).join(labels, "doc_id")
+    idx = embed(lines.where(where_to_column({"quality": 1})), "txt")
+    return knn.sparse_knn(_bench_queries(spark, sf_dir), idx, k=knn.DEFAULT_K)
+
+
+@query("knn_nested")
+def knn_nested(spark, sf_dir):
+    nested = knn.nest_results(knn_sparse(spark, sf_dir))
+    return nested.select(
+        "query_id",
+        F.array_join(F.transform("results", lambda r: r["entry_id"].cast("string")), ",").alias("entry_ids"),
+        F.array_join(F.transform("results", lambda r: F.round(r["distance"] * 1e6).cast("long").cast("string")),
+                     ",").alias("distances_e6"))
+
+
+@query("knn_lsh")
+def knn_lsh(spark, sf_dir):
+    q, idx = _dense(spark, sf_dir)
+    return knn.lsh_knn(q, idx.select("entry_id", "embedding"), k=knn.DEFAULT_K)

@@ -439,3 +439,40 @@ upd AS (
 )""") + """
 SELECT chunk_id, document FROM entries_first WHERE chunk_id NOT IN (SELECT chunk_id FROM upd)
 UNION ALL SELECT chunk_id, document FROM upd"""
+
+
+# --- dense / filtered / nested search ------------------------------------------
+
+def dense_sql(where: str = "TRUE", cut: str = "TRUE") -> str:
+    return f"""
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS entry_id,
+         list_sum(list_transform(range(1, len(q.embedding) + 1),
+                  lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(d.embedding[i] AS DOUBLE))
+                          * (CAST(q.embedding[i] AS DOUBLE) - CAST(d.embedding[i] AS DOUBLE)))) AS distance
+  FROM embeddings q, (SELECT * FROM embeddings WHERE {where}) d
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), entry_id) AS INTEGER)
+           AS rank, entry_id, distance
+  FROM pairs WHERE {cut}
+  QUALIFY rank <= 5
+)
+SELECT query_id, rank, entry_id, round(distance, 6) AS distance FROM ranked"""
+
+
+SQL["knn_dense"] = dense_sql()
+SQL["knn_dense_filtered"] = dense_sql(where="label IN (1, 3, 5)", cut="distance <= 1.5")
+
+SQL["knn_filtered"] = with_(CORPUS, """
+corpus_q AS (SELECT c.* FROM corpus c JOIN labels l ON l.doc_id = c.doc_id WHERE l.quality = 1)""",
+                            postings_cte("dpost", "corpus_q", "entry_id", "txt"),
+                            postings_cte("qpost", "benchmark", "item_id", "text"),
+                            sparse_pairs_cte("qpost", "dpost"), topk_cte("pairs", 5)) + """
+SELECT query_id, rank, entry_id, distance FROM topk"""
+
+SQL["knn_nested"] = with_(*_KNN_BASE, topk_cte("pairs", 5)) + """
+SELECT query_id,
+       string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY rank) AS entry_ids,
+       string_agg(CAST(CAST(round(distance * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS distances_e6
+FROM topk GROUP BY query_id"""
