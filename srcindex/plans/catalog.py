@@ -365,3 +365,30 @@ def knn_nested(spark, sf_dir):
 def knn_lsh(spark, sf_dir):
     q, idx = _dense(spark, sf_dir)
     return knn.lsh_knn(q, idx.select("entry_id", "embedding"), k=knn.DEFAULT_K)
+
+
+# --- file sources (2.A) --------------------------------------------------------
+
+from srcindex.session import local_dir  # noqa: E402
+from srcindex.sources import pysource as PS  # noqa: E402
+from srcindex.sources.fixtures import write_rendered_files  # noqa: E402
+
+
+def _files(spark, sf_dir):
+    root = local_dir(scratch_path(spark, "files"))
+    write_rendered_files(spark, sf_dir, root)
+    return PS.read_sources(spark, root, partitionBytes=1 << 20)
+
+
+@query("scan_sources")
+def scan_sources(spark, sf_dir):
+    raw = _files(spark, sf_dir)
+    return raw.select("relpath", F.col("size").alias("n_bytes"), F.md5("content").alias("content_md5"))
+
+
+@query("source_rejects")
+def source_rejects(spark, sf_dir):
+    good, bad = PS.decode_sources(_files(spark, sf_dir))
+    facts = CH.parse_sources(good.select("filepath", "code"))
+    errs = CH.source_errors(facts).join(good.select("filepath", "relpath"), "filepath")
+    return bad.select("relpath", "reason").unionByName(errs.select("relpath", "reason"))

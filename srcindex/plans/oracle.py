@@ -476,3 +476,26 @@ SELECT query_id,
        string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY rank) AS entry_ids,
        string_agg(CAST(CAST(round(distance * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS distances_e6
 FROM topk GROUP BY query_id"""
+
+
+# --- file sources (2.A) --------------------------------------------------------
+
+MODULE_SQL = (f"{lit('import os.path as osp' + chr(10) + 'from math import sqrt as root' + chr(10) + chr(10))} || "
+              f"{_CLASS_CODE} || {NL} || {NL} || 'async def load_' || {_s('k')} || "
+              f"{lit('(path, retries: int = 3):' + chr(10) + '    return await fetch(path)' + chr(10))}")
+FILES = MODS + f""",
+files AS (
+  SELECT k,
+         CASE WHEN k % 17 = 0 THEN '_private/part_' || {_s('k')} || '.py'
+              WHEN k % 19 = 0 THEN 'part_' || {_s('k')} || '/__init__.py'
+              ELSE 'part_' || {_s('k')} || '.py' END AS relpath,
+         CASE WHEN k % 11 = 0 THEN '\\xFF'::BLOB || CAST({MODULE_SQL} AS BLOB)
+              WHEN k % 13 = 0 THEN CAST('def (' || {MODULE_SQL} AS BLOB)
+              ELSE CAST({MODULE_SQL} AS BLOB) END AS content
+  FROM mods
+)"""
+SQL["scan_sources"] = "WITH " + FILES.strip("\n") + """
+SELECT relpath, CAST(octet_length(content) AS BIGINT) AS n_bytes, md5(content) AS content_md5 FROM files"""
+SQL["source_rejects"] = "WITH " + FILES.strip("\n") + """
+SELECT relpath, CASE WHEN k % 11 = 0 THEN 'encoding' ELSE 'syntax' END AS reason
+FROM files WHERE k % 11 = 0 OR k % 13 = 0"""

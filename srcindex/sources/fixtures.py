@@ -51,3 +51,40 @@ def rendered_modules(spark: SparkSession, sf_dir: str, brand_override: str | Non
         F.concat(F.lit("corpus/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("filepath"),
         module_text(F.col("p_partkey"), F.col("p_size"), F.col("p_name"), F.col("p_type"), brand).alias("code"),
         "p_partkey")
+
+
+def rendered_file_layout(k):
+    """(relative path, damage) of the on-disk fixture for part key ``k``."""
+    rel = F.when(F.pmod(k, F.lit(17)) == 0, F.concat(F.lit("_private/part_"), k.cast("string"), F.lit(".py"))) \
+        .when(F.pmod(k, F.lit(19)) == 0, F.concat(F.lit("part_"), k.cast("string"), F.lit("/__init__.py"))) \
+        .otherwise(F.concat(F.lit("part_"), k.cast("string"), F.lit(".py")))
+    damage = F.when(F.pmod(k, F.lit(11)) == 0, F.lit("encoding")) \
+        .when(F.pmod(k, F.lit(13)) == 0, F.lit("syntax"))
+    return rel, damage
+
+
+def write_rendered_files(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Write ``rendered_modules`` as files under the mounted directory ``root``.
+
+    Every 11th module gets a leading 0xFF byte, every 13th a leading
+    ``def (``; some live under ``_private/`` or are named ``__init__.py``.
+    Each task writes its own rows' files.
+    """
+    mods = rendered_modules(spark, sf_dir)
+    rel, damage = rendered_file_layout(F.col("p_partkey"))
+    rows = mods.select(rel.alias("rel"), damage.alias("damage"), "code")
+
+    def write_part(it):
+        import os as _os
+        for r in it:
+            path = _os.path.join(root, r["rel"])
+            _os.makedirs(_os.path.dirname(path), exist_ok=True)
+            data = r["code"].encode("utf-8")
+            if r["damage"] == "encoding":
+                data = b"\xff" + data
+            elif r["damage"] == "syntax":
+                data = b"def (" + data
+            with open(path, "wb") as fh:
+                fh.write(data)
+
+    rows.foreachPartition(write_part)
