@@ -392,3 +392,47 @@ def source_rejects(spark, sf_dir):
     facts = CH.parse_sources(good.select("filepath", "code"))
     errs = CH.source_errors(facts).join(good.select("filepath", "relpath"), "filepath")
     return bad.select("relpath", "reason").unionByName(errs.select("relpath", "reason"))
+
+
+# --- streaming index maintenance (J-3, J-4) ------------------------------------------
+
+from srcindex.streaming import index_stream as ST  # noqa: E402
+
+
+def _part_key():
+    return F.regexp_extract("filepath", r"part_(\d+)", 1).cast("long")
+
+
+@query("stream_index_insert")
+def stream_index_insert(spark, sf_dir):
+    """Chunks arrive in five groups (pmod(k, 5)); the last repeats k % 10 = 0."""
+    base = scratch_path(spark, "stream-insert")
+    ch = _chunks(spark, sf_dir)
+    k = _part_key()
+    for i in range(5):
+        grp = ch.where(F.pmod(k, F.lit(5)) == i)
+        if i == 4:
+            grp = grp.unionByName(ch.where(k % 10 == 0))
+        # a module's chunks share one file, hence one micro-batch
+        grp.repartition(4, "filepath").write.mode("overwrite").parquet(f"{base}/drop/group={i}")
+    store = IndexStore(spark, f"{base}/index")
+    q = ST.stream_insert(spark, f"{base}/drop", ch.schema, store, f"{base}/checkpoint", max_files=4)
+    q.awaitTermination()
+    return store.read().select("chunk_id", "document")
+
+
+@query("stream_index_upsert")
+def stream_index_upsert(spark, sf_dir):
+    """Original index, then changed chunks of k % 10 = 0 streamed in two groups."""
+    base = scratch_path(spark, "stream-upsert")
+    store = _built_store(spark, sf_dir)
+    mods = rendered_modules(spark, sf_dir, brand_override="changed").where(F.col("p_partkey") % 10 == 0)
+    ch = CH.chunk_table(stage(CH.parse_sources(mods.select("filepath", "code"))))
+    k = _part_key()
+    for i in range(2):
+        # a module's chunks share one file, hence one micro-batch
+        ch.where(F.pmod(k / 10, F.lit(2)) == i).repartition(2, "filepath").write.mode("overwrite").parquet(
+            f"{base}/drop/group={i}")
+    q = ST.stream_upsert(spark, f"{base}/drop", ch.schema, store, f"{base}/checkpoint", max_files=1)
+    q.awaitTermination()
+    return store.read().select("chunk_id", "document")

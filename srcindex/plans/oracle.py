@@ -499,3 +499,8 @@ SELECT relpath, CAST(octet_length(content) AS BIGINT) AS n_bytes, md5(content) A
 SQL["source_rejects"] = "WITH " + FILES.strip("\n") + """
 SELECT relpath, CASE WHEN k % 11 = 0 THEN 'encoding' ELSE 'syntax' END AS reason
 FROM files WHERE k % 11 = 0 OR k % 13 = 0"""
+
+
+# --- streaming (J-3, J-4): same final tables as the batch jobs --------------------
+SQL["stream_index_insert"] = SQL["index_insert_new"]
+SQL["stream_index_upsert"] = SQL["index_upsert"]
