@@ -62,33 +62,32 @@ def _common_prefix_len(a: Column, b: Column) -> Column:
     )
 
 
-def dedent(c) -> Column:
-    """``textwrap.dedent``: blank space/tab-only lines, then drop the common margin.
-
-    The margin is the longest common *exact* prefix of the leading spaces and
-    tabs of every line holding another character (tabs and spaces differ).
+def with_dedent(df, src: str, out: str):
+    """Add column ``out`` = ``textwrap.dedent(src)``.
+
+    Blank space/tab-only lines are emptied, then the longest common *exact*
+    prefix of the leading spaces and tabs of every line holding another
+    character is removed (tabs and spaces differ). Lines and margin are
+    materialised as columns in their own projections so the per-line lambdas
+    read them instead of re-evaluating them for every element.
     """
-    lines = F.split(_col(c), "\n", -1)
-    # lines made only of spaces and tabs become empty
-    lines = F.transform(
+    from pyspark.sql import functions as F  # local alias for clarity
+
+    lines = F.split(F.col(src), "\n", -1)
+    df = df.withColumn("_dd_lines", F.transform(
         lines,
         lambda l: F.when((F.length(l) > 0) & (F.length(F.regexp_replace(l, "[ \t]", "")) == 0),
-                         F.lit("")).otherwise(l),
-    )
+                         F.lit("")).otherwise(l)))
     indents = F.transform(
-        F.filter(lines, lambda l: F.length(l) > F.length(F.regexp_extract(l, "^[ \t]*", 0))),
-        lambda l: F.regexp_extract(l, "^[ \t]*", 0),
-    )
-    margin = F.when(F.size(indents) == 0, F.lit("")).otherwise(
-        F.aggregate(
-            indents,
-            F.element_at(indents, 1),
-            lambda m, ind: F.substring(m, 1, _common_prefix_len(m, ind)),
-        )
-    )
-    out = F.transform(
-        lines,
+        F.filter("_dd_lines", lambda l: F.length(l) > F.length(F.regexp_extract(l, "^[ \t]*", 0))),
+        lambda l: F.regexp_extract(l, "^[ \t]*", 0))
+    df = df.withColumn("_dd_ind", indents)
+    ind = F.col("_dd_ind")
+    df = df.withColumn("_dd_margin", F.when(F.size(ind) == 0, F.lit("")).otherwise(
+        F.aggregate(ind, F.element_at(ind, 1), lambda m, i: F.substring(m, 1, _common_prefix_len(m, i)))))
+    margin = F.col("_dd_margin")
+    df = df.withColumn(out, F.array_join(F.transform(
+        "_dd_lines",
         lambda l: F.when((F.length(margin) > 0) & F.startswith(l, margin),
-                         F.substring(l, F.length(margin) + 1, 1 << 30)).otherwise(l),
-    )
-    return F.array_join(out, "\n")
+                         F.substring(l, F.length(margin) + 1, 1 << 30)).otherwise(l)), "\n"))
+    return df.drop("_dd_lines", "_dd_ind", "_dd_margin")

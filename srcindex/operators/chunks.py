@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcindex.functions.text import dedent, is_blank, line_slice, pystrip
+from srcindex.functions.text import is_blank, line_slice, pystrip, with_dedent
+from srcindex.session import stage
 from srcindex.operators.pyfacts import PyFacts
 
 # Definitions the reference leaves out of the untagged walk.
@@ -177,7 +178,8 @@ def chunk_table(facts: DataFrame, method_slice: str = "file") -> DataFrame:
     ``method_slice="file"`` cuts class-tagged methods from the file text;
     ``"class"`` reproduces slicing the class text with file line numbers.
     """
-    full = definitions(facts)
+    # staged: both the untagged and the tagged branch read it
+    full = stage(definitions(facts))
     fp = F.when(F.col("filepath") != "", F.col("filepath"))
     filename = F.when(fp.isNotNull(), F.element_at(F.split(fp, "/"), -1))
     filename = F.when(filename != "", filename)
@@ -200,7 +202,8 @@ def chunk_table(facts: DataFrame, method_slice: str = "file") -> DataFrame:
         raw = F.col("src")
     else:
         raise ValueError(f"method_slice must be 'file' or 'class', not {method_slice!r}")
-    tagged = (tagged.withColumn("code", pystrip(dedent(raw)))
+    tagged = with_dedent(tagged.withColumn("_raw", raw), "_raw", "_dedented")
+    tagged = (tagged.withColumn("code", pystrip("_dedented")).drop("_raw", "_dedented")
               .where(~is_blank("code"))
               .withColumn("seq", F.shiftleft(F.col("parent_id").cast("long"), SEQ_SHIFT) + F.col("def_id") + 1)
               .withColumn("overrides_method", F.col("has_bases") & F.exists(
