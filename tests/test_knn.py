@@ -45,8 +45,11 @@ def test_sparse_knn_matches_brute_force(spark):
     qs = [(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 5)))) for i in range(8)]
     idx = embed(spark.createDataFrame(docs, "entry_id long, txt string"), "txt")
     q = embed(spark.createDataFrame(qs, "query_id long, code string"), "code")
-    for cut, limit in [(None, 2_000_000), (0.9, 2_000_000), (None, 0)]:   # limit 0 forces the salted join
-        got = knn.sparse_knn(q, idx, k=3, max_distance=cut, broadcast_max_postings=limit).collect()
+    cases = [("join", None, 2_000_000), ("join", 0.9, 2_000_000), ("join", None, 0),   # 0: salted join
+             ("matrix", None, None), ("matrix", 0.9, None)]
+    for method, cut, limit in cases:
+        kw = {"broadcast_max_postings": limit} if method == "join" else {"block_rows": 3}
+        got = knn.sparse_knn(q, idx, k=3, max_distance=cut, method=method, **kw).collect()
         by_q = {}
         for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
             by_q.setdefault(r.query_id, []).append(r.entry_id)
