@@ -90,7 +90,7 @@ def def_facts(facts: DataFrame) -> DataFrame:
         _bare_decorator("classmethod").alias("is_classmethod"),
         _bare_decorator("property").alias("is_property"),
         F.max(F.when(F.col("kind") == "returns", F.col("value"))).alias("return_annotation"),
-        F.count_if(F.col("kind") == "branch").alias("branches"),
+        F.sum(F.when(F.col("kind") == "branch", F.col("ord"))).alias("branches"),
     )
 
 
@@ -178,8 +178,17 @@ def chunk_table(facts: DataFrame, method_slice: str = "file") -> DataFrame:
     ``method_slice="file"`` cuts class-tagged methods from the file text;
     ``"class"`` reproduces slicing the class text with file line numbers.
     """
-    # staged: both the untagged and the tagged branch read it
-    full = stage(definitions(facts))
+    if method_slice not in ("file", "class"):
+        raise ValueError(f"method_slice must be 'file' or 'class', not {method_slice!r}")
+    # Staged: both the untagged and the tagged branch read it. The dedented
+    # text of class methods is computed before staging, so filters on
+    # ``code`` later in the plan (pushed down through projections) meet a
+    # stored column instead of the whole dedent expression inlined.
+    full = definitions(facts)
+    if method_slice == "file":
+        full = with_dedent(full.withColumn("_m", F.when(F.col("parent_id").isNotNull(), F.col("src"))),
+                           "_m", "src_dedented").drop("_m")
+    full = stage(full)
     fp = F.when(F.col("filepath") != "", F.col("filepath"))
     filename = F.when(fp.isNotNull(), F.element_at(F.split(fp, "/"), -1))
     filename = F.when(filename != "", filename)
@@ -196,15 +205,15 @@ def chunk_table(facts: DataFrame, method_slice: str = "file") -> DataFrame:
         F.col("docstring").alias("class_docstring"), (F.size("base_classes") > 0).alias("has_bases"),
         F.col("src").alias("class_src"))
     tagged = full.where(F.col("parent_id").isNotNull()).join(classes, ["filepath", "parent_id"])
-    if method_slice == "class":
-        raw = line_slice(F.col("class_src"), F.col("start_line"), F.col("end_line"))
-    elif method_slice == "file":
-        raw = F.col("src")
+    if method_slice == "file":
+        tagged = tagged.withColumn("code", pystrip("src_dedented"))
     else:
-        raise ValueError(f"method_slice must be 'file' or 'class', not {method_slice!r}")
-    tagged = with_dedent(tagged.withColumn("_raw", raw), "_raw", "_dedented")
-    tagged = (tagged.withColumn("code", pystrip("_dedented")).drop("_raw", "_dedented")
-              .where(~is_blank("code"))
+        # dedent removes only spaces and tabs: a slice is blank iff its dedented form is
+        raw = line_slice(F.col("class_src"), F.col("start_line"), F.col("end_line"))
+        tagged = tagged.withColumn("_raw", raw).where(F.length(pystrip("_raw")) > 0)
+        tagged = with_dedent(tagged, "_raw", "_dedented")
+        tagged = tagged.withColumn("code", pystrip("_dedented")).drop("_raw", "_dedented")
+    tagged = (tagged
               .withColumn("seq", F.shiftleft(F.col("parent_id").cast("long"), SEQ_SHIFT) + F.col("def_id") + 1)
               .withColumn("overrides_method", F.col("has_bases") & F.exists(
                   "calls_functions", lambda c: F.contains(c, F.lit("super()")))))
