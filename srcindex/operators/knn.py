@@ -92,7 +92,7 @@ def _select_k(d, ids, k):
     return np.concatenate(out_r), np.concatenate(out_c)
 
 
-def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048):
+def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048, fill=False):
     """mapInArrow body: exact integer dot products of index rows with a query block.
 
     ``block`` broadcasts (query ids, offsets, buckets, tfs, norms). Distances
@@ -126,7 +126,8 @@ def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048)
                 xn = sl.column("norm2").to_numpy(zero_copy_only=False).astype(np.float64)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = 2.0 - (2.0 * dot) / np.sqrt(xn[:, None] * qn_f[None, :])
-                d[dot <= 0] = np.inf
+                # no shared token: orthogonal (distance 2) when filling, else absent
+                d[dot <= 0] = 2.0 if fill else np.inf
                 if max_distance is not None:
                     d[d > max_distance] = np.inf
                 rr, cc = _select_k(d.T, ids, k)               # per query
@@ -145,12 +146,15 @@ SPARSE_BLOCK_ROWS = 8192       # dense query block: 8192 x 1024 doubles = 64 MiB
 def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
                       max_distance: float | None = None, query_id: str = "query_id",
                       entry_id: str = "entry_id", dim: int = 1024,
-                      block_rows: int = SPARSE_BLOCK_ROWS) -> DataFrame:
+                      block_rows: int = SPARSE_BLOCK_ROWS, fill: bool = False) -> DataFrame:
     """Exact sparse kNN as a scan: each index partition multiplies its rows with
     a broadcast block of query vectors and keeps k candidates per query.
 
     Nothing but k rows per (query, task) crosses the shuffle, and a very common
     token costs no more than a rare one (no posting-list join, no hot key).
+    ``fill=True`` returns k rows whenever the index has k entries: entries
+    sharing no token (or having none) rank after all hits at distance 2.0,
+    smallest ids first.
     """
     import numpy as np
 
@@ -168,7 +172,7 @@ def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
                    bl.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
                    tbl.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64),
                    tbl.column("norm2").to_numpy().astype(np.int64))
-        fn = _sparse_partial_topk(sc.broadcast(payload), k, max_distance, dim, entry_id)
+        fn = _sparse_partial_topk(sc.broadcast(payload), k, max_distance, dim, entry_id, fill=fill)
         parts.append(index.select(F.col(entry_id).cast("long").alias(entry_id), "buckets", "tfs", "norm2")
                      .mapInArrow(fn, f"query_id long, {entry_id} long, distance double"))
     if not parts:
@@ -193,7 +197,7 @@ def sparse_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
     """
     if method == "matrix":
         return sparse_knn_matrix(queries, index, k, max_distance, query_id, entry_id,
-                                 **{x: v for x, v in kw.items() if x in ("dim", "block_rows")})
+                                 **{x: v for x, v in kw.items() if x in ("dim", "block_rows", "fill")})
     if method != "join":
         raise ValueError(f"method must be 'matrix' or 'join', not {method!r}")
     cands = sparse_candidates(queries, index, query_id, entry_id, **kw)

@@ -45,6 +45,13 @@ def knn_sparse(spark, sf_dir):
     return knn.sparse_knn(_bench_queries(spark, sf_dir), _line_index(spark, sf_dir), k=knn.DEFAULT_K)
 
 
+@query("knn_fill")
+def knn_fill(spark, sf_dir):
+    """Snippets against page URLs, always k rows: entries sharing no token fill in at distance 2."""
+    pages = T.read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("entry_id"), "url")
+    return knn.sparse_knn(_bench_queries(spark, sf_dir), embed(pages, "url"), k=knn.DEFAULT_K, fill=True)
+
+
 @query("knn_threshold")
 def knn_threshold(spark, sf_dir):
     return knn.sparse_knn(_bench_queries(spark, sf_dir), _line_index(spark, sf_dir), k=knn.DEFAULT_K,

@@ -504,3 +504,12 @@ FROM files WHERE k % 11 = 0 OR k % 13 = 0"""
 # --- streaming (J-3, J-4): same final tables as the batch jobs --------------------
 SQL["stream_index_insert"] = SQL["index_insert_new"]
 SQL["stream_index_upsert"] = SQL["index_upsert"]
+
+SQL["knn_fill"] = with_(postings_cte("dpost", "pages", "page_id", "url"),
+                       postings_cte("qpost", "benchmark", "item_id", "text"), sparse_pairs_cte("qpost", "dpost"), """
+allpairs AS (
+  SELECT b.item_id AS query_id, g.page_id AS entry_id, coalesce(p.distance, 2.0::DOUBLE) AS distance
+  FROM benchmark b CROSS JOIN pages g
+  LEFT JOIN pairs p ON p.query_id = b.item_id AND p.entry_id = g.page_id
+)""", topk_cte("allpairs", 5)) + """
+SELECT query_id, rank, entry_id, distance FROM topk"""
