@@ -13,6 +13,7 @@ vectors, ``2 - 2*dot/sqrt(n1*n2)``, does not depend on summation order.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +83,19 @@ def idf_weights(index: DataFrame, id_col: str = "entry_id") -> DataFrame:
     return (postings(index, id_col, keep=()).groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("df"))
             .select("bucket", F.log(F.lit(float(max(n_entries, 1))) / F.col("df")).alias("idf")))
+
+
+def dense_embedder(fn, dim: int):
+    """Wrap ``fn(list[str]) -> array-like (n, dim)`` as an Arrow-batched pandas UDF.
+
+    The pluggable slot for a dense text model (IX-9): the function runs once
+    per Arrow batch inside the tasks (load the model lazily inside ``fn``), and
+    the result is an ``array<float>`` column usable by ``dense_knn``.
+    """
+    @F.pandas_udf("array<float>")
+    def _embed(texts: pd.Series) -> pd.Series:
+        import numpy as np
+        out = np.asarray(fn(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
+        return pd.Series(list(out))
+
+    return _embed

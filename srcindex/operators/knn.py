@@ -92,7 +92,7 @@ def _select_k(d, ids, k):
     return np.concatenate(out_r), np.concatenate(out_c)
 
 
-def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048, fill=False):
+def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048, fill=False, idf=None):
     """mapInArrow body: exact integer dot products of index rows with a query block.
 
     ``block`` broadcasts (query ids, offsets, buckets, tfs, norms). Distances
@@ -106,6 +106,10 @@ def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048,
         q = np.zeros((len(qids), dim))
         rows = np.repeat(np.arange(len(qids)), np.diff(offs))
         np.add.at(q, (rows, qb), qt)
+        w = None if idf is None else idf.value
+        if w is not None:                      # tf-idf: weights and norms in float
+            q *= w[None, :]
+            qn = (q * q).sum(axis=1)
         qT = q.T.copy()
         qn_f = qn.astype(np.float64)
         for b in batches:
@@ -122,15 +126,20 @@ def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048,
                 tv = tl.flatten().to_numpy(zero_copy_only=False)
                 if bv.size:
                     x[r, bv] = tv
-                dot = x @ qT                                   # n x nq, exact integers
-                xn = sl.column("norm2").to_numpy(zero_copy_only=False).astype(np.float64)
+                if w is not None:
+                    x *= w[None, :]
+                    xn = (x * x).sum(axis=1)
+                else:
+                    xn = sl.column("norm2").to_numpy(zero_copy_only=False).astype(np.float64)
+                dot = x @ qT                                   # n x nq (exact integers for counts)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = 2.0 - (2.0 * dot) / np.sqrt(xn[:, None] * qn_f[None, :])
                 # no shared token: orthogonal (distance 2) when filling, else absent
                 d[dot <= 0] = 2.0 if fill else np.inf
                 if max_distance is not None:
                     d[d > max_distance] = np.inf
-                rr, cc = _select_k(d.T, ids, k)               # per query
+                dsel = d.T if w is None else np.round(d.T, 9)  # float weights: rank on 9 places
+                rr, cc = _select_k(dsel, ids, k)               # per query
                 if rr.size == 0:
                     continue
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +155,8 @@ SPARSE_BLOCK_ROWS = 8192       # dense query block: 8192 x 1024 doubles = 64 MiB
 def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
                       max_distance: float | None = None, query_id: str = "query_id",
                       entry_id: str = "entry_id", dim: int = 1024,
-                      block_rows: int = SPARSE_BLOCK_ROWS, fill: bool = False) -> DataFrame:
+                      block_rows: int = SPARSE_BLOCK_ROWS, fill: bool = False,
+                      weighting: str = "count") -> DataFrame:
     """Exact sparse kNN as a scan: each index partition multiplies its rows with
     a broadcast block of query vectors and keeps k candidates per query.
 
@@ -154,11 +164,22 @@ def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
     token costs no more than a rare one (no posting-list join, no hot key).
     ``fill=True`` returns k rows whenever the index has k entries: entries
     sharing no token (or having none) rank after all hits at distance 2.0,
-    smallest ids first.
+    smallest ids first. ``weighting="tfidf"`` scales every bucket by
+    ``ln(N / df)`` over the index (a table of at most ``dim`` rows, collected
+    and broadcast), so tokens common to all entries stop dominating.
     """
     import numpy as np
 
     sc = queries.sparkSession.sparkContext
+    idf_b = None
+    if weighting == "tfidf":
+        from srcindex.functions.embed import idf_weights
+        w = np.zeros(dim)
+        for r in idf_weights(index.select(F.col(entry_id).alias("entry_id"), "buckets", "tfs")).collect():
+            w[r["bucket"]] = r["idf"]
+        idf_b = sc.broadcast(w)
+    elif weighting != "count":
+        raise ValueError(f"weighting must be 'count' or 'tfidf', not {weighting!r}")
     n_q = queries.count()
     n_blocks = max(1, -(-n_q // block_rows))
     parts = []
@@ -172,7 +193,7 @@ def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
                    bl.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
                    tbl.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64),
                    tbl.column("norm2").to_numpy().astype(np.int64))
-        fn = _sparse_partial_topk(sc.broadcast(payload), k, max_distance, dim, entry_id, fill=fill)
+        fn = _sparse_partial_topk(sc.broadcast(payload), k, max_distance, dim, entry_id, fill=fill, idf=idf_b)
         parts.append(index.select(F.col(entry_id).cast("long").alias(entry_id), "buckets", "tfs", "norm2")
                      .mapInArrow(fn, f"query_id long, {entry_id} long, distance double"))
     if not parts:
@@ -180,7 +201,10 @@ def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
-    out = top_k(cands, k, "query_id", entry_id)
+    if weighting == "tfidf":   # float weights: rank on 9 places, then id
+        out = top_k(cands.withColumn("_rd", F.round("distance", 9)), k, "query_id", entry_id, order="_rd")
+    else:
+        out = top_k(cands, k, "query_id", entry_id)
     return out.select(F.col("query_id").alias(query_id), "rank", entry_id, "distance")
 
 
@@ -197,7 +221,7 @@ def sparse_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
     """
     if method == "matrix":
         return sparse_knn_matrix(queries, index, k, max_distance, query_id, entry_id,
-                                 **{x: v for x, v in kw.items() if x in ("dim", "block_rows", "fill")})
+                                 **{x: v for x, v in kw.items() if x in ("dim", "block_rows", "fill", "weighting")})
     if method != "join":
         raise ValueError(f"method must be 'matrix' or 'join', not {method!r}")
     cands = sparse_candidates(queries, index, query_id, entry_id, **kw)

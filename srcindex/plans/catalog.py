@@ -52,6 +52,14 @@ def knn_fill(spark, sf_dir):
     return knn.sparse_knn(_bench_queries(spark, sf_dir), embed(pages, "url"), k=knn.DEFAULT_K, fill=True)
 
 
+@query("knn_tfidf")
+def knn_tfidf(spark, sf_dir):
+    """Top-k with tf-idf weights over the line index; distances rounded to 6 places."""
+    r = knn.sparse_knn(_bench_queries(spark, sf_dir), _line_index(spark, sf_dir), k=knn.DEFAULT_K,
+                       weighting="tfidf")
+    return r.select("query_id", "rank", "entry_id", F.round("distance", 6).alias("distance"))
+
+
 @query("knn_threshold")
 def knn_threshold(spark, sf_dir):
     return knn.sparse_knn(_bench_queries(spark, sf_dir), _line_index(spark, sf_dir), k=knn.DEFAULT_K,

@@ -513,3 +513,26 @@ allpairs AS (
   LEFT JOIN pairs p ON p.query_id = b.item_id AND p.entry_id = g.page_id
 )""", topk_cte("allpairs", 5)) + """
 SELECT query_id, rank, entry_id, distance FROM topk"""
+
+SQL["knn_tfidf"] = with_(CORPUS, postings_cte("dpost", "corpus", "entry_id", "txt"),
+                        postings_cte("qpost", "benchmark", "item_id", "text"), """
+idf AS (
+  SELECT bucket, ln((SELECT count(*) FROM corpus)::DOUBLE / count(*)) AS w FROM dpost GROUP BY bucket
+),
+dw AS (SELECT d.id, d.bucket, d.tf * i.w AS v FROM dpost d JOIN idf i USING (bucket)),
+qw AS (SELECT q.id, q.bucket, q.tf * i.w AS v FROM qpost q JOIN idf i USING (bucket)),
+dn AS (SELECT id, sum(v * v) AS n FROM dw GROUP BY id),
+qn AS (SELECT id, sum(v * v) AS n FROM qw GROUP BY id),
+dots AS (SELECT q.id AS query_id, d.id AS entry_id, sum(q.v * d.v) AS dot
+         FROM qw q JOIN dw d USING (bucket) GROUP BY ALL),
+pairs AS (
+  SELECT p.query_id, p.entry_id, 2.0::DOUBLE - (2.0::DOUBLE * p.dot) / sqrt(a.n * b.n) AS distance
+  FROM dots p JOIN qn a ON a.id = p.query_id JOIN dn b ON b.id = p.entry_id
+  WHERE p.dot > 0
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), entry_id) AS INTEGER)
+           AS rank, entry_id, distance
+  FROM pairs QUALIFY rank <= 5
+)""") + """
+SELECT query_id, rank, entry_id, round(distance, 6) AS distance FROM ranked"""

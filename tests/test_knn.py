@@ -101,3 +101,33 @@ def test_where_dict(spark):
     assert ids({"$or": [{"t": "a"}, {"n": {"$gt": 6}}]}) == [1, 3]
     assert ids({"$and": [{"t": {"$in": ["a", "b"]}}, {"n": {"$ne": 3}}]}) == [2]
     assert ids({"t": {"$nin": ["a"]}, "n": {"$lt": 7}}) == [2]
+
+
+def test_dense_embedder_hook_feeds_dense_knn(spark):
+    from srcindex.functions.embed import dense_embedder
+
+    def toy_model(texts):
+        out = np.zeros((len(texts), 4))
+        for i, t in enumerate(texts):
+            out[i, len(t) % 4] = 1.0
+        return out
+
+    emb = dense_embedder(toy_model, 4)
+    df = spark.createDataFrame([(i, "x" * i) for i in range(12)], "vec_id long, text string")
+    vec = df.select("vec_id", emb("text").alias("embedding"))
+    q = vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    idx = vec.select(F.col("vec_id").alias("entry_id"), "embedding")
+    got = knn.dense_knn(q, idx, k=3).where("query_id = 1").orderBy("rank").collect()
+    assert [r.entry_id for r in got] == [1, 5, 9] and all(r.distance == 0.0 for r in got)
+
+
+def test_tfidf_downweights_common_tokens(spark):
+    docs = [(0, "alpha alpha beta"), (1, "alpha gamma"), (2, "alpha delta"), (3, "alpha beta")]
+    idx = embed(spark.createDataFrame(docs, "entry_id long, txt string"), "txt")
+    q = embed(spark.createDataFrame([(0, "alpha beta")], "query_id long, code string"), "code")
+    plain = [r.entry_id for r in knn.sparse_knn(q, idx, k=4).orderBy("rank").collect()]
+    tfidf = knn.sparse_knn(q, idx, k=4, weighting="tfidf").orderBy("rank").collect()
+    assert plain[0] == 3
+    # alpha is in every entry: idf 0, so only beta-bearing entries remain hits;
+    # both reduce to the beta direction (distance 0) and the id breaks the tie
+    assert [(r.entry_id, r.distance) for r in tfidf] == [(0, 0.0), (3, 0.0)]
