@@ -107,14 +107,21 @@ def imports_used(facts: DataFrame, imports: DataFrame) -> DataFrame:
 
     ``ref.startswith(alias)`` becomes an equi-join on (filepath, prefix): each
     distinct reference is expanded to its prefixes, so the join emits only
-    matches instead of every (reference, alias) pair of a file.
+    matches instead of every (reference, alias) pair of a file. Only prefix
+    lengths that some alias actually has are generated; that set is measured
+    first (at most the longest identifier, a few dozen integers).
     """
+    lengths = sorted(r[0] for r in imports.select(F.length("alias").alias("n")).distinct().collect()
+                     if r[0] is not None and r[0] > 0)
     refs = (facts.where(F.col("kind").isin("call", "attr") & (F.col("def_id") >= 0))
                  .select("filepath", "def_id", F.col("name").alias("ref")).distinct())
+    if not lengths:
+        return refs.sparkSession.createDataFrame([], "filepath string, def_id int, imports_used array<string>")
+    cand = F.array(*[F.lit(n) for n in lengths])
     prefixes = refs.select(
         "filepath", "def_id",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("ref")),
-                              lambda i: F.substring(F.col("ref"), 1, i))).alias("alias"))
+        F.explode(F.transform(F.filter(cand, lambda n: n <= F.length(F.col("ref"))),
+                              lambda n: F.substring(F.col("ref"), 1, n))).alias("alias"))
     return (prefixes.join(imports, ["filepath", "alias"])
                     .groupBy("filepath", "def_id")
                     .agg(F.sort_array(F.collect_set("full_name")).alias("imports_used")))
