@@ -102,3 +102,15 @@ def test_same_result_alone_or_in_corpus(spark, tables):
     a = {(r.seq, r.code) for r in CH.chunk_table(CH.parse_sources(alone)).collect()}
     b = {(r.seq, r.code) for r in CH.chunk_table(tables).where("filepath = 'pkg/top.py'").collect()}
     assert a == b
+
+
+def test_imports_used_prefix_rules(spark):
+    code = ("import os\nimport os.path as op\nimport json as j\nfrom json import dumps as j\n"
+            "def f():\n    osx.run()\n    op.join()\n    j()\n    x.os\n")
+    src = spark.createDataFrame([("m.py", code)], "filepath string, code string")
+    facts = CH.parse_sources(src)
+    imports = {r.alias: r.full_name for r in CH.file_imports(facts).collect()}
+    assert imports == {"os": "os", "op": "os.path", "j": "json.dumps"}   # from-import wins for `j`
+    (row,) = CH.chunk_table(facts).where("name = 'f'").collect()
+    # no word boundary: `osx.run` starts with alias `os`; `x.os` matches nothing
+    assert row.imports_used == ["json.dumps", "os", "os.path"]
