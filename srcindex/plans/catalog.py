@@ -451,3 +451,10 @@ def stream_index_upsert(spark, sf_dir):
     q = ST.stream_upsert(spark, f"{base}/drop", ch.schema, store, f"{base}/checkpoint", max_files=1)
     q.awaitTermination()
     return store.read().select("chunk_id", "document")
+
+
+@query("chunk_methods_class_slice")
+def chunk_methods_class_slice(spark, sf_dir):
+    """Class-tagged methods sliced as the reference does (class text, file line numbers)."""
+    c = _chunks(spark, sf_dir, method_slice="class")
+    return c.where(F.col("class_name").isNotNull()).select("filepath", "seq", "name", "code")

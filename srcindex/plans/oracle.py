@@ -536,3 +536,25 @@ ranked AS (
   FROM pairs QUALIFY rank <= 5
 )""") + """
 SELECT query_id, rank, entry_id, round(distance, 6) AS distance FROM ranked"""
+
+# Class-tagged methods sliced from the class text with file line numbers: the
+# class starts on line 4, so a method spanning file lines s..e reads file
+# lines s+3..e+3 cut at the class end; blank slices are dropped.
+_CLASS_LINES = f"string_split({_CLASS_CODE}, chr(10))"
+
+
+def _class_slice(start: str, end: str, margin: int) -> str:
+    return (f"array_to_string(list_transform(list_slice({_CLASS_LINES}, {start}, {end}), "
+            f"lambda l: substr(l, {margin + 1})), chr(10))")
+
+
+SQL["chunk_methods_class_slice"] = with_(MODS, f"""
+sliced AS (
+  SELECT filepath, CAST(3 AS BIGINT) AS seq, '__init__' AS name, {_class_slice('6', '7', 4)} AS code
+  FROM mods WHERE k % 7 <> 0
+  UNION ALL
+  SELECT filepath, CAST(4 AS BIGINT), 'label', {_class_slice('9', '11', 4)} FROM mods WHERE k % 7 <> 0
+  UNION ALL
+  SELECT filepath, CAST(5 AS BIGINT), 'scale', {_class_slice('12', '10 + 2 * m + e', 8)} FROM mods WHERE k % 7 <> 0
+)""") + """
+SELECT filepath, seq, name, code FROM sliced WHERE length(code) > 0"""
