@@ -135,16 +135,26 @@ def _params(args: ast.arguments, def_id):
             pos += 1
 
 
-def source_facts(code: str):
-    """Yield fact rows (see module doc) for one module's text."""
+def source_facts(code: str) -> list:
+    """Fact rows (see module doc) for one module's text.
+
+    All or nothing per module: a module that cannot be parsed or walked
+    (syntax error, NUL byte, nesting too deep for the walker) yields a single
+    ``error`` row instead of failing its task.
+    """
     try:
         tree = ast.parse(code)
     except SyntaxError as e:
-        yield _row("error", -1, value="syntax", detail=str(e)[:200])
-        return
+        return [_row("error", -1, value="syntax", detail=str(e)[:200])]
     except (RecursionError, MemoryError, ValueError) as e:
-        yield _row("error", -1, value=type(e).__name__, detail=str(e)[:200])
-        return
+        return [_row("error", -1, value=type(e).__name__, detail=str(e)[:200])]
+    try:
+        return list(_walk(tree, code))
+    except (RecursionError, MemoryError) as e:
+        return [_row("error", -1, value=type(e).__name__, detail=str(e)[:200])]
+
+
+def _walk(tree: ast.AST, code: str):
     lines = code.split("\n")
     n_imports = 0
     next_id = 0

@@ -138,3 +138,13 @@ def test_kinds_counter_on_sample():
     code = "import os\nclass K(Base):\n    def m(self):\n        return os.path.join(self.a)\n"
     c = Counter(r[0] for r in facts(code))
     assert c["def"] == 2 and c["import"] == 1 and c["base"] == 1
+
+
+def test_walker_failure_is_one_error_row(monkeypatch):
+    import srcindex.operators.pyfacts as P
+
+    def boom(node):
+        raise RecursionError("too deep")
+    monkeypatch.setattr(P, "dotted", boom)
+    rows = facts("def f():\n    a.b\n")
+    assert len(rows) == 1 and rows[0][0] == "error" and rows[0][5] == "RecursionError"
