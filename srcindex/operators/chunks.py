@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcindex.functions.text import is_blank, line_slice, pystrip, with_dedent
-from srcindex.session import stage
+from srcindex.session import ship_package, stage
 from srcindex.operators.pyfacts import PyFacts
 
 # Definitions the reference leaves out of the untagged walk.
@@ -44,6 +44,7 @@ PARAM_TYPE = "array<struct<name:string,type:string,default:string,kind:string>>"
 
 def parse_sources(sources: DataFrame) -> DataFrame:
     """(filepath, code) -> fact rows with ``filepath`` (see ``pyfacts``)."""
+    ship_package(sources.sparkSession)
     return sources.lateralJoin(PyFacts(F.col("code").outer())).drop("code")
 
 

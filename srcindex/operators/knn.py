@@ -170,6 +170,8 @@ def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
     """
     import numpy as np
 
+    from srcindex.session import ship_package
+    ship_package(queries.sparkSession)
     sc = queries.sparkSession.sparkContext
     idf_b = None
     if weighting == "tfidf":
@@ -280,6 +282,8 @@ def dense_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, max_dist
     """
     import numpy as np
 
+    from srcindex.session import ship_package
+    ship_package(queries.sparkSession)
     sc = queries.sparkSession.sparkContext
     n_q = queries.count()
     n_blocks = max(1, -(-n_q // block_rows))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from srcindex.functions.embed import embed, postings
 from srcindex.operators import knn, review
-from srcindex.session import stage
+from srcindex.session import ship_package, stage
 from srcindex.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(name: str):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = run.__qualname__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
@@ -169,7 +174,7 @@ def _fn_query(name, col):
     def q(spark, sf_dir):
         c = _chunks(spark, sf_dir).where("is_function")
         return c.select("filepath", "seq", col() if callable(col) else _txt(col))
-    QUERIES[name] = q
+    QUERIES[name] = lambda spark, sf_dir: (ship_package(spark), q(spark, sf_dir))[1]
 
 
 @query("chunk_definitions")

@@ -31,6 +31,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -93,3 +94,36 @@ def stage(df):
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``srcindex`` importable in every executor's Python workers.
+
+    UDTFs, Arrow kernels and the data source are pickled by reference to this
+    package; executors need it on their path whatever the driver's working
+    directory. The package's ``.py`` files are zipped once per application and
+    handed to ``SparkContext.addPyFile``, which serves them to the executors.
+    """
+    import zipfile
+
+    import srcindex
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(srcindex.__file__))
+    base = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="srcindex-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

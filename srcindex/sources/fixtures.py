@@ -70,6 +70,8 @@ def write_rendered_files(spark: SparkSession, sf_dir: str, root: str) -> None:
     ``def (``; some live under ``_private/`` or are named ``__init__.py``.
     Each task writes its own rows' files.
     """
+    from srcindex.session import ship_package
+    ship_package(spark)
     mods = rendered_modules(spark, sf_dir)
     rel, damage = rendered_file_layout(F.col("p_partkey"))
     rows = mods.select(rel.alias("rel"), damage.alias("damage"), "code")

@@ -80,6 +80,8 @@ class PySource(DataSource):
 
 def read_sources(spark: SparkSession, path: str, **options) -> DataFrame:
     """(filepath, relpath, size, content) for every ``.py`` file under ``path``."""
+    from srcindex.session import ship_package
+    ship_package(spark)
     spark.dataSource.register(PySource)
     reader = spark.read.format("pysource").option("path", path)
     for k, v in options.items():
