@@ -85,15 +85,22 @@ def spread(df, *keys: str, min_partitions: int | None = None):
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
-def stage(df):
-    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
-
-    Used where a costly intermediate (Python parsing, a kNN join) feeds more
-    than one branch; lost executors then re-read the files instead of
-    recomputing the whole lineage.
+def stage(df, label: str = "stage", how: str = "parquet"):
+    """Cut lineage where a costly intermediate feeds several branches.
+
+    ``how="parquet"`` (default) writes a table under the shared checkpoint
+    folder and reads it back: later branches read only the columns they use
+    and the planner sees real statistics. ``how="checkpoint"`` uses a
+    reliable RDD checkpoint in the same folder. Either way, lost executors
+    re-read files instead of recomputing the lineage.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if how == "checkpoint":
+        checkpoint_root(spark)
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, label)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 _SHIPPED: set[str] = set()
