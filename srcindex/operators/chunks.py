@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcindex.functions.text import is_blank, line_slice, pystrip, with_dedent
+from srcindex.functions.text import line_slice, pystrip, with_dedent
 from srcindex.session import ship_package, stage
 from srcindex.operators.pyfacts import PyFacts
 
@@ -196,7 +196,7 @@ def chunk_table(facts: DataFrame, method_slice: str = "file") -> DataFrame:
     if method_slice == "file":
         full = with_dedent(full.withColumn("_m", F.when(F.col("parent_id").isNotNull(), F.col("src"))),
                            "_m", "src_dedented").drop("_m")
-    full = stage(full)
+    full = stage(full, "definitions")
     fp = F.when(F.col("filepath") != "", F.col("filepath"))
     filename = F.when(fp.isNotNull(), F.element_at(F.split(fp, "/"), -1))
     filename = F.when(filename != "", filename)

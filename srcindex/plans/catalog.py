@@ -79,7 +79,7 @@ def _review_stage1(spark, sf_dir):
     index = _line_index(spark, sf_dir)
     q = embed(valid.select(F.col("request_id").alias("query_id"), "code"), "code")
     nb = knn.sparse_knn(q, index, k=knn.DEFAULT_K, max_distance=knn.DEFAULT_MAX_DISTANCE)
-    nb = stage(nb.withColumnRenamed("query_id", "request_id"))
+    nb = stage(nb.withColumnRenamed("query_id", "request_id"), "neighbours")
     docs = T.corpus_lines(spark, sf_dir).select("entry_id", F.col("txt").alias("document"))
     similar = review.similar_snippets(nb, docs, knn.DEFAULT_MAX_DISTANCE)
     return valid, rejects, similar
@@ -153,7 +153,7 @@ from srcindex.sources.fixtures import rendered_modules  # noqa: E402
 
 def _facts(spark, sf_dir):
     """Fact rows of the rendered corpus, staged once (the Python walk runs once)."""
-    return stage(CH.parse_sources(rendered_modules(spark, sf_dir).select("filepath", "code")))
+    return stage(CH.parse_sources(rendered_modules(spark, sf_dir).select("filepath", "code")), "facts")
 
 
 def _chunks(spark, sf_dir, method_slice="file"):
@@ -256,7 +256,7 @@ def _entries(spark, sf_dir, vectors=False):
 def _updates(spark, sf_dir):
     """index_updates: chunks of modules with k % 10 = 0 re-rendered with brand 'changed'."""
     mods = rendered_modules(spark, sf_dir, brand_override="changed").where(F.col("p_partkey") % 10 == 0)
-    facts = stage(CH.parse_sources(mods.select("filepath", "code")))
+    facts = stage(CH.parse_sources(mods.select("filepath", "code")), "facts")
     return PR.prepare_entries(CH.chunk_table(facts), with_vectors=True)
 
 
@@ -447,7 +447,7 @@ def stream_index_upsert(spark, sf_dir):
     base = scratch_path(spark, "stream-upsert")
     store = _built_store(spark, sf_dir)
     mods = rendered_modules(spark, sf_dir, brand_override="changed").where(F.col("p_partkey") % 10 == 0)
-    ch = CH.chunk_table(stage(CH.parse_sources(mods.select("filepath", "code"))))
+    ch = CH.chunk_table(stage(CH.parse_sources(mods.select("filepath", "code")), "facts"))
     k = _part_key()
     for i in range(2):
         # a module's chunks share one file, hence one micro-batch

@@ -20,7 +20,7 @@ def index_corpus(sources: DataFrame, store: IndexStore, method_slice: str = "fil
     The parse runs once (staged); an empty corpus writes nothing.
     Returns counts of chunks, parse errors and entries stored afterwards.
     """
-    facts = stage(CH.parse_sources(sources))
+    facts = stage(CH.parse_sources(sources), "facts")
     if facts.where(F.col("kind") == "def").isEmpty():
         return {"written": False, "errors": facts.where(F.col("kind") == "error").count()}
     entries = prepare_entries(CH.chunk_table(facts, method_slice=method_slice), dim=dim)
@@ -39,6 +39,6 @@ def review_prompts(requests: DataFrame, index: DataFrame, documents: DataFrame,
     valid, rejects = review.split_requests(requests)
     q = embed(valid.select(F.col("request_id").alias("query_id"), "code"), "code", dim)
     nb = knn.sparse_knn(q, index, k=k, max_distance=max_distance)
-    nb = stage(nb.withColumnRenamed("query_id", "request_id"))
+    nb = stage(nb.withColumnRenamed("query_id", "request_id"), "neighbours")
     similar = review.similar_snippets(nb, documents, max_distance)
     return review.prompt_table(valid, similar), rejects
