@@ -71,25 +71,31 @@ def sparse_candidates(queries: DataFrame, index: DataFrame, query_id: str = "que
 
 
 def _select_k(d, ids, k):
-    """Column indices of the k smallest (distance, id) per row of ``d`` (inf = absent)."""
+    """(row, col) indices of the k smallest (distance, id) per row of ``d`` (inf = absent).
+
+    Vectorized: every row keeps the entries not larger than its k-th smallest
+    distance; only rows with a tie at that distance (more than k such entries)
+    are ordered by id in Python.
+    """
     import numpy as np
-    kk = min(k, d.shape[1])
-    if kk < d.shape[1]:
-        # candidates: everything not larger than the k-th smallest distance (keeps ties)
+    n_rows, n_cols = d.shape
+    if n_rows == 0 or n_cols == 0:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    kk = min(k, n_cols)
+    if kk < n_cols:
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-        mask = d <= kth
+        mask = (d <= kth) & np.isfinite(d)
     else:
-        mask = np.ones(d.shape, dtype=bool)
-    out_r, out_c = [], []
-    for r in range(d.shape[0]):
-        cols = np.flatnonzero(mask[r] & np.isfinite(d[r]))
-        if cols.size > kk:
-            cols = cols[np.lexsort((ids[cols], d[r, cols]))[:kk]]
-        out_r.append(np.full(cols.size, r))
-        out_c.append(cols)
-    if not out_r:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return np.concatenate(out_r), np.concatenate(out_c)
+        mask = np.isfinite(d)
+    counts = mask.sum(axis=1)
+    rr, cc = np.nonzero(mask & (counts <= kk)[:, None])
+    extra_r, extra_c = [rr], [cc]
+    for r in np.flatnonzero(counts > kk):
+        cols = np.flatnonzero(mask[r])
+        cols = cols[np.lexsort((ids[cols], d[r, cols]))[:kk]]
+        extra_r.append(np.full(cols.size, r))
+        extra_c.append(cols)
+    return np.concatenate(extra_r), np.concatenate(extra_c)
 
 
 def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048, fill=False, idf=None):
