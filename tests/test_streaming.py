@@ -34,3 +34,19 @@ def test_stream_equals_batch(spark, chunks, tmp_path, n_files):
     # running again from the same checkpoint processes nothing new
     stream_insert(spark, f"{base}/drop", chunks.schema, store, f"{base}/ckpt", max_files=1).awaitTermination()
     assert sorted((r.chunk_id, r.document) for r in store.read().collect()) == got
+
+
+def test_stream_upsert_later_batches_win(spark, chunks, tmp_path):
+    from srcindex.streaming.index_stream import stream_upsert
+    base = str(tmp_path / "ups")
+    store = IndexStore(spark, f"{base}/idx")
+    store.insert(prepare_entries(chunks))
+    changed = spark.createDataFrame([(p, c.replace("pass", "return 0")) for p, c in MODS[:3]],
+                                    "filepath string, code string")
+    upd = CH.chunk_table(CH.parse_sources(changed))
+    upd.repartition(1, "filepath").write.parquet(f"{base}/drop/g=0")
+    stream_upsert(spark, f"{base}/drop", upd.schema, store, f"{base}/ckpt", max_files=1).awaitTermination()
+    docs = {r.chunk_id: r.document for r in store.read().collect()}
+    assert docs["m0.py:5:g0"] == "def g0():\n    return 0"
+    assert docs["m5.py:5:g5"] == "def g5():\n    pass"
+    assert len(docs) == store.count()
