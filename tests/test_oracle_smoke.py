@@ -7,7 +7,8 @@ import pytest
 from tests.conftest import SF0001
 
 FAST = ["knn_sparse", "knn_threshold", "prompt_style", "review_rejects", "job_review_prompts",
-        "model_requests", "review_assemble", "knn_dense", "long_chunk_id", "fn_calls", "file_imports"]
+        "model_requests", "review_assemble", "knn_dense", "long_chunk_id", "fn_calls", "file_imports",
+        "knn_fill", "knn_tfidf", "chunk_methods_class_slice", "index_stats"]
 
 
 def _names():
