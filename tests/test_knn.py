@@ -131,3 +131,18 @@ def test_tfidf_downweights_common_tokens(spark):
     # alpha is in every entry: idf 0, so only beta-bearing entries remain hits;
     # both reduce to the beta direction (distance 0) and the id breaks the tie
     assert [(r.entry_id, r.distance) for r in tfidf] == [(0, 0.0), (3, 0.0)]
+
+
+def test_matrix_and_join_methods_agree_across_partitions(spark):
+    rnd = random.Random(11)
+    vocab = WORDS + ["x%d" % i for i in range(40)]
+    docs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 12)))) for i in range(300)]
+    qs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 6)))) for i in range(25)]
+    q = embed(spark.createDataFrame(qs, "query_id long, code string"), "code")
+    results = []
+    for parts in (1, 5):
+        idx = embed(spark.createDataFrame(docs, "entry_id long, txt string").repartition(parts), "txt")
+        for method in ("matrix", "join"):
+            rows = knn.sparse_knn(q, idx, k=4, max_distance=1.2, method=method).collect()
+            results.append(sorted((r.query_id, r.rank, r.entry_id, r.distance) for r in rows))
+    assert all(r == results[0] for r in results[1:]) and results[0]
