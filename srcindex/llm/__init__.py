@@ -9,5 +9,6 @@ from srcindex.llm import (  # noqa: F401
     bpe,
     exact_dedup,
     line_dedup,
+    mixing,
 )
 from srcindex.llm.common import QUERIES, SQL  # noqa: F401
