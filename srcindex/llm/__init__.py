@@ -10,5 +10,6 @@ from srcindex.llm import (  # noqa: F401
     exact_dedup,
     line_dedup,
     mixing,
+    toxicity,
 )
 from srcindex.llm.common import QUERIES, SQL  # noqa: F401
