@@ -10,6 +10,7 @@ from srcindex.llm import (  # noqa: F401
     exact_dedup,
     line_dedup,
     mixing,
+    near_dedup,
     toxicity,
 )
 from srcindex.llm.common import QUERIES, SQL  # noqa: F401
