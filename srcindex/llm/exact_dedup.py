@@ -26,10 +26,10 @@ HEAVY, COUNTERS = 1000, 10_000
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, code points of the text, SHA-256 of the text without white space, a row number."""
+    """doc_id, code points of the text, SHA-256 of the text without white space, a hash of the text as it is, a row number."""
     bare = F.translate(text_of(), BLANKS, "")
     return docs.select("doc_id", F.char_length(text_of()).alias("n_points"), F.unhex(F.sha2(bare, 256)).alias("digest"),
-                       F.monotonically_increasing_id().alias("row_no"))
+                       F.xxhash64(text_of()).alias("text_key"), F.monotonically_increasing_id().alias("row_no"))
 
 
 def _winner():
@@ -47,21 +47,39 @@ def frequent_digests(d: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, digest (binary), row_no."""
+    """One row per input row: doc_id, keep_id, group_size, kept, digest (binary), text_key."""
     d = stage(digests(docs), "digests")
     heavy = stage(frequent_digests(d), "frequent")
     big = (d.join(F.broadcast(heavy), "digest")
            .select("doc_id", F.col("w.c").alias("keep_id"), "group_size",
-                   (F.col("row_no") == F.col("w.d")).alias("kept"), "digest", "row_no"))
+                   (F.col("row_no") == F.col("w.d")).alias("kept"), "digest", "text_key"))
     group = Window.partitionBy("digest")
     first = group.orderBy(F.col("n_points").desc(), F.col("doc_id").asc_nulls_last(), "row_no")
     rest = (d.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
             .select("doc_id", F.first("doc_id").over(first).alias("keep_id"),
                     F.count(F.lit(1)).over(group).alias("group_size"),
-                    (F.row_number().over(first) == 1).alias("kept"), "digest", "row_no"))
+                    (F.row_number().over(first) == 1).alias("kept"), "digest", "text_key"))
     return big.unionByName(rest)
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (nulls equal) are in ``kept``; the text goes through one shuffle."""
+    k = kept.select(*(F.col(c).alias(f"k_{c}") for c in keys)).distinct()
+    on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in keys]
+    return docs.join(k, on, "left_semi")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that exact deduplication drops; all columns stay."""
+    found = stage(exact_dedup(docs), "exact")
+    keyed = docs.withColumn("text_key", F.xxhash64(text_of()))
+    left = keep_rows(keyed, found.where("kept"), "doc_id", "text_key")
+    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
+    if not repeated.isEmpty():  # the same doc_id and text twice: the pair can't tell the rows apart
+        left = left.dropDuplicates(["doc_id", "text_key"])
+    return left.select(*docs.columns)
+
+
 @query("op10_exact_dedup", sql=r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

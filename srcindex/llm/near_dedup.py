@@ -17,8 +17,9 @@ r"""Near-duplicate classes from bottom-k sketches of one hash function.
 
 Defined results: a null or empty text, or one without words, has no shingles and
 is a component of its own; repeated rows fall into one class and have the same
-component; component ids are smallest doc_ids, null ones last; texts are used
-whole; only doc_id and text are read; an empty table gives no rows.
+component; component ids are smallest doc_ids, null only where all are null (those
+rows all stay); texts are used whole; only doc_id and text are read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -166,7 +167,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: in
     return (rows.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def _sets_of(source: DataFrame, width: int) -> DataFrame:
