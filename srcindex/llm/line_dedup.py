@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcindex.llm.common import BLANKS, query, table, text_of
+from srcindex.session import stage
 
 
 def _identity():
@@ -43,7 +44,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_points: int = 1, keep_
     A key found in at least ``min_docs`` documents loses all its lines; with
     ``keep_first`` its first line, by doc_id and position, stays.
     """
-    rows = line_keys(docs, min_points)
+    rows = stage(line_keys(docs, min_points), "line-keys")  # hashes and places only; read by the range sampling and twice more
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (rows.repartitionByRange(parts, "h", "doc_id", "text_key")
               .sortWithinPartitions("h", "doc_id", "text_key", "pos"))
