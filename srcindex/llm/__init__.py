@@ -11,6 +11,7 @@ from srcindex.llm import (  # noqa: F401
     line_dedup,
     mixing,
     near_dedup,
+    pii,
     secrets,
     toxicity,
 )
