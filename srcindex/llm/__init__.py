@@ -13,6 +13,7 @@ from srcindex.llm import (  # noqa: F401
     near_dedup,
     pii,
     secrets,
+    suffix_dedup,
     toxicity,
 )
 from srcindex.llm.common import QUERIES, SQL  # noqa: F401
