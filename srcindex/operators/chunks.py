@@ -1,28 +1,21 @@
-"""Definition chunking and analysis (2.B) as DataFrame work over fact rows.
+"""Definition chunking and analysis (2.B).
 
-``parse_sources`` runs the AST walk once per module (a lateral Python table
-function) and the result is staged, because every relation below reads it:
-
-* ``defs``      one row per definition (kind = def)
-* ``def_facts`` one aggregate per definition: sorted distinct calls /
-                attributes / raises, ordered decorators, parameters, bases,
-                decorator flags, return annotation, branch count
-* ``file_imports`` alias -> full name per file (from-imports win, last wins)
-* ``imports_used`` exact prefix match of references against aliases, as an
-                equi-join on every prefix of a reference (no pair blow-up)
-* tagged method chunks: methods joined to their class (equi self-join)
-
-The untagged and tagged chunk rows are unioned into one chunk table.
+``parse_sources`` reads each module once, in Arrow batches, and emits one row per
+definition with nested arrays, its class context and the imports it uses; nothing
+has to be regrouped or joined afterwards. ``definitions`` and ``chunk_table`` are
+projections over those rows: the untagged chunks and the class-tagged method
+chunks are unioned into one chunk table.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcindex.functions.text import line_slice, pystrip, with_dedent
+from srcindex.functions.text import pystrip, with_dedent
+from srcindex.operators.pyfacts import ROW_SCHEMA, arrow_schema, parsed_rows
 from srcindex.session import ship_package, stage
-from srcindex.operators.pyfacts import PyFacts
 
 # Definitions the reference leaves out of the untagged walk.
 SKIPPED_CLASS = "Migration"
@@ -39,139 +32,67 @@ CHUNK_COLUMNS = [
     "overrides_method", "complexity_score", "base_classes", "methods", "is_abstract",
 ]
 
-PARAM_TYPE = "array<struct<name:string,type:string,default:string,kind:string>>"
-
 
 def parse_sources(sources: DataFrame) -> DataFrame:
-    """(filepath, code) -> fact rows with ``filepath`` (see ``pyfacts``)."""
+    """(code, other columns) -> one row per definition, import name or unreadable module.
+
+    Every module is read on its own, so modules need no key: paths may be null or
+    occur more than once. The other columns come with every row; a null text has none.
+    """
     ship_package(sources.sparkSession)
-    return sources.lateralJoin(PyFacts(F.col("code").outer())).drop("code")
+    kept = [c for c in sources.columns if c != "code"]
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in sources.dtypes if c != "code"), ROW_SCHEMA])
 
+    def run(batches):
+        shape = arrow_schema()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                rows, source = [], []
+                for i, code in enumerate(part.column("code").to_pylist()):
+                    found = parsed_rows(code) if code is not None else []
+                    rows += found
+                    source += [i] * len(found)
+                parsed = pa.RecordBatch.from_pylist(rows, schema=shape)
+                at = pa.array(source, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in kept), *parsed.columns], names=[*kept, *shape.names])
 
-def source_errors(facts: DataFrame) -> DataFrame:
-    return facts.where(F.col("kind") == "error").select("filepath", F.col("value").alias("reason"))
+    return sources.select(*kept, "code").mapInArrow(run, schema)
 
 
-def defs(facts: DataFrame) -> DataFrame:
-    return facts.where(F.col("kind") == "def").select(
-        "filepath", "def_id", "parent_id", F.col("value").alias("type"), "name",
-        "start_line", "end_line", "docstring", "src")
-
-
-def _distinct_sorted(kind: str) -> Column:
-    return F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("name"))))
-
-
-def _bare_decorator(name: str) -> Column:
-    return F.coalesce(F.bool_or((F.col("kind") == "decorator") & (F.col("tag") == "bare")
-                                & (F.col("name") == name)), F.lit(False))
-
-
-def def_facts(facts: DataFrame) -> DataFrame:
-    """One row per definition with every aggregate of its facts."""
-    f = facts.where((F.col("kind") != "def") & (F.col("def_id") >= 0))
-    params = F.array_sort(F.collect_list(F.when(
-        F.col("kind") == "param",
-        F.struct(F.col("ord").alias("o"), F.col("name").alias("name"), F.col("value").alias("type"),
-                 F.col("detail").alias("default"), F.col("tag").alias("kind")))))
-    return f.groupBy("filepath", "def_id").agg(
-        _distinct_sorted("call").alias("calls"),
-        _distinct_sorted("attr").alias("attrs"),
-        _distinct_sorted("raise").alias("raises"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "decorator",
-                                                        F.struct(F.col("ord").alias("o"), F.col("name").alias("n"))))),
-                    lambda x: x["n"]).alias("decorators"),
-        F.transform(params, lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"),
-                                               p["default"].alias("default"), p["kind"].alias("kind"))
-                    ).alias("parameters"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "base",
-                                                        F.struct(F.col("ord").alias("o"), F.col("name").alias("n"))))),
-                    lambda x: x["n"]).alias("bases"),
-        _bare_decorator("staticmethod").alias("is_static"),
-        _bare_decorator("classmethod").alias("is_classmethod"),
-        _bare_decorator("property").alias("is_property"),
-        F.max(F.when(F.col("kind") == "returns", F.col("value"))).alias("return_annotation"),
-        F.sum(F.when(F.col("kind") == "branch", F.col("ord"))).alias("branches"),
-    )
+def source_errors(facts: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` (filepath) and reason of the modules that cannot be read."""
+    return facts.where(F.col("kind") == "error").select(*(columns or ("filepath",)), F.col("value").alias("reason"))
 
 
 def file_imports(facts: DataFrame) -> DataFrame:
     """(filepath, alias, full_name): a from-import beats a plain import, then the last one."""
-    imp = facts.where(F.col("kind") == "import")
-    priority = F.struct((F.col("tag") == "from").cast("int").alias("p"), F.col("ord").alias("o"))
-    return (imp.groupBy("filepath", F.col("name").alias("alias"))
-               .agg(F.max_by("value", priority).alias("full_name")))
-
-
-def imports_used(facts: DataFrame, imports: DataFrame) -> DataFrame:
-    """(filepath, def_id, imports_used): full names whose alias prefixes a call or attribute.
-
-    ``ref.startswith(alias)`` becomes an equi-join on (filepath, prefix): each
-    distinct reference is expanded to its prefixes, so the join emits only
-    matches instead of every (reference, alias) pair of a file. Only prefix
-    lengths that some alias actually has are generated; that set is measured
-    first (at most the longest identifier, a few dozen integers).
-    """
-    lengths = sorted(r[0] for r in imports.select(F.length("alias").alias("n")).distinct().collect()
-                     if r[0] is not None and r[0] > 0)
-    refs = (facts.where(F.col("kind").isin("call", "attr") & (F.col("def_id") >= 0))
-                 .select("filepath", "def_id", F.col("name").alias("ref")).distinct())
-    if not lengths:
-        return refs.sparkSession.createDataFrame([], "filepath string, def_id int, imports_used array<string>")
-    cand = F.array(*[F.lit(n) for n in lengths])
-    prefixes = refs.select(
-        "filepath", "def_id",
-        F.explode(F.transform(F.filter(cand, lambda n: n <= F.length(F.col("ref"))),
-                              lambda n: F.substring(F.col("ref"), 1, n))).alias("alias"))
-    return (prefixes.join(imports, ["filepath", "alias"])
-                    .groupBy("filepath", "def_id")
-                    .agg(F.sort_array(F.collect_set("full_name")).alias("imports_used")))
-
-
-def class_methods(d: DataFrame) -> DataFrame:
-    """(filepath, def_id = class, methods): direct function children in body order."""
-    return (d.where(F.col("parent_id").isNotNull())
-             .groupBy("filepath", F.col("parent_id").alias("def_id"))
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("def_id", "name"))),
-                              lambda x: x["name"]).alias("methods")))
+    return facts.where(F.col("kind") == "import").select("filepath", F.col("name").alias("alias"), F.col("value").alias("full_name"))
 
 
 def definitions(facts: DataFrame) -> DataFrame:
-    """Every definition with all analysis columns (before chunk selection)."""
-    d = defs(facts)
-    agg = def_facts(facts)
-    used = imports_used(facts, file_imports(facts))
-    full = (d.join(agg, ["filepath", "def_id"], "left")
-             .join(used, ["filepath", "def_id"], "left")
-             .join(class_methods(d), ["filepath", "def_id"], "left"))
+    """Every definition with all analysis columns (before chunk selection); a projection."""
     is_fn = F.col("type").isin(*FUNCTION_TYPES)
     is_cls = F.col("type") == "ClassDef"
-    empty = F.array().cast("array<string>")
-
-    def fn_only(c: Column, default: Column | None = None) -> Column:
-        return F.when(is_fn, F.coalesce(c, default) if default is not None else c)
-
-    bases = F.coalesce(F.col("bases"), empty)
-    return full.select(
+    return facts.where(F.col("kind") == "def").select(
         "filepath", "def_id", "parent_id", "type", "name", "start_line", "end_line", "docstring", "src",
         F.when(is_fn, F.col("name")).alias("method_name"),
         (F.col("type") == "AsyncFunctionDef").alias("is_async"),
         is_fn.alias("is_function"),
-        F.coalesce("is_static", F.lit(False)).alias("is_static"),
-        F.coalesce("is_classmethod", F.lit(False)).alias("is_classmethod"),
-        F.coalesce("is_property", F.lit(False)).alias("is_property"),
-        fn_only(F.col("decorators"), empty).alias("decorators"),
-        fn_only(F.col("parameters"), F.array().cast(PARAM_TYPE)).alias("parameters"),
-        fn_only(F.col("return_annotation")).alias("return_annotation"),
-        fn_only(F.col("calls"), empty).alias("calls_functions"),
-        fn_only(F.col("attrs"), empty).alias("accesses_attributes"),
-        fn_only(F.col("imports_used"), empty).alias("imports_used"),
-        fn_only(F.col("raises"), empty).alias("raises_exceptions"),
-        fn_only(F.lit(1) + F.coalesce(F.col("branches"), F.lit(0))).cast("int").alias("complexity_score"),
-        F.when(is_cls, bases).alias("base_classes"),
-        F.when(is_cls, F.coalesce(F.col("methods"), empty)).alias("methods"),
-        F.when(is_cls, F.exists(bases, lambda b: F.contains(b, F.lit("ABC"))
+        "is_static", "is_classmethod", "is_property",
+        F.when(is_fn, F.col("decorators")).alias("decorators"),
+        "parameters",
+        F.col("returns").alias("return_annotation"),
+        F.col("calls").alias("calls_functions"),
+        F.col("attrs").alias("accesses_attributes"),
+        "imports_used",
+        F.col("raises").alias("raises_exceptions"),
+        (F.lit(1) + F.col("branches")).alias("complexity_score"),
+        F.col("bases").alias("base_classes"),
+        "methods",
+        F.when(is_cls, F.exists("bases", lambda b: F.contains(b, F.lit("ABC"))
                                 | F.contains(F.lower(b), F.lit("abstract")))).alias("is_abstract"),
+        "class_name", "class_docstring", "class_has_bases", "src_in_class",
     )
 
 
@@ -188,15 +109,14 @@ def chunk_table(facts: DataFrame, method_slice: str = "file") -> DataFrame:
     """
     if method_slice not in ("file", "class"):
         raise ValueError(f"method_slice must be 'file' or 'class', not {method_slice!r}")
-    # Staged: both the untagged and the tagged branch read it. The dedented
-    # text of class methods is computed before staging, so filters on
+    # The dedented text of class methods is computed before staging, so filters on
     # ``code`` later in the plan (pushed down through projections) meet a
     # stored column instead of the whole dedent expression inlined.
     full = definitions(facts)
     if method_slice == "file":
         full = with_dedent(full.withColumn("_m", F.when(F.col("parent_id").isNotNull(), F.col("src"))),
                            "_m", "src_dedented").drop("_m")
-    full = stage(full, "definitions")
+        full = stage(full, "definitions")
     fp = F.when(F.col("filepath") != "", F.col("filepath"))
     filename = F.when(fp.isNotNull(), F.element_at(F.split(fp, "/"), -1))
     filename = F.when(filename != "", filename)
@@ -208,22 +128,18 @@ def chunk_table(facts: DataFrame, method_slice: str = "file") -> DataFrame:
                 .withColumn("class_docstring", F.lit(None).cast("string"))
                 .withColumn("overrides_method", F.when(F.col("is_function"), F.lit(False))))
 
-    classes = full.where((F.col("type") == "ClassDef") & ~_skipped()).select(
-        "filepath", F.col("def_id").alias("parent_id"), F.col("name").alias("class_name"),
-        F.col("docstring").alias("class_docstring"), (F.size("base_classes") > 0).alias("has_bases"),
-        F.col("src").alias("class_src"))
-    tagged = full.where(F.col("parent_id").isNotNull()).join(classes, ["filepath", "parent_id"])
+    # a method stands in its class unless the walk leaves the class out
+    tagged = full.where(F.col("parent_id").isNotNull() & ~F.col("class_name").isin(SKIPPED_CLASS, *SKIPPED_NAMES))
     if method_slice == "file":
         tagged = tagged.withColumn("code", pystrip("src_dedented"))
     else:
         # dedent removes only spaces and tabs: a slice is blank iff its dedented form is
-        raw = line_slice(F.col("class_src"), F.col("start_line"), F.col("end_line"))
-        tagged = tagged.withColumn("_raw", raw).where(F.length(pystrip("_raw")) > 0)
-        tagged = with_dedent(tagged, "_raw", "_dedented")
-        tagged = tagged.withColumn("code", pystrip("_dedented")).drop("_raw", "_dedented")
+        tagged = tagged.where(F.length(pystrip("src_in_class")) > 0)
+        tagged = with_dedent(tagged, "src_in_class", "_dedented")
+        tagged = tagged.withColumn("code", pystrip("_dedented")).drop("_dedented")
     tagged = (tagged
               .withColumn("seq", F.shiftleft(F.col("parent_id").cast("long"), SEQ_SHIFT) + F.col("def_id") + 1)
-              .withColumn("overrides_method", F.col("has_bases") & F.exists(
+              .withColumn("overrides_method", F.col("class_has_bases") & F.exists(
                   "calls_functions", lambda c: F.contains(c, F.lit("super()")))))
 
     cols = [c for c in CHUNK_COLUMNS if c not in ("filepath", "filename")]

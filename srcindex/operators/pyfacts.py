@@ -1,27 +1,25 @@
 """The only per-row Python step of the engine: walking a Python syntax tree.
 
-``source_facts(code)`` parses one module with the standard ``ast`` module and
-yields flat rows of one schema, tagged by ``kind``:
-
-* ``def``: one per function / async function / class at any depth, numbered
-  ``def_id`` in breadth-first walk order; ``parent_id`` is the class whose
-  body directly holds a function; ``src`` is the raw line span.
-* ``call`` / ``attr`` / ``raise``: distinct names found in a function's body
-  statements (nested code included).
-* ``branch``: one row per function, ``ord`` = number of branch nodes anywhere
-  in it.
-* ``decorator`` / ``param`` / ``returns`` / ``base``: ordered signature parts.
-* ``import``: file-level alias -> full name (``def_id = -1``).
-* ``error``: the module could not be parsed (``value`` = reason).
-
-All grouping, de-duplication, ordering, joining and text work on these rows
-happens in Spark (see :mod:`srcindex.operators.chunks`).
+``module_record(code)`` parses one module with the standard ``ast`` module and
+returns everything that is known about it in one nested record: its imports and,
+in breadth-first walk order, its definitions with their references, signature,
+class context and the imports they use. Whatever needs the whole file is settled
+here, while the file is at hand; ``parsed_rows`` hands the records to Spark as one
+Arrow row per definition (see :mod:`srcindex.operators.chunks`).
+
+``source_facts(code)`` is the same record as flat rows tagged by ``kind``, for
+SQL's ``LATERAL py_facts(code)``: ``def``, ``call`` / ``attr`` / ``raise``
+(distinct names in a function's body statements, nested code included),
+``branch`` (``ord`` = branch nodes anywhere in it), ``decorator`` / ``param`` /
+``returns`` / ``base`` (ordered signature parts), ``import`` (``def_id = -1``) and
+``error`` (``value`` = reason).
 """
 
 from __future__ import annotations
 
 import ast
 
+import pyarrow as pa
 from pyspark.sql.functions import udtf
 
 FACT_SCHEMA = (
@@ -29,186 +27,210 @@ FACT_SCHEMA = (
     "detail string, tag string, start_line int, end_line int, docstring string, src string"
 )
 
-_DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+#: One row per definition, import name or unreadable module.
+ROW_SCHEMA = (
+    "kind string, def_id int, parent_id int, type string, name string, value string, start_line int, end_line int, "
+    "docstring string, src string, calls array<string>, attrs array<string>, raises array<string>, decorators array<string>, "
+    "is_static boolean, is_classmethod boolean, is_property boolean, "
+    "parameters array<struct<name:string,type:string,default:string,kind:string>>, returns string, branches int, "
+    "imports_used array<string>, bases array<string>, methods array<string>, "
+    "class_name string, class_docstring string, class_has_bases boolean, src_in_class string"
+)
+
 _FUNCS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.And, ast.Or)
 
 
-def _row(kind, def_id, *, parent_id=None, ord=None, name=None, value=None, detail=None, tag=None,
-         start_line=None, end_line=None, docstring=None, src=None):
-    return (kind, def_id, parent_id, ord, name, value, detail, tag, start_line, end_line, docstring, src)
+# --- text of expressions ----------------------------------------------------------
 
+def dotted(node: ast.expr) -> str | None:
+    """A name or an attribute chain as written, else None.
 
-def dotted(node: ast.Attribute) -> str:
-    """Dotted text of an attribute access; calls as ``f().x``, others as placeholders."""
-    base = node.value
-    if isinstance(base, ast.Name):
-        head = base.id
-    elif isinstance(base, ast.Attribute):
-        head = dotted(base)
-    elif isinstance(base, ast.Call):
-        callee = callee_name(base.func)
-        head = f"{callee}()" if callee else "<call>"
+    The chain is followed down to what it hangs on: a name stands for itself, a call
+    of something dotted for that with ``()``, any other call for ``<call>``, anything
+    else for ``<expr>``.
+    """
+    trail: list[str] = []
+    while isinstance(node, ast.Attribute):
+        trail.append(node.attr)
+        node = node.value
+    if isinstance(node, ast.Name):
+        trail.append(node.id)
+    elif not trail:
+        return None
+    elif isinstance(node, ast.Call):
+        called = dotted(node.func)
+        trail.append(called + "()" if called else "<call>")
     else:
-        head = "<expr>"
-    return f"{head}.{node.attr}"
-
+        trail.append("<expr>")
+    return ".".join(reversed(trail))
 
-def callee_name(func: ast.expr) -> str | None:
-    if isinstance(func, ast.Name):
-        return func.id
-    if isinstance(func, ast.Attribute):
-        return dotted(func)
-    return None
 
+def expression_text(node: ast.expr | None, subscripts: bool = False) -> str | None:
+    """``ast.unparse`` with the deviations of this data model.
 
-def annotation_text(node: ast.expr) -> str:
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        return dotted(node)
-    if isinstance(node, ast.Subscript):
-        return f"{annotation_text(node.value)}[{annotation_text(node.slice)}]"
+    Dotted forms as in ``dotted``; constants by ``repr``; with ``subscripts`` (for
+    annotations) the parts of ``x[y]`` follow the same rules, so a tuple inside keeps
+    its brackets.
+    """
+    if node is None:
+        return None
     if isinstance(node, ast.Constant):
         return repr(node.value)
-    return ast.unparse(node)
-
-
-def default_text(node: ast.expr) -> str:
-    if isinstance(node, ast.Constant):
-        return repr(node.value)
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        return dotted(node)
-    return ast.unparse(node)
+    if subscripts and isinstance(node, ast.Subscript):
+        outer, inner = (expression_text(part, True) for part in (node.value, node.slice))
+        return f"{outer}[{inner}]"
+    return dotted(node) or ast.unparse(node)
 
 
 def decorator_text(node: ast.expr) -> str | None:
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        return dotted(node)
+    """Dotted decorators as written, calls of dotted ones with ``()``; others have no text."""
     if isinstance(node, ast.Call):
-        inner = node.func
-        if isinstance(inner, (ast.Name, ast.Attribute)):
-            return f"{callee_name(inner)}()"
-    return None
-
-
-def _body_refs(fn, def_id):
-    """Distinct call / attr / raise names of every node under the body statements."""
-    seen = set()
-    stack = list(reversed(fn.body))
-    while stack:
-        node = stack.pop()
-        if isinstance(node, ast.Call):
-            name = callee_name(node.func)
-            if name:
-                seen.add(("call", name))
-        elif isinstance(node, ast.Attribute):
-            seen.add(("attr", dotted(node)))
-        elif isinstance(node, ast.Raise) and node.exc is not None:
-            exc = node.exc
-            if isinstance(exc, ast.Call) and isinstance(exc.func, ast.Name):
-                seen.add(("raise", exc.func.id))
-            elif isinstance(exc, ast.Name):
-                seen.add(("raise", exc.id))
-        stack.extend(ast.iter_child_nodes(node))
-    for kind, name in seen:
-        yield _row(kind, def_id, name=name)
-
-
-def _params(args: ast.arguments, def_id):
-    """Ordinary arguments (defaults right-aligned), then *args, then **kwargs."""
-    first_default = len(args.args) - len(args.defaults)
-    pos = 0
-    for i, a in enumerate(args.args):
-        default = default_text(args.defaults[i - first_default]) if i >= first_default else None
-        ann = annotation_text(a.annotation) if a.annotation else None
-        yield _row("param", def_id, ord=pos, name=a.arg, value=ann, detail=default, tag="positional")
-        pos += 1
-    for extra, prefix, kind in ((args.vararg, "*", "var_positional"), (args.kwarg, "**", "var_keyword")):
-        if extra is not None:
-            ann = annotation_text(extra.annotation) if extra.annotation else None
-            yield _row("param", def_id, ord=pos, name=prefix + extra.arg, value=ann, tag=kind)
-            pos += 1
-
-
-def source_facts(code: str) -> list:
-    """Fact rows (see module doc) for one module's text.
-
-    All or nothing per module: a module that cannot be parsed or walked
-    (syntax error, NUL byte, nesting too deep for the walker) yields a single
-    ``error`` row instead of failing its task.
-    """
+        inner = dotted(node.func)
+        return inner and inner + "()"
+    return dotted(node)
+
+
+# --- one module -----------------------------------------------------------------------
+
+def _references(body: list[ast.stmt]) -> dict[str, set[str]]:
+    """Names that the statements call, access and raise."""
+    found: dict[str, set[str]] = {"call": set(), "attr": set(), "raise": set()}
+    waiting: list[ast.AST] = list(body)
+    for node in waiting:  # grows while it is read
+        waiting.extend(ast.iter_child_nodes(node))
+        if isinstance(node, ast.Attribute):
+            found["attr"].add(dotted(node))
+        elif isinstance(node, ast.Call):
+            found["call"].add(dotted(node.func))
+        elif isinstance(node, ast.Raise):
+            exc = node.exc.func if isinstance(node.exc, ast.Call) else node.exc
+            if isinstance(exc, ast.Name):
+                found["raise"].add(exc.id)
+    found["call"].discard(None)
+    return found
+
+
+def _parameters(args: ast.arguments) -> list[dict]:
+    """Ordinary arguments, to whose end the defaults belong, then ``*args`` and ``**kwargs``."""
+    defaults = [None] * len(args.args) + list(args.defaults)
+    rows = [("", "positional", a, d) for a, d in zip(args.args, defaults[len(args.defaults):])]
+    rows += [("*", "var_positional", args.vararg, None)] * bool(args.vararg)
+    rows += [("**", "var_keyword", args.kwarg, None)] * bool(args.kwarg)
+    return [{"name": mark + a.arg, "type": expression_text(a.annotation, True), "default": expression_text(d), "kind": kind}
+            for mark, kind, a, d in rows]
+
+
+def _imported(node: ast.Import | ast.ImportFrom) -> list[tuple[str, str]]:
+    """(alias, full name) of an import statement; relative dots are not part of the name."""
+    source = getattr(node, "module", None)
+    return [(a.asname or a.name, ".".join(filter(None, (source, a.name)))) for a in node.names]
+
+
+def _definition(node, def_id: int, parent: dict | None, lines: list[str]) -> dict:
+    out = {"def_id": def_id, "parent_id": parent and parent["def_id"], "type": type(node).__name__, "name": node.name,
+           "start_line": node.lineno, "end_line": node.end_lineno, "docstring": ast.get_docstring(node),
+           "src": "\n".join(lines[node.lineno - 1:node.end_lineno])}
+    texts = [(i, decorator_text(d), isinstance(d, ast.Name)) for i, d in enumerate(node.decorator_list)]
+    out["marks"] = [t for t in texts if t[1] is not None]
+    out["decorators"] = [t for _, t, _ in out["marks"]]
+    plain = {t for _, t, bare in texts if bare}
+    out |= {"is_static": "staticmethod" in plain, "is_classmethod": "classmethod" in plain, "is_property": "property" in plain}
+    if isinstance(node, ast.ClassDef):
+        out["base_places"] = [(i, t) for i, b in enumerate(node.bases) if isinstance(b, (ast.Name, ast.Attribute)) and (t := dotted(b))]
+        out["bases"] = [t for _, t in out["base_places"]]
+        out["methods"] = [item.name for item in node.body if isinstance(item, _FUNCS)]
+        return out
+    names = _references(node.body)
+    out |= {"calls": sorted(names["call"]), "attrs": sorted(names["attr"]), "raises": sorted(names["raise"]),
+            "parameters": _parameters(node.args), "returns": expression_text(node.returns, True),
+            "branches": sum(isinstance(sub, _BRANCHES) for sub in ast.walk(node))}
+    if parent:
+        inside = parent["src"].split("\n")[node.lineno - 1:node.end_lineno]  # file lines applied to the class text
+        out |= {"class_name": parent["name"], "class_docstring": parent["docstring"], "class_has_bases": bool(parent["bases"]),
+                "src_in_class": "\n".join(inside)}
+    return out
+
+
+def _record(code: str) -> dict:
+    tree, lines = ast.parse(code), code.split("\n")
+    statements: list[tuple[str, str, str]] = []
+    found: list[dict] = []
+    owner: dict[int, dict] = {}
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            tag = "import" if isinstance(node, ast.Import) else "from"
+            statements += [(alias, full, tag) for alias, full in _imported(node)]
+        elif isinstance(node, (*_FUNCS, ast.ClassDef)):
+            made = _definition(node, len(found), owner.get(id(node)), lines)
+            found.append(made)
+            if isinstance(node, ast.ClassDef):
+                owner |= {id(item): made for item in node.body if isinstance(item, _FUNCS)}
+    # one meaning per alias: the last statement's, from-imports before plain ones
+    names = {alias: full for wanted in ("import", "from") for alias, full, tag in statements if tag == wanted}
+    for d in found:
+        if "calls" in d:
+            refs = {*d["calls"], *d["attrs"]}
+            d["imports_used"] = sorted({full for alias, full in names.items() if any(r.startswith(alias) for r in refs)})
+    return {"statements": statements, "imports": names, "defs": found}
+
+
+def module_record(code: str) -> dict:
+    """All or nothing: a module that cannot be parsed or walked has only ``error`` (reason, detail)."""
     try:
-        tree = ast.parse(code)
+        return _record(code)
     except SyntaxError as e:
-        return [_row("error", -1, value="syntax", detail=str(e)[:200])]
+        return {"error": ("syntax", str(e))}
     except (RecursionError, MemoryError, ValueError) as e:
-        return [_row("error", -1, value=type(e).__name__, detail=str(e)[:200])]
-    try:
-        return list(_walk(tree, code))
-    except (RecursionError, MemoryError) as e:
-        return [_row("error", -1, value=type(e).__name__, detail=str(e)[:200])]
-
-
-def _walk(tree: ast.AST, code: str):
-    lines = code.split("\n")
-    n_imports = 0
-    next_id = 0
-    parent_of: dict[int, int] = {}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            for a in node.names:
-                yield _row("import", -1, ord=n_imports, name=a.asname or a.name, value=a.name, tag="import")
-                n_imports += 1
-            continue
-        if isinstance(node, ast.ImportFrom):
-            module = node.module or ""
-            for a in node.names:
-                full = f"{module}.{a.name}" if module else a.name
-                yield _row("import", -1, ord=n_imports, name=a.asname or a.name, value=full, tag="from")
-                n_imports += 1
-            continue
-        if not isinstance(node, _DEFS):
-            continue
-        def_id = next_id
-        next_id += 1
-        start, end = node.lineno, node.end_lineno
-        yield _row("def", def_id, parent_id=parent_of.get(id(node)), name=node.name,
-                   value=type(node).__name__, start_line=start, end_line=end,
-                   docstring=ast.get_docstring(node), src="\n".join(lines[start - 1:end]))
-        for i, d in enumerate(node.decorator_list):
-            text = decorator_text(d)
-            if text is not None:
-                yield _row("decorator", def_id, ord=i, name=text,
-                           tag="bare" if isinstance(d, ast.Name) else None)
-        if isinstance(node, ast.ClassDef):
-            for item in node.body:
-                if isinstance(item, _FUNCS):
-                    parent_of[id(item)] = def_id
-            for i, b in enumerate(node.bases):
-                if isinstance(b, ast.Name):
-                    yield _row("base", def_id, ord=i, name=b.id)
-                elif isinstance(b, ast.Attribute):
-                    yield _row("base", def_id, ord=i, name=dotted(b))
-            continue
-        yield from _body_refs(node, def_id)
-        yield from _params(node.args, def_id)
-        if node.returns is not None:
-            yield _row("returns", def_id, value=annotation_text(node.returns))
-        yield _row("branch", def_id, ord=sum(isinstance(sub, _BRANCHES) for sub in ast.walk(node)))
+        return {"error": (type(e).__name__, str(e))}
+
+
+# --- rows for Spark ------------------------------------------------------------------
+
+def parsed_rows(code: str) -> list[dict]:
+    """Rows of ROW_SCHEMA of one module."""
+    m = module_record(code)
+    if "error" in m:
+        return [{"kind": "error", "value": m["error"][0]}]
+    return [{"kind": "import", "name": alias, "value": full} for alias, full in m["imports"].items()] + [{"kind": "def"} | d for d in m["defs"]]
+
+
+def source_facts(code: str) -> list[tuple]:
+    """Flat rows of FACT_SCHEMA of one module."""
+    columns = [c.split()[0] for c in FACT_SCHEMA.split(", ")]
+    m = module_record(code)
+    rows: list[dict] = []
+    if "error" in m:
+        rows.append({"kind": "error", "def_id": -1, "value": m["error"][0], "detail": m["error"][1]})
+        return [tuple(r.get(c) for c in columns) for r in rows]
+    rows += [{"kind": "import", "def_id": -1, "ord": i, "name": alias, "value": full, "tag": tag}
+             for i, (alias, full, tag) in enumerate(m["statements"])]
+    for d in m["defs"]:
+        me = {"def_id": d["def_id"]}
+        rows.append({c: d.get(c) for c in ("def_id", "parent_id", "name", "start_line", "end_line", "docstring", "src")}
+                    | {"kind": "def", "value": d["type"]})
+        rows += [me | {"kind": "decorator", "ord": i, "name": t, "tag": "bare" if bare else None} for i, t, bare in d["marks"]]
+        rows += [me | {"kind": "base", "ord": i, "name": t} for i, t in d.get("base_places", ())]
+        if "calls" in d:
+            rows += [me | {"kind": kind, "name": n} for kind, key in (("call", "calls"), ("attr", "attrs"), ("raise", "raises")) for n in d[key]]
+            rows += [me | {"kind": "param", "ord": i, "name": p["name"], "value": p["type"], "detail": p["default"], "tag": p["kind"]}
+                     for i, p in enumerate(d["parameters"])]
+            if d["returns"] is not None:
+                rows.append(me | {"kind": "returns", "value": d["returns"]})
+            rows.append(me | {"kind": "branch", "ord": d["branches"]})
+    return [tuple(r.get(c) for c in columns) for r in rows]
+
+
+def arrow_schema(kinds: str = ROW_SCHEMA) -> pa.Schema:
+    strings = pa.list_(pa.string())
+    parameter = pa.struct([(f, pa.string()) for f in ("name", "type", "default", "kind")])
+    known = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": strings}
+    return pa.schema([(name, known.get(kind, pa.list_(parameter))) for name, kind in (c.split(" ", 1) for c in kinds.split(", "))])
 
 
 @udtf(returnType=FACT_SCHEMA, useArrow=False)
 class PyFacts:
-    """Table function: ``LATERAL py_facts(code)`` -> fact rows of one module.
-
-    The pickled row path measured faster than the Arrow path for these many
-    narrow, mostly-null rows (4.5 s vs 7.2 s for 20,000 modules on 8 cores).
-    """
+    """Table function for SQL: ``LATERAL py_facts(code)`` -> flat rows of one module."""
 
     def eval(self, code: str):
         if code is None:

@@ -409,9 +409,8 @@ def scan_sources(spark, sf_dir):
 @query("source_rejects")
 def source_rejects(spark, sf_dir):
     good, bad = PS.decode_sources(_files(spark, sf_dir))
-    facts = CH.parse_sources(good.select("filepath", "code"))
-    errs = CH.source_errors(facts).join(good.select("filepath", "relpath"), "filepath")
-    return bad.select("relpath", "reason").unionByName(errs.select("relpath", "reason"))
+    errs = CH.source_errors(CH.parse_sources(good.select("relpath", "code")), "relpath")
+    return bad.select("relpath", "reason").unionByName(errs)
 
 
 # --- streaming index maintenance (J-3, J-4) ------------------------------------------
