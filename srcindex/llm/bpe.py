@@ -39,8 +39,14 @@ from srcindex.session import stage
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word is compiled when it is at least 1/SHARE of all words: at most so many words.
 SHARE = 50_000
-#: Longest word (UTF-8 bytes) that is compiled; entries of a worker's word cache.
-WORD_BYTES, CACHED = 48, 100_000
+#: Longest word (UTF-8 bytes) that is compiled; entries of a generation of a worker's word cache.
+WORD_BYTES, CACHED = 48, 250_000
+#: Up to so many bytes a word's pairs are searched in a list; beyond, in a heap.
+LIST_MERGE = 40
+
+
+#: Stands for a pair that never merges; above every rank.
+NO_PAIR = 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -59,10 +65,12 @@ class Vocabulary:
         ids: dict[str, int] = spec["model"]["vocab"]
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.first = [ids[c] for c in byte_letters()]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []  # by rank
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.ranks.setdefault((ids[a], ids[b]), rank)
+            self.merged.append(ids[a + b])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         by_id = {i: t for t, i in ids.items()} | {i: t for t, i in self.added.items()}
         self.token_bytes = [b""] * (max(by_id) + 1)
@@ -75,25 +83,42 @@ class Vocabulary:
         """Token ids of one word: of all adjacent pairs the lowest rank, leftmost, merges first; O(n log n)."""
         tok = [self.first[b] for b in word]
         n = len(tok)
+        if n <= LIST_MERGE:
+            return self._merge_short(tok)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.ranks
-        heap = [(hit[0], i, hit[1], tok[i], tok[i + 1]) for i in range(n - 1) if (hit := ranks.get((tok[i], tok[i + 1])))]
+        ranks, merged = self.ranks, self.merged
+        heap = [(r, i, tok[i], tok[i + 1]) for i in range(n - 1) if (r := ranks.get((tok[i], tok[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if tok[i] != a or j >= n or tok[j] != b:
                 continue  # one of the two has merged since
-            tok[i], tok[j] = new, -1
+            tok[i], tok[j] = merged[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if hit := ranks.get((new, tok[after[i]])):
-                    heapq.heappush(heap, (hit[0], i, hit[1], new, tok[after[i]]))
-            if (h := before[i]) >= 0 and (hit := ranks.get((tok[h], new))):
-                heapq.heappush(heap, (hit[0], h, hit[1], tok[h], new))
+                if (r := ranks.get((tok[i], tok[after[i]]))) is not None:
+                    heapq.heappush(heap, (r, i, tok[i], tok[after[i]]))
+            if (h := before[i]) >= 0 and (r := ranks.get((tok[h], tok[i]))) is not None:
+                heapq.heappush(heap, (r, h, tok[h], tok[i]))
         return [t for t in tok if t >= 0]
 
+    def _merge_short(self, tok: list[int]) -> list[int]:
+        """The same for a short word: the pairs' ranks in a list, of which two change with a merge."""
+        get = self.ranks.get
+        pairs = [get(p, NO_PAIR) for p in zip(tok, tok[1:])]
+        while pairs and (best := min(pairs)) < NO_PAIR:
+            i = pairs.index(best)
+            new = self.merged[best]
+            tok[i:i + 2] = [new]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get((tok[i - 1], new), NO_PAIR)
+            if i < len(pairs):
+                pairs[i] = get((new, tok[i + 1]), NO_PAIR)
+        return tok
+
 
 # --- the transducer -------------------------------------------------------------
 
@@ -188,19 +213,26 @@ class Transducer:
 
 
 class Words(dict):
-    """Word -> packed ids: from the transducer, else merged; emptied when full."""
+    """Word -> packed ids: from the transducer, else merged.
+
+    When it is full it becomes the older generation and starts anew; words that
+    come up again move over from there, so frequent words are never lost.
+    """
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         super().__init__()
-        self.vocabulary, self.transducer = vocabulary, transducer
+        self.vocabulary, self.transducer, self.older = vocabulary, transducer, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.transducer.get(raw)
+        ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self.vocabulary.merge(raw), "<u4").tobytes()
-        if len(raw) <= 4 * WORD_BYTES:
+            raw = word.encode()
+            ids = self.transducer.get(raw)
+            if ids is None:
+                ids = np.array(self.vocabulary.merge(raw), "<u4").tobytes()
+        if len(word) <= WORD_BYTES:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
