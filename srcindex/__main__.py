@@ -32,24 +32,28 @@ def main(argv=None) -> None:
     from pyspark.sql import functions as F
 
     from srcindex.plans.jobs import index_corpus, review_prompts
-    from srcindex.session import get_session
+    from srcindex.session import get_session, stage
     from srcindex.sources.index_store import IndexStore
     from srcindex.sources.pysource import decode_sources, read_sources
 
     spark = get_session()
     store = IndexStore(spark, args.index_root, args.collection)
     if args.cmd == "index":
-        sources, rejects = decode_sources(read_sources(spark, args.source_dir))
+        raw = stage(read_sources(spark, args.source_dir), "sources")  # the tree is read once
+        sources, undecodable = decode_sources(raw)
         result = index_corpus(sources.select("filepath", "code"), store)
-        result["undecodable"] = rejects.count()
+        rejects = f"{store.path}-rejects"
+        (undecodable.select("filepath", "reason").unionByName(result.pop("rejects"))
+         .write.mode("overwrite").parquet(rejects))
+        result["undecodable"] = undecodable.count()
+        result["rejects"] = rejects
         result["entries"] = store.count()
         print(json.dumps(result))
         return
     index = store.read()
     if index is None:
         raise SystemExit(f"collection {args.collection!r} under {args.index_root} is empty")
-    entries = index.select(F.xxhash64("chunk_id").alias("entry_id"), "chunk_id", "document",
-                           "buckets", "tfs", "norm2")
+    entries = index.select(F.col("chunk_id").alias("entry_id"), "document", "buckets", "tfs", "norm2")
     prompts, rejects = review_prompts(spark.read.parquet(args.requests).select("request_id", "code"),
                                       entries, entries.select("entry_id", "document"))
     prompts.write.mode("overwrite").parquet(f"{args.out_dir}/prompts")

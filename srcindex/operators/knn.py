@@ -149,8 +149,7 @@ def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048,
                 if rr.size == 0:
                     continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[rr], pa.int64()), pa.array(ids[cc], pa.int64()),
-                     pa.array(d.T[rr, cc], pa.float64())],
+                    [pa.array(qids[rr]), sl.column(entry_id).take(pa.array(cc)), pa.array(d.T[rr, cc], pa.float64())],
                     names=["query_id", entry_id, "distance"])
     return run
 
@@ -188,12 +187,13 @@ def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
         idf_b = sc.broadcast(w)
     elif weighting != "count":
         raise ValueError(f"weighting must be 'count' or 'tfidf', not {weighting!r}")
+    q_kind, e_kind = dict(queries.dtypes)[query_id], dict(index.dtypes)[entry_id]  # ids keep their type: numbers or strings
     n_q = queries.count()
     n_blocks = max(1, -(-n_q // block_rows))
     parts = []
     for b in range(n_blocks):
         blk = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b)
-        tbl = blk.select(F.col(query_id).cast("long").alias("q"), "buckets", "tfs", "norm2").toArrow()
+        tbl = blk.select(F.col(query_id).alias("q"), "buckets", "tfs", "norm2").toArrow()
         if tbl.num_rows == 0:
             continue
         bl = tbl.column("buckets").combine_chunks()
@@ -202,10 +202,10 @@ def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
                    tbl.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64),
                    tbl.column("norm2").to_numpy().astype(np.int64))
         fn = _sparse_partial_topk(sc.broadcast(payload), k, max_distance, dim, entry_id, fill=fill, idf=idf_b)
-        parts.append(index.select(F.col(entry_id).cast("long").alias(entry_id), "buckets", "tfs", "norm2")
-                     .mapInArrow(fn, f"query_id long, {entry_id} long, distance double"))
+        parts.append(index.select(entry_id, "buckets", "tfs", "norm2")
+                     .mapInArrow(fn, f"query_id {q_kind}, {entry_id} {e_kind}, distance double"))
     if not parts:
-        return queries.sparkSession.createDataFrame([], f"{query_id} long, rank int, {entry_id} long, distance double")
+        return queries.sparkSession.createDataFrame([], f"{query_id} {q_kind}, rank int, {entry_id} {e_kind}, distance double")
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
@@ -323,14 +323,14 @@ def nest_results(neighbours: DataFrame, query_id: str = "query_id", entry_id: st
         F.array_sort(F.collect_list(F.struct("rank", entry_id, "distance"))).alias("results"))
 
 
-def lsh_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, radius: float = 1.5,
+def lsh_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, radius: float = float("inf"),
             bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7, query_id: str = "query_id",
             qvec: str = "qvec", entry_id: str = "entry_id", vec: str = "embedding") -> DataFrame:
     """Approximate candidates by random-projection LSH, re-ranked exactly.
 
     Candidate pairs share a hash bucket in some table (an equi-join inside
-    ``approxSimilarityJoin``) and lie within Euclidean ``radius``; the top-k by
-    exact squared distance is kept. Recall is below 1 by design.
+    ``approxSimilarityJoin``) and, if a ``radius`` is asked for, lie within it; the
+    top-k by exact squared distance is kept. Recall is below 1 by design.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

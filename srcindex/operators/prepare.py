@@ -17,10 +17,11 @@ from srcindex.functions.text import is_blank
 ID_MAX_CHARS = 100
 ID_HASH_HEX = 8
 
+# Metadata keys that hold lists.
 LIST_FIELDS = ("decorators", "calls_functions", "accesses_attributes", "imports_used",
                "raises_exceptions", "base_classes", "methods")
 
-# Metadata keys in the order the reference's dict holds them (code,
+# Metadata keys in the order the reference's dict holds them (code,
 # docstring and class_docstring removed).
 METADATA_KEYS = (
     "type", "name", "start_line", "end_line", "class_name", "method_name", "is_async", "is_function",
@@ -30,9 +31,10 @@ METADATA_KEYS = (
     "base_classes", "methods", "is_abstract",
 )
 
-# Top-level typed columns kept in the index for filters pushed to Parquet.
-FILTER_COLUMNS = ("type", "name", "filepath", "filename", "start_line", "end_line", "class_name",
-                  "method_name", "is_function", "is_async", "complexity_score")
+# Every metadata key is a typed top-level column of the index too, so a filter on any
+# of them is pushed to Parquet: lists and parameters as the comma-joined text they
+# have in the metadata, the others as they are.
+FILTER_COLUMNS = METADATA_KEYS
 
 
 def _present(c: Column) -> Column:
@@ -52,23 +54,22 @@ def document_text(c=F.col) -> Column:
     )
 
 
+def metadata_value(k: str) -> Column:
+    """A metadata key's flat value under its name: lists joined by commas, '' as null."""
+    c = F.col(k)
+    if k in LIST_FIELDS:
+        return F.nullif(F.array_join(c, ","), F.lit("")).alias(k)
+    if k == "parameters":
+        return F.nullif(F.array_join(F.transform(c, lambda p: F.concat(
+            F.coalesce(p["name"], F.lit("None")), F.lit(":"), F.coalesce(p["type"], F.lit("None")))), ","), F.lit("")).alias(k)
+    if k in ("type", "name", "class_name", "method_name", "filepath", "filename", "return_annotation"):
+        return F.nullif(c, F.lit("")).alias(k)
+    return c
+
+
 def metadata_json() -> Column:
-    """Flat metadata as JSON: lists joined by commas, nulls and '' left out."""
-    fields = []
-    for k in METADATA_KEYS:
-        c = F.col(k)
-        if k in LIST_FIELDS:
-            v = F.nullif(F.array_join(c, ","), F.lit(""))
-        elif k == "parameters":
-            v = F.nullif(F.array_join(F.transform(c, lambda p: F.concat(
-                F.coalesce(p["name"], F.lit("None")), F.lit(":"), F.coalesce(p["type"], F.lit("None")))), ","),
-                F.lit(""))
-        elif k in ("type", "name", "class_name", "method_name", "filepath", "filename", "return_annotation"):
-            v = F.nullif(c, F.lit(""))
-        else:
-            v = c
-        fields.append(v.alias(k))
-    return F.to_json(F.struct(*fields))
+    """Metadata of the flat columns as JSON; nulls left out."""
+    return F.to_json(F.struct(*METADATA_KEYS))
 
 
 def chunk_id() -> Column:
@@ -83,8 +84,10 @@ def chunk_id() -> Column:
 def prepare_entries(chunks: DataFrame, dim: int = DEFAULT_DIM, with_vectors: bool = True) -> DataFrame:
     """Chunk rows -> index entries (chunk_id, document, metadata, filter columns, seq, vector)."""
     kept = chunks.where(~is_blank("code"))
-    out = kept.select(chunk_id().alias("chunk_id"), document_text().alias("document"),
-                      metadata_json().alias("metadata"), *FILTER_COLUMNS, "seq")
+    flat = kept.select(chunk_id().alias("chunk_id"), document_text().alias("document"), *map(metadata_value, FILTER_COLUMNS), "seq")
+    # a second projection: were the JSON built from the same expressions in the first, the
+    # optimizer's constraints would hold it once for every subset of the columns
+    out = flat.select("chunk_id", "document", metadata_json().alias("metadata"), *FILTER_COLUMNS, "seq")
     return embed(out, "document", dim) if with_vectors else out
 
 

@@ -212,14 +212,24 @@ def model_payloads(prompts: DataFrame, model: str = MODEL_NAME) -> DataFrame:
     return prompts.select("request_id", "kind", F.to_json(body).alias("payload"))
 
 
+#: Follows a response body to find where it ends.
+END_MARK = "end of response body"
+
+
 def parse_responses(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split (request_id, kind, body) into parsed (request_id, kind, response) and rejects.
 
-    A body that is not a JSON object with a string ``response`` is rejected.
+    A body must be one JSON object whose ``response`` is a string, with nothing but
+    blanks after it; anything else (a number or array for the text, trailing
+    characters, an array around the object, cut JSON) is rejected.
     """
-    parsed = bodies.withColumn("_r", F.from_json("body", "response string", {"mode": "PERMISSIVE"}))
-    ok = F.col("_r").isNotNull() & F.col("_r.response").isNotNull()
-    good = parsed.where(ok).select("request_id", "kind", F.col("_r.response").alias("response"))
-    bad = parsed.where(~ok | F.col("_r").isNull()).select(
-        "request_id", "kind", F.lit("unreadable response body").alias("reason"))
+    parsed = (bodies.withColumn("_v", F.try_parse_json("body"))
+              .withColumn("_type", F.schema_of_variant(F.try_variant_get("_v", "$.response", "variant")))
+              # the parser stops where a value ends; as the first of two array items the body must end where the second begins
+              .withColumn("_alone", F.try_variant_get(
+                  F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit(f',"{END_MARK}"]'))), "$[1]", "string") == END_MARK)
+              .withColumn("_one", F.try_variant_get("_v", "$.response", "string")))
+    ok = F.coalesce((F.col("_type") == "STRING") & F.col("_one").isNotNull() & F.col("_alone"), F.lit(False))
+    good = parsed.where(ok).select("request_id", "kind", F.col("_one").alias("response"))
+    bad = parsed.where(~ok).select("request_id", "kind", F.lit("unreadable response body").alias("reason"))
     return good, bad

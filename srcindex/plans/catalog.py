@@ -328,6 +328,45 @@ def index_peek(spark, sf_dir):
     return _built_store(spark, sf_dir).peek(5).select("chunk_id", "metadata")
 
 
+def _store_requests(spark, sf_dir):
+    """Every benchmark text as a search request with a string id."""
+    b = T.read_table(spark, sf_dir, "benchmark")
+    return b.select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("request_id"), F.col("text").alias("code"))
+
+
+#: Metadata filter of ``store_query_where``: a flag, and two keys that many entries do not have.
+STORE_WHERE = {"$and": [{"is_static": False}, {"class_name": {"$ne": "Part2"}}, {"decorators": {"$nin": ["property"]}}]}
+
+
+@query("store_query")
+def store_query(spark, sf_dir):
+    """Search over the stored collection: k rows for every request, ties by chunk id."""
+    return _built_store(spark, sf_dir).query(_store_requests(spark, sf_dir), k=knn.DEFAULT_K)
+
+
+@query("store_query_where")
+def store_query_where(spark, sf_dir):
+    hits = _built_store(spark, sf_dir).query(_store_requests(spark, sf_dir), k=knn.DEFAULT_K, where=STORE_WHERE)
+    return hits.select("request_id", "rank", "chunk_id", "distance")
+
+
+@query("store_query_nested")
+def store_query_nested(spark, sf_dir):
+    hits = _built_store(spark, sf_dir).query_nested(_store_requests(spark, sf_dir), k=knn.DEFAULT_K)
+    return hits.select("request_id", *(F.array_join(c, chr(10)).alias(c) for c in ("ids", "documents", "metadatas")),
+                       F.array_join(F.transform("distances", lambda d: F.round(d * 1e6).cast("long").cast("string")), ",").alias("distances_e6"))
+
+
+@query("job_index_rejects")
+def job_index_rejects(spark, sf_dir):
+    """J-1 over modules of which every 13th cannot be parsed: the reject rows it reports."""
+    from srcindex.plans.jobs import index_corpus
+    mods = rendered_modules(spark, sf_dir)
+    broken = F.when(F.col("p_partkey") % 13 == 0, F.concat(F.lit("def ("), "code")).otherwise(F.col("code"))
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    return index_corpus(mods.select("filepath", broken.alias("code")), store)["rejects"]
+
+
 @query("job_index")
 def job_index(spark, sf_dir):
     """J-1: corpus -> chunks -> entries -> insert into a new collection; read back."""
@@ -365,9 +404,8 @@ def knn_dense_filtered(spark, sf_dir):
 
 @query("knn_filtered")
 def knn_filtered(spark, sf_dir):
-    labels = T.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    lines = T.corpus_lines(spark, sf_dir).join(labels, "doc_id")
-    idx = embed(lines.where(where_to_column({"quality": 1})), "txt")
+    good = T.read_table(spark, sf_dir, "labels").where(where_to_column({"quality": 1})).select("doc_id")
+    idx = embed(T.corpus_lines(spark, sf_dir, only=good), "txt")
     return knn.sparse_knn(_bench_queries(spark, sf_dir), idx, k=knn.DEFAULT_K)
 
 
@@ -433,7 +471,7 @@ def stream_index_insert(spark, sf_dir):
         if i == 4:
             grp = grp.unionByName(ch.where(k % 10 == 0))
         # a module's chunks share one file, hence one micro-batch
-        grp.repartition(4, "filepath").write.mode("overwrite").parquet(f"{base}/drop/group={i}")
+        grp.repartition("filepath").write.mode("overwrite").parquet(f"{base}/drop/group={i}")
     store = IndexStore(spark, f"{base}/index")
     q = ST.stream_insert(spark, f"{base}/drop", ch.schema, store, f"{base}/checkpoint", max_files=4)
     q.awaitTermination()
@@ -450,7 +488,7 @@ def stream_index_upsert(spark, sf_dir):
     k = _part_key()
     for i in range(2):
         # a module's chunks share one file, hence one micro-batch
-        ch.where(F.pmod(k / 10, F.lit(2)) == i).repartition(2, "filepath").write.mode("overwrite").parquet(
+        ch.where(F.pmod(k / 10, F.lit(2)) == i).repartition("filepath").write.mode("overwrite").parquet(
             f"{base}/drop/group={i}")
     q = ST.stream_upsert(spark, f"{base}/drop", ch.schema, store, f"{base}/checkpoint", max_files=1)
     q.awaitTermination()

@@ -17,15 +17,17 @@ def index_corpus(sources: DataFrame, store: IndexStore, method_slice: str = "fil
                  dim: int = DEFAULT_DIM, tag: str | None = None) -> dict:
     """J-1: (filepath, code) -> index entries inserted into ``store``.
 
-    The parse runs once (staged); an empty corpus writes nothing.
-    Returns counts of chunks, parse errors and entries stored afterwards.
+    The parse runs once (staged); an empty corpus writes nothing. Modules that cannot
+    be read are reported, however many others were written: ``errors`` counts them and
+    ``rejects`` is the table (filepath, reason), staged with the parse.
     """
     facts = stage(CH.parse_sources(sources), "facts")
-    if facts.where(F.col("kind") == "def").isEmpty():
-        return {"written": False, "errors": facts.where(F.col("kind") == "error").count()}
-    entries = prepare_entries(CH.chunk_table(facts, method_slice=method_slice), dim=dim)
-    store.insert(entries, tag=tag)
-    return {"written": True}
+    rejects = CH.source_errors(facts)
+    kinds = {r["kind"]: r["count"] for r in facts.groupBy("kind").count().collect()}  # three kinds
+    report = {"written": "def" in kinds, "definitions": kinds.get("def", 0), "errors": kinds.get("error", 0), "rejects": rejects}
+    if report["written"]:
+        store.insert(prepare_entries(CH.chunk_table(facts, method_slice=method_slice), dim=dim), tag=tag)
+    return report
 
 
 def review_prompts(requests: DataFrame, index: DataFrame, documents: DataFrame,

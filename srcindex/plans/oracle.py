@@ -35,7 +35,7 @@ corpus_raw AS (
   FROM documents
 ),
 corpus AS (
-  SELECT CAST(doc_id * 100000 + p AS BIGINT) AS entry_id, doc_id, CAST(p AS INTEGER) AS line_no, txt
+  SELECT CAST(doc_id * 2147483648 + p AS BIGINT) AS entry_id, doc_id, CAST(p AS INTEGER) AS line_no, txt
   FROM corpus_raw WHERE NOT {is_blank('txt')}
 )"""
 
@@ -136,9 +136,9 @@ def trunc(expr: str) -> str:
 
 REQUESTS = f"""
 req AS (
-  SELECT item_id AS request_id,
-         CASE WHEN item_id % 10 = 0 THEN '  ' || chr(10) || chr(9) || ' ' ELSE text END AS code
-  FROM benchmark
+  SELECT item_id AS request_id, text AS code FROM benchmark
+  UNION ALL
+  SELECT -item_id - 1 AS request_id, '  ' || chr(10) || chr(9) || ' ' AS code FROM benchmark WHERE item_id % 10 = 0
 ),
 valid AS (SELECT request_id, code FROM req WHERE NOT {is_blank('code')})"""
 
@@ -191,7 +191,7 @@ FROM prompts"""
 
 TURNS = """
 turns AS (
-  SELECT u.conv_id * 1000 + u.turn AS request_id, u.conv_id, u.text AS code, a.text AS answer
+  SELECT CAST(u.conv_id * 2147483648 + u.turn AS BIGINT) AS request_id, u.conv_id, u.text AS code, a.text AS answer
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
   WHERE u.role = 'user'
@@ -205,22 +205,24 @@ resp AS (
 )"""
 
 SQL["model_responses"] = with_(TURNS) + """
-SELECT request_id, kind, response FROM resp WHERE conv_id % 9 <> 0"""
+SELECT request_id, kind, response FROM resp"""
 
 SQL["response_rejects"] = with_(TURNS) + """
-SELECT request_id, kind, 'unreadable response body' AS reason FROM resp WHERE conv_id % 9 = 0"""
+SELECT -request_id - 1 AS request_id, unnest(['cut', 'number', 'array', 'trailing', 'absent']) AS kind,
+       'unreadable response body' AS reason
+FROM turns WHERE conv_id % 9 = 0"""
 
 SQL["prompt_summary"] = with_(TURNS) + f"""
 SELECT request_id,
        {pystrip(sql_fill(R.SUMMARY_TEMPLATE, duplication="'duplication: ' || answer", style='answer'))} AS prompt
-FROM turns WHERE conv_id % 2 = 0 AND conv_id % 9 <> 0"""
+FROM turns WHERE conv_id % 2 = 0"""
 
 SQL["review_assemble"] = with_(TURNS) + f"""
 SELECT request_id,
        CASE WHEN conv_id % 2 = 0 THEN 'duplication: ' || answer ELSE {lit(R.NO_DUPLICATION)} END AS duplication_review,
        answer AS style_review,
        CASE WHEN conv_id % 2 = 0 THEN 'summary: ' || answer ELSE answer END AS summary
-FROM turns WHERE conv_id % 9 <> 0 AND NOT {is_blank('code')}"""
+FROM turns WHERE NOT {is_blank('code')}"""
 
 
 # --- chunking and analysis (2.B): closed forms over `part` ----------------------
@@ -424,6 +426,38 @@ SELECT page_id, """ + CHUNK_ID_SQL + " AS chunk_id FROM ids"
 SQL["index_insert_new"] = _E + "\nSELECT chunk_id, document FROM entries_first"
 SQL["index_reopen"] = _E + "\nSELECT chunk_id, filepath, start_line, name FROM entries_first"
 SQL["job_index"] = _E + "\nSELECT chunk_id, document, metadata FROM entries_first"
+_STORE = (CHUNKS, entries_cte("entries", "expected"), """
+req AS (SELECT 'r' || CAST(item_id AS VARCHAR) AS request_id, text FROM benchmark)""",
+          postings_cte("dpost", "entries_first", "chunk_id", "document"), postings_cte("qpost", "req", "request_id", "text"),
+          sparse_pairs_cte("qpost", "dpost"))
+
+
+def _store_sql(where: str = "TRUE") -> str:
+    return with_(*_STORE, f"""
+allpairs AS (
+  SELECT b.request_id AS query_id, g.chunk_id AS entry_id, coalesce(p.distance, 2.0::DOUBLE) AS distance
+  FROM req b CROSS JOIN (SELECT chunk_id FROM entries_first WHERE {where}) g
+  LEFT JOIN pairs p ON p.query_id = b.request_id AND p.entry_id = g.chunk_id
+)""", topk_cte("allpairs", 5), """
+hits AS (
+  SELECT t.query_id AS request_id, t.rank, t.entry_id AS chunk_id, t.distance, e.document, e.metadata
+  FROM topk t JOIN entries_first e ON e.chunk_id = t.entry_id
+)""")
+
+
+SQL["store_query"] = _store_sql() + "\nSELECT request_id, rank, chunk_id, distance, document, metadata FROM hits"
+SQL["store_query_where"] = _store_sql("""
+  json_extract_string(metadata, '$.is_static') = 'false'
+  AND coalesce(json_extract_string(metadata, '$.class_name'), '') <> 'Part2'
+  AND coalesce(json_extract_string(metadata, '$.decorators'), '') <> 'property'""") + """
+SELECT request_id, rank, chunk_id, distance FROM hits"""
+SQL["store_query_nested"] = _store_sql() + """
+SELECT request_id, string_agg(chunk_id, chr(10) ORDER BY rank) AS ids, string_agg(document, chr(10) ORDER BY rank) AS documents,
+       string_agg(metadata, chr(10) ORDER BY rank) AS metadatas,
+       string_agg(CAST(CAST(round(distance * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS distances_e6
+FROM hits GROUP BY request_id"""
+SQL["job_index_rejects"] = """
+SELECT 'corpus/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS filepath, 'syntax' AS reason FROM part WHERE p_partkey % 13 = 0"""
 SQL["index_stats"] = _E + """
 SELECT CAST(count(*) AS BIGINT) AS total_documents,
        array_to_string(json_keys(arg_min(metadata, chunk_id)), ',') AS sample_metadata_keys,

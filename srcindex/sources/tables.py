@@ -12,23 +12,27 @@ from pyspark.sql import functions as F
 from srcindex.functions.text import is_blank
 from srcindex.session import spread
 
-# Lines per document never exceed this; it keeps entry ids unique.
-LINE_ID_STRIDE = 100000
+# A Spark string holds less than 2**31 bytes, so less than 2**31 lines; a turn is an int.
+# Both ids are therefore unique; a number that leaves 64 bits raises an error (ANSI mode).
+ID_STRIDE = 1 << 31
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """``documents`` split into lines: one index entry per non-blank line.
 
+    ``only`` (doc_id, maybe repeated) limits the documents before they are split.
+
     (entry_id long, doc_id long, line_no int, txt string)
     """
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(docs if only is None else docs.join(only, "doc_id"), "doc_id")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "txt"))
     return (lines.where(~is_blank("txt"))
-                 .select((F.col("doc_id") * LINE_ID_STRIDE + F.col("pos") + 1).alias("entry_id"),
+                 .select((F.col("doc_id") * ID_STRIDE + F.col("pos") + 1).alias("entry_id"),
                          "doc_id", (F.col("pos") + 1).cast("int").alias("line_no"), "txt"))
 
 
@@ -39,11 +43,11 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review requests from ``benchmark``; every tenth item is a blank snippet."""
+    """Review requests: every text of ``benchmark`` whole, and beside every tenth a blank snippet under a negative id."""
     b = read_table(spark, sf_dir, "benchmark")
-    return b.select(
-        F.col("item_id").alias("request_id"),
-        F.when(F.col("item_id") % 10 == 0, F.lit("  \n\t ")).otherwise(F.col("text")).alias("code"))
+    whole = b.select(F.col("item_id").alias("request_id"), F.col("text").alias("code"))
+    blank = b.where(F.col("item_id") % 10 == 0).select((-F.col("item_id") - 1).alias("request_id"), F.lit("  \n\t ").alias("code"))
+    return whole.unionByName(blank)
 
 
 def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,15 +67,16 @@ def turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "conv_id", "code", "answer")
+        (F.col("conv_id") * ID_STRIDE + F.col("turn")).alias("request_id"), "conv_id", "code", "answer")
 
 
 def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model response bodies (request_id, kind, body) standing in for model calls.
 
     Style: the assistant answer. Duplication and summary: only for even
-    conversations, derived from the answer. Bodies of every ninth conversation
-    are cut in half, i.e. unreadable JSON.
+    conversations, derived from the answer. Beside the answers of every ninth
+    conversation come damaged bodies under negative ids, one kind of damage each:
+    cut JSON, a number or an array for the text, text after the object, no field.
     """
     t = turn_requests(spark, sf_dir)
     kinds = F.explode(F.array(
@@ -83,9 +88,17 @@ def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", "conv_id", F.col("r.kind").alias("kind"), F.col("r.text").alias("text"))
     rows = rows.where((F.col("kind") == "style") | (F.col("conv_id") % 2 == 0))
     body = F.to_json(F.struct(F.col("text").alias("response")))
-    cut = F.substring(body, 1, (F.length(body) / 2).cast("int"))
-    return rows.select("request_id", "kind",
-                       F.when(F.col("conv_id") % 9 == 0, cut).otherwise(body).alias("body"))
+    good = rows.select("request_id", "kind", body.alias("body"))
+    damaged = F.explode(F.array(
+        F.struct(F.lit("cut").alias("kind"), F.substring(body, 1, (F.length(body) / 2).cast("int")).alias("body")),
+        F.struct(F.lit("number").alias("kind"), F.lit('{"response":5}').alias("body")),
+        F.struct(F.lit("array").alias("kind"), F.concat(F.lit("["), body, F.lit("]")).alias("body")),
+        F.struct(F.lit("trailing").alias("kind"), F.concat(body, F.lit(" x")).alias("body")),
+        F.struct(F.lit("absent").alias("kind"), F.lit("{}").alias("body")),
+    ))
+    bad = (rows.where((F.col("kind") == "style") & (F.col("conv_id") % 9 == 0))
+           .select((-F.col("request_id") - 1).alias("request_id"), damaged.alias("d")).select("request_id", "d.kind", "d.body"))
+    return good.unionByName(bad)
 
 
 def long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
