@@ -49,11 +49,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_points: int = 1, keep_
     ranged = (rows.repartitionByRange(parts, "h", "doc_id", "text_key")
               .sortWithinPartitions("h", "doc_id", "text_key", "pos"))
     found = (ranged.groupBy("h", "doc_id", "text_key")
-             .agg(F.collect_list("pos").alias("places"), F.min("pos").alias("first_pos")))
-    common = (found.groupBy("h")
-              .agg(F.count(F.lit(1)).alias("n_docs"),
-                   F.min(F.struct("doc_id", "text_key", "first_pos")).alias("first"))
-              .where(F.col("n_docs") >= min_docs))
+             .agg(F.collect_set("pos").alias("places"), F.min("pos").alias("first_pos")))
+    common = stage(found.groupBy("h")  # as a table of its own the join below can split a hot hash
+                   .agg(F.count(F.lit(1)).alias("n_docs"),
+                        F.min(F.struct("doc_id", "text_key", "first_pos")).alias("first"))
+                   .where(F.col("n_docs") >= min_docs), "line-common")
     lost = found.join(common, "h").select("doc_id", "text_key", "places", "first")
     places = F.col("places")
     if keep_first:
