@@ -8,10 +8,14 @@ r"""Near-duplicate classes from bottom-k sketches of one hash function.
   k - least + 1 of each in any common order. Values in order of rising frequency
   therefore give inverted lists that are short, except where classes really look
   alike. Sets smaller than the sketch are compared as a whole, exactly.
-* Inside a list not all pairs are made. One pivot per list is compared with the
-  others; what it links is one component already. Later rounds take 16, 64, ...
-  pivots from the lists that still hold several components and pair them only
-  across components, until each list is one component or every pair was looked at.
+* Inside a list not all pairs are made. First the most central class of each list
+  (its values are the most frequent ones) is compared with the others; what it links
+  is one component already. Short lists that still hold several components are paired
+  across them. Classes of long ones are listed again by their full sets: there a pair
+  must share one of the rarest 15 % or so of its shingles, and a class with too many
+  shingles of its own drops out of the list for good. What is left goes through rounds
+  of 1, 16, 64, ... pivots per list, across components only, until each list is one
+  component or every pair was looked at.
 * Pairs whose union-sketch estimate falls short are dropped, the others are
   confirmed on the full shingle sets.
 
@@ -39,8 +43,8 @@ from srcindex.session import stage
 
 #: Values in a sketch; the chance to lose a pair that the lists are laid out for.
 K, LOSS = 64, 1e-9
-#: Pivots per list in successive rounds; the last number goes on growing fourfold.
-PIVOTS = (1, 16, 64)
+#: Longest list whose members are paired at once; pivots per list in the rounds over the full sets' lists, then fourfold.
+SHORT, PIVOTS = 24, (1, 16, 64)
 
 
 def least_common(k: int, similarity: float, loss: float = LOSS) -> int:
@@ -72,7 +76,7 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """(value, cid, n): the rarest values of each sketch, as many as a partner must share one of."""
+    """(value, cid, n, w): the rarest values of each sketch, as many as a partner must share one of; w: how central the class is."""
     t = least_common(k, similarity)
     # sets whose partners all fit into a sketch are judged on the whole set
     needed = F.when(F.col("n") <= int(similarity * (k - 1)), F.ceil(F.col("n") * similarity - 1e-9)).otherwise(F.lit(t))
@@ -84,7 +88,29 @@ def inverted_lists(classes: DataFrame, similarity: float, k: int = K) -> DataFra
               # values that only this set holds come first in the order; they lead to nobody
               .withColumn("head", F.col("s") - F.least("s", needed) + 1 - (F.col("s") - F.size("v")))
               .where("head > 0"))
-    return listed.select("cid", "n", F.explode(F.expr("slice(v, 1, cast(head AS int))")).alias("e")).select("e.value", "cid", "n")
+    central = F.aggregate("v", F.lit(0).cast("long"), lambda total, x: total + x["df"])
+    return (listed.select("cid", "n", central.alias("w"), F.explode(F.expr("slice(v, 1, cast(head AS int))")).alias("e"))
+            .select("e.value", "cid", "n", "w"))
+
+
+def exact_lists(sets: DataFrame, similarity: float) -> DataFrame:
+    """The same over full sets (cid, shingles): no pair of the similarity is without a common list.
+
+    Of sizes a and b, partners have similarity / (1 + similarity) * (a + b) shingles in
+    common at least, so a class with fewer shared ones than its list's smallest size asks
+    for leaves the list.
+    """
+    values = sets.select("cid", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("value"))
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = (values.join(shared, "value").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+              .withColumn("head", F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1 - (F.col("n") - F.size("v"))).where("head > 0"))
+    central = F.aggregate("v", F.lit(0).cast("long"), lambda total, x: total + x["df"])
+    rows = stage(listed.select("cid", "n", F.size("v").alias("c"), central.alias("w"), F.explode(F.expr("slice(v, 1, cast(head AS int))")).alias("e"))
+                 .select("e.value", "cid", "n", "c", "w"), "nd-exact")
+    least = rows.groupBy("value").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least") * 1.0, F.col("n") * similarity)
+    needed = similarity / (1 + similarity) * (F.col("n") + partner) - 1e-6
+    return rows.join(least, "value").where(F.col("c") >= needed).select("value", "cid", "n", "w")
 
 
 def _open_lists(postings: DataFrame) -> DataFrame:
@@ -93,15 +119,33 @@ def _open_lists(postings: DataFrame) -> DataFrame:
     return postings.join(wide.select("value"), "value")
 
 
-def _pairs(postings: DataFrame, similarity: float, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """This round's pivots (value, pivot, ...) and the distinct pairs that they make with members of other components."""
+def _close(n: str, m: str, similarity: float):
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def _pivot_pairs(postings: DataFrame, similarity: float, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """The most central class of each list (or of each of its ``pivots`` shares), and its pairs with members of other components."""
     share = F.pmod(F.xxhash64("cid"), F.lit(pivots)) if pivots > 1 else F.lit(0)
-    chosen = (postings.groupBy("value", share.alias("share")).agg(F.min(F.struct("cid", "n", "comp")).alias("p"))
+    chosen = (postings.groupBy("value", share.alias("share")).agg(F.max(F.struct("w", "cid", "n", "comp")).alias("p"))
               .select("value", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")))
-    close = F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-9
-    pairs = (postings.join(chosen, "value").where((F.col("comp") != F.col("pcomp")) & close)
-             .select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct())
-    return chosen, pairs
+    # a list's pivots travel as one array, and a class gathers those of its lists once: a pair that many lists share is made once
+    by_list = chosen.groupBy("value").agg(F.collect_list(F.struct("pivot", "pn", "pcomp")).alias("pivots"))
+    met = (postings.join(by_list, "value").groupBy("cid", "n", "comp")
+           .agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots")))
+    pairs = (met.select("cid", "n", "comp", F.explode(F.filter("pivots", lambda p: (p["pcomp"] != F.col("comp")) & _close_to(p["pn"], similarity))).alias("p"))
+             .select(F.least("cid", "p.pivot").alias("a"), F.greatest("cid", "p.pivot").alias("b")).distinct())
+    return chosen.select("value", F.col("pivot").alias("cid")), pairs
+
+
+def _close_to(m, similarity: float):
+    return F.least(F.col("n"), m) >= similarity * F.greatest(F.col("n"), m) - 1e-9
+
+
+def _short_pairs(postings: DataFrame, similarity: float) -> DataFrame:
+    """All pairs across components in lists of at most SHORT members."""
+    other = postings.select("value", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
+    return (postings.withColumnRenamed("cid", "a").join(other, "value")
+            .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & _close("n", "bn", similarity)).select("a", "b").distinct())
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, k: int = K) -> DataFrame:
@@ -125,39 +169,63 @@ def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: f
     return likely.where("sure").select("a", "b").union(checked.select("a", "b"))
 
 
+class Links:
+    """Confirmed links so far, as components of classes."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, postings: DataFrame, width: int, similarity: float, k: int):
+        self.classes, self.similarity, self.k, self.comps = classes, similarity, k, None
+        wanted = postings.select("cid").distinct().join(classes, "cid").select("cid", F.col("digest").alias("d"), F.col("rep").alias("r"))
+        source = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("r"))).select("cid", "text", "d")
+        self.sets = stage(_sets_of(source, width), "nd-sets")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm pairs (a, b) of classes and merge the components that they link."""
+        links = stage(confirm(stage(pairs, "nd-pairs"), self.classes, self.sets, self.similarity, self.k), "nd-links")
+        if links.isEmpty():
+            return
+        edges = links if self.comps is None else self.relabel(self.relabel(links.withColumn("comp", F.col("a"))).withColumn("a", F.col("comp")).withColumn("comp", F.col("b"))) \
+            .select("a", F.col("comp").alias("b")).where("a <> b")
+        merged = connected_components(edges).select(F.col("node").alias("cid"), "comp")
+        if self.comps is None:
+            self.comps = merged
+            return
+        into = merged.select(F.col("cid").alias("comp"), F.col("comp").alias("into"))
+        moved = self.comps.join(into, "comp", "left").select("cid", F.coalesce("into", "comp").alias("comp"))
+        self.comps = stage(moved.union(merged.join(self.comps.select("cid"), "cid", "left_anti")), "nd-comps")
+
+    def relabel(self, frame: DataFrame) -> DataFrame:
+        """``frame`` with its ``comp`` (a class or an older component) replaced by the component now."""
+        if self.comps is None:
+            return frame
+        now = self.comps.select(F.col("cid").alias("comp"), F.col("comp").alias("now"))
+        return frame.join(now, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now").select(*frame.columns)
+
+
 def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id linked), kept, one row per input row."""
     rows = stage(sketches(docs, width, k), "nd-sketches")
     classes = stage(rows.where("digest IS NOT NULL").groupBy("digest")
                     .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
                     .withColumn("cid", F.monotonically_increasing_id()), "nd-classes")
-    postings = stage(inverted_lists(classes, similarity, k), "nd-lists").withColumn("comp", F.col("cid"))
-    comps = None
-    sets = None
-    step = 0
-    while True:
-        postings = stage(_open_lists(postings), "nd-open")
-        if postings.isEmpty():
-            break
-        if sets is None:
-            wanted = postings.select("cid").distinct().join(classes, "cid").select("cid", F.col("digest").alias("d"), F.col("rep").alias("r"))
-            source = (docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("r"))).select("cid", "text", "d"))
-            sets = stage(_sets_of(source, width), "nd-sets")
-        pivots = PIVOTS[step] if step < len(PIVOTS) else PIVOTS[-1] * 4 ** (step - len(PIVOTS) + 1)
-        chosen, pairs = _pairs(postings, similarity, pivots)
-        links = confirm(stage(pairs, "nd-pairs"), classes, sets, similarity, k)
-        at = postings.select("cid", "comp").distinct()
-        edges = stage(links.join(at.withColumnsRenamed({"cid": "a", "comp": "ca"}), "a").join(at.withColumnsRenamed({"cid": "b", "comp": "cb"}), "b")
-                      .select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "nd-edges")
-        used = chosen.select("value", F.col("pivot").alias("cid"))
-        postings = postings.join(used, ["value", "cid"], "left_anti")
-        if not edges.isEmpty():
-            merged = connected_components(edges)
-            postings = _relabel(postings, merged)
-            grown = merged.select(F.col("node").alias("cid"), "comp")
-            comps = grown if comps is None else stage(_relabel(comps, merged).union(
-                grown.join(comps.select("cid"), "cid", "left_anti")), "nd-comps")
-        step += 1
+    postings = stage(_open_lists(inverted_lists(classes, similarity, k).withColumn("comp", F.col("cid"))), "nd-lists")
+    links = None if postings.isEmpty() else Links(docs, classes, postings, width, similarity, k)
+    if links:
+        pivots, pairs = _pivot_pairs(postings, similarity, 1)
+        links.add(pairs)
+        postings = stage(_open_lists(links.relabel(postings.join(pivots, ["value", "cid"], "left_anti"))), "nd-open")
+        sizes = postings.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
+        links.add(_short_pairs(postings.join(sizes.where(F.col("m") <= SHORT).select("value"), "value"), similarity))
+        long = stage(postings.join(sizes.where(F.col("m") > SHORT).select("value"), "value").select("cid").distinct(), "nd-long")
+        if not long.isEmpty():
+            exact = exact_lists(links.sets.join(long, "cid"), similarity).withColumn("comp", F.col("cid"))
+            postings = stage(_open_lists(links.relabel(exact)), "nd-open")
+            step = 0
+            while not postings.isEmpty():
+                pivots, pairs = _pivot_pairs(postings, similarity, PIVOTS[step] if step < len(PIVOTS) else PIVOTS[-1] * 4 ** (step - len(PIVOTS) + 1))
+                links.add(pairs)
+                postings = stage(_open_lists(links.relabel(postings.join(pivots, ["value", "cid"], "left_anti"))), "nd-open")
+                step += 1
+    comps = links.comps if links else None
     member = classes.select("digest", "cid", "rep")
     member = member.withColumn("comp", F.col("cid")) if comps is None else \
         member.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -183,12 +251,6 @@ def _sets_of(source: DataFrame, width: int) -> DataFrame:
     return source.mapInArrow(run, "cid long, shingles array<long>").dropDuplicates(["cid"])
 
 
-def _relabel(frame: DataFrame, merged: DataFrame) -> DataFrame:
-    """``frame`` with its ``comp`` replaced where components have merged."""
-    m = merged.select(F.col("node").alias("comp"), F.col("comp").alias("into"))
-    return frame.join(m, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into").select(*frame.columns)
-
-
 @query("op5_near_dedup")
 def op5_near_dedup(spark, sf_dir):
     return near_classes(table(spark, sf_dir, "documents"), width=3, similarity=0.85)
