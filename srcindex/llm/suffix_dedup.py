@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcindex.llm.common import query, table, text_of, text_slices
-from srcindex.llm.shingles import BYTE, POWERS, mixed
+from srcindex.llm.shingles import POWERS, mixed
 from srcindex.session import stage
 
 #: Length of a repeat; length of an anchor's gram; different surroundings of a gram that one task sorts.
@@ -41,7 +41,8 @@ WIDTH, GRAM, GROUP = 200, 40, 20_000
 PART = 1 << 20
 
 _RNG = np.random.default_rng(77)
-BYTE2 = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Two independent random numbers per byte (case matters here).
+BYTE, BYTE2 = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
 
 def sums_of(data: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -181,9 +182,9 @@ def suffix_order(data: np.ndarray, sums: np.ndarray, start: np.ndarray, size: np
         target = at.copy()
         base = np.minimum(own, other)[moves]
         target[moves] = base + (at[moves] - own[moves]) + (lo - other[moves])
-        merged = np.empty(n, np.int64)
-        merged[target] = order
-        order = merged
+        if (np.bincount(target, minlength=n) != 1).any():
+            return np.arange(n)  # a hash has lied and two elements claim one place; verification sees to it
+        order = order[np.argsort(target)]
         run *= 2
     return order
 

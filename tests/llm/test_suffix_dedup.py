@@ -103,3 +103,17 @@ def test_long_texts_go_in_parts(monkeypatch):
     monkeypatch.setattr(sd, "PART", 1500)
     have = sd.anchors([raw])
     assert all((a == b).all() for a, b in zip(want, have))
+
+
+def test_case_matters_and_inconsistent_hashes_are_survived(monkeypatch):
+    """A hash that cannot tell cases apart contradicts the bytes; the verified order is right all the same."""
+    rng = random.Random(8)
+    parts = ["".join(rng.choices("aAbB", k=rng.randint(1, 9))).encode() for _ in range(200)]
+    size = np.array([len(p) for p in parts])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    folded = sd.BYTE.copy()
+    folded[65:91] = folded[97:123]
+    for numbers in (sd.BYTE, folded):
+        monkeypatch.setattr(sd, "BYTE", numbers)
+        order, _ = sd.verified_order(data, np.cumsum(size) - size, size, np.zeros(200, np.int64))
+        assert [parts[i] for i in order] == sorted(parts)
