@@ -43,7 +43,7 @@ def main(argv=None) -> None:
         sources, undecodable = decode_sources(raw)
         result = index_corpus(sources.select("filepath", "code"), store)
         rejects = f"{store.path}-rejects"
-        (undecodable.select("filepath", "reason").unionByName(result.pop("rejects"))
+        (undecodable.select("filepath", "reason").unionByName(result.rejects)
          .write.mode("overwrite").parquet(rejects))
         result["undecodable"] = undecodable.count()
         result["rejects"] = rejects

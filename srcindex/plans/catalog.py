@@ -364,7 +364,7 @@ def job_index_rejects(spark, sf_dir):
     mods = rendered_modules(spark, sf_dir)
     broken = F.when(F.col("p_partkey") % 13 == 0, F.concat(F.lit("def ("), "code")).otherwise(F.col("code"))
     store = IndexStore(spark, scratch_path(spark, "index"))
-    return index_corpus(mods.select("filepath", broken.alias("code")), store)["rejects"]
+    return index_corpus(mods.select("filepath", broken.alias("code")), store).rejects
 
 
 @query("job_index")

@@ -13,18 +13,24 @@ from srcindex.session import stage
 from srcindex.sources.index_store import IndexStore
 
 
+class IndexReport(dict):
+    """``written`` and ``errors`` (modules that cannot be read); ``rejects`` is their table (filepath, reason)."""
+
+    rejects: DataFrame
+
+
 def index_corpus(sources: DataFrame, store: IndexStore, method_slice: str = "file",
-                 dim: int = DEFAULT_DIM, tag: str | None = None) -> dict:
+                 dim: int = DEFAULT_DIM, tag: str | None = None) -> IndexReport:
     """J-1: (filepath, code) -> index entries inserted into ``store``.
 
     The parse runs once (staged); an empty corpus writes nothing. Modules that cannot
-    be read are reported, however many others were written: ``errors`` counts them and
-    ``rejects`` is the table (filepath, reason), staged with the parse.
+    be read are reported, however many others were written: the report counts them and
+    has their table, staged with the parse.
     """
     facts = stage(CH.parse_sources(sources), "facts")
-    rejects = CH.source_errors(facts)
     kinds = {r["kind"]: r["count"] for r in facts.groupBy("kind").count().collect()}  # three kinds
-    report = {"written": "def" in kinds, "definitions": kinds.get("def", 0), "errors": kinds.get("error", 0), "rejects": rejects}
+    report = IndexReport(written="def" in kinds, errors=kinds.get("error", 0))
+    report.rejects = CH.source_errors(facts)
     if report["written"]:
         store.insert(prepare_entries(CH.chunk_table(facts, method_slice=method_slice), dim=dim), tag=tag)
     return report
