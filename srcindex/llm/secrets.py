@@ -1,13 +1,16 @@
 r"""Secret scan: fixed rules plus a battery of randomness tests with false-discovery control.
 
 Rules find assignments, access keys and long hex runs. Beyond them, every maximal
-run of token characters of ``LEAST`` characters or more that is not part of a rule
-match is tested. Its encoding is inferred from the characters it uses, and three
-tests ask if it could be drawn evenly from that alphabet: chi-squared uniformity of
-the symbols, Wald-Wolfowitz runs of low and high symbols, and lag-one serial
-correlation of symbol values. Fisher's method combines them; a run that they reject
-is not random. The chi-squared statistic is also held against the distribution that
-it has for letters of ordinary prose, which gives a p-value for "this is text".
+run of token characters of ``LEAST`` characters or more outside rule matches is
+tested; a run that no alphabet holds whole (it has ``/`` or ``+`` and ``-`` or ``_``)
+is cut at ``/``, and where that is not enough at ``+``, into pieces that are, and so
+is a path that is found not random as a whole.
+
+A run's encoding is inferred from its characters, and three tests ask if it could be drawn evenly from that alphabet: chi-squared uniformity of the symbols,
+Wald-Wolfowitz runs of low and high symbols, and lag-one serial correlation of
+symbol values. Fisher's method combines them; a run that they reject is not random.
+The chi-squared statistic is also held against the distribution that it has for
+letters of ordinary prose, which gives a p-value for "this is text".
 
 A weighted Benjamini-Hochberg step over all runs of the corpus, with weights by
 length class (short runs carry little evidence and get little of the error rate),
@@ -57,7 +60,7 @@ ASSIGN = re.compile(
     r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}" % LEAST)
+RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
 _SETS = [(name, frozenset(chars), {c: i for i, c in enumerate(chars)}) for name, chars in ALPHABETS]
 
 
@@ -118,15 +121,41 @@ def battery(values: list[int], k: int, moments: tuple[float, float]) -> tuple[fl
     return p_random, _upper((mean - chi2) / math.sqrt(var))
 
 
-def tested_runs(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, stop, place, p-value of prose) of the runs outside rule matches that pass the battery or fail it (p = 1)."""
+def _cut(text: str, a: int, b: int, at: str) -> list[tuple[int, int]]:
+    """(start, stop) of the parts of text[a:b] between the characters ``at``."""
+    out = []
+    for part in text[a:b].split(at):
+        out.append((a, a + len(part)))
+        a += len(part) + 1
+    return out
+
+
+def pieces(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, stop) of what is tested: runs outside rule matches; one without an alphabet is cut at ``/``, and what still has none at ``+``."""
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, e, _ in taken) or (run := m.group()).isdigit() or not (found := infer(run)):
+        for s, e in sorted((s, e) for s, e, _ in taken if s < b and a < e):
+            out.append((a, s))
+            a = max(a, e)
+        out.append((a, b))
+    for at in "/+":
+        out = [p for a, b in out for p in ([(a, b)] if b - a < LEAST or infer(text[a:b]) else _cut(text, a, b, at))]
+    return [(a, b) for a, b in out if b - a >= LEAST]
+
+
+def tested_runs(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+    """(start, stop, place, p-value of prose) of the runs outside rule matches that pass the battery or fail it (p = 1)."""
+    out, todo = [], pieces(text, taken)
+    for a, b in todo:
+        if (run := text[a:b]).isdigit():
             continue
+        found = infer(run)
         place = next(i for i, (name, _) in enumerate(ALPHABETS) if name == found[0])
         p_random, p_text = battery(found[1], len(ALPHABETS[place][1]), MOMENTS[found[0]])
+        if p_random < NOT_RANDOM and "/" in run and (parts := [p for p in _cut(text, a, b, "/") if p[1] - p[0] >= LEAST]):
+            todo += parts  # a path that is not random as a whole can hold a token
+            continue
         mixed = any(c.isdigit() for c in run) or not (run.islower() or run.isupper() or run[1:].islower())
         out.append((a, b, place, p_text if mixed and p_random >= NOT_RANDOM else 1.0))
     return out

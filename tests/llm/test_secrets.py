@@ -71,3 +71,24 @@ def test_false_discovery_step():
 
 def test_empty_table(spark):
     assert rows_of(spark, {}) == {}
+
+
+def test_runs_after_equals_signs_and_in_paths(spark):
+    rng = random.Random(5)
+    token = {k: "".join(rng.choices(secrets.ALPHABETS[4][1], k=64)) for k in range(100)}
+    before = ("bearer=", "https://x.org/get?signature=", "AWS_KEY==", "io/a-b/c_d+e/", "org/some/longer/path/of/plain/lower/case/words/and/then/the/")
+    texts = {k: f"see {before[k % 5]}{t} there" for k, t in token.items()}
+    for k, t in token.items():
+        a = texts[k].index(t)
+        assert (a, a + 64) in [r[:2] for r in secrets.tested_runs(texts[k], secrets.rule_matches(texts[k]))], texts[k]
+    got = rows_of(spark, texts)
+    assert sum((texts[k].index(t), texts[k].index(t) + 64, False) in [s[1:] for s in got[k]] for k, t in token.items()) >= 95
+
+
+def test_pieces_of_a_run_without_an_alphabet():
+    cut = lambda text: [text[a:b] for a, b in secrets.pieces(text, secrets.rule_matches(text))]
+    long, plus = "Zx9Qw8ErTy7Ui6Op5As4Df3", "Zx9Qw8Er+Ty7Ui6Op5As4"
+    assert cut(f"a-b/{plus}/{long}/c") == [plus, long]  # a piece with an alphabet stays whole
+    assert cut(f"a-b/{long}+c_{long}") == [long, f"c_{long}"]
+    assert cut(f"a/{long}+b") == [f"a/{long}+b"]
+    assert cut(f"0123456789abcdef01234567_{long}") == [f"_{long}"]  # what a rule match leaves of a run
