@@ -61,6 +61,39 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert wrong <= 3
 
 
+def test_recall_of_short_secrets_at_one_percent(spark):
+    rng = random.Random(7)
+    words = sorted({w for r in table(spark, "/root/testdata/sf0.001", "documents").collect() for w in re.findall("[A-Za-z]{2,12}", r.text or "")})
+
+    def text_run(kind):
+        out = []
+        while len("-".join(out)) < 28:
+            w = rng.choice(words)
+            out.append(w.capitalize() if kind == 2 else str(rng.randrange(3000)) if rng.random() < 0.3 else w.lower())
+        return ("-", "_", "", "/")[kind].join(out)
+
+    sizes, chars = (20, 24, 32, 40), [chars for _, chars in secrets.ALPHABETS]
+    token = {k: "".join(rng.choices(chars[k % len(chars)], k=sizes[k // 7 % 4])) for k in range(140)}
+    texts = {k: f"see {t} there" for k, t in token.items() if not secrets.rule_matches(t)}
+    few = len(texts)
+    texts |= {1000 + k: f"see {text_run(k % 4)} there" for k in range(100 * few)}
+    got = rows_of(spark, texts)
+    found = {n: [any(not base for *_, base in got[k]) for k in texts if k < 1000 and len(token[k]) == n] for n in sizes}
+    for n, hits in found.items():
+        assert sum(hits) >= 0.9 * len(hits), (n, sum(hits), len(hits))
+    wrong = sum(bool(got[k]) for k in texts if k >= 1000)
+    assert wrong <= 0.05 * few, wrong
+
+
+def test_text_model_is_a_distribution_and_learns():
+    seen = secrets.transitions("zqzqzqzq") | {"x": 5000}
+    model = secrets.text_model({p: n / 1000 for p, n in seen.items()})
+    chars = secrets.ALPHABETS[5][1] + "-_"
+    for x in ("", "a", "z", "Q", "7", "_"):
+        assert abs(sum(10 ** model[x + c] for c in chars) - 1) < 1e-9
+    assert model["zq"] > secrets.PRIOR_MODEL["zq"] and sum(secrets.transitions("ab" * 50_000).values()) <= 64_000
+
+
 def test_false_discovery_step():
     assert secrets.least_bins({}) == {}
     flat = {(2, b): 100 for b in range(20)}  # evenly spread p-values down to 0.1: nothing to find
