@@ -8,6 +8,8 @@ first copy at cost 1, the second at cost 3, the third at 5: convex repetition
 costs. Back on Spark, a pattern's flow becomes whole copies of every document plus
 a seeded selection for the rest: a hash orders the documents, a histogram of the
 hash finds where the quota ends, and only the documents of that one bin are ranked.
+What the first document that does not fit leaves open is filled the same way from the
+remaining documents that are no longer than the gap, until none is.
 
 Defined results: a null text has size 0 and takes nothing; null is a source of its
 own, last in order; a null or empty membership is the pattern of that null source;
@@ -109,38 +111,61 @@ def min_cost_flow(supply: dict[tuple, int], quota: dict, most: int = MOST) -> di
             arcs[e ^ 1][1] += push
 
 
-def _select(d: DataFrame, rest: DataFrame, seed: int) -> DataFrame:
+def _select(d: DataFrame, rest: dict[str, int], seed: int) -> DataFrame:
     """``d`` plus ``extra`` (0/1): documents of each pattern in seeded order up to its ``rest`` of words.
 
-    Bins before the last one that the rest reaches are taken whole; inside that bin
-    documents are ranked and taken while they fit. What is then missing is filled
-    with the one untaken document whose size comes nearest to the gap.
+    A round takes of the untaken documents no longer than the gap the bins before the
+    last one that the gap reaches, and inside that bin the ranked documents up to the
+    first that does not fit. That one is longer than the gap it leaves, so each round
+    has fewer documents, and the rounds end when none is short enough. What is then
+    missing is filled with the one untaken document whose size comes nearest to the gap,
+    if that brings the sum nearer. The driver holds a few numbers a pattern and round.
     """
+    spark = d.sparkSession
     pick = F.xxhash64("doc_id", "size", F.lit(seed))
     d = d.withColumn("bin", F.pmod(pick, F.lit(BINS))).withColumn("tie", F.xxhash64(F.lit(seed + 1), "doc_id", "size"))
-    per_bin = d.groupBy("pattern", "bin").agg(F.sum("size").alias("words"))  # at most BINS rows a pattern
-    order = Window.partitionBy("pattern").orderBy("bin")
-    edge = (per_bin.withColumn("upto", F.sum("words").over(order))
-            .join(rest, "pattern").where("upto > rest")
-            .groupBy("pattern", "rest").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
-            .select("pattern", "rest", F.col("e.bin").alias("edge"), F.col("e.before").alias("before")))
-    edge = stage(edge, "mix-edge")
-    d = d.join(F.broadcast(edge), "pattern", "left")  # a row per pattern
+    gap, ended = {p: n for p, n in rest.items() if n > 0}, {}
+    rules: dict[str, list[tuple[int, int, int]]] = {p: [] for p in gap}  # by round: least and most size, and the bin before which all such are taken
+    fits = spark.createDataFrame([], "row_no long")
+    by_rule = F.exists("rules", lambda r: F.col("size").between(r["least"], r["most"]) & (F.col("bin") < r["edge"]))
+
+    def untaken(rows: DataFrame, most: Column) -> DataFrame:
+        """``rows`` of patterns with a gap that are not taken and hold up to ``most`` words."""
+        now = spark.createDataFrame([(p, gap[p], rules[p]) for p in gap], "pattern string, gap long, rules array<struct<least: int, most: long, edge: int>>")
+        return (rows.join(F.broadcast(now), "pattern").where((F.col("size") >= least) & (F.col("size") <= most) & ~by_rule)
+                .join(fits, "row_no", "left_anti"))
+
+    least = 0  # documents of size 0 go with the first round
     ranked = Window.partitionBy("pattern").orderBy("tie", "doc_id", "row_no")
-    inside = (d.where("bin = edge").withColumn("upto", F.sum("size").over(ranked) + F.col("before"))
-              .select("row_no", (F.col("upto") <= F.col("rest")).cast("int").alias("fits"),
-                      F.when(F.col("upto") <= F.col("rest"), F.col("upto")).otherwise(F.col("before")).alias("reach"), "pattern"))
-    inside = stage(inside, "mix-inside")
-    gap = (inside.groupBy("pattern").agg(F.max("reach").alias("reach")).join(edge, "pattern")
-           .select("pattern", (F.col("rest") - F.col("reach")).alias("gap")))
-    d = (d.join(inside.select("row_no", "fits"), "row_no", "left").join(F.broadcast(gap), "pattern", "left")
-         .withColumn("extra", F.when(F.col("edge").isNull(), 0).when(F.col("bin") < F.col("edge"), 1)
-                     .when(F.col("bin") > F.col("edge"), 0).otherwise(F.coalesce("fits", F.lit(0)))))
-    last = (d.where("extra = 0 AND edge IS NOT NULL AND size > 0 AND size < 2 * gap").groupBy("pattern")
-            .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "tie", "row_no")).alias("m"))
-            .select(F.col("m.row_no").alias("filler")))
-    return (d.join(F.broadcast(last), d.row_no == last.filler, "left")
-            .withColumn("extra", F.when(F.col("filler").isNotNull(), 1).otherwise(F.col("extra"))))
+    order = Window.partitionBy("pattern").orderBy("bin")
+    while gap:
+        left = untaken(d, F.col("gap"))
+        per_bin = left.groupBy("pattern", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))  # at most BINS rows a pattern
+        reach = (per_bin.withColumn("upto", F.sum("words").over(order)).groupBy("pattern")
+                 .agg(F.min(F.when(F.col("upto") > F.col("gap"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("e"),
+                      F.max("upto").alias("all")).collect())  # a row per pattern
+        edges = [(r.pattern, r.e.bin, r.e.before) for r in reach if r.e]
+        inside = []
+        if edges:
+            found = (left.join(F.broadcast(spark.createDataFrame(edges, "pattern string, edge long, before long")), "pattern").where("bin = edge")
+                     .withColumn("upto", F.sum("size").over(ranked) + F.col("before")).where("upto <= gap").select("row_no", "pattern", "upto"))
+            found = stage(found, "mix-inside")
+            inside = found.groupBy("pattern").agg(F.max("upto").alias("upto")).collect()  # a row per pattern
+            fits = fits.unionByName(found.select("row_no"))
+        sums = {r.pattern: r.e.before if r.e else r.all for r in reach} | {r.pattern: r.upto for r in inside}
+        for r in reach:
+            rules[r.pattern].append((least, gap[r.pattern], r.e.bin if r.e else BINS))
+        missing = {p: n - sums.get(p, 0) for p, n in gap.items()}
+        ended |= {p: n for p, n in missing.items() if not n or not sums.get(p)}  # full, or no document is short enough
+        gap, least = {p: n for p, n in missing.items() if p not in ended}, 1
+    gap = {p: n for p, n in ended.items() if n}
+    if gap:
+        last = (untaken(d, 2 * F.col("gap") - 1).groupBy("pattern")
+                .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "tie", "row_no")).alias("m")))
+        fits = fits.unionByName(stage(last.select(F.col("m.row_no").alias("row_no")), "mix-last"))
+    told = spark.createDataFrame(list(rules.items()), "pattern string, rules array<struct<least: int, most: long, edge: int>>")
+    return (d.join(F.broadcast(told), "pattern", "left").join(fits.withColumn("fits", F.lit(1)), "row_no", "left")
+            .withColumn("extra", (F.coalesce(by_rule, F.lit(False)) | F.col("fits").isNotNull()).cast("int")))
 
 
 def mix(docs: DataFrame, members: Column, size: Column, weights=WEIGHTS, share: float = SHARE, most: int = MOST,
@@ -165,10 +190,10 @@ def mix(docs: DataFrame, members: Column, size: Column, weights=WEIGHTS, share:
     targets = targets_of(list(by_source.items()), weights, share, most)
     flow = min_cost_flow(supply, {s: round(t) for s, t in targets.items()}, most)
     plan = {p: sum(f for (q, _), f in flow.items() if q == p) for p in supply}
-    rest = spark.createDataFrame([(name[p], plan[p] // n if n else 0, plan[p] - plan[p] // n * n if n else 0) for p, n in supply.items()],
-                                 "pattern string, copies long, rest long")
-    chosen = (_select(d, rest.select("pattern", "rest"), seed).select(*keep, "members", "pattern", "size", "extra", "row_no")
-              .join(F.broadcast(rest.select("pattern", F.col("copies").alias("whole"))), "pattern"))
+    whole = spark.createDataFrame([(name[p], plan[p] // n if n else 0) for p, n in supply.items()], "pattern string, whole long")
+    rest = {name[p]: plan[p] % n for p, n in supply.items() if n}
+    chosen = (_select(d, rest, seed).select(*keep, "members", "pattern", "size", "extra", "row_no")
+              .join(F.broadcast(whole), "pattern"))
     goals = spark.createDataFrame([(s, by_source[s], float(targets[s])) for s in by_source], "source string, source_size long, target double")
     copies = F.col("whole") + F.col("extra")
     return (chosen.select(*keep, "members", "size", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"),

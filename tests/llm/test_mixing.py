@@ -56,6 +56,14 @@ def test_taken_comes_near_the_targets_and_reruns_agree(spark):
     assert sorted(map(key, got)) == sorted(map(key, run(spark, random.Random(2).sample(rows, len(rows)))))
 
 
+def test_a_long_document_at_the_edge_leaves_no_gap(spark):
+    rows = [(i, "w " * 50, "a") for i in range(400)] + [(1000 + i, "w " * n, "a") for i, n in enumerate((9, 7, 3, 2, 1))]
+    for seed in range(4):  # the long document holds much of the words and comes at another place of the order each time
+        got = run(spark, rows + [(2000, "w " * 15_000, "a")], share=0.5, seed=seed)
+        # nothing untaken is shorter than the gap, so it ends within half of the usual document
+        assert abs(sum(r.taken for r in got) - got[0].target) <= 25, (seed, sum(r.taken for r in got), got[0].target)
+
+
 def test_overlapping_sources_and_empty_table(spark):
     rows = [(i, "w " * 10, ["a", "b"] if i % 2 else ["a"]) for i in range(100)] + [(500, "w", []), (501, "w", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, of array<string>")
