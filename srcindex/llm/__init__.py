@@ -6,6 +6,7 @@ imports it.
 """
 
 from srcindex.llm import (  # noqa: F401
+    alignment,
     ann,
     bpe,
     exact_dedup,
