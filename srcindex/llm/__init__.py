@@ -10,6 +10,7 @@ from srcindex.llm import (  # noqa: F401
     ann,
     bpe,
     exact_dedup,
+    exact_topk,
     line_dedup,
     mixing,
     near_dedup,
