@@ -14,6 +14,7 @@ from srcindex.llm import (  # noqa: F401
     line_dedup,
     mixing,
     near_dedup,
+    phrases,
     pii,
     secrets,
     suffix_dedup,
