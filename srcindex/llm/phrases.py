@@ -1,15 +1,19 @@
 r"""Phrase collocations by Toivonen's method: a sample proposes, full passes decide.
 
 Every ``SAMPLE``-th document (by a hash of its text) is mined alone with a lowered
-threshold; what it finds is proposed. A full pass then counts, exactly and in all
-documents, the proposals together with their negative border, that is every word, and
-every longer phrase whose two next shorter parts are proposed while it need not be.
-If a phrase of the border turns out frequent, the proposals failed there: it is added,
-and a further pass counts what this makes countable and was not counted before. The
-passes end when no frequent phrase is outside the proposals; then every frequent phrase
-has been counted, whatever the sample held (the counts of a phrase's parts are at least
-its own). A word is known after the first pass, so there are at most as many passes as
-words in the longest phrase.
+threshold; what it finds is proposed. A full pass then counts in all documents the
+proposals together with their negative border, that is every word, and every longer
+phrase whose two next shorter parts are proposed while it need not be. If a phrase of
+the border turns out frequent, the proposals failed there: it is added, and a further
+pass counts what this makes countable and was not counted before. The passes end when no
+frequent phrase is outside the proposals; then every frequent phrase has been counted,
+whatever the sample held (the counts of a phrase's parts are at least its own). A word
+is known after the first pass, so there are at most as many such passes as words in the
+longest phrase.
+
+These passes count by a phrase's 64-bit hash, which is short to shuffle and can only
+count too much where hashes meet. A last pass counts the phrases themselves, but only
+those whose hash was frequent, so all counts that come out are exact.
 
 Proposals travel as one bit filter of fixed size (``FILTER_BITS``). It knows every
 proposal; the others that it lets through are counted without need and change nothing.
@@ -41,7 +45,7 @@ SAMPLE = 8
 #: Bits of the filter (8 MB) and how many of them stand for a phrase.
 FILTER_BITS, HASHES = 1 << 26, 3
 #: Bytes of text counted at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word
 _KIND[[ord(c) for c in PARTS]], _KIND[[ord(c) for c in BREAKS]] = 1, 2
@@ -109,12 +113,13 @@ class Filter:
         return ((self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0).astype(bool)
 
 
-def count_slice(texts: pa.Array, langs: pa.Array, max_words: int, new: Filter | None, old: Filter | None):
-    """Yields (level, lang, phrase, n) arrays of one slice.
+def count_slice(texts: pa.Array, langs: pa.Array, max_words: int, new: Filter | None, old: Filter | None, exact: bool):
+    """Yields what one slice counts, by levels (numbers of words): (level, hashes, n), or with ``exact``
+    (level, langs, phrases, n) and as level 0 each lang's number of words.
 
-    ``new`` None: everything counts (the sample). Else phrases whose parts ``new`` has,
-    but for those that a pass with ``old`` has counted; words and, as level 0, each
-    lang's number of words in the first pass only (``old`` None).
+    ``new`` None: everything counts (the sample). Else the phrases whose parts ``new`` has,
+    but for those that a pass with ``old`` has counted; words in the first pass only
+    (``old`` None). With ``exact`` only phrases that ``new`` itself has count.
     """
     words, text, follows = cut_words(texts)
     if not len(words):
@@ -125,55 +130,74 @@ def count_slice(texts: pa.Array, langs: pa.Array, max_words: int, new: Filter |
     names = lang_codes.dictionary
     lang = lang_codes.indices.to_numpy().astype(np.int64)[text]
     word_hash, lang_hash = hashes(known.to_numpy(zero_copy_only=False)), hashes(names.to_numpy(zero_copy_only=False))
+    if exact:
+        yield 0, names, pa.array([""] * len(names), pa.large_string()), np.bincount(lang, minlength=len(names))
 
     code, pairs = pd.factorize(lang * len(known) + word)
+    del lang, word, text
     own_lang, own_word = pairs // len(known), pairs % len(known)
-    phrase = known.take(pa.array(own_word))
+    spelled = [own_word]  # of every phrase its words
     h = longer(lang_hash[own_lang], word_hash[own_word])
     in_new = np.ones(len(h), bool) if new is None else new.has(h)
     in_old = np.zeros(len(h), bool) if old is None else old.has(h)
-    if old is None:
-        yield 1, names.take(pa.array(own_lang)), phrase, np.bincount(code)
-        if new is not None:
-            n = np.bincount(lang, minlength=len(names))
-            yield 0, names, pa.array([""] * len(names), pa.large_string()), n
+    langs_of, part = own_lang, code
+    done = np.full(len(h), old is not None)
     base, at = len(pairs), code  # `at`: number of the phrase that begins at a word, -1 for none
-    for level in range(2, max_words + 1):
-        n = len(word) - level + 1
-        if n <= 0:
-            return
-        run = follows[level - 2:] & (at[:n] >= 0) & (at[1:n + 1] >= 0)  # each shorter phrase lies in one piece
-        where = np.flatnonzero(run)
-        where = where[in_new[at[where]] & in_new[at[where + 1]]]
-        head, tail, end = at[where], at[where + 1], code[where + level - 1]
-        part, uniq = pd.factorize(head * base + end)
-        if not len(uniq):
-            return
-        one = np.empty(len(uniq), np.int64)
-        one[part] = np.arange(len(part))  # a place of each phrase
-        head, tail, end = head[one], tail[one], end[one]
-        done = in_old[head] & in_old[tail]
-        lang_of = own_lang[end]
-        fresh = np.flatnonzero(~done)
-        text_of = pc.binary_join_element_wise(phrase.take(pa.array(head)), known.take(pa.array(own_word[end])), pa.scalar(" ", pa.large_string()))
-        yield level, names.take(pa.array(lang_of[fresh])), text_of.take(pa.array(fresh)), np.bincount(part)[fresh]
-        if level == max_words:
-            return
-        h = longer(h[head], word_hash[own_word[end]])
-        in_new = np.ones(len(h), bool) if new is None else new.has(h)
-        in_old = done & (False if old is None else old.has(h))
-        phrase = text_of
-        at = np.full(len(at), -1, np.int64)
-        at[where] = part
+    for level in range(1, max_words + 1):
+        if level > 1:
+            n = len(code) - level + 1
+            if n <= 0:
+                return
+            where = np.flatnonzero(follows[level - 2:] & (at[:n] >= 0) & (at[1:n + 1] >= 0))  # each shorter phrase lies in one piece
+            where = where[in_new[at[where]] & in_new[at[where + 1]]]
+            part, uniq = pd.factorize(at[where] * base + code[where + level - 1])
+            if not len(uniq):
+                return
+            head, end = uniq // base, uniq % base
+            one = np.empty(len(uniq), np.int64)
+            one[part] = where  # a place of each phrase
+            done = in_old[head] & in_old[at[one + 1]]
+            langs_of = own_lang[end]
+            spelled = [w[head] for w in spelled] + [own_word[end]]
+            h = longer(h[head], word_hash[own_word[end]])
+            in_new = np.ones(len(h), bool) if new is None else new.has(h)
+            in_old = done & (False if old is None else old.has(h))
+        count = np.bincount(part, minlength=len(h))
+        if exact:
+            show = np.flatnonzero(in_new)
+            phrase = known.take(pa.array(spelled[0][show]))
+            for w in spelled[1:]:
+                phrase = pc.binary_join_element_wise(phrase, known.take(pa.array(w[show])), pa.scalar(" ", known.type))
+            yield level, names.take(pa.array(langs_of[show])), phrase, count[show]
+        else:
+            show = np.flatnonzero(~done)
+            yield level, h[show], count[show]
+        if level > 1:
+            at = np.full(len(at), -1, np.int64)
+            at[where] = part
 
 
 # --- passes ---------------------------------------------------------------------------
 
-def counted(docs: DataFrame, max_words: int, new=None, old=None) -> DataFrame:
-    """(words, lang, phrase, n) summed over all documents; filters are broadcast variables."""
+def _shared(bits):
+    return None if bits is None else Filter(bits.value)
+
+
+def hash_counts(docs: DataFrame, max_words: int, new=None, old=None) -> DataFrame:
+    """(words, h, n) summed over all documents; filters are broadcast variables."""
+    def run(batches):
+        for part in text_slices(batches, "text", SLICE, 1 << 20):
+            for level, h, n in count_slice(part.column("text"), part.column("lang"), max_words, _shared(new), _shared(old), False):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int8)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["words", "h", "n"])
+
+    return docs.select("text", "lang").mapInArrow(run, "words byte, h long, n long").groupBy("h", "words").agg(F.sum("n").alias("n"))
+
+
+def exact_counts(docs: DataFrame, max_words: int, new) -> DataFrame:
+    """(words, lang, phrase, n) of the phrases that the filter has, and of level 0."""
     def run(batches):
         for part in text_slices(batches, "text", SLICE, 1 << 20):
-            for level, lang, phrase, n in count_slice(part.column("text"), part.column("lang"), max_words, new and Filter(new.value), old and Filter(old.value)):
+            for level, lang, phrase, n in count_slice(part.column("text"), part.column("lang"), max_words, _shared(new), None, True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(n, pa.int64())],
                                                  names=["words", "lang", "phrase", "n"])
 
@@ -181,55 +205,47 @@ def counted(docs: DataFrame, max_words: int, new=None, old=None) -> DataFrame:
             .groupBy("words", "lang", "phrase").agg(F.sum("n").alias("n")))
 
 
-def filter_bits(phrases: DataFrame, n_bits: int, known=None) -> np.ndarray:
-    """Bits of the phrases (words, lang, phrase) that the broadcast filter ``known`` does not have; zeros where there are none.
+def filter_bits(found: DataFrame, n_bits: int, known=None) -> np.ndarray:
+    """Bits of the hashes ``h`` that the broadcast filter ``known`` does not have; zeros where there are none.
 
     Spark joins the bits by 64-bit words, at most n_bits / 64 rows, which come to the driver.
     """
     def run(batches):
         for part in batches:
-            if not part.num_rows:
-                continue
-            levels = part.column("words").to_numpy()
-            for level in np.unique(levels).tolist():
-                rows = part.filter(pa.array(levels == level))
-                single = pc.split_pattern(rows.column("phrase"), " ").flatten().dictionary_encode()
-                word = hashes(single.dictionary.to_numpy(zero_copy_only=False))[single.indices.to_numpy()].reshape(-1, level)
-                h = hashes(rows.column("lang").to_numpy(zero_copy_only=False))
-                for k in range(level):
-                    h = longer(h, word[:, k])
-                if known is not None:
-                    h = h[~Filter(known.value).has(h)]
-                at = np.unique(Filter.places(h, n_bits))
-                slot, first = np.unique(at >> 6, return_index=True)
-                if len(slot):
-                    bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
-                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(bits.view(np.int64))], names=["slot", "bits"])
-
-    found = phrases.select("words", "lang", "phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+            h = part.column("h").to_numpy().view(np.uint64)
+            if known is not None:
+                h = h[~Filter(known.value).has(h)]
+            at = np.unique(Filter.places(h, n_bits))
+            slot, first = np.unique(at >> 6, return_index=True)
+            if len(slot):
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(bits.view(np.int64))], names=["slot", "bits"])
+
+    joined = found.select("h").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(n_bits // 64, np.uint64)
-    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    out[joined.column("slot").to_numpy()] = joined.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, sample: int = SAMPLE, n_bits: int = FILTER_BITS) -> tuple[DataFrame, int]:
     """(words, lang, phrase, n) of all phrases of 1 to ``max_words`` words with n >= ``min_count``, with one
-    row of 0 words for each lang (n: all its words); and the number of full passes."""
+    row of 0 words for each lang (n: all its words); and the number of passes until closed."""
     sc = docs.sparkSession.sparkContext
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
     lowered = max(2, min_count // sample)
-    proposals = counted(some, max_words - 1).where(F.col("n") >= lowered)
-    bits = filter_bits(proposals, n_bits)
-    old, passes, found = None, 0, None
+    bits = filter_bits(hash_counts(some, max_words - 1).where(F.col("n") >= lowered), n_bits)
+    old, passes, frequent = None, 0, np.zeros_like(bits)
     while True:
         new = sc.broadcast(bits)
         passes += 1
-        now = stage(counted(docs, max_words, new, old).where((F.col("words") == 0) | (F.col("n") >= min_count)), "phrases")
-        found = now if found is None else found.unionByName(now)
-        failed = filter_bits(now.where((F.col("words") > 0) & (F.col("words") < max_words)), n_bits, new)
+        now = stage(hash_counts(docs, max_words, new, old).where(F.col("n") >= min_count), "phrases")
+        frequent |= filter_bits(now, n_bits)
+        failed = filter_bits(now.where(F.col("words") < max_words), n_bits, new)
         if not failed.any():
-            return found, passes
+            break
         old, bits = new, bits | failed
+    counted = exact_counts(docs, max_words, sc.broadcast(frequent))
+    return stage(counted.where((F.col("words") == 0) | (F.col("n") >= min_count)), "phrases"), passes
 
 
 def collocations(docs: DataFrame, min_count: int = 10, max_words: int = 3, top: int = 2000, sample: int = SAMPLE, n_bits: int = FILTER_BITS) -> DataFrame:
