@@ -44,8 +44,8 @@ BREAKS, PARTS = ".,;:!?\n\x0b\x0c\r", " \t"
 SAMPLE = 8
 #: Bits of the filter (8 MB) and how many of them stand for a phrase.
 FILTER_BITS, HASHES = 1 << 26, 3
-#: Bytes of text counted at once.
-SLICE = 4 << 20
+#: Bytes of text counted at once; bytes of text for which a bucket of hashes is made; entries that a bucket holds before it sums them up.
+SLICE, BUCKET, JOINED = 4 << 20, 128 << 20, 4_000_000
 
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word
 _KIND[[ord(c) for c in PARTS]], _KIND[[ord(c) for c in BREAKS]] = 1, 2
@@ -183,14 +183,57 @@ def _shared(bits):
     return None if bits is None else Filter(bits.value)
 
 
-def hash_counts(docs: DataFrame, max_words: int, new=None, old=None) -> DataFrame:
-    """(words, h, n) summed over all documents; filters are broadcast variables."""
+def add_up(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes in order, and the sum of each."""
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    return h[first], np.add.reduceat(n, first) if len(h) else n
+
+
+def hash_counts(docs: DataFrame, max_words: int, least: int, buckets: int, new=None, old=None) -> DataFrame:
+    """(words, h, n) with n >= ``least``, summed over all documents; filters are broadcast variables.
+
+    A slice's hashes and counts are dealt to ``buckets`` by their hash and travel packed,
+    one row for each bucket; a bucket is summed as its rows stream in.
+    """
     def run(batches):
         for part in text_slices(batches, "text", SLICE, 1 << 20):
             for level, h, n in count_slice(part.column("text"), part.column("lang"), max_words, _shared(new), _shared(old), False):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int8)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["words", "h", "n"])
+                bucket = ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+                bucket, h, n = bucket[order], h[order], n[order].astype(np.int64)
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+                ends = pa.py_buffer((np.append(first, len(h)) * 8).astype(np.int64))
+                packed = lambda x: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, ends, pa.py_buffer(x)]).cast(pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level, np.int8)), pa.array(bucket[first].astype(np.int32)), packed(h), packed(n)],
+                                                 names=["words", "bucket", "h", "n"])
+
+    def join(batches):
+        held: dict[int, list] = {}  # of each level the sums so far, and what came since
+        fresh, kept = 0, 0
+
+        def settle():
+            for level, (hs, ns) in held.items():
+                h, n = add_up(np.concatenate(hs), np.concatenate(ns))
+                held[level] = [[h], [n]]
 
-    return docs.select("text", "lang").mapInArrow(run, "words byte, h long, n long").groupBy("h", "words").agg(F.sum("n").alias("n"))
+        for part in batches:
+            for level, h, n in zip(*(part.column(c).to_pylist() for c in ("words", "h", "n"))):
+                hs, ns = held.setdefault(level, [[], []])
+                hs.append(np.frombuffer(h, np.uint64))
+                ns.append(np.frombuffer(n, np.int64))
+                fresh += len(ns[-1])
+            if fresh > max(JOINED, kept):
+                settle()
+                fresh, kept = 0, sum(len(ns[0]) for _, ns in held.values())
+        settle()
+        for level, ((h,), (n,)) in held.items():
+            h, n = h[n >= least], n[n >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), level, np.int8)), pa.array(h.view(np.int64)), pa.array(n)], names=["words", "h", "n"])
+
+    return (docs.select("text", "lang").mapInArrow(run, "words byte, bucket int, h binary, n binary")
+            .repartition(buckets, "bucket").mapInArrow(join, "words byte, h long, n long"))
 
 
 def exact_counts(docs: DataFrame, max_words: int, new) -> DataFrame:
@@ -233,12 +276,14 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, s
     sc = docs.sparkSession.sparkContext
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
     lowered = max(2, min_count // sample)
-    bits = filter_bits(hash_counts(some, max_words - 1).where(F.col("n") >= lowered), n_bits)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    bits = filter_bits(hash_counts(some, max_words - 1, lowered, buckets), n_bits)
     old, passes, frequent = None, 0, np.zeros_like(bits)
     while True:
         new = sc.broadcast(bits)
         passes += 1
-        now = stage(hash_counts(docs, max_words, new, old).where(F.col("n") >= min_count), "phrases")
+        now = stage(hash_counts(docs, max_words, min_count, buckets, new, old), "phrases")
         frequent |= filter_bits(now, n_bits)
         failed = filter_bits(now.where(F.col("words") < max_words), n_bits, new)
         if not failed.any():
