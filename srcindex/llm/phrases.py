@@ -45,7 +45,7 @@ SAMPLE = 8
 #: Bits of the filter (8 MB) and how many of them stand for a phrase.
 FILTER_BITS, HASHES = 1 << 26, 3
 #: Bytes of text counted at once; bytes of text for which a bucket of hashes is made; entries that a bucket holds before it sums them up.
-SLICE, BUCKET, JOINED = 4 << 20, 128 << 20, 4_000_000
+SLICE, BUCKET, JOINED = 1 << 20, 128 << 20, 1_000_000
 
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word
 _KIND[[ord(c) for c in PARTS]], _KIND[[ord(c) for c in BREAKS]] = 1, 2
@@ -209,6 +209,11 @@ def hash_counts(docs: DataFrame, max_words: int, least: int, buckets: int, new=N
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level, np.int8)), pa.array(bucket[first].astype(np.int32)), packed(h), packed(n)],
                                                  names=["words", "bucket", "h", "n"])
 
+    def flat(column):
+        """The packed numbers of all rows."""
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].view(np.int64)
+
     def join(batches):
         held: dict[int, list] = {}  # of each level the sums so far, and what came since
         fresh, kept = 0, 0
@@ -219,11 +224,13 @@ def hash_counts(docs: DataFrame, max_words: int, least: int, buckets: int, new=N
                 held[level] = [[h], [n]]
 
         for part in batches:
-            for level, h, n in zip(*(part.column(c).to_pylist() for c in ("words", "h", "n"))):
+            level_of = np.repeat(part.column("words").to_numpy(), pc.binary_length(part.column("h")).to_numpy() // 8)
+            h, n = (flat(part.column(c)) for c in ("h", "n"))
+            for level in np.unique(level_of).tolist():
                 hs, ns = held.setdefault(level, [[], []])
-                hs.append(np.frombuffer(h, np.uint64))
-                ns.append(np.frombuffer(n, np.int64))
-                fresh += len(ns[-1])
+                hs.append(h[level_of == level].view(np.uint64))
+                ns.append(n[level_of == level])
+            fresh += len(h)
             if fresh > max(JOINED, kept):
                 settle()
                 fresh, kept = 0, sum(len(ns[0]) for _, ns in held.values())
