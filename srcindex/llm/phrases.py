@@ -45,7 +45,7 @@ SAMPLE = 8
 #: Bits of the filter (8 MB) and how many of them stand for a phrase.
 FILTER_BITS, HASHES = 1 << 26, 3
 #: Bytes of text counted at once; bytes of text for which a bucket of hashes is made; entries that a bucket holds before it sums them up.
-SLICE, BUCKET, JOINED = 1 << 20, 128 << 20, 1_000_000
+SLICE, BUCKET, JOINED = 1 << 20, 4 << 20, 1_000_000
 
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word
 _KIND[[ord(c) for c in PARTS]], _KIND[[ord(c) for c in BREAKS]] = 1, 2
@@ -284,7 +284,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, s
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
     lowered = max(2, min_count // sample)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET)
     bits = filter_bits(hash_counts(some, max_words - 1, lowered, buckets), n_bits)
     old, passes, frequent = None, 0, np.zeros_like(bits)
     while True:
