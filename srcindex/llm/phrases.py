@@ -4,12 +4,13 @@ Every ``SAMPLE``-th document (by a hash of its text) is mined alone with a lower
 threshold; what it finds is proposed. A full pass then counts in all documents the
 proposals together with their negative border, that is every word, and every longer
 phrase whose two next shorter parts are proposed while it need not be. If a phrase of
-the border turns out frequent, the proposals failed there: it is added, and a further
-pass counts what this makes countable and was not counted before. The passes end when no
-frequent phrase is outside the proposals; then every frequent phrase has been counted,
-whatever the sample held (the counts of a phrase's parts are at least its own). A word
-is known after the first pass, so there are at most as many such passes as words in the
-longest phrase.
+the border turns out frequent, the proposals failed there: an expansion pass adds it and
+counts every phrase that this makes countable and that was not counted before. As it
+takes all that it counts for proposed, it counts the border of its own phrases, too, and
+so the proposals are closed after it: every frequent phrase has been counted, whatever
+the sample held (the counts of a phrase's parts are at least its own; all words are
+known after the first pass; a phrase whose parts were all counted then is frequent only
+if they are, and one with a part that was not is counted in the expansion).
 
 These passes count by a phrase's 64-bit hash, which is short to shuffle and can only
 count too much where hashes meet. A last pass counts the phrases themselves, but only
@@ -162,6 +163,8 @@ def count_slice(texts: pa.Array, langs: pa.Array, max_words: int, new: Filter |
             h = longer(h[head], word_hash[own_word[end]])
             in_new = np.ones(len(h), bool) if new is None else new.has(h)
             in_old = done & (False if old is None else old.has(h))
+            if old is not None:
+                in_new |= ~done  # what an expansion counts it takes for proposed
         count = np.bincount(part, minlength=len(h))
         if exact:
             show = np.flatnonzero(in_new)
@@ -246,7 +249,7 @@ def hash_counts(docs: DataFrame, max_words: int, least: int, buckets: int, new=N
 def exact_counts(docs: DataFrame, max_words: int, new) -> DataFrame:
     """(words, lang, phrase, n) of the phrases that the filter has, and of level 0."""
     def run(batches):
-        for part in text_slices(batches, "text", SLICE, 1 << 20):
+        for part in text_slices(batches, "text", 4 * SLICE, 1 << 20):
             for level, lang, phrase, n in count_slice(part.column("text"), part.column("lang"), max_words, _shared(new), None, True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(n, pa.int64())],
                                                  names=["words", "lang", "phrase", "n"])
@@ -286,18 +289,14 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, s
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET)
     bits = filter_bits(hash_counts(some, max_words - 1, lowered, buckets), n_bits)
-    old, passes, frequent = None, 0, np.zeros_like(bits)
-    while True:
-        new = sc.broadcast(bits)
-        passes += 1
-        now = stage(hash_counts(docs, max_words, min_count, buckets, new, old), "phrases")
-        frequent |= filter_bits(now, n_bits)
-        failed = filter_bits(now.where(F.col("words") < max_words), n_bits, new)
-        if not failed.any():
-            break
-        old, bits = new, bits | failed
+    first = sc.broadcast(bits)
+    now = stage(hash_counts(docs, max_words, min_count, buckets, first), "phrases")
+    frequent = filter_bits(now, n_bits)
+    failed = filter_bits(now.where(F.col("words") < max_words), n_bits, first)
+    if failed.any():
+        frequent |= filter_bits(hash_counts(docs, max_words, min_count, buckets, sc.broadcast(bits | failed), first), n_bits)
     counted = exact_counts(docs, max_words, sc.broadcast(frequent))
-    return stage(counted.where((F.col("words") == 0) | (F.col("n") >= min_count)), "phrases"), passes
+    return stage(counted.where((F.col("words") == 0) | (F.col("n") >= min_count)), "phrases"), 1 + bool(failed.any())
 
 
 def collocations(docs: DataFrame, min_count: int = 10, max_words: int = 3, top: int = 2000, sample: int = SAMPLE, n_bits: int = FILTER_BITS) -> DataFrame:
