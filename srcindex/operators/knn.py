@@ -1,11 +1,14 @@
 """Batch nearest-neighbour joins (Q-1 .. Q-4).
 
-Sparse (hashed token counts): the query postings are joined to the index
-postings on ``bucket``; a partial aggregate sums ``q.tf * d.tf`` per
-(query, entry) inside each index partition, so only one reduced row per pair
-crosses the shuffle. The query side is broadcast only after its posting count
-is measured; above the limit, both sides are shuffled on ``(bucket, salt)``,
-which splits a hot bucket (a very common token) over ``salt`` tasks.
+Both sides are Spark tables throughout; nothing of them passes through the driver.
+
+* By default every entry is scored: query blocks meet index parts in cogroups of
+  bounded size that keep a running top-k (:mod:`srcindex.operators.blocks`).
+* ``method="cut"`` finds the pairs within a distance cut by an exact prefix-filtered
+  similarity join (:mod:`srcindex.operators.threshold`), which scores few of them.
+* ``method="join"`` is the plain relational form: postings joined on ``(bucket, salt)``,
+  which splits a hot bucket (a very common token) over several tasks, and a partial sum
+  of ``q.tf * d.tf``.
 
 Top-k uses ``row_number() <= k`` over ``(distance, entry_id)``; Spark plans it
 as a ``WindowGroupLimit`` so every task keeps only k rows per query before the
@@ -17,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcindex.functions.embed import postings
+from srcindex.functions.embed import DEFAULT_DIM, idf_weights, postings
+from srcindex.operators.blocks import BLOCK_ROWS, PART_ROWS, block_join, dense_kernel, sparse_kernel
+from srcindex.operators.threshold import pairs_within
 
 # Fixed values from the reference's retrieval defaults.
 DEFAULT_K = 5
 DEFAULT_MAX_DISTANCE = 0.55
 
-BROADCAST_MAX_POSTINGS = 2_000_000
 DEFAULT_SALT = 16
 
 
@@ -41,280 +45,95 @@ def top_k(pairs: DataFrame, k: int, query_id: str = "query_id", entry_id: str =
 
 
 def sparse_candidates(queries: DataFrame, index: DataFrame, query_id: str = "query_id",
-                      entry_id: str = "entry_id",
-                      broadcast_max_postings: int = BROADCAST_MAX_POSTINGS,
-                      salt: int = DEFAULT_SALT) -> DataFrame:
+                      entry_id: str = "entry_id", salt: int = DEFAULT_SALT) -> DataFrame:
     """Every (query, entry) pair sharing a bucket with its distance.
 
     ``queries`` / ``index`` carry ``buckets``, ``tfs``, ``norm2`` columns
-    (see :func:`srcindex.functions.embed.embed`).
+    (see :func:`srcindex.functions.embed.embed`). Each index posting gets one salt,
+    each query posting is repeated for every salt.
     """
-    qp = (postings(queries.select(query_id, "buckets", "tfs", F.col("norm2").alias("qnorm2")),
-                   query_id, keep=("qnorm2",))
-          .withColumnRenamed("tf", "qtf"))
-    ip = postings(index.select(entry_id, "buckets", "tfs", "norm2"), entry_id, keep=("norm2",))
-
-    n_query_postings = qp.count()
-    if n_query_postings <= broadcast_max_postings:
-        joined = ip.join(F.broadcast(qp), "bucket")
-    else:
-        # Hot buckets: each index posting gets one salt value, each query
-        # posting is repeated for every salt, so a bucket is spread over
-        # ``salt`` join tasks instead of one.
-        ip_s = ip.withColumn("salt", F.pmod(F.xxhash64(entry_id), F.lit(salt)).cast("int"))
-        qp_s = qp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        joined = ip_s.join(qp_s, ["bucket", "salt"])
-    dots = (joined.groupBy(query_id, "qnorm2", entry_id, "norm2")
-                  .agg(F.sum(F.col("qtf").cast("long") * F.col("tf").cast("long")).alias("dot")))
+    qp = (postings(queries.select(query_id, "buckets", "tfs", F.col("norm2").alias("qnorm2")), query_id, keep=("qnorm2",))
+          .withColumnRenamed("tf", "qtf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
+    ip = (postings(index.select(entry_id, "buckets", "tfs", "norm2"), entry_id, keep=("norm2",))
+          .withColumn("salt", F.pmod(F.xxhash64(entry_id), F.lit(salt)).cast("int")))
+    dots = (ip.join(qp, ["bucket", "salt"]).groupBy(query_id, "qnorm2", entry_id, "norm2")
+              .agg(F.sum(F.col("qtf").cast("long") * F.col("tf").cast("long")).alias("dot")))
     return dots.select(query_id, entry_id,
                        unit_l2_distance(F.col("dot"), F.col("qnorm2"), F.col("norm2")).alias("distance"))
 
 
-def _select_k(d, ids, k):
-    """(row, col) indices of the k smallest (distance, id) per row of ``d`` (inf = absent).
-
-    Vectorized: every row keeps the entries not larger than its k-th smallest
-    distance; only rows with a tie at that distance (more than k such entries)
-    are ordered by id in Python.
-    """
-    import numpy as np
-    n_rows, n_cols = d.shape
-    if n_rows == 0 or n_cols == 0:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    kk = min(k, n_cols)
-    if kk < n_cols:
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-        mask = (d <= kth) & np.isfinite(d)
-    else:
-        mask = np.isfinite(d)
-    counts = mask.sum(axis=1)
-    rr, cc = np.nonzero(mask & (counts <= kk)[:, None])
-    extra_r, extra_c = [rr], [cc]
-    for r in np.flatnonzero(counts > kk):
-        cols = np.flatnonzero(mask[r])
-        cols = cols[np.lexsort((ids[cols], d[r, cols]))[:kk]]
-        extra_r.append(np.full(cols.size, r))
-        extra_c.append(cols)
-    return np.concatenate(extra_r), np.concatenate(extra_c)
-
+def _empty(queries: DataFrame, index: DataFrame, query_id: str, entry_id: str) -> tuple[str, list[str]]:
+    """Schema of a search's rows; ids keep their type, numbers or strings."""
+    return f"{query_id} {dict(queries.dtypes)[query_id]}, {entry_id} {dict(index.dtypes)[entry_id]}, distance double", [query_id, entry_id, "distance"]
 
-def _sparse_partial_topk(block, k, max_distance, dim, entry_id, chunk_rows=2048, fill=False, idf=None):
-    """mapInArrow body: exact integer dot products of index rows with a query block.
-
-    ``block`` broadcasts (query ids, offsets, buckets, tfs, norms). Distances
-    use the same double operations as the SQL formula, so they are identical.
-    """
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        qids, offs, qb, qt, qn = block.value
-        q = np.zeros((len(qids), dim))
-        rows = np.repeat(np.arange(len(qids)), np.diff(offs))
-        np.add.at(q, (rows, qb), qt)
-        w = None if idf is None else idf.value
-        if w is not None:                      # tf-idf: weights and norms in float
-            q *= w[None, :]
-            qn = (q * q).sum(axis=1)
-        qT = q.T.copy()
-        qn_f = qn.astype(np.float64)
-        for b in batches:
-            for lo in range(0, b.num_rows, chunk_rows):
-                sl = b.slice(lo, chunk_rows)
-                ids = sl.column(entry_id).to_numpy(zero_copy_only=False)
-                bl = sl.column("buckets")
-                tl = sl.column("tfs")
-                n = sl.num_rows
-                x = np.zeros((n, dim))
-                lens = np.diff(bl.offsets.to_numpy())
-                r = np.repeat(np.arange(n), lens)
-                bv = bl.flatten().to_numpy(zero_copy_only=False)
-                tv = tl.flatten().to_numpy(zero_copy_only=False)
-                if bv.size:
-                    x[r, bv] = tv
-                if w is not None:
-                    x *= w[None, :]
-                    xn = (x * x).sum(axis=1)
-                else:
-                    xn = sl.column("norm2").to_numpy(zero_copy_only=False).astype(np.float64)
-                dot = x @ qT                                   # n x nq (exact integers for counts)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = 2.0 - (2.0 * dot) / np.sqrt(xn[:, None] * qn_f[None, :])
-                # no shared token: orthogonal (distance 2) when filling, else absent
-                d[dot <= 0] = 2.0 if fill else np.inf
-                if max_distance is not None:
-                    d[d > max_distance] = np.inf
-                dsel = d.T if w is None else np.round(d.T, 9)  # float weights: rank on 9 places
-                rr, cc = _select_k(dsel, ids, k)               # per query
-                if rr.size == 0:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[rr]), sl.column(entry_id).take(pa.array(cc)), pa.array(d.T[rr, cc], pa.float64())],
-                    names=["query_id", entry_id, "distance"])
-    return run
-
-
-SPARSE_BLOCK_ROWS = 8192       # dense query block: 8192 x 1024 doubles = 64 MiB
-
-
-def sparse_knn_matrix(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
-                      max_distance: float | None = None, query_id: str = "query_id",
-                      entry_id: str = "entry_id", dim: int = 1024,
-                      block_rows: int = SPARSE_BLOCK_ROWS, fill: bool = False,
-                      weighting: str = "count") -> DataFrame:
-    """Exact sparse kNN as a scan: each index partition multiplies its rows with
-    a broadcast block of query vectors and keeps k candidates per query.
+def sparse_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
+               max_distance: float | None = None, query_id: str = "query_id",
+               entry_id: str = "entry_id", method: str = "blocks", fill: bool = True,
+               weighting: str = "count", dim: int = DEFAULT_DIM, block_rows: int = BLOCK_ROWS,
+               part_rows: int = PART_ROWS) -> DataFrame:
+    """k nearest index entries per query: (query_id, rank, entry_id, distance).
 
-    Nothing but k rows per (query, task) crosses the shuffle, and a very common
-    token costs no more than a rare one (no posting-list join, no hot key).
-    ``fill=True`` returns k rows whenever the index has k entries: entries
-    sharing no token (or having none) rank after all hits at distance 2.0,
-    smallest ids first. ``weighting="tfidf"`` scales every bucket by
-    ``ln(N / df)`` over the index (a table of at most ``dim`` rows, collected
-    and broadcast), so tokens common to all entries stop dominating.
+    ``method`` is "blocks" (all entries scored, with or without a cut), "cut" (similarity
+    join under ``max_distance``: for short texts and tight cuts, where few pairs share a
+    rare bucket) or "join" (postings). All give the same rows. ``max_distance`` (the reference's cut
+    keeps ``distance <= 0.55``) is applied before the top-k; with the same order key that
+    equals cutting after it.
+
+    With ``fill`` every query gets k rows whenever the index has k entries: those without
+    a common token (or without any) follow all hits at distance 2, smallest ids first.
+    ``weighting="tfidf"`` scales every bucket by ``ln(N / df)`` over the index (a table of
+    at most ``dim`` rows), so tokens common to all entries stop dominating; ranks are then
+    on nine places.
     """
     import numpy as np
 
     from srcindex.session import ship_package
     ship_package(queries.sparkSession)
-    sc = queries.sparkSession.sparkContext
-    idf_b = None
-    if weighting == "tfidf":
-        from srcindex.functions.embed import idf_weights
-        w = np.zeros(dim)
-        for r in idf_weights(index.select(F.col(entry_id).alias("entry_id"), "buckets", "tfs")).collect():
-            w[r["bucket"]] = r["idf"]
-        idf_b = sc.broadcast(w)
-    elif weighting != "count":
+    if weighting not in ("count", "tfidf"):
         raise ValueError(f"weighting must be 'count' or 'tfidf', not {weighting!r}")
-    q_kind, e_kind = dict(queries.dtypes)[query_id], dict(index.dtypes)[entry_id]  # ids keep their type: numbers or strings
-    n_q = queries.count()
-    n_blocks = max(1, -(-n_q // block_rows))
-    parts = []
-    for b in range(n_blocks):
-        blk = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b)
-        tbl = blk.select(F.col(query_id).alias("q"), "buckets", "tfs", "norm2").toArrow()
-        if tbl.num_rows == 0:
-            continue
-        bl = tbl.column("buckets").combine_chunks()
-        payload = (tbl.column("q").to_numpy(), bl.offsets.to_numpy() - bl.offsets.to_numpy()[0],
-                   bl.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
-                   tbl.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64),
-                   tbl.column("norm2").to_numpy().astype(np.int64))
-        fn = _sparse_partial_topk(sc.broadcast(payload), k, max_distance, dim, entry_id, fill=fill, idf=idf_b)
-        parts.append(index.select(entry_id, "buckets", "tfs", "norm2")
-                     .mapInArrow(fn, f"query_id {q_kind}, {entry_id} {e_kind}, distance double"))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], f"{query_id} {q_kind}, rank int, {entry_id} {e_kind}, distance double")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    if method == "cut":
+        if max_distance is None or weighting != "count":
+            raise ValueError("method 'cut' needs max_distance and counts")
+        found = pairs_within(queries, index, max_distance, query_id, entry_id, dim)
+    elif method == "join":
+        found = sparse_candidates(queries, index, query_id, entry_id)
+        if max_distance is not None:
+            found = found.where(F.col("distance") <= F.lit(float(max_distance)))
+    elif method == "blocks":
+        idf = None
+        if weighting == "tfidf":
+            idf = np.zeros(dim)
+            w = idf_weights(index.select(F.col(entry_id).alias("entry_id"), "buckets", "tfs")).toPandas()  # at most dim rows
+            idf[w["bucket"].to_numpy()] = w["idf"].to_numpy()
+        schema, names = _empty(queries, index, query_id, entry_id)
+        found = block_join(queries.select(query_id, "buckets", "tfs", "norm2"), index.select(entry_id, "buckets", "tfs", "norm2"),
+                           sparse_kernel(k, max_distance, dim, fill, idf, names), schema, query_id, entry_id, block_rows, part_rows)
+    else:
+        raise ValueError(f"method must be 'blocks', 'cut' or 'join', not {method!r}")
     if weighting == "tfidf":   # float weights: rank on 9 places, then id
-        out = top_k(cands.withColumn("_rd", F.round("distance", 9)), k, "query_id", entry_id, order="_rd")
+        out = top_k(found.withColumn("_rd", F.round("distance", 9)), k, query_id, entry_id, order="_rd")
     else:
-        out = top_k(cands, k, "query_id", entry_id)
-    return out.select(F.col("query_id").alias(query_id), "rank", entry_id, "distance")
-
-
-def sparse_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K,
-               max_distance: float | None = None, query_id: str = "query_id",
-               entry_id: str = "entry_id", method: str = "matrix", **kw) -> DataFrame:
-    """k nearest index entries per query: (query_id, rank, entry_id, distance).
-
-    ``method="matrix"`` (default) scans the index once per bounded query block
-    (:func:`sparse_knn_matrix`); ``method="join"`` is the relational form: a
-    posting join on ``bucket`` plus a partial aggregate. Both give the same rows.
-    ``max_distance`` (the reference's cut keeps ``distance <= 0.55``) is applied
-    before the top-k; with the same order key that equals cutting after it.
-    """
-    if method == "matrix":
-        return sparse_knn_matrix(queries, index, k, max_distance, query_id, entry_id,
-                                 **{x: v for x, v in kw.items() if x in ("dim", "block_rows", "fill", "weighting")})
-    if method != "join":
-        raise ValueError(f"method must be 'matrix' or 'join', not {method!r}")
-    cands = sparse_candidates(queries, index, query_id, entry_id, **kw)
-    if max_distance is not None:
-        cands = cands.where(F.col("distance") <= F.lit(float(max_distance)))
-    return top_k(cands, k, query_id, entry_id).select(query_id, "rank", entry_id, "distance")
-
-
-# --- dense vectors -------------------------------------------------------------
-
-DENSE_BLOCK_ROWS = 20_000      # queries per broadcast block (64-d: ~10 MB)
-
-
-def _dense_partial_topk(block, k, max_distance, entry_id, vec):
-    """mapInArrow body: per index batch, keep the k nearest rows of every query.
-
-    ``block`` is a broadcast variable holding (query ids, query matrix).
-    """
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        qids, qmat = block.value
-        qn = (qmat * qmat).sum(axis=1)
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            ids = b.column(entry_id).to_numpy(zero_copy_only=False)
-            lists = b.column(vec)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(b.num_rows, -1)
-            d = qn[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (qmat @ x.T)
-            np.maximum(d, 0.0, out=d)
-            if max_distance is not None:
-                d[d > max_distance] = np.inf
-            rows, cols = _select_k(np.round(d, 9), ids, k)
-            if rows.size == 0:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[rows], pa.int64()), pa.array(ids[cols], pa.int64()),
-                 pa.array(d[rows, cols], pa.float64())],
-                names=["query_id", entry_id, "distance"])
-    return run
+        out = top_k(found, k, query_id, entry_id)
+    return out.select(query_id, "rank", entry_id, "distance")
 
 
 def dense_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, max_distance: float | None = None,
               query_id: str = "query_id", qvec: str = "qvec", entry_id: str = "entry_id", vec: str = "embedding",
-              block_rows: int = DENSE_BLOCK_ROWS, rank_digits: int = 9) -> DataFrame:
+              block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS, rank_digits: int = 9) -> DataFrame:
     """Exact k nearest by squared L2: (query_id, rank, entry_id, distance).
 
-    The index is scanned once per query block; each block holds at most
-    ``block_rows`` queries, collected and broadcast only after the query count
-    is known. Each task computes a float64 distance matrix with NumPy for its
-    Arrow batches and emits k candidates per query; Spark ranks them on
-    ``(round(distance, rank_digits), entry_id)``.
+    Query blocks meet index parts; a group computes float64 distances in slices of bounded
+    size and keeps k candidates per query; Spark ranks them on
+    ``(round(distance, rank_digits), entry_id)``. Ids are numbers or strings.
     """
-    import numpy as np
-
     from srcindex.session import ship_package
     ship_package(queries.sparkSession)
-    sc = queries.sparkSession.sparkContext
-    n_q = queries.count()
-    n_blocks = max(1, -(-n_q // block_rows))
-    parts = []
-    for b in range(n_blocks):
-        block = queries if n_blocks == 1 else queries.where(
-            F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b)
-        tbl = block.select(query_id, qvec).toArrow()
-        if tbl.num_rows == 0:
-            continue
-        qids = tbl.column(query_id).to_numpy()
-        qmat = np.asarray(tbl.column(qvec).combine_chunks().flatten().to_numpy(zero_copy_only=False),
-                          dtype=np.float64).reshape(tbl.num_rows, -1)
-        fn = _dense_partial_topk(sc.broadcast((qids, qmat)), k, max_distance, entry_id, vec)
-        parts.append(index.select(F.col(entry_id).cast("long").alias(entry_id), vec)
-                     .mapInArrow(fn, f"query_id long, {entry_id} long, distance double"))
-    if not parts:
-        return queries.sparkSession.createDataFrame(
-            [], f"{query_id} long, rank int, {entry_id} long, distance double")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    cands = cands.withColumn("_rd", F.round("distance", rank_digits))
-    out = top_k(cands, k, "query_id", entry_id, order="_rd")
-    return out.select(F.col("query_id").alias(query_id), "rank", entry_id, "distance")
+    schema, names = _empty(queries, index, query_id, entry_id)
+    found = block_join(queries.select(query_id, qvec), index.select(entry_id, vec),
+                       dense_kernel(k, max_distance, qvec, vec, names, rank_digits), schema, query_id, entry_id, block_rows, part_rows)
+    out = top_k(found.withColumn("_rd", F.round("distance", rank_digits)), k, query_id, entry_id, order="_rd")
+    return out.select(query_id, "rank", entry_id, "distance")
 
 
 def nest_results(neighbours: DataFrame, query_id: str = "query_id", entry_id: str = "entry_id") -> DataFrame:
