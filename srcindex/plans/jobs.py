@@ -20,7 +20,7 @@ class IndexReport(dict):
 
 
 def index_corpus(sources: DataFrame, store: IndexStore, method_slice: str = "file",
-                 dim: int = DEFAULT_DIM, tag: str | None = None) -> IndexReport:
+                 dim: int = DEFAULT_DIM) -> IndexReport:
     """J-1: (filepath, code) -> index entries inserted into ``store``.
 
     The parse runs once (staged); an empty corpus writes nothing. Modules that cannot
@@ -32,7 +32,7 @@ def index_corpus(sources: DataFrame, store: IndexStore, method_slice: str = "fil
     report = IndexReport(written="def" in kinds, errors=kinds.get("error", 0))
     report.rejects = CH.source_errors(facts)
     if report["written"]:
-        store.insert(prepare_entries(CH.chunk_table(facts, method_slice=method_slice), dim=dim), tag=tag)
+        store.insert(prepare_entries(CH.chunk_table(facts, method_slice=method_slice), dim=dim))
     return report
 
 
