@@ -253,13 +253,6 @@ def _entries(spark, sf_dir, vectors=False):
     return PR.prepare_entries(_chunks(spark, sf_dir), with_vectors=vectors)
 
 
-def _updates(spark, sf_dir):
-    """index_updates: chunks of modules with k % 10 = 0 re-rendered with brand 'changed'."""
-    mods = rendered_modules(spark, sf_dir, brand_override="changed").where(F.col("p_partkey") % 10 == 0)
-    facts = stage(CH.parse_sources(mods.select("filepath", "code")), "facts")
-    return PR.prepare_entries(CH.chunk_table(facts), with_vectors=True)
-
-
 @query("index_nonblank")
 def index_nonblank(spark, sf_dir):
     return _entries(spark, sf_dir).select("filepath", "seq", "chunk_id")
@@ -297,17 +290,35 @@ def _built_store(spark, sf_dir):
     return store
 
 
+def _started_store(spark, sf_dir):
+    """A store without every seventh module, so later batches bring new ids beside known ones."""
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    first = _chunks(spark, sf_dir).where(_part_key() % 7 != 0)
+    store.insert(PR.prepare_entries(first, with_vectors=True))
+    return store
+
+
+def _with_blanks(spark, sf_dir):
+    """The changed chunks, and each once more with blank code."""
+    mods = rendered_modules(spark, sf_dir, brand_override="changed").where(F.col("p_partkey") % 10 == 0)
+    ch = CH.chunk_table(stage(CH.parse_sources(mods.select("filepath", "code")), "facts"))
+    blank = ch.withColumn("code", F.lit(" \n\t ")).withColumn("seq", F.col("seq") + 1_000_000)
+    return PR.prepare_entries(ch.unionByName(blank), with_vectors=True)
+
+
 @query("index_insert_new")
 def index_insert_new(spark, sf_dir):
-    store = _built_store(spark, sf_dir)
-    store.insert(_updates(spark, sf_dir))        # every id already stored: nothing changes
+    """Changed chunks of k % 10 = 0 into a store without k % 7 = 0: known ids stay as stored, new ones come in, blanks do nothing."""
+    store = _started_store(spark, sf_dir)
+    store.insert(_with_blanks(spark, sf_dir))
     return store.read().select("chunk_id", "document")
 
 
 @query("index_upsert")
 def index_upsert(spark, sf_dir):
-    store = _built_store(spark, sf_dir)
-    store.upsert(_updates(spark, sf_dir))
+    """The same batch as an upsert: known ids are replaced."""
+    store = _started_store(spark, sf_dir)
+    store.upsert(_with_blanks(spark, sf_dir))
     return store.read().select("chunk_id", "document")
 
 
@@ -480,9 +491,9 @@ def stream_index_insert(spark, sf_dir):
 
 @query("stream_index_upsert")
 def stream_index_upsert(spark, sf_dir):
-    """Original index, then changed chunks of k % 10 = 0 streamed in two groups."""
+    """An index without k % 7 = 0, then changed chunks of k % 10 = 0 streamed in two groups: known and new ids."""
     base = scratch_path(spark, "stream-upsert")
-    store = _built_store(spark, sf_dir)
+    store = _started_store(spark, sf_dir)
     mods = rendered_modules(spark, sf_dir, brand_override="changed").where(F.col("p_partkey") % 10 == 0)
     ch = CH.chunk_table(stage(CH.parse_sources(mods.select("filepath", "code")), "facts"))
     k = _part_key()

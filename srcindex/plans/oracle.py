@@ -423,7 +423,7 @@ SQL["long_chunk_id"] = """
 WITH ids AS (SELECT page_id, repeat(url, 2) AS filepath, CAST(page_id AS INTEGER) AS start_line, 'page' AS name
              FROM pages)
 SELECT page_id, """ + CHUNK_ID_SQL + " AS chunk_id FROM ids"
-SQL["index_insert_new"] = _E + "\nSELECT chunk_id, document FROM entries_first"
+SQL["stream_index_insert"] = _E + "\nSELECT chunk_id, document FROM entries_first"
 SQL["index_reopen"] = _E + "\nSELECT chunk_id, filepath, start_line, name FROM entries_first"
 SQL["job_index"] = _E + "\nSELECT chunk_id, document, metadata FROM entries_first"
 _STORE = (CHUNKS, entries_cte("entries", "expected"), """
@@ -464,14 +464,25 @@ SELECT CAST(count(*) AS BIGINT) AS total_documents,
        'code_repository' AS collection_name
 FROM entries_first"""
 SQL["index_peek"] = _E + "\nSELECT chunk_id, metadata FROM entries_first ORDER BY chunk_id LIMIT 5"
-SQL["index_upsert"] = with_(CHUNKS, entries_cte("entries", "expected"),
-                            chunks_cte("expected_upd", "mods_upd", "'changed'"),
-                            entries_cte("upd_all", "expected_upd"), """
+_UPDATES = (CHUNKS, entries_cte("entries", "expected"), chunks_cte("expected_upd", "mods_upd", "'changed'"),
+            entries_cte("upd_all", "expected_upd"), """
 upd AS (
   SELECT chunk_id, document FROM upd_all WHERE k % 10 = 0
   QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC, filepath DESC) = 1
-)""") + """
-SELECT chunk_id, document FROM entries_first WHERE chunk_id NOT IN (SELECT chunk_id FROM upd)
+),
+upd_first AS (
+  SELECT chunk_id, document FROM upd_all WHERE k % 10 = 0
+  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY filepath, seq) = 1
+),
+stored AS (
+  SELECT chunk_id, document FROM entries WHERE k % 7 <> 0
+  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY filepath, seq) = 1
+)""")
+SQL["index_insert_new"] = with_(*_UPDATES) + """
+SELECT chunk_id, document FROM stored
+UNION ALL SELECT chunk_id, document FROM upd_first WHERE chunk_id NOT IN (SELECT chunk_id FROM stored)"""
+SQL["index_upsert"] = with_(*_UPDATES) + """
+SELECT chunk_id, document FROM stored WHERE chunk_id NOT IN (SELECT chunk_id FROM upd)
 UNION ALL SELECT chunk_id, document FROM upd"""
 
 
@@ -536,7 +547,6 @@ FROM files WHERE k % 11 = 0 OR k % 13 = 0"""
 
 
 # --- streaming (J-3, J-4): same final tables as the batch jobs --------------------
-SQL["stream_index_insert"] = SQL["index_insert_new"]
 SQL["stream_index_upsert"] = SQL["index_upsert"]
 
 SQL["knn_fill"] = with_(postings_cte("dpost", "pages", "page_id", "url"),
