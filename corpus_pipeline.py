@@ -6,11 +6,14 @@ the columns of ``documents``; between stages the rows are written as Parquet and
 read again, so a lost executor costs the running stage's tasks only.
 
 Defined results: rows with null text count as empty texts and go through every
-stage; an empty table gives no rows; extra columns of the input pass through.
+stage; an empty table gives no rows; extra columns of the input pass through, whatever
+their names; ids may be repeated or null.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,21 @@ from srcindex.llm.common import table, text_of
 from srcindex.session import scratch_path, ship_package
 
 
+#: The columns of ``documents``; others are an input's own.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage):
+    """An input's own columns carry neutral names inside a stage, so none can clash with a stage's own."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = [c if c in DOCUMENT else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*inside), sf_dir)
+        return out.toDF(*docs.columns) if out.columns == inside else out
+    return run
+
+
+@apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels that are not held out."""
     ship_package(spark)
@@ -27,18 +45,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("toxicity_score < 0.5").select(*docs.columns)
 
 
+@apart
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space one document stays."""
     return exact_dedup.drop_copies(docs)
 
 
+@apart
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 on five-word shingles the smallest doc_id stays."""
+    """Of documents linked by a similarity of 0.8 on five-word shingles one row stays, that of the smallest doc_id."""
     ship_package(spark)
-    found = near_dedup.near_classes(docs, width=5, similarity=0.8)
-    return exact_dedup.keep_rows(docs, found.where("kept"), "doc_id")
+    return near_dedup.drop_near(docs, width=5, similarity=0.8)
 
 
+@apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their targets: a document comes as often as the mix takes it."""
     keyed = docs.withColumn("text_key", F.xxhash64(text_of()))
@@ -49,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
+@apart
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (packed, 32 bits little-endian), their number, and digests of ids and decoded text."""
     ship_package(spark)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcindex.llm.common import query, table, text_slices
+from srcindex.llm.common import query, table, text_of, text_slices
 from srcindex.llm.components import connected_components
 from srcindex.llm.shingles import shingle_sets
 from srcindex.session import stage
@@ -58,7 +58,7 @@ def least_common(k: int, similarity: float, loss: float = LOSS) -> int:
 
 
 def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
-    """doc_id, n (set size), digest of the set (16 bytes, null if empty), sketch of every row."""
+    """doc_id, text_key (a hash of the text), n (set size), digest of the set (16 bytes, null if empty), sketch of every row."""
     def run(batches):
         for part in text_slices(batches, "text", max_bytes=1 << 20):
             s, at = shingle_sets(part.column("text").to_pylist(), width)
@@ -68,11 +68,12 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(head)])
             take = np.repeat(at[:-1] - ends[:-1], head) + np.arange(ends[-1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s[take], pa.int64()))], names=["doc_id", "n", "digest", "sketch"])
+                [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s[take], pa.int64()))], names=["doc_id", "text_key", "n", "digest", "sketch"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, sketch array<long>")
+    return (docs.select("doc_id", "text", F.xxhash64(text_of()).alias("text_key"))
+            .mapInArrow(run, f"doc_id {kind}, text_key long, n long, digest binary, sketch array<long>"))
 
 
 def inverted_lists(classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
@@ -201,8 +202,8 @@ class Links:
         return frame.join(now, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now").select(*frame.columns)
 
 
-def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id linked), kept, one row per input row."""
+def _components(docs: DataFrame, width: int, similarity: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_key, n, digest), and the classes (digest, rep, comp)."""
     rows = stage(sketches(docs, width, k), "nd-sketches")
     classes = stage(rows.where("digest IS NOT NULL").groupBy("digest")
                     .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -229,7 +230,12 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: in
     member = classes.select("digest", "cid", "rep")
     member = member.withColumn("comp", F.col("cid")) if comps is None else \
         member.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    member = stage(member, "nd-member")
+    return rows.drop("sketch"), stage(member.select("digest", "rep", "comp"), "nd-member")
+
+
+def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id linked), kept, one row per input row."""
+    rows, member = _components(docs, width, similarity, k)
     smallest = member.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_digest = member.join(smallest, "comp").select("digest", "component_id")
     return (rows.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
@@ -238,6 +244,26 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: in
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (null last), of repeated ids the smallest text hash.
+
+    Rows are told apart by doc_id and text, so repeated and null ids do no harm; texts without shingles all stay.
+    """
+    rows, member = _components(docs, width, similarity, k)
+    placed = rows.join(member.select("digest", "comp"), "digest")
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))).alias("w"))
+    gone = (placed.join(first, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("w.b")) & (F.col("text_key") == F.col("w.c"))))
+            .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    keyed = docs.withColumn("near_key", F.xxhash64(text_of()))
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("near_key") == F.col("gone_key")), "left_anti")
+    again = placed.groupBy("doc_id", "text_key").count().where("count > 1")
+    if not again.isEmpty():  # one id and text on several rows: one stays; rows without shingles are no copies here
+        empty = rows.where("digest IS NULL").select(F.col("text_key").alias("gone_key")).distinct()
+        several = left.join(empty, F.col("near_key") == F.col("gone_key"), "left_anti").dropDuplicates(["doc_id", "near_key"])
+        left = several.unionByName(left.join(empty, F.col("near_key") == F.col("gone_key"), "left_semi"))
+    return left.select(*docs.columns)
+
+
 def _sets_of(source: DataFrame, width: int) -> DataFrame:
     """Full sets of the class representatives; rows that share a doc_id with one but not its set are left out."""
     def run(batches):

@@ -1,8 +1,9 @@
 """Word shingles of whole texts as 64-bit hashes, for a slice of texts at a time (NumPy).
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased. A word's
-hash comes from prefix sums of ``table[byte] * BASE**place`` modulo 2**64, a
-shingle's from the mixed hashes of its words.
+hash is the mixed sum of a number that each of its bytes has at its place (a table
+entry and the place, mixed; no polynomial, so no regular text makes terms cancel), a
+shingle's comes from the mixed hashes of its words.
 """
 
 from __future__ import annotations
@@ -57,12 +58,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] = sum of BYTE[data[k]] * BASE**k for i <= k < j."""
-    up, _ = POWERS.upto(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * up, out=out[1:])
-    return out
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A number for each word (its bytes' places from ``start`` to ``stop``, never empty)."""
+    size = stop - start
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    letters = BYTE[data[np.repeat(start, size) + place]]
+    return mixed(np.add.reduceat(mixed(letters + place.astype(np.uint64) * ODD[5]), first) + size.astype(np.uint64) * ODD[2])
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +81,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     start, stop = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    sums = prefix_hashes(data)
-    _, down = POWERS.upto(len(data))
-    h = mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * ODD[2])
+    h = word_hashes(data, start, stop)
     doc = np.searchsorted(begin, start, "right") - 1
     n_words = np.bincount(doc, minlength=len(texts))
     n = len(h) - width + 1

@@ -82,3 +82,14 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_bound_on_lost_pairs():
     assert near_dedup.least_common(64, 0.85) in range(30, 40) and near_dedup.least_common(10, 1.0) == 10
+
+
+def test_regular_words_have_hashes_of_their_own():
+    """Words over two letters whose polynomial hashes modulo 2**64 meet: the Thue-Morse word and its complement."""
+    from srcindex.llm.shingles import shingle_sets
+    for n in (8, 64, 1024, 4096):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        sets, at = shingle_sets([word, other, f"x {word} y z", f"x {other} y z", word.upper()], 3)
+        one, two, three, four, five = (set(sets[a:b].tolist()) for a, b in zip(at[:-1], at[1:]))
+        assert not one & two and len(three & four) == 0 and one == five

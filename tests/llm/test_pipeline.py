@@ -54,3 +54,30 @@ def test_empty_table(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, f in corpus_pipeline.STAGES[:4]:
         assert f(spark, docs, SF).count() == 0
+
+
+LONG = "one quiet line of plain words about rivers and hills and the slow boats that go down to the sea every day of the long summer "
+
+
+def test_near_copies_go_with_repeated_and_null_ids(spark):
+    """Three texts of one component under one id and under none, another text under the same id, two without shingles."""
+    rows = [(7, LONG * 3 + "first"), (7, LONG * 3 + "second"), (None, LONG * 3 + "third"), (7, "quite another text of several words here"), (None, "so is this one with its several words"),
+            (8, ""), (8, None), (5, LONG * 3 + "fourth"), (5, LONG * 3 + "fourth")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == sorted((str(i), t or "") for i, t in [
+        (5, LONG * 3 + "fourth"), (7, "quite another text of several words here"), (None, "so is this one with its several words"), (8, ""), (8, None)])
+
+
+def test_clashing_columns_pass_through_every_stage(spark):
+    """Names that operators use inside, and every row keeps its own values."""
+    extra = ["text_key", "copies", "toxicity_score", "copy", "kept", "digest", "near_key", "k_doc_id", "p_id", "extra_0", "row_no", "comp"]
+    docs = table(spark, SF, "documents").limit(60)
+    for i, c in enumerate(extra):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")))
+    for _, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{i}-{r.doc_id}" for r in rows for i, c in enumerate(extra))
+    assert corpus_pipeline.encode(spark, docs, SF).count() == 60
