@@ -6,6 +6,7 @@ Both sides are Spark tables throughout; nothing of them passes through the drive
   bounded size that keep a running top-k (:mod:`srcindex.operators.blocks`).
 * ``method="cut"`` finds the pairs within a distance cut by an exact prefix-filtered
   similarity join (:mod:`srcindex.operators.threshold`), which scores few of them.
+* :func:`lsh_knn` is approximate: sign-projection bands chosen from the data, exact distances.
 * ``method="join"`` is the plain relational form: postings joined on ``(bucket, salt)``,
   which splits a hot bucket (a very common token) over several tasks, and a partial sum
   of ``q.tf * d.tf``.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from srcindex.functions.embed import DEFAULT_DIM, idf_weights, postings
 from srcindex.operators.blocks import BLOCK_ROWS, PART_ROWS, block_join, dense_kernel, sparse_kernel
+from srcindex.operators.lsh import lsh_neighbours
 from srcindex.operators.threshold import pairs_within
 
 # Fixed values from the reference's retrieval defaults.
@@ -142,24 +144,17 @@ def nest_results(neighbours: DataFrame, query_id: str = "query_id", entry_id: st
         F.array_sort(F.collect_list(F.struct("rank", entry_id, "distance"))).alias("results"))
 
 
-def lsh_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, radius: float = float("inf"),
-            bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7, query_id: str = "query_id",
-            qvec: str = "qvec", entry_id: str = "entry_id", vec: str = "embedding") -> DataFrame:
-    """Approximate candidates by random-projection LSH, re-ranked exactly.
+def lsh_knn(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, recall: float = 0.95, seed: int = 7,
+            query_id: str = "query_id", qvec: str = "qvec", entry_id: str = "entry_id", vec: str = "embedding", **sizes) -> DataFrame:
+    """Approximate form of :func:`dense_knn`: sign-projection bands chosen for ``recall``, distances and ranks
+    exact among what they find (:mod:`srcindex.operators.lsh`). Every query gets k rows if the index has k: those
+    with fewer are searched exactly."""
+    from srcindex.session import ship_package, stage
 
-    Candidate pairs share a hash bucket in some table (an equi-join inside
-    ``approxSimilarityJoin``) and, if a ``radius`` is asked for, lie within it; the
-    top-k by exact squared distance is kept. Recall is below 1 by design.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    a = index.select(F.col(entry_id).alias("id"), array_to_vector(vec).alias("v"))
-    b = queries.select(F.col(query_id).alias("id"), array_to_vector(qvec).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(a)
-    pairs = model.approxSimilarityJoin(b, a, radius, distCol="dist")
-    cands = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias(entry_id),
-                         (F.col("dist") * F.col("dist")).alias("distance"))
-    out = top_k(cands.withColumn("_rd", F.round("distance", 9)), k, "query_id", entry_id, order="_rd")
-    return out.select(F.col("query_id").alias(query_id), "rank", entry_id, "distance")
+    ship_package(queries.sparkSession)
+    found = stage(lsh_neighbours(queries, index, k, recall, seed, query_id, qvec, entry_id, vec, **sizes), "lsh-found")
+    ranked = top_k(found.withColumn("_rd", F.round("distance", 9)), k, query_id, entry_id, order="_rd").select(query_id, "rank", entry_id, "distance")
+    enough = found.groupBy(query_id).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    rest = stage(queries.join(enough, query_id, "left_anti").select(query_id, qvec), "lsh-rest")
+    return (ranked.join(rest.select(query_id), query_id, "left_anti")
+            .unionByName(dense_knn(rest, index, k, None, query_id, qvec, entry_id, vec)))

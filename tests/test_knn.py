@@ -74,19 +74,60 @@ def test_dense_knn_matches_numpy_and_partitions(spark):
             assert by_q[qi] == exp
 
 
-def test_lsh_candidates_are_exact_subset(spark):
+def vectors(spark, rows):
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in rows], "vec_id long, embedding array<float>")
+    return df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), df.select(F.col("vec_id").alias("entry_id"), "embedding")
+
+
+def check_lsh(q, idx, k=5, least=0.9, **kw):
+    exact = {(r.query_id, r.entry_id): round(r.distance, 9) for r in knn.dense_knn(q, idx, k=k).collect()}
+    rows = knn.lsh_knn(q, idx, k=k, **kw).collect()
+    found = {(r.query_id, r.entry_id): round(r.distance, 9) for r in rows}
+    assert len(found) == len(rows) == len(exact)  # k rows for every query
+    assert all(exact[p] == d for p, d in found.items() if p in exact)
+    by_q = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+        by_q.setdefault(r.query_id, []).append((round(r.distance, 9), r.entry_id))
+    assert all(v == sorted(v) for v in by_q.values())
+    recall = len(found.keys() & exact.keys()) / len(exact)
+    assert recall >= least
+    return recall
+
+
+def test_lsh_recall_with_and_without_clusters(spark):
+    """Vectors without any structure are the worst case; clustered ones need few bands."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(200, 8))
+    x = rng.normal(size=(3000, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(200)], "vec_id long, embedding array<float>")
-    q = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    idx = df.select(F.col("vec_id").alias("entry_id"), "embedding")
-    exact = {(r.query_id, r.entry_id) for r in knn.dense_knn(q, idx, k=5).collect()}
-    approx = {(r.query_id, r.entry_id) for r in knn.lsh_knn(q, idx, k=5, radius=2.0).collect()}
-    # every approximate hit is a real neighbour pair within radius; recall is reported
-    assert (0, 0) in approx
-    recall = len(exact & approx) / len(exact)
-    assert recall > 0.3
+    check_lsh(*vectors(spark, enumerate(x)))
+    c = x[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 24)) * 0.03
+    check_lsh(*vectors(spark, enumerate(c)))
+
+
+def test_lsh_bands_follow_the_data():
+    """More planes for a larger index, fewer bands for nearer neighbours, all of them for a recall of 1."""
+    from srcindex.operators.lsh import MOST_BANDS, choose
+    rng = np.random.default_rng(3)
+    loose = rng.normal(size=(1000, 16))
+    tight = loose[rng.integers(0, 20, 1000)] + rng.normal(size=(1000, 16)) * 0.02
+    assert choose(loose, 10 ** 9, 5, 0.9)[0] > choose(loose, 10 ** 5, 5, 0.9)[0] > choose(loose, 10 ** 3, 5, 0.9)[0]
+    assert choose(tight, 10 ** 6, 5, 0.9)[1] < choose(loose, 10 ** 6, 5, 0.9)[1] <= MOST_BANDS
+    assert choose(loose, 10 ** 6, 5, 1.1)[1] == MOST_BANDS
+
+
+def test_lsh_splits_hot_cells_and_fills(spark):
+    """A third of all rows share one vector: groups stay small, and lonely queries are searched exactly."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 12))
+    x[:300] = x[0]
+    q, idx = vectors(spark, enumerate(x))
+    found = {(r.query_id, r.rank): (r.entry_id, r.distance) for r in knn.lsh_knn(q, idx, k=5, part_rows=40, block_rows=30).collect()}
+    assert all(found[i, r] == (r - 1, 0.0) for i in range(0, 300, 37) for r in range(1, 6))
+    check_lsh(q, idx, k=4, least=0.9, part_rows=40, block_rows=30)
+    far = np.zeros((9, 12))
+    far[np.arange(9), np.arange(9)] = 1
+    check_lsh(*vectors(spark, enumerate(np.concatenate([far, -far]))), k=7, least=0.5, recall=0.1)
+    assert knn.lsh_knn(q, idx.where("false")).count() == 0 and knn.lsh_knn(q.where("false"), idx).count() == 0
 
 
 def test_where_dict(spark):
@@ -188,8 +229,9 @@ def test_search_plans_hold_no_collected_queries(spark):
     import inspect
 
     import srcindex.operators.blocks as B
+    import srcindex.operators.lsh as L
     import srcindex.operators.threshold as T
-    for module in (knn, B, T):
+    for module in (knn, B, L, T):
         assert not any(word in inspect.getsource(module) for word in ("toArrow", "collect()", "broadcast("))
 
 
