@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcindex.functions import dense as DN
 from srcindex.functions.embed import embed, postings
 from srcindex.operators import knn, review
 from srcindex.session import ship_package, stage
@@ -436,6 +437,29 @@ def knn_lsh(spark, sf_dir):
     return knn.lsh_knn(q, idx.select("entry_id", "embedding"), k=knn.DEFAULT_K)
 
 
+def _learned(spark, sf_dir):
+    """Count vectors of the corpus lines, staged, and the dense model learned from them."""
+    lines = stage(_line_index(spark, sf_dir).select("entry_id", "buckets", "tfs"), "lines")
+    return lines, DN.learn(lines)
+
+
+@query("embed_dense")
+def embed_dense(spark, sf_dir):
+    """Learned vectors of all corpus lines, to four places."""
+    lines, model = _learned(spark, sf_dir)
+    return DN.embed_dense(lines, model).select("entry_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
+
+
+@query("knn_embedded")
+def knn_embedded(spark, sf_dir):
+    """The nearest corpus lines of every benchmark text by learned vectors."""
+    lines, model = _learned(spark, sf_dir)
+    asked = stage(_bench_queries(spark, sf_dir).select("query_id", "buckets", "tfs"), "asked")
+    q = DN.embed_dense(asked, model, "qvec").where("qvec IS NOT NULL")
+    r = knn.dense_knn(q, stage(DN.embed_dense(lines, model).where("embedding IS NOT NULL"), "line-vectors"), k=knn.DEFAULT_K)
+    return r.select("query_id", "rank", "entry_id", F.round("distance", 5).alias("distance"))
+
+
 # --- file sources (2.A) --------------------------------------------------------
 
 from srcindex.session import local_dir  # noqa: E402

@@ -35,7 +35,7 @@ corpus_raw AS (
   FROM documents
 ),
 corpus AS (
-  SELECT CAST(doc_id * 2147483648 + p AS BIGINT) AS entry_id, doc_id, CAST(p AS INTEGER) AS line_no, txt
+  SELECT doc_id || ':' || p AS entry_id, doc_id, CAST(p AS INTEGER) AS line_no, txt
   FROM corpus_raw WHERE NOT {is_blank('txt')}
 )"""
 
@@ -191,38 +191,37 @@ FROM prompts"""
 
 TURNS = """
 turns AS (
-  SELECT CAST(u.conv_id * 2147483648 + u.turn AS BIGINT) AS request_id, u.conv_id, u.text AS code, a.text AS answer
+  SELECT u.conv_id || ':' || u.turn || c AS request_id, c, u.text AS code, a.text AS answer
   FROM conversations u JOIN conversations a
-    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant',
+    (VALUES (''), (':alone'), (':damaged')) cases(c)
   WHERE u.role = 'user'
 ),
 resp AS (
-  SELECT request_id, conv_id, 'style' AS kind, answer AS response FROM turns
+  SELECT request_id, 'style' AS kind, answer AS response FROM turns
   UNION ALL
-  SELECT request_id, conv_id, 'duplication', 'duplication: ' || answer FROM turns WHERE conv_id % 2 = 0
+  SELECT request_id, 'duplication', 'duplication: ' || answer FROM turns WHERE c <> ':alone'
   UNION ALL
-  SELECT request_id, conv_id, 'summary', 'summary: ' || answer FROM turns WHERE conv_id % 2 = 0
+  SELECT request_id, 'summary', 'summary: ' || answer FROM turns WHERE c = ''
 )"""
 
 SQL["model_responses"] = with_(TURNS) + """
 SELECT request_id, kind, response FROM resp"""
 
 SQL["response_rejects"] = with_(TURNS) + """
-SELECT -request_id - 1 AS request_id, unnest(['cut', 'number', 'array', 'trailing', 'absent']) AS kind,
-       'unreadable response body' AS reason
-FROM turns WHERE conv_id % 9 = 0"""
+SELECT request_id, 'summary' AS kind, 'unreadable response body' AS reason FROM turns WHERE c = ':damaged'"""
 
 SQL["prompt_summary"] = with_(TURNS) + f"""
 SELECT request_id,
        {pystrip(sql_fill(R.SUMMARY_TEMPLATE, duplication="'duplication: ' || answer", style='answer'))} AS prompt
-FROM turns WHERE conv_id % 2 = 0"""
+FROM turns WHERE c <> ':alone'"""
 
 SQL["review_assemble"] = with_(TURNS) + f"""
 SELECT request_id,
-       CASE WHEN conv_id % 2 = 0 THEN 'duplication: ' || answer ELSE {lit(R.NO_DUPLICATION)} END AS duplication_review,
+       CASE WHEN c = '' THEN 'duplication: ' || answer ELSE {lit(R.NO_DUPLICATION)} END AS duplication_review,
        answer AS style_review,
-       CASE WHEN conv_id % 2 = 0 THEN 'summary: ' || answer ELSE answer END AS summary
-FROM turns WHERE NOT {is_blank('code')}"""
+       CASE WHEN c = '' THEN 'summary: ' || answer ELSE answer END AS summary
+FROM turns WHERE c <> ':damaged' AND NOT {is_blank('code')}"""
 
 
 # --- chunking and analysis (2.B): closed forms over `part` ----------------------

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from srcindex.functions.text import is_blank
 from srcindex.session import spread
 
-# A Spark string holds less than 2**31 bytes, so less than 2**31 lines; a turn is an int.
-# Both ids are therefore unique; a number that leaves 64 bits raises an error (ANSI mode).
-ID_STRIDE = 1 << 31
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -26,13 +22,13 @@ def corpus_lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None
 
     ``only`` (doc_id, maybe repeated) limits the documents before they are split.
 
-    (entry_id long, doc_id long, line_no int, txt string)
+    (entry_id string ``doc_id:line``, doc_id long, line_no int, txt string)
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = spread(docs if only is None else docs.join(only, "doc_id"), "doc_id")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "txt"))
     return (lines.where(~is_blank("txt"))
-                 .select((F.col("doc_id") * ID_STRIDE + F.col("pos") + 1).alias("entry_id"),
+                 .select(F.concat_ws(":", F.col("doc_id"), F.col("pos") + 1).alias("entry_id"),
                          "doc_id", (F.col("pos") + 1).cast("int").alias("line_no"), "txt"))
 
 
@@ -55,50 +51,42 @@ def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
+#: What becomes of a turn's request: everything answered, no duplication found, an unreadable summary.
+CASES = ("", ":alone", ":damaged")
+
+
 def turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns answered by the next (assistant) turn: request and style response.
 
-    (request_id long, conv_id long, code string, answer string). The pairing is
-    an equi-join on (conv_id, turn + 1), not a window, so one very long
-    conversation does not land in a single task.
+    (request_id string ``conv_id:turn`` and the case, case, turn, code, answer): every turn
+    comes once in each case. The pairing is an equi-join on (conv_id, turn + 1), not a
+    window, so one very long conversation does not land in a single task.
     """
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("code"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * ID_STRIDE + F.col("turn")).alias("request_id"), "conv_id", "code", "answer")
+    t = u.join(a, ["conv_id", "turn"]).withColumn("case", F.explode(F.array(*map(F.lit, CASES))))
+    return t.select(F.concat(F.concat_ws(":", "conv_id", "turn"), "case").alias("request_id"), "case", "turn", "code", "answer")
 
 
 def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model response bodies (request_id, kind, body) standing in for model calls.
+    """Model response bodies (request_id, kind, body) standing in for model calls, derived from the answers.
 
-    Style: the assistant answer. Duplication and summary: only for even
-    conversations, derived from the answer. Beside the answers of every ninth
-    conversation come damaged bodies under negative ids, one kind of damage each:
-    cut JSON, a number or an array for the text, text after the object, no field.
+    Style for every request, duplication unless the case is "alone", summary for whole
+    ones; the summary of a damaged one is, by turns, cut JSON, a number or an array for
+    the text, text after the object, or an object without the field.
     """
     t = turn_requests(spark, sf_dir)
-    kinds = F.explode(F.array(
-        F.struct(F.lit("style").alias("kind"), F.col("answer").alias("text")),
-        F.struct(F.lit("duplication").alias("kind"), F.concat(F.lit("duplication: "), "answer").alias("text")),
-        F.struct(F.lit("summary").alias("kind"), F.concat(F.lit("summary: "), "answer").alias("text")),
-    ))
-    rows = t.select("request_id", "conv_id", kinds.alias("r")).select(
-        "request_id", "conv_id", F.col("r.kind").alias("kind"), F.col("r.text").alias("text"))
-    rows = rows.where((F.col("kind") == "style") | (F.col("conv_id") % 2 == 0))
-    body = F.to_json(F.struct(F.col("text").alias("response")))
-    good = rows.select("request_id", "kind", body.alias("body"))
-    damaged = F.explode(F.array(
-        F.struct(F.lit("cut").alias("kind"), F.substring(body, 1, (F.length(body) / 2).cast("int")).alias("body")),
-        F.struct(F.lit("number").alias("kind"), F.lit('{"response":5}').alias("body")),
-        F.struct(F.lit("array").alias("kind"), F.concat(F.lit("["), body, F.lit("]")).alias("body")),
-        F.struct(F.lit("trailing").alias("kind"), F.concat(body, F.lit(" x")).alias("body")),
-        F.struct(F.lit("absent").alias("kind"), F.lit("{}").alias("body")),
-    ))
-    bad = (rows.where((F.col("kind") == "style") & (F.col("conv_id") % 9 == 0))
-           .select((-F.col("request_id") - 1).alias("request_id"), damaged.alias("d")).select("request_id", "d.kind", "d.body"))
-    return good.unionByName(bad)
+    body = lambda text: F.to_json(F.struct(text.alias("response")))
+    summary = body(F.concat(F.lit("summary: "), "answer"))
+    damage = F.array(F.substring(summary, 1, (F.length(summary) / 2).cast("int")), F.lit('{"response":5}'), F.concat(F.lit("["), summary, F.lit("]")),
+                     F.concat(summary, F.lit(" x")), F.lit("{}"))
+    row = lambda kind, b: F.struct(F.lit(kind).alias("kind"), b.alias("body"))
+    rows = F.array(row("style", body(F.col("answer"))),
+                   row("duplication", F.when(F.col("case") != ":alone", body(F.concat(F.lit("duplication: "), "answer")))),
+                   row("summary", F.when(F.col("case") == "", summary).when(F.col("case") == ":damaged", F.element_at(damage, (F.pmod("turn", F.lit(5)) + 1).cast("int")))))
+    return t.select("request_id", F.explode(rows).alias("r")).select("request_id", "r.kind", "r.body").where("body IS NOT NULL")
 
 
 def long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,15 @@ def test_decode_and_rejects(spark, tmp_path):
     errs = {r.filepath.rsplit("/", 1)[-1]: r.reason
             for r in CH.source_errors(CH.parse_sources(good.select("filepath", "code"))).collect()}
     assert errs == {"bom.py": "syntax", "nul.py": "syntax"}
+
+
+def test_ids_of_any_size(spark, tmp_path):
+    """Hashed ids beyond 32 bits, at the end of 64, and below zero."""
+    from srcindex.sources import tables as T
+    big = [(1 << 40) + 1, (1 << 63) - 1, -(1 << 63), 7]
+    spark.createDataFrame([(i, "one\n\ntwo") for i in big], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = T.corpus_lines(spark, str(tmp_path)).collect()
+    assert {(r.entry_id, r.txt) for r in rows} == {(f"{i}:{n}", t) for i in big for n, t in ((1, "one"), (3, "two"))}
+    spark.createDataFrame([(i, t, r, "x") for i in big for t, r in ((0, "user"), (1, "assistant"))], "conv_id long, turn int, role string, text string") \
+        .write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.request_id for r in T.turn_requests(spark, str(tmp_path)).collect()} == {f"{i}:0{c}" for i in big for c in T.CASES}
