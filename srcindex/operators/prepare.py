@@ -91,7 +91,7 @@ def prepare_entries(chunks: DataFrame, dim: int = DEFAULT_DIM, with_vectors: boo
     return embed(out, "document", dim) if with_vectors else out
 
 
-def keep_first(entries: DataFrame) -> DataFrame:
-    """First occurrence per ``chunk_id`` by (filepath, seq)."""
-    w = Window.partitionBy("chunk_id").orderBy(F.col("filepath").asc_nulls_first(), F.col("seq").asc())
+def keep_first(entries: DataFrame, *within: str) -> DataFrame:
+    """First occurrence per ``chunk_id`` by (filepath, seq); ``within``: columns that follow from the id and deal the rows already."""
+    w = Window.partitionBy(*within, "chunk_id").orderBy(F.col("filepath").asc_nulls_first(), F.col("seq").asc())
     return entries.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
