@@ -6,7 +6,9 @@ them, are compiled into a minimal acyclic transducer: states with equal futures
 merged, so suffixes are shared, and the numbers on the arcs of a word's path add up
 to the word's place in the table of token ids. The file (a few MB) goes to the
 executors with ``SparkContext.addFile`` and is memory-mapped there. Words outside it
-are merged exactly by rank. Results do not depend on which words it holds.
+are merged exactly by rank. A worker looks up and merges the words that are new to it
+for a slice of texts at once: one array step follows an arc, or makes a merge, in every
+word that is not yet done. Results do not depend on which words the transducer holds.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text;
 texts are encoded whole; the added tokens of the vocabulary file are matched in the
@@ -20,6 +22,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import uuid
@@ -37,16 +40,16 @@ from srcindex.session import stage
 
 #: Fixed value: the cutting pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII only, where a simpler engine is faster.
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: A word is compiled when it is at least 1/SHARE of all words: at most so many words.
 SHARE = 50_000
 #: Longest word (UTF-8 bytes) that is compiled; entries of a generation of a worker's word cache.
 WORD_BYTES, CACHED = 48, 250_000
-#: Up to so many bytes a word's pairs are searched in a list; beyond, in a heap.
-LIST_MERGE = 40
-
-
+#: Up to so many bytes words are merged in lockstep; longer ones one by one, with a heap.
+LOCKSTEP = 40
 #: Stands for a pair that never merges; above every rank.
-NO_PAIR = 1 << 62
+NO_PAIR = (1 << 31) - 1
 
 
 def byte_letters() -> list[str]:
@@ -67,6 +70,7 @@ class Vocabulary:
         self.first = [ids[c] for c in byte_letters()]
         self.ranks: dict[tuple[int, int], int] = {}
         self.merged: list[int] = []  # by rank
+        self._tables = None
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks.setdefault((ids[a], ids[b]), rank)
@@ -83,8 +87,6 @@ class Vocabulary:
         """Token ids of one word: of all adjacent pairs the lowest rank, leftmost, merges first; O(n log n)."""
         tok = [self.first[b] for b in word]
         n = len(tok)
-        if n <= LIST_MERGE:
-            return self._merge_short(tok)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks, merged = self.ranks, self.merged
         heap = [(r, i, tok[i], tok[i + 1]) for i in range(n - 1) if (r := ranks.get((tok[i], tok[i + 1]))) is not None]
@@ -104,20 +106,59 @@ class Vocabulary:
                 heapq.heappush(heap, (r, h, tok[h], tok[i]))
         return [t for t in tok if t >= 0]
 
-    def _merge_short(self, tok: list[int]) -> list[int]:
-        """The same for a short word: the pairs' ranks in a list, of which two change with a merge."""
-        get = self.ranks.get
-        pairs = [get(p, NO_PAIR) for p in zip(tok, tok[1:])]
-        while pairs and (best := min(pairs)) < NO_PAIR:
-            i = pairs.index(best)
-            new = self.merged[best]
-            tok[i:i + 2] = [new]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get((tok[i - 1], new), NO_PAIR)
-            if i < len(pairs):
-                pairs[i] = get((new, tok[i + 1]), NO_PAIR)
-        return tok
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of token ids, NO_PAIR where it never merges."""
+        if self._tables is None:
+            pairs = np.array([a << 32 | b for a, b in self.ranks] or [-1], np.int64)
+            order = np.argsort(pairs)
+            self._tables = pairs[order], np.array(list(self.ranks.values()) or [NO_PAIR], np.int64)[order], np.array(self.merged or [0], np.int64)
+        pairs, ranks, _ = self._tables
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+        return np.where(pairs[at] == wanted, ranks[at], NO_PAIR)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Packed token ids of many words: every step makes the lowest, leftmost merge of each word that still has one."""
+        out: list[bytes] = [b""] * len(words)
+        for i, w in enumerate(words):
+            if len(w) > LOCKSTEP:
+                out[i] = np.array(self.merge(w), "<u4").tobytes()
+        word = np.array([i for i, w in enumerate(words) if 0 < len(w) <= LOCKSTEP], np.int64)
+        if not len(word):
+            return out
+        size = np.array([len(words[i]) for i in word])
+        tok = np.array(self.first, np.int64)[np.frombuffer(b"".join(words[i] for i in word), np.uint8)]
+        start = np.cumsum(size) - size
+        rank = np.full(len(tok), NO_PAIR, np.int64)  # of a token and its right neighbour
+        inner = np.ones(len(tok), bool)
+        inner[start + size - 1] = False
+        left = np.flatnonzero(inner)
+        rank[left] = self.pair_ranks(tok[left], tok[left + 1])
+        while len(word):
+            # rank above, place below: the minimum is the lowest rank's leftmost place
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(tok)), start)
+            low, place = best >> 32, best & 0xFFFFFFFF
+            done = low == NO_PAIR
+            if done.any():
+                packed = tok.astype("<u4").tobytes()
+                for i, a, n in zip(word[done].tolist(), start[done].tolist(), size[done].tolist()):
+                    out[i] = packed[4 * a:4 * (a + n)]
+            go = ~done
+            stay = np.repeat(go, size)
+            at, begin = place[go], start[go]
+            if len(at):
+                tok[at] = self._tables[2][low[go]]
+                stay[at + 1] = False
+            moved = np.cumsum(stay) - 1  # where a kept token is from now on
+            tok, rank, word, size = tok[stay], rank[stay], word[go], size[go] - 1
+            start = np.cumsum(size) - size
+            if not len(word):
+                break
+            at, last = moved[at], start + size - 1
+            rank[last] = NO_PAIR
+            for here in (at[at < last], at[at > start] - 1):
+                rank[here] = self.pair_ranks(tok[here], tok[here + 1])
+        return out
 
 
 # --- the transducer -------------------------------------------------------------
@@ -193,23 +234,37 @@ class Transducer:
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.root, *cut = struct.unpack_from("<9I", self.map)
-        whole = memoryview(self.map)
-        part = lambda k, kind="I": whole[cut[k]:cut[k + 1]].cast(kind)
-        self.starts, self.final, self.targets, self.adds, self.id_starts = part(0), part(1, "B"), part(3), part(4), part(5)
-        self.labels, self.ids = cut[2], cut[6]
+        part = lambda k, kind="<u4": np.frombuffer(self.map, kind, (cut[k + 1] - cut[k]) // np.dtype(kind).itemsize, cut[k])
+        starts, self.final, self.targets, self.adds, self.id_starts = part(0).astype(np.int64), part(1, "u1"), part(3), part(4), part(5)
+        self.ids = cut[6]
+        # arcs in order of state and label, so one search finds an arc
+        self.arcs = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) << 8 | part(2, "u1")[:starts[-1]]
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """All words at once: a step follows one arc in every word that is still on a path."""
+        out: list[bytes | None] = [None] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        live = np.flatnonzero((size > 0) & (size <= WORD_BYTES))
+        start = np.cumsum(size) - size
+        state, place = np.full(len(live), self.root, np.int64), np.zeros(len(live), np.int64)
+        step = 0
+        while len(live) and len(self.arcs):
+            wanted = state << 8 | data[start[live] + step]
+            at = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
+            on = self.arcs[at] == wanted
+            live, at = live[on], at[on]
+            state, place = self.targets[at].astype(np.int64), place[on] + self.adds[at]
+            step += 1
+            ends = size[live] == step
+            word = ends & (self.final[state] > 0)
+            for i, p in zip(live[word].tolist(), place[word].tolist()):
+                out[i] = self.map[self.ids + int(self.id_starts[p]):self.ids + int(self.id_starts[p + 1])]
+            live, state, place = live[~ends], state[~ends], place[~ends]
+        return out
 
     def get(self, word: bytes) -> bytes | None:
-        state, place = self.root, 0
-        for i in range(len(word)):
-            at = self.map.find(word[i:i + 1], self.labels + self.starts[state], self.labels + self.starts[state + 1])
-            if at < 0:
-                return None
-            at -= self.labels
-            place += self.adds[at]
-            state = self.targets[at]
-        if not self.final[state]:
-            return None
-        return self.map[self.ids + self.id_starts[place]:self.ids + self.id_starts[place + 1]]
+        return self.get_all([word])[0]
 
 
 class Words(dict):
@@ -223,19 +278,28 @@ class Words(dict):
         super().__init__()
         self.vocabulary, self.transducer, self.older = vocabulary, transducer, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            raw = word.encode()
-            ids = self.transducer.get(raw)
-            if ids is None:
-                ids = np.array(self.vocabulary.merge(raw), "<u4").tobytes()
-        if len(word) <= WORD_BYTES:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+    def learn(self, words: set[str]) -> list[str]:
+        """Make every one of ``words`` an entry; the long ones that are new, not to be kept beyond their slice."""
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        new = [w for w in words if w not in self]
+        known = self.older
+        self.update((w, known[w]) for w in new if w in known)
+        new = [w for w in new if w not in known]
+        raw = [w.encode() for w in new]
+        ids = self.transducer.get_all(raw)
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self.vocabulary.merge_all([raw[i] for i in rest])):
+            ids[i] = x
+        self.update(zip(new, ids))
+        return [w for w in new if len(w) > WORD_BYTES]
+
+
+def piece_cutter():
+    """text -> its pieces."""
+    plain, full = re.compile(ASCII_PIECES, re.ASCII).findall, regex.compile(PIECES).findall
+    return lambda text: plain(text) if text.isascii() else full(text)
 
 
 class Codec:
@@ -244,12 +308,29 @@ class Codec:
     def __init__(self, vocabulary_path: str, words_path: str):
         self.vocabulary = Vocabulary(vocabulary_path)
         self.words = Words(self.vocabulary, Transducer(words_path))
-        self.pieces = regex.compile(PIECES)
+        self.cut = piece_cutter()
 
     def encode(self, text: str) -> bytes:
-        v, find, look = self.vocabulary, self.pieces.findall, self.words.__getitem__
-        parts = v.split_added.split(text) if v.split_added and any(a in text for a in v.added) else [text]
-        return b"".join(struct.pack("<I", v.added[p]) if k % 2 else b"".join(map(look, find(p))) for k, p in enumerate(parts))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; the words that are new are looked up and merged for all texts at once."""
+        v, cut, look = self.vocabulary, self.cut, self.words.__getitem__
+        cuts = []
+        for text in texts:
+            if not text:
+                cuts.append(())
+            elif v.split_added and any(a in text for a in v.added):
+                # pieces of plain text, and added tokens between them
+                cuts.append([v.added[p] if k % 2 else cut(p) for k, p in enumerate(v.split_added.split(text))])
+            else:
+                cuts.append([cut(text)])
+        words = set().union(*(p for parts in cuts for p in parts if type(p) is list))
+        long = self.words.learn(words)
+        out = [b"".join([struct.pack("<I", p) if type(p) is int else b"".join(map(look, p)) for p in parts]) for parts in cuts]
+        for word in long:
+            del self.words[word]
+        return out
 
     def decode(self, ids: bytes) -> str:
         token = self.vocabulary.token_bytes
@@ -273,7 +354,7 @@ def _codec(vocabulary_name: str, words_name: str) -> Codec:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; a task sums in bounded memory before the shuffle."""
     def count(batches):
-        find, held = regex.compile(PIECES).findall, Counter()
+        find, held = piece_cutter(), Counter()
 
         def flush():
             out = pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
@@ -319,7 +400,7 @@ def bpe(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] = ("doc_id"
     def run(batches):
         codec = _codec(vocabulary, words)
         for part in text_slices(batches, "text"):
-            ids = [codec.encode(t) if t else b"" for t in part.column("text").to_pylist()]
+            ids = codec.encode_all(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in keep), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                  pa.array([codec.decode(x) for x in ids], pa.string())], names=[*keep, "n_tokens", "ids", "decoded"])

@@ -80,3 +80,29 @@ def test_query_digests(spark):
     for r in bpe.op6_bpe(spark, "/root/testdata/sf0.001").where(F.col("doc_id") < 20).collect():
         ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.ids_sha256 == digest(ids) and r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_lockstep_merges_equal_single_ones(tmp_path):
+    v = bpe.Vocabulary(bpe.default_vocabulary())
+    rng = random.Random(9)
+    words = [b"", b"a", *(bytes(rng.choices(b" aeinorst\xc3\xa9\xff", k=rng.randint(1, 60))) for _ in range(3000)), *(t for t in v.token_bytes if t)]
+    for w, ids in zip(words, v.merge_all(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == v.merge(w)
+    assert v.merge_all([]) == []
+
+
+def test_ascii_texts_are_cut_alike():
+    import regex
+    rng, full, cut = random.Random(3), regex.compile(bpe.PIECES), bpe.piece_cutter()
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(128), 32, 10, 39, 115])) for _ in range(rng.randint(0, 40)))
+        assert cut(text) == full.findall(text)
+
+
+def test_full_word_cache(spark, monkeypatch, tmp_path):
+    """Words come and go between the two generations of the cache, with equal ids."""
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    (tmp_path / "w").write_bytes(bpe.compile_words({b" the": [262]}))
+    codec, t = bpe.Codec(bpe.default_vocabulary(), str(tmp_path / "w")), lib()
+    for text in ["one two three four the", "two " + "x" * 70 + " the five", "one six seven", "x" * 70, "two <|endoftext|> one", ""] * 3:
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
