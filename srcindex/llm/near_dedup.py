@@ -1,13 +1,13 @@
 r"""Near-duplicate classes from bottom-k sketches of one hash function.
 
 * Texts with equal shingle sets form a class; classes are compared, copies never.
-* A sketch is the k smallest shingle hashes. If two sets have Jaccard similarity J,
-  the number of common values among the k smallest of their union is hypergeometric
-  with mean kJ, so below ``least_common(k, J)`` with probability 1e-9 at most.
-* Two sketches with that many values in common share a value among the first
-  k - least + 1 of each in any common order. Values in order of rising frequency
-  therefore give inverted lists that are short, except where classes really look
-  alike. Sets smaller than the sketch are compared as a whole, exactly.
+* A sketch holds the smallest shingle hashes of a set of n: ``spare(n)`` more than the
+  n - ceil(J n) that a partner of similarity J may lack. The first spare(n) common
+  values of two such sets are in both sketches, so sketches share at least as many.
+* Therefore partners share a value among the first size - spare + 1 of each sketch in
+  any common order. Values in order of rising frequency give inverted lists that are
+  short, except where classes really look alike; no pair of the similarity is without
+  a common list.
 * Inside a list not all pairs are made. First the most central class of each list
   (its values are the most frequent ones) is compared with the others; what it links
   is one component already. Short lists that still hold several components are paired
@@ -16,8 +16,11 @@ r"""Near-duplicate classes from bottom-k sketches of one hash function.
   shingles of its own drops out of the list for good. What is left goes through rounds
   of 1, 16, 64, ... pivots per list, across components only, until each list is one
   component or every pair was looked at.
-* Pairs whose union-sketch estimate falls short are dropped, the others are
-  confirmed on the full shingle sets.
+* A pair is never a row: a class carries its partners as an array and meets them, with
+  their sets, by blocks. A task takes a class's partners in order of the union-sketch
+  estimate, leaves those whose sketches differ in more values than the whole sets may,
+  confirms on the full sets, skips components that it has joined already and returns a
+  spanning forest of its links.
 
 Defined results: a null or empty text, or one without words, has no shingles and
 is a component of its own; repeated rows fall into one class and have the same
@@ -29,7 +32,6 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,30 +43,32 @@ from srcindex.llm.components import connected_components
 from srcindex.llm.shingles import shingle_sets
 from srcindex.session import stage
 
-#: Values in a sketch; the chance to lose a pair that the lists are laid out for.
-K, LOSS = 64, 1e-9
+#: Shingles of a block's sets together (8 bytes each), and smallest values of a set that the estimate looks at.
+BLOCK, K = 1 << 20, 64
 #: Longest list whose members are paired at once; pivots per list in the rounds over the full sets' lists, then fourfold.
 SHORT, PIVOTS = 24, (1, 16, 64)
+#: 1 / SPARE of a set's size is in its sketch beyond what partners may lack.
+SPARE = 16
 
 
-def least_common(k: int, similarity: float, loss: float = LOSS) -> int:
-    """The largest t with P(Binomial(k, similarity) < t) <= loss."""
-    below = 0.0
-    for t in range(k + 1):
-        below += math.comb(k, t) * similarity ** t * (1 - similarity) ** (k - t)
-        if below > loss:
-            return max(t, 1)
-    return k
+def spare(n):
+    """How many common values of a set of ``n`` are sure to be in both sketches (an array or a number)."""
+    return 1 + n // SPARE
 
 
-def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
+def sketch_size(n, similarity: float):
+    """All values but those that partners must share, and ``spare(n)`` of these."""
+    return np.minimum(n, n - np.ceil(n * similarity - 1e-9).astype(np.int64) + spare(n))
+
+
+def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, text_key (a hash of the text), n (set size), digest of the set (16 bytes, null if empty), sketch of every row."""
     def run(batches):
         for part in text_slices(batches, "text", max_bytes=1 << 20):
             s, at = shingle_sets(part.column("text").to_pylist(), width)
             n = np.diff(at)
             digest = [hashlib.blake2b(s[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
-            head = np.minimum(n, k)
+            head = sketch_size(n, similarity)
             ends = np.concatenate([[0], np.cumsum(head)])
             take = np.repeat(at[:-1] - ends[:-1], head) + np.arange(ends[-1])
             yield pa.RecordBatch.from_arrays(
@@ -76,16 +80,14 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
             .mapInArrow(run, f"doc_id {kind}, text_key long, n long, digest binary, sketch array<long>"))
 
 
-def inverted_lists(classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
+def inverted_lists(classes: DataFrame, similarity: float) -> DataFrame:
     """(value, cid, n, w): the rarest values of each sketch, as many as a partner must share one of; w: how central the class is."""
-    t = least_common(k, similarity)
-    # sets whose partners all fit into a sketch are judged on the whole set
-    needed = F.when(F.col("n") <= int(similarity * (k - 1)), F.ceil(F.col("n") * similarity - 1e-9)).otherwise(F.lit(t))
-    values = classes.select("cid", "n", F.explode("sketch").alias("value"))
+    # a partner has similarity * n shingles at least
+    needed = F.floor(F.ceil(F.col("n") * similarity - 1e-9) / SPARE) + 1
+    values = classes.select("cid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = (values.join(shared, "value").groupBy("cid", "n")
+    listed = (values.join(shared, "value").groupBy("cid", "n", "s")
               .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
-              .withColumn("s", F.least("n", F.lit(k)))
               # values that only this set holds come first in the order; they lead to nobody
               .withColumn("head", F.col("s") - F.least("s", needed) + 1 - (F.col("s") - F.size("v")))
               .where("head > 0"))
@@ -120,68 +122,129 @@ def _open_lists(postings: DataFrame) -> DataFrame:
     return postings.join(wide.select("value"), "value")
 
 
-def _close(n: str, m: str, similarity: float):
-    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+def _partners(postings: DataFrame, by_list: DataFrame, similarity: float) -> DataFrame:
+    """(cid, n, comp, partners): of the classes ``by_list`` (value, some) those of other components and fitting size, each once."""
+    met = postings.join(by_list, "value").groupBy("cid", "n", "comp").agg(F.array_distinct(F.flatten(F.collect_set("some"))).alias("some"))
+
+    def fits(p):
+        return (p["comp"] != F.col("comp")) & (F.least(p["n"], F.col("n")) >= similarity * F.greatest(p["n"], F.col("n")) - 1e-9)
+
+    return met.select("cid", "n", "comp", F.filter("some", fits).alias("partners")).where(F.size("partners") > 0)
 
 
 def _pivot_pairs(postings: DataFrame, similarity: float, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """The most central class of each list (or of each of its ``pivots`` shares), and its pairs with members of other components."""
+    """The most central class of each list (or of each of its ``pivots`` shares), and the other classes with these as partners."""
     share = F.pmod(F.xxhash64("cid"), F.lit(pivots)) if pivots > 1 else F.lit(0)
     chosen = (postings.groupBy("value", share.alias("share")).agg(F.max(F.struct("w", "cid", "n", "comp")).alias("p"))
-              .select("value", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")))
-    # a list's pivots travel as one array, and a class gathers those of its lists once: a pair that many lists share is made once
-    by_list = chosen.groupBy("value").agg(F.collect_list(F.struct("pivot", "pn", "pcomp")).alias("pivots"))
-    met = (postings.join(by_list, "value").groupBy("cid", "n", "comp")
-           .agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots")))
-    pairs = (met.select("cid", "n", "comp", F.explode(F.filter("pivots", lambda p: (p["pcomp"] != F.col("comp")) & _close_to(p["pn"], similarity))).alias("p"))
-             .select(F.least("cid", "p.pivot").alias("a"), F.greatest("cid", "p.pivot").alias("b")).distinct())
-    return chosen.select("value", F.col("pivot").alias("cid")), pairs
+              .select("value", F.struct("p.cid", "p.n", "p.comp").alias("p")))
+    by_list = chosen.groupBy("value").agg(F.collect_list("p").alias("some"))
+    return chosen.select("value", "p.cid", "p.n"), _partners(postings, by_list, similarity)
 
 
-def _close_to(m, similarity: float):
-    return F.least(F.col("n"), m) >= similarity * F.greatest(F.col("n"), m) - 1e-9
+def _short_pairs(postings: DataFrame, similarity: float) -> DataFrame:
+    """All pairs across components in lists of at most SHORT members, each on the side of the larger id."""
+    by_list = postings.groupBy("value").agg(F.collect_list(F.struct("cid", "n", "comp")).alias("some"))
+    both = _partners(postings, by_list, similarity)
+    return both.withColumn("partners", F.filter("partners", lambda p: p["cid"] < F.col("cid"))).where(F.size("partners") > 0)
 
 
-def _short_pairs(postings: DataFrame, similarity: float) -> DataFrame:
-    """All pairs across components in lists of at most SHORT members."""
-    other = postings.select("value", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
-    return (postings.withColumnRenamed("cid", "a").join(other, "value")
-            .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & _close("n", "bn", similarity)).select("a", "b").distinct())
-
-
-def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; few reach this far without it."""
-    s = classes.select("cid", "sketch", "n")
-    both = (pairs.join(s.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
-            .join(s.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    # of the k smallest of the union, those in both sketches
-    union = F.expr(f"slice(array_sort(array_union(sa, sb)), 1, {k})")
-    seen = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
-    exact = common * 1.0 >= similarity * (F.col("na") + F.col("nb") - common) - 1e-9
-    likely = stage(both.where(F.when(whole, exact).otherwise(seen >= least_common(k, similarity)))
-                   .select("a", "b", whole.alias("sure")), "nd-likely")
-    sets_a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("xa"))
-    sets_b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("xb"))
-    inter = F.size(F.array_intersect("xa", "xb"))
-    checked = (likely.where(~F.col("sure")).join(sets_a, "a").join(sets_b, "b")
-               .withColumn("i", inter).where(F.col("i") >= similarity * (F.size("xa") + F.size("xb") - F.col("i")) - 1e-9))
-    return likely.where("sure").select("a", "b").union(checked.select("a", "b"))
+def confirm(pairs: DataFrame, others: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the classes of ``pairs`` (cid, n, comp, partners): forests over what is linked on full sets.
+
+    ``others`` (cid, n) holds all classes that may be partners.
+    Partners lie in hashed blocks of some BLOCK shingles. A class goes to the blocks of
+    its partners; a block with more classes than fit is dealt to parts, which get the
+    block's sets each. So sets travel once per block, however many pairs meet there.
+    """
+    wanted = stage(others.select("cid", "n").distinct(), "nd-others")
+    blocks = 1 + int((wanted.agg(F.sum("n")).first()[0] or 0) // BLOCK)
+
+    def block_of(cid):
+        return F.pmod(F.xxhash64(cid), F.lit(blocks))
+
+    here = F.filter("partners", lambda p: block_of(p["cid"]) == F.col("block"))
+    sent = (pairs.withColumn("block", F.explode(F.array_distinct(F.transform("partners", lambda p: block_of(p["cid"])))))
+            .withColumn("partners", here))
+    parts = stage(sent.groupBy("block").agg((F.lit(1) + F.floor(F.sum("n") / BLOCK)).alias("parts")), "nd-parts")
+    left = (sent.join(parts, "block").withColumn("part", F.pmod(F.xxhash64(F.col("cid"), F.lit(1)), F.col("parts")))
+            .join(sets, "cid").select("block", "part", "cid", "comp", "partners", "shingles"))
+    right = (wanted.select("cid", block_of(F.col("cid")).alias("block")).join(parts, "block").join(sets, "cid")
+             .select(F.col("block").alias("at_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at_part"),
+                     F.col("cid").alias("other"), F.col("shingles").alias("other_set")))
+    return left.groupBy("block", "part").cogroup(right.groupBy("at_block", "at_part")).applyInArrow(_forest(similarity), "a long, b long")
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
+    """In the part of the order that both sketches reach: values in one set only, and the similarity estimated from the union's sketch."""
+    end = min(a[min(K, len(a)) - 1], b[min(K, len(b)) - 1])
+    a, b = a[:np.searchsorted(a, end, "right")], b[:np.searchsorted(b, end, "right")]
+    both = _common(a, b)
+    return len(a) + len(b) - 2 * both, both / (len(a) + len(b) - both)
+
+
+def _lists(column) -> list[np.ndarray]:
+    """A column of arrays as NumPy arrays."""
+    column = column.combine_chunks()
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    out = []
+    for c in chunks:
+        at, values = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)
+        out.extend(values[i:j] for i, j in zip(at[:-1], at[1:]))
+    return out
+
+
+def _forest(similarity: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place = {c: i for i, c in enumerate(right.column("other").to_pylist())}
+        sets, top = _lists(right.column("other_set")), {}
+
+        def root(x):
+            while (y := top.get(x, x)) != x:
+                top[x] = x = top.get(y, y)
+            return x
+
+        links = []
+        for cid, comp, partners, mine in zip(left.column("cid").to_pylist(), left.column("comp").to_pylist(),
+                                             left.column("partners").to_pylist(), _lists(left.column("shingles"))):
+            likely = []
+            for p in partners:
+                if root(p["comp"]) != root(comp):
+                    other = sets[place[p["cid"]]]
+                    total = len(mine) + len(other)
+                    differ, estimate = _differ(mine, other)
+                    if differ <= total - 2 * similarity / (1 + similarity) * total + 1e-6:
+                        likely.append((estimate, p["cid"], p["comp"], other))
+            for _, b, b_comp, other in sorted(likely, key=lambda x: x[:2], reverse=True):
+                if root(b_comp) != root(comp):
+                    both = _common(mine, other)
+                    if both >= similarity * (len(mine) + len(other) - both) - 1e-9:
+                        top[root(b_comp)] = root(comp)
+                        links.append((cid, b))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    return run
 
 
 class Links:
     """Confirmed links so far, as components of classes."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, postings: DataFrame, width: int, similarity: float, k: int):
-        self.classes, self.similarity, self.k, self.comps = classes, similarity, k, None
+    def __init__(self, docs: DataFrame, classes: DataFrame, postings: DataFrame, width: int, similarity: float):
+        self.similarity, self.comps = similarity, None
         wanted = postings.select("cid").distinct().join(classes, "cid").select("cid", F.col("digest").alias("d"), F.col("rep").alias("r"))
         source = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("r"))).select("cid", "text", "d")
         self.sets = stage(_sets_of(source, width), "nd-sets")
 
-    def add(self, pairs: DataFrame) -> None:
-        """Confirm pairs (a, b) of classes and merge the components that they link."""
-        links = stage(confirm(stage(pairs, "nd-pairs"), self.classes, self.sets, self.similarity, self.k), "nd-links")
+    def add(self, pairs: DataFrame, others: DataFrame) -> None:
+        """Confirm classes with their partners and merge the components that are linked."""
+        links = stage(confirm(stage(pairs, "nd-pairs"), others, self.sets, self.similarity), "nd-links")
         if links.isEmpty():
             return
         edges = links if self.comps is None else self.relabel(self.relabel(links.withColumn("comp", F.col("a"))).withColumn("a", F.col("comp")).withColumn("comp", F.col("b"))) \
@@ -202,20 +265,21 @@ class Links:
         return frame.join(now, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now").select(*frame.columns)
 
 
-def _components(docs: DataFrame, width: int, similarity: float, k: int) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text_key, n, digest), and the classes (digest, rep, comp)."""
-    rows = stage(sketches(docs, width, k), "nd-sketches")
+    rows = stage(sketches(docs, width, similarity), "nd-sketches")
     classes = stage(rows.where("digest IS NOT NULL").groupBy("digest")
                     .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
                     .withColumn("cid", F.monotonically_increasing_id()), "nd-classes")
-    postings = stage(_open_lists(inverted_lists(classes, similarity, k).withColumn("comp", F.col("cid"))), "nd-lists")
-    links = None if postings.isEmpty() else Links(docs, classes, postings, width, similarity, k)
+    postings = stage(_open_lists(inverted_lists(classes, similarity).withColumn("comp", F.col("cid"))), "nd-lists")
+    links = None if postings.isEmpty() else Links(docs, classes, postings, width, similarity)
     if links:
         pivots, pairs = _pivot_pairs(postings, similarity, 1)
-        links.add(pairs)
+        links.add(pairs, pivots)
         postings = stage(_open_lists(links.relabel(postings.join(pivots, ["value", "cid"], "left_anti"))), "nd-open")
         sizes = postings.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
-        links.add(_short_pairs(postings.join(sizes.where(F.col("m") <= SHORT).select("value"), "value"), similarity))
+        short = postings.join(sizes.where(F.col("m") <= SHORT).select("value"), "value")
+        links.add(_short_pairs(short, similarity), short)
         long = stage(postings.join(sizes.where(F.col("m") > SHORT).select("value"), "value").select("cid").distinct(), "nd-long")
         if not long.isEmpty():
             exact = exact_lists(links.sets.join(long, "cid"), similarity).withColumn("comp", F.col("cid"))
@@ -223,7 +287,7 @@ def _components(docs: DataFrame, width: int, similarity: float, k: int) -> tuple
             step = 0
             while not postings.isEmpty():
                 pivots, pairs = _pivot_pairs(postings, similarity, PIVOTS[step] if step < len(PIVOTS) else PIVOTS[-1] * 4 ** (step - len(PIVOTS) + 1))
-                links.add(pairs)
+                links.add(pairs, pivots)
                 postings = stage(_open_lists(links.relabel(postings.join(pivots, ["value", "cid"], "left_anti"))), "nd-open")
                 step += 1
     comps = links.comps if links else None
@@ -233,9 +297,9 @@ def _components(docs: DataFrame, width: int, similarity: float, k: int) -> tuple
     return rows.drop("sketch"), stage(member.select("digest", "rep", "comp"), "nd-member")
 
 
-def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
+def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id linked), kept, one row per input row."""
-    rows, member = _components(docs, width, similarity, k)
+    rows, member = _components(docs, width, similarity)
     smallest = member.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_digest = member.join(smallest, "comp").select("digest", "component_id")
     return (rows.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
@@ -244,12 +308,12 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: in
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
+def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id (null last), of repeated ids the smallest text hash.
 
     Rows are told apart by doc_id and text, so repeated and null ids do no harm; texts without shingles all stay.
     """
-    rows, member = _components(docs, width, similarity, k)
+    rows, member = _components(docs, width, similarity)
     placed = rows.join(member.select("digest", "comp"), "digest")
     first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))).alias("w"))
     gone = (placed.join(first, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("w.b")) & (F.col("text_key") == F.col("w.c"))))

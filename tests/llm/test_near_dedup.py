@@ -1,9 +1,11 @@
 """Near-duplicate classes against all pairs."""
 
+import math
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from srcindex.llm import near_dedup
@@ -80,8 +82,30 @@ def test_repeated_rows_and_empty_table(spark):
     assert got(spark, [], 5, 80) == []
 
 
-def test_bound_on_lost_pairs():
-    assert near_dedup.least_common(64, 0.85) in range(30, 40) and near_dedup.least_common(10, 1.0) == 10
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_partners_share_enough_of_their_sketches(similarity):
+    """The worst pairs: as many values in common as the similarity asks for, the others smaller than all of these."""
+    for n in [*range(1, 80), 333, 1000]:
+        for m in {n, int(n / similarity), max(1, n - 1)}:
+            both = next(i for i in range(min(n, m) + 1) if i >= similarity * (n + m - i) - 1e-9 or i == min(n, m))
+            if both < similarity * (n + m - both) - 1e-9:
+                continue
+            a, b = int(near_dedup.sketch_size(np.array([n]), similarity)[0]), int(near_dedup.sketch_size(np.array([m]), similarity)[0])
+            shared = min(a - (n - both), b - (m - both))  # common values in both sketches
+            assert shared >= near_dedup.spare(math.ceil(max(n, m) * similarity - 1e-9)) or shared >= both
+
+
+def test_small_blocks_and_a_large_list_without_links(spark, monkeypatch):
+    """A passage that all documents share lists them together, though few are alike; blocks and parts of a few sets."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 600)
+    monkeypatch.setattr(near_dedup, "SHORT", 4)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join(passage + [word() for _ in range(rng.randint(5, 40))])) for k in range(90)]
+    assert got(spark, rows, 3, 85) == brute(rows, 3, 85)
+    rows = made(7)
+    assert got(spark, rows, 3, 85) == brute(rows, 3, 85)
 
 
 def test_regular_words_have_hashes_of_their_own():
