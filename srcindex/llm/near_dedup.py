@@ -166,11 +166,15 @@ def confirm(pairs: DataFrame, others: DataFrame, sets: DataFrame, similarity: fl
     sent = (pairs.withColumn("block", F.explode(F.array_distinct(F.transform("partners", lambda p: block_of(p["cid"])))))
             .withColumn("partners", here))
     parts = stage(sent.groupBy("block").agg((F.lit(1) + F.floor(F.sum("n") / BLOCK)).alias("parts")), "nd-parts")
-    left = (sent.join(parts, "block").withColumn("part", F.pmod(F.xxhash64(F.col("cid"), F.lit(1)), F.col("parts")))
-            .join(sets, "cid").select("block", "part", "cid", "comp", "partners", "shingles"))
-    right = (wanted.select("cid", block_of(F.col("cid")).alias("block")).join(parts, "block").join(sets, "cid")
-             .select(F.col("block").alias("at_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at_part"),
-                     F.col("cid").alias("other"), F.col("shingles").alias("other_set")))
+    # written before they meet the sets: with their size known, small ones are sent to the sets and not these to them
+    asked = stage(sent.join(parts, "block").withColumn("part", F.pmod(F.xxhash64(F.col("cid"), F.lit(1)), F.col("parts")))
+                  .select("block", "part", "cid", "comp", "partners"), "nd-asked")
+    placed = stage(wanted.select(F.col("cid").alias("other"), block_of(F.col("cid")).alias("block")).join(parts, "block")
+                   .select(F.col("block").alias("at_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at_part"), "other"),
+                   "nd-placed")
+    left = asked.join(sets, "cid").select("block", "part", "cid", "comp", "partners", "shingles")
+    right = (placed.join(sets.select(F.col("cid").alias("other"), F.col("shingles").alias("other_set")), "other")
+             .select("at_block", "at_part", "other", "other_set"))
     return left.groupBy("block", "part").cogroup(right.groupBy("at_block", "at_part")).applyInArrow(_forest(similarity), "a long, b long")
 
 
@@ -238,13 +242,17 @@ class Links:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, postings: DataFrame, width: int, similarity: float):
         self.similarity, self.comps = similarity, None
-        wanted = postings.select("cid").distinct().join(classes, "cid").select("cid", F.col("digest").alias("d"), F.col("rep").alias("r"))
+        # written first, so that the planner knows whether the texts need to move
+        wanted = stage(postings.select("cid").distinct().join(classes, "cid").select("cid", F.col("digest").alias("d"), F.col("rep").alias("r")), "nd-wanted")
         source = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("r"))).select("cid", "text", "d")
         self.sets = stage(_sets_of(source, width), "nd-sets")
 
     def add(self, pairs: DataFrame, others: DataFrame) -> None:
         """Confirm classes with their partners and merge the components that are linked."""
-        links = stage(confirm(stage(pairs, "nd-pairs"), others, self.sets, self.similarity), "nd-links")
+        pairs = stage(pairs, "nd-pairs")
+        if pairs.isEmpty():
+            return
+        links = stage(confirm(pairs, others, self.sets, self.similarity), "nd-links")
         if links.isEmpty():
             return
         edges = links if self.comps is None else self.relabel(self.relabel(links.withColumn("comp", F.col("a"))).withColumn("a", F.col("comp")).withColumn("comp", F.col("b"))) \
