@@ -16,11 +16,12 @@ r"""Near-duplicate classes from bottom-k sketches of one hash function.
   shingles of its own drops out of the list for good. What is left goes through rounds
   of 1, 16, 64, ... pivots per list, across components only, until each list is one
   component or every pair was looked at.
-* A pair is never a row: a class carries its partners as an array and meets them, with
-  their sets, by blocks. A task takes a class's partners in order of the union-sketch
-  estimate, leaves those whose sketches differ in more values than the whole sets may,
-  confirms on the full sets, skips components that it has joined already and returns a
-  spanning forest of its links.
+* A pair is never a row: a class carries its partners as an array and meets them by
+  blocks, twice. First the sketches meet: partners whose sketches differ in more values
+  than the whole sets may are left. Full sets are made, and travel, only for classes that
+  still have partners: a task takes these in order of the union-sketch estimate, confirms
+  on the full sets, skips components that it has joined already and returns a spanning
+  forest of its links.
 
 Defined results: a null or empty text, or one without words, has no shingles and
 is a component of its own; repeated rows fall into one class and have the same
@@ -41,12 +42,15 @@ from pyspark.sql import functions as F
 from srcindex.llm.common import query, table, text_of, text_slices
 from srcindex.llm.components import connected_components
 from srcindex.llm.shingles import shingle_sets
+from srcindex.llm.sieve import sieve
 from srcindex.session import stage
 
 #: Shingles of a block's sets together (8 bytes each), and smallest values of a set that the estimate looks at.
 BLOCK, K = 1 << 20, 64
 #: Longest list whose members are paired at once; pivots per list in the rounds over the full sets' lists, then fourfold.
 SHORT, PIVOTS = 24, (1, 16, 64)
+#: What pairs look like: a class and those that it is compared with.
+PAIRS = "cid long, n long, comp long, partners array<struct<cid:long,n:long,comp:long>>"
 #: 1 / SPARE of a set's size is in its sketch beyond what partners may lack.
 SPARE = 16
 
@@ -148,16 +152,16 @@ def _short_pairs(postings: DataFrame, similarity: float) -> DataFrame:
     return both.withColumn("partners", F.filter("partners", lambda p: p["cid"] < F.col("cid"))).where(F.size("partners") > 0)
 
 
-def confirm(pairs: DataFrame, others: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among the classes of ``pairs`` (cid, n, comp, partners): forests over what is linked on full sets.
+def meet(pairs: DataFrame, others: DataFrame, held: DataFrame, task, schema: str, block: int) -> DataFrame:
+    """``task`` on the classes of ``pairs`` (cid, n, comp, partners) and their partners, both with what ``held`` (cid, v) has of them.
 
     ``others`` (cid, n) holds all classes that may be partners.
-    Partners lie in hashed blocks of some BLOCK shingles. A class goes to the blocks of
-    its partners; a block with more classes than fit is dealt to parts, which get the
-    block's sets each. So sets travel once per block, however many pairs meet there.
+    Partners lie in hashed blocks of some ``block`` shingles. A class goes to the blocks of
+    its partners; a block with more classes than fit is dealt to parts, which get all of
+    the block. So sets travel once per block, however many pairs meet there.
     """
     wanted = stage(others.select("cid", "n").distinct(), "nd-others")
-    blocks = 1 + int((wanted.agg(F.sum("n")).first()[0] or 0) // BLOCK)
+    blocks = 1 + int((wanted.agg(F.sum("n")).first()[0] or 0) // block)
 
     def block_of(cid):
         return F.pmod(F.xxhash64(cid), F.lit(blocks))
@@ -165,17 +169,17 @@ def confirm(pairs: DataFrame, others: DataFrame, sets: DataFrame, similarity: fl
     here = F.filter("partners", lambda p: block_of(p["cid"]) == F.col("block"))
     sent = (pairs.withColumn("block", F.explode(F.array_distinct(F.transform("partners", lambda p: block_of(p["cid"])))))
             .withColumn("partners", here))
-    parts = stage(sent.groupBy("block").agg((F.lit(1) + F.floor(F.sum("n") / BLOCK)).alias("parts")), "nd-parts")
+    parts = stage(sent.groupBy("block").agg((F.lit(1) + F.floor(F.sum("n") / block)).alias("parts")), "nd-parts")
     # written before they meet the sets: with their size known, small ones are sent to the sets and not these to them
     asked = stage(sent.join(parts, "block").withColumn("part", F.pmod(F.xxhash64(F.col("cid"), F.lit(1)), F.col("parts")))
-                  .select("block", "part", "cid", "comp", "partners"), "nd-asked")
-    placed = stage(wanted.select(F.col("cid").alias("other"), block_of(F.col("cid")).alias("block")).join(parts, "block")
-                   .select(F.col("block").alias("at_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at_part"), "other"),
+                  .select("block", "part", "cid", "n", "comp", "partners"), "nd-asked")
+    placed = stage(wanted.select("cid", block_of(F.col("cid")).alias("block")).join(parts, "block")
+                   .select(F.col("block").alias("at_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at_part"), "cid"),
                    "nd-placed")
-    left = asked.join(sets, "cid").select("block", "part", "cid", "comp", "partners", "shingles")
-    right = (placed.join(sets.select(F.col("cid").alias("other"), F.col("shingles").alias("other_set")), "other")
-             .select("at_block", "at_part", "other", "other_set"))
-    return left.groupBy("block", "part").cogroup(right.groupBy("at_block", "at_part")).applyInArrow(_forest(similarity), "a long, b long")
+    # both joins read ``held`` by cid in the same way, so that one shuffle of it serves them
+    left = asked.join(held, "cid").select("block", "part", "cid", "n", "comp", "partners", "v")
+    right = placed.join(held, "cid").select("at_block", "at_part", F.col("cid").alias("other"), F.col("v").alias("other_v"))
+    return left.groupBy("block", "part").cogroup(right.groupBy("at_block", "at_part")).applyInArrow(task, schema)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -187,9 +191,9 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def _differ(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
-    """In the part of the order that both sketches reach: values in one set only, and the similarity estimated from the union's sketch."""
-    end = min(a[min(K, len(a)) - 1], b[min(K, len(b)) - 1])
+def _differ(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, float]:
+    """In the part of the order that both sketches (of ``k`` values at most) reach: values in one set only, and the similarity estimated from the union's sketch."""
+    end = min(a[min(k, len(a)) - 1], b[min(k, len(b)) - 1])
     a, b = a[:np.searchsorted(a, end, "right")], b[:np.searchsorted(b, end, "right")]
     both = _common(a, b)
     return len(a) + len(b) - 2 * both, both / (len(a) + len(b) - both)
@@ -206,10 +210,30 @@ def _lists(column) -> list[np.ndarray]:
     return out
 
 
+def _may_be(differ: int, total: int, similarity: float) -> bool:
+    """Whether sets of ``total`` values together can reach the similarity with so many in one of them only."""
+    return differ <= total - 2 * similarity / (1 + similarity) * total + 1e-6
+
+
+def _likely(similarity: float):
+    """The classes with those of their partners that the sketches leave."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right.column("other").to_pylist(), _lists(right.column("other_v"))))
+        keep, some = [], []
+        for i, (n, partners, mine) in enumerate(zip(left.column("n").to_pylist(), left.column("partners").to_pylist(), _lists(left.column("v")))):
+            left_over = [p for p in partners if _may_be(_differ(mine, other := held[p["cid"]], max(len(mine), len(other)))[0], n + p["n"], similarity)]
+            if left_over:
+                keep.append(i)
+                some.append(left_over)
+        out = left.select(["cid", "n", "comp"]).take(pa.array(keep, pa.int64()))
+        return out.append_column("partners", pa.array(some, left.schema.field("partners").type))
+    return run
+
+
 def _forest(similarity: float):
+    """The links (a, b) that the full sets confirm, as a forest."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = {c: i for i, c in enumerate(right.column("other").to_pylist())}
-        sets, top = _lists(right.column("other_set")), {}
+        sets, top = dict(zip(right.column("other").to_pylist(), _lists(right.column("other_v")))), {}
 
         def root(x):
             while (y := top.get(x, x)) != x:
@@ -218,19 +242,12 @@ def _forest(similarity: float):
 
         links = []
         for cid, comp, partners, mine in zip(left.column("cid").to_pylist(), left.column("comp").to_pylist(),
-                                             left.column("partners").to_pylist(), _lists(left.column("shingles"))):
-            likely = []
-            for p in partners:
-                if root(p["comp"]) != root(comp):
-                    other = sets[place[p["cid"]]]
-                    total = len(mine) + len(other)
-                    differ, estimate = _differ(mine, other)
-                    if differ <= total - 2 * similarity / (1 + similarity) * total + 1e-6:
-                        likely.append((estimate, p["cid"], p["comp"], other))
-            for _, b, b_comp, other in sorted(likely, key=lambda x: x[:2], reverse=True):
+                                             left.column("partners").to_pylist(), _lists(left.column("v"))):
+            order = [(_differ(mine, sets[p["cid"]], K)[1], p["cid"], p["comp"]) for p in partners if root(p["comp"]) != root(comp)]
+            for _, b, b_comp in sorted(order, reverse=True):
                 if root(b_comp) != root(comp):
-                    both = _common(mine, other)
-                    if both >= similarity * (len(mine) + len(other) - both) - 1e-9:
+                    both = _common(mine, sets[b])
+                    if both >= similarity * (len(mine) + len(sets[b]) - both) - 1e-9:
                         top[root(b_comp)] = root(comp)
                         links.append((cid, b))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
@@ -238,21 +255,44 @@ def _forest(similarity: float):
 
 
 class Links:
-    """Confirmed links so far, as components of classes."""
+    """Confirmed links so far, as components of classes; sketches and full sets of the classes that may have links."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, postings: DataFrame, width: int, similarity: float):
-        self.similarity, self.comps = similarity, None
+        self.docs, self.classes, self.width, self.similarity = docs, classes, width, similarity
+        self.comps = self.sets = None
+        listed = stage(postings.select("cid").distinct(), "nd-listed")
+        self.sketches = stage(sieve(classes.select("cid", F.col("sketch").alias("v")), listed, "cid").join(listed, "cid"), "nd-held")
+
+    def need(self, cids: DataFrame) -> None:
+        """Full sets of these classes (cid) are at hand from now on; those not made yet are made from the texts."""
+        new = cids.distinct()
+        if self.sets is not None:
+            new = new.join(self.sets.select("cid"), "cid", "left_anti")
+        new = stage(new, "nd-new")
+        if new.isEmpty():
+            return
         # written first, so that the planner knows whether the texts need to move
-        wanted = stage(postings.select("cid").distinct().join(classes, "cid").select("cid", F.col("digest").alias("d"), F.col("rep").alias("r")), "nd-wanted")
-        source = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("r"))).select("cid", "text", "d")
-        self.sets = stage(_sets_of(source, width), "nd-sets")
-
-    def add(self, pairs: DataFrame, others: DataFrame) -> None:
-        """Confirm classes with their partners and merge the components that are linked."""
+        wanted = stage(self.classes.select("cid", "digest", "rep").join(new, "cid").select("cid", F.col("digest").alias("d"), F.col("rep").alias("doc_id")), "nd-wanted")
+        source = (sieve(self.docs.select("doc_id", "text"), wanted, "doc_id")
+                  .join(wanted.withColumnRenamed("doc_id", "r"), F.col("doc_id").eqNullSafe(F.col("r"))).select("cid", "text", "d"))
+        made = stage(_sets_of(source, self.width), "nd-sets")
+        self.sets = made if self.sets is None else self.sets.union(made)
+
+    def likely(self, pairs: DataFrame, others: DataFrame) -> DataFrame:
+        """``pairs`` without the partners that the sketches reject."""
         pairs = stage(pairs, "nd-pairs")
         if pairs.isEmpty():
+            return pairs
+        return stage(meet(pairs, others, self.sketches, _likely(self.similarity), PAIRS, BLOCK * 4), "nd-likely")
+
+    def confirm(self, likely: DataFrame) -> None:
+        """Confirm classes with their partners on full sets and merge the components that are linked."""
+        if likely.isEmpty():
             return
-        links = stage(confirm(pairs, others, self.sets, self.similarity), "nd-links")
+        partners = likely.select(F.explode("partners").alias("p")).select("p.cid", "p.n")
+        self.need(likely.select("cid").union(partners.select("cid")))
+        held = self.sets.withColumnRenamed("shingles", "v")
+        links = stage(meet(likely, partners, held, _forest(self.similarity), "a long, b long", BLOCK), "nd-links")
         if links.isEmpty():
             return
         edges = links if self.comps is None else self.relabel(self.relabel(links.withColumn("comp", F.col("a"))).withColumn("a", F.col("comp")).withColumn("comp", F.col("b"))) \
@@ -283,19 +323,22 @@ def _components(docs: DataFrame, width: int, similarity: float) -> tuple[DataFra
     links = None if postings.isEmpty() else Links(docs, classes, postings, width, similarity)
     if links:
         pivots, pairs = _pivot_pairs(postings, similarity, 1)
-        links.add(pairs, pivots)
+        links.confirm(links.likely(pairs, pivots))
         postings = stage(_open_lists(links.relabel(postings.join(pivots, ["value", "cid"], "left_anti"))), "nd-open")
         sizes = postings.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
         short = postings.join(sizes.where(F.col("m") <= SHORT).select("value"), "value")
-        links.add(_short_pairs(short, similarity), short)
         long = stage(postings.join(sizes.where(F.col("m") > SHORT).select("value"), "value").select("cid").distinct(), "nd-long")
+        likely = links.likely(_short_pairs(short, similarity), short)
+        partners = likely.select(F.explode("partners").alias("p")).select("p.cid")
+        links.need(long.union(likely.select("cid")).union(partners))  # one pass over the texts for both
+        links.confirm(likely)
         if not long.isEmpty():
             exact = exact_lists(links.sets.join(long, "cid"), similarity).withColumn("comp", F.col("cid"))
             postings = stage(_open_lists(links.relabel(exact)), "nd-open")
             step = 0
             while not postings.isEmpty():
                 pivots, pairs = _pivot_pairs(postings, similarity, PIVOTS[step] if step < len(PIVOTS) else PIVOTS[-1] * 4 ** (step - len(PIVOTS) + 1))
-                links.add(pairs, pivots)
+                links.confirm(links.likely(pairs, pivots))
                 postings = stage(_open_lists(links.relabel(postings.join(pivots, ["value", "cid"], "left_anti"))), "nd-open")
                 step += 1
     comps = links.comps if links else None
