@@ -17,7 +17,8 @@ what overlaps no rule match is added.
 Defined results: a null text counts as empty and has no spans; whole texts are
 scanned; repeated rows are scanned and counted each; without any rule match in the
 corpus nothing is learned and nothing added; of equal scores the shorter and earlier
-type wins; only doc_id and text are read; an empty table gives no rows.
+type wins; an island of which rows differ in their matches is learned with the smallest
+ones; texts of any length take three numbers per atom; only doc_id and text are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ import math
 import random
 import re
 import zlib
+from array import array
 from bisect import bisect_left
+from collections import deque
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -185,26 +189,57 @@ def lattice(text: str, before: str = "", after: str = "") -> tuple[list[int], li
     return at, arcs
 
 
-def best_segments(weights: dict, text: str, before: str = "", after: str = "") -> list[tuple[int, int, int]]:
-    """Viterbi over bounded segments: (start, stop, type) of the best labelling; an unlabelled atom scores 0."""
-    at, arcs = lattice(text, before, after)
-    best, back = [0.0], [None]
-    for j, here in enumerate(arcs):
-        top, how = best[j], None
-        for i, y, fs in here:
-            v = best[i] + sum(weights.get(f, 0.0) for f in fs)
-            if v > top + 1e-12:
-                top, how = v, (i, y)
+def scorer(weights: dict):
+    """(type, score) of every type that a segment could have; short segments' answers are kept, a bounded number of them."""
+    def score(s: str, n_digits: int, before: str, after: str) -> list[tuple[int, float]]:
+        total: dict[int, float] = {}
+        for y, f in features(s, n_digits, before, after):
+            total[y] = total.get(y, 0.0) + weights.get((y, f), 0.0)
+        return list(total.items())
+
+    kept = lru_cache(1 << 14)(score)
+    return lambda s, *rest: (kept if len(s) <= 64 else score)(s, *rest)
+
+
+def best_segments(score, text: str, before: str = "", after: str = "") -> list[tuple[int, int, int]]:
+    """Viterbi over bounded segments: (start, stop, type) of the best labelling; an unlabelled atom scores 0.
+
+    Atoms are read one by one. Held are the segments open at the last ATOMS atoms, as many
+    scores, and for the way back three numbers per atom; never the lattice.
+    """
+    at, length, kind = array("q", [0]), array("b"), array("b")
+    best = deque([0.0], ATOMS + 1)  # of the last atoms' ends
+    is_open: deque[list] = deque()  # by first atom: [its place, its start, digits, at signs, dots, letters]
+    for j, m in enumerate(ATOM.finditer(text)):
+        s, end = m.group(), m.end()
+        digit, other = "0" <= s[0] <= "9", s[0].isalnum()
+        if is_open and is_open[0][0] <= j - ATOMS:
+            is_open.popleft()
+        if other or s in "+(":
+            is_open.append([j, m.start(), 0, 0, 0, 0])
+        if s.isspace() and s != " ":
+            is_open.clear()
+        top, size, what = best[-1], 0, 0
+        for seg in is_open:
+            seg[2] += len(s) * digit
+            seg[3] += s == "@"
+            seg[4] += s == "."
+            seg[5] += other and not digit
+            _, a, n_digits, n_at, n_dots, n_letters = seg
+            if other and (n_at == 1 or n_at == 0 and n_letters == 0 and (n_digits >= 7 or n_digits >= 4 and n_dots == 3)):
+                n = j - seg[0] + 1
+                for y, v in score(text[a:end], n_digits, text[a - 1] if a else before, text[end] if end < len(text) else after):
+                    if best[-n] + v > top + 1e-12:
+                        top, size, what = best[-n] + v, n, y
         best.append(top)
-        back.append(how)
-    out, j = [], len(arcs)
+        at.append(end)
+        length.append(size)
+        kind.append(what)
+    out, j = [], len(length)
     while j:
-        if back[j]:
-            i, y = back[j]
-            out.append((at[i], at[j], y))
-            j = i
-        else:
-            j -= 1
+        if n := length[j - 1]:
+            out.append((at[j - n], at[j], kind[j - 1]))
+        j -= n or 1
     return out[::-1]
 
 
@@ -290,7 +325,7 @@ def labelled_islands(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                             last = nxt[1]
                         nxt = next(where, None)
                     if gold and b - a <= 4 * LONG:
-                        held[text[a:b]] = gold
+                        held[text[a:b]] = min(gold, held.get(text[a:b], gold))
             if len(held) > 20 * sample:
                 held = dict(sorted(held.items(), key=lambda x: (zlib.crc32(x[0].encode()), x[0]))[:sample])
         held = dict(sorted(held.items(), key=lambda x: (zlib.crc32(x[0].encode()), x[0]))[:sample])
@@ -298,7 +333,7 @@ def labelled_islands(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                                           pa.array(list(held.values()), pa.list_(pa.list_(pa.int32())))], names=["key", "island", "gold"])
 
     return (docs.select("text").mapInArrow(run, "key long, island string, gold array<array<int>>")
-            .dropDuplicates(["island"]).orderBy("key", "island").limit(sample))
+            .groupBy("key", "island").agg(F.min("gold").alias("gold")).orderBy("key", "island").limit(sample))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
@@ -311,7 +346,7 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id and all spans (rules' and the field's) of every row."""
     weights = learn(docs, sample)
 
-    def one(text: str) -> list[dict]:
+    def one(text: str, score) -> list[dict]:
         rules = rule_matches(text)
         out = [{"start": a, "stop": b, "place": k, "kind": KINDS[k], "base": True} for a, b, k in rules]
         starts, reach, top = [], [], 0
@@ -320,7 +355,7 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             starts.append(a)
             reach.append(top)  # the furthest end of a match that starts here or before
         for a, b in islands(text) if weights else ():
-            for s, e, y in best_segments(weights, text[a:b], text[a - 1:a], text[b:b + 1]):
+            for s, e, y in best_segments(score, text[a:b], text[a - 1:a], text[b:b + 1]):
                 before = bisect_left(starts, a + e)
                 if not before or reach[before - 1] <= a + s:
                     out.append({"start": a + s, "stop": a + e, "place": y, "kind": KINDS[y], "base": False})
@@ -329,8 +364,9 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("place", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())]))
 
     def run(batches):
+        score = scorer(weights)
         for part in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([one(t) if t else [] for t in part.column("text").to_pylist()], kinds)],
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([one(t, score) if t else [] for t in part.column("text").to_pylist()], kinds)],
                                              names=["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, spans {SPAN}")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 from srcindex.llm import pii
 from srcindex.llm.common import table
@@ -85,3 +86,50 @@ def test_gradient_matches_differences():
 
 def test_empty_table(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_decoder_against_enumeration():
+    rng = random.Random(6)
+    names = [(y, f) for y in range(4) for f in ("dots", "no-dots", "tld", "odd-tld", "clean", "marks", "edge-left", "edge-right", "one", "octets", "no-octets", "short", "long", "more-left",
+             "more-right", "luhn", "no-luhn", "length", "odd-length", "fours", "uneven", "one-mark", "mixed", "plus", "no-plus", "grouped", "solid", "plain", "usual", "odd-marks", "own-left", "like-ip")]
+    bits = ["12", "345", "6789", "1234567", "@", ".", "-", "+", "(", ")", " ", "a", "bc", "\t", "\n", "é", "٣", "1.2.3.4"]
+
+    def ways(arcs, j):
+        """Scores of all labellings of the first j atoms."""
+        if not j:
+            return [(0.0, ())]
+        out = [(v, segs) for v, segs in ways(arcs, j - 1)]
+        for i, y, fs in arcs[j - 1]:
+            out += [(v + sum(weights.get(f, 0.0) for f in fs), (*segs, (i, j, y))) for v, segs in ways(arcs, i)]
+        return out
+
+    for _ in range(400):
+        weights = {f: rng.uniform(-2, 2) for f in names}
+        text = "".join(rng.choices(bits, k=rng.randint(0, 9)))
+        at, arcs = pii.lattice(text, "x", "7")
+        top = max(v for v, _ in ways(arcs, len(arcs)))
+        got = pii.best_segments(pii.scorer(weights), text, "x", "7")
+        place = {a: i for i, a in enumerate(at)}
+        arc = {(i, j + 1, y): fs for j, here in enumerate(arcs) for i, y, fs in here}
+        assert abs(top - sum(weights.get(f, 0.0) for a, b, y in got for f in arc[place[a], place[b], y])) < 1e-9, repr(text)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+
+
+def test_long_islands_take_little_memory():
+    rng = random.Random(2)
+    score = pii.scorer({(3, "grouped"): 1.0, (2, "luhn"): 2.0, (3, "odd-length"): -3.0})
+    peaks = []
+    for n in (2_000, 8_000):
+        text = " ".join(str(rng.randint(10, 9999)) for _ in range(n))
+        assert pii.islands(text) == [(0, len(text))]
+        tracemalloc.start()
+        pii.best_segments(score, text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 12 << 20  # the cache of the scorer; the lattice took over 4 KB an atom
+
+
+def test_repeated_rows_are_scanned_each(spark):
+    rows = [(1, "mail a.b@c.org or +1 415 555 2671")] * 3 + [(2, "mail a.b@c.org or +1 415 555 2671")]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and len({str(r.spans) for r in got}) == 1 and len(got[0].spans) == 2
