@@ -39,13 +39,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and must be a shared file
-    system. Only when it is unset (local tests) a private folder is created
-    and registered, so later calls agree on it.
+    system. Only when it is unset on a local master (tests) a private folder is
+    created and registered, so later calls agree on it; elsewhere this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} can read and write")
         root = tempfile.mkdtemp(prefix="srcindex-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     sc = spark.sparkContext

@@ -51,3 +51,20 @@ def test_ids_of_any_size(spark, tmp_path):
     spark.createDataFrame([(i, t, r, "x") for i in big for t, r in ((0, "user"), (1, "assistant"))], "conv_id long, turn int, role string, text string") \
         .write.parquet(f"{tmp_path}/conversations.parquet")
     assert {r.request_id for r in T.turn_requests(spark, str(tmp_path)).collect()} == {f"{i}:0{c}" for i in big for c in T.CASES}
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    import pytest
+
+    from srcindex.session import checkpoint_root
+
+    def on(master):
+        return Some(conf=Some(get=lambda *_: None, set=lambda *_: None),
+                    sparkContext=Some(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+
+    assert checkpoint_root(on("local[2]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            checkpoint_root(on(master))
