@@ -114,3 +114,14 @@ def test_imports_used_prefix_rules(spark):
     (row,) = CH.chunk_table(facts).where("name = 'f'").collect()
     # no word boundary: `osx.run` starts with alias `os`; `x.os` matches nothing
     assert row.imports_used == ["json.dumps", "os", "os.path"]
+
+
+def test_chunk_table_writes_nothing(spark, tables):
+    """The dedented text comes with the parse; the chunk table is a projection."""
+    import glob
+
+    from srcindex.session import checkpoint_root, local_dir
+    staged = lambda: sorted(glob.glob(local_dir(checkpoint_root(spark)) + "/srcindex/*"))
+    before = staged()
+    assert CH.chunk_table(tables).count() > CH.chunk_table(tables, method_slice="class").count() > 0
+    assert staged() == before and "src_dedented" in tables.columns

@@ -148,3 +148,18 @@ def test_walker_failure_is_one_error_row(monkeypatch):
     monkeypatch.setattr(P, "dotted", boom)
     rows = facts("def f():\n    a.b\n")
     assert len(rows) == 1 and rows[0][0] == "error" and rows[0][5] == "RecursionError"
+
+
+def test_nested_functions_are_walked_once(monkeypatch):
+    """Every function holds the names of those inside it, and yet no node is read twice."""
+    from srcindex.operators import pyfacts as P
+    depth, seen, real = 40, [], P.dotted
+    code = "".join(f"{' ' * i}def f{i}(a=g{i}.d):\n{' ' * i} x{i}.y()\n{' ' * i} if p: raise E{i}\n" for i in range(depth))
+    monkeypatch.setattr(P, "dotted", lambda node: seen.append(node) or real(node))
+    found = P.module_record(code)["defs"]
+    assert [len(d["raises"]) for d in found] == [depth - i for i in range(depth)]
+    assert [d["branches"] for d in found] == [depth - i for i in range(depth)]
+    assert found[0]["calls"] == sorted(f"x{i}.y" for i in range(depth))
+    # a default belongs to the statements around its function, not to its own
+    assert found[-1]["attrs"] == [f"x{depth - 1}.y"] and f"g{depth - 1}.d" in found[-2]["attrs"] and "g0.d" not in found[0]["attrs"]
+    assert len(seen) <= 6 * depth

@@ -46,3 +46,14 @@ def test_line_slice_and_truncate(spark):
     assert rows[1].x == "\n".join(lines[3:9])
     assert rows[2].x == ""
     assert rows[3].t == "x" * 1000 + "..."
+
+
+def test_dedent_of_odd_lines(spark):
+    """Only a line feed ends a line; tabs, mixed margins and signs of regular expressions are plain text."""
+    import textwrap
+
+    from srcindex.functions.text import with_dedent
+    texts = ["", "\n", "  \n", "  a\r  b\n  c", "\ta\n\t\tb\n \t", "  a\x85 b\n   $1\\n", "    x\n\ty", "  a\n\n\t \n    b\n", "   a\n  b", "\x1c a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string")
+    got = {r.i: r.d for r in with_dedent(df, "t", "d").collect()}
+    assert got.pop(99) is None and got == {i: textwrap.dedent(t) for i, t in enumerate(texts)}
