@@ -50,3 +50,10 @@ def test_stream_upsert_later_batches_win(spark, chunks, tmp_path):
     assert docs["m0.py:5:g0"] == "def g0():\n    return 0"
     assert docs["m5.py:5:g5"] == "def g5():\n    pass"
     assert len(docs) == store.count()
+
+
+def test_stream_upsert_query_starts_from_the_whole_index():
+    """Neither the SQL nor the job leaves modules out of the index that the changes meet."""
+    from srcindex.plans.oracle import SQL
+    assert "% 7 <> 0)" not in SQL["stream_index_upsert"] and "entries WHERE k % 7" not in SQL["stream_index_upsert"]
+    assert "FROM entries_first WHERE chunk_id NOT IN" in SQL["stream_index_upsert"]
