@@ -242,3 +242,16 @@ def test_empty_sides(spark):
         assert knn.sparse_knn(q.where("false"), idx, **kw).count() == 0
         assert knn.sparse_knn(q, idx.where("false"), **kw).count() == 0
         assert [tuple(r) for r in knn.sparse_knn(q, idx, **kw).collect()] == [(1, 1, 1, 0.0)]
+
+
+def test_groups_are_small_by_default(spark):
+    """What a Python worker holds at once does not grow with the index: of 400,000 entries none meets 20,000 others."""
+    import pyarrow as pa
+
+    from srcindex.operators.blocks import block_join
+    queries = spark.range(10).withColumnRenamed("id", "query_id")
+    index = spark.range(400_000).withColumnRenamed("id", "entry_id")
+    kernel = lambda q, e: pa.table({"q": pa.array([q.num_rows], pa.int64()), "e": pa.array([e.num_rows], pa.int64())})
+    met = [(r.q, r.e) for r in block_join(queries, index, kernel, "q long, e long", "query_id", "entry_id").collect()]
+    assert sum(e for _, e in met) == 400_000 and {q for q, _ in met} == {10}
+    assert max(e for _, e in met) < 20_000
