@@ -36,7 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcindex.llm.common import query, table, text_of, text_slices
@@ -51,6 +51,8 @@ BLOCK, K = 1 << 20, 64
 SHORT, PIVOTS = 24, (1, 16, 64)
 #: What pairs look like: a class and those that it is compared with.
 PAIRS = "cid long, n long, comp long, partners array<struct<cid:long,n:long,comp:long>>"
+#: The same after the sketches met, with those of the partners that the task has not named before.
+LIKELY = f"{PAIRS}, fresh array<struct<cid:long,n:long,comp:long>>"
 #: 1 / SPARE of a set's size is in its sketch beyond what partners may lack.
 SPARE = 16
 
@@ -84,20 +86,24 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             .mapInArrow(run, f"doc_id {kind}, text_key long, n long, digest binary, sketch array<long>"))
 
 
+def _rarest(values: DataFrame, sizes: DataFrame, head: str) -> DataFrame:
+    """(value, cid, n, w, c) for the rarest ``head`` of the values that each class of ``values`` (cid, value) shares with others.
+
+    ``sizes`` (cid, n, s) is joined last; ``head`` may use these and ``c``, how many shared values a class has. Rows go
+    to their value once and the shared ones back to their class once, and are ranked there by Spark's sort.
+    """
+    by, rank = Window.partitionBy("cid"), Window.partitionBy("cid").orderBy("df", "value")
+    shared = values.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("df > 1")
+    ranked = shared.select("cid", "value", F.row_number().over(rank).alias("at"), F.count(F.lit(1)).over(by).alias("c"), F.sum("df").over(by).alias("w"))
+    return ranked.join(sizes, "cid").where(F.col("at") <= F.expr(head)).select("value", "cid", "n", "w", "c")
+
+
 def inverted_lists(classes: DataFrame, similarity: float) -> DataFrame:
     """(value, cid, n, w): the rarest values of each sketch, as many as a partner must share one of; w: how central the class is."""
-    # a partner has similarity * n shingles at least
-    needed = F.floor(F.ceil(F.col("n") * similarity - 1e-9) / SPARE) + 1
-    values = classes.select("cid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = (values.join(shared, "value").groupBy("cid", "n", "s")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
-              # values that only this set holds come first in the order; they lead to nobody
-              .withColumn("head", F.col("s") - F.least("s", needed) + 1 - (F.col("s") - F.size("v")))
-              .where("head > 0"))
-    central = F.aggregate("v", F.lit(0).cast("long"), lambda total, x: total + x["df"])
-    return (listed.select("cid", "n", central.alias("w"), F.explode(F.expr("slice(v, 1, cast(head AS int))")).alias("e"))
-            .select("e.value", "cid", "n", "w"))
+    sizes = classes.select("cid", "n", F.size("sketch").alias("s"))
+    # a partner has similarity * n shingles at least; values that only this set holds come first in the order and lead to nobody
+    needed = f"floor(ceil(n * {similarity!r}D - 1e-9D) / {SPARE}) + 1"
+    return _rarest(classes.select("cid", F.explode("sketch").alias("value")), sizes, f"s - least(s, {needed}) + 1 - (s - c)").drop("c")
 
 
 def exact_lists(sets: DataFrame, similarity: float) -> DataFrame:
@@ -107,27 +113,30 @@ def exact_lists(sets: DataFrame, similarity: float) -> DataFrame:
     common at least, so a class with fewer shared ones than its list's smallest size asks
     for leaves the list.
     """
-    values = sets.select("cid", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = (values.join(shared, "value").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
-              .withColumn("head", F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1 - (F.col("n") - F.size("v"))).where("head > 0"))
-    central = F.aggregate("v", F.lit(0).cast("long"), lambda total, x: total + x["df"])
-    rows = stage(listed.select("cid", "n", F.size("v").alias("c"), central.alias("w"), F.explode(F.expr("slice(v, 1, cast(head AS int))")).alias("e"))
-                 .select("e.value", "cid", "n", "c", "w"), "nd-exact")
-    least = rows.groupBy("value").agg(F.min("n").alias("least"))
-    partner = F.greatest(F.col("least") * 1.0, F.col("n") * similarity)
+    sizes = sets.select("cid", F.size("shingles").cast("long").alias("n"))
+    rows = _rarest(sets.select("cid", F.explode("shingles").alias("value")), sizes, f"floor(n * {1 - similarity!r}D + 1e-9D) + 1 - (n - c)")
+    partner = F.greatest(F.min("n").over(Window.partitionBy("value")) * 1.0, F.col("n") * similarity)
     needed = similarity / (1 + similarity) * (F.col("n") + partner) - 1e-6
-    return rows.join(least, "value").where(F.col("c") >= needed).select("value", "cid", "n", "w")
+    return rows.withColumn("needed", needed).where(F.col("c") >= F.col("needed")).select("value", "cid", "n", "w")
 
 
 def _open_lists(postings: DataFrame) -> DataFrame:
-    """Postings of the lists that hold more than one component."""
-    wide = postings.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return postings.join(wide.select("value"), "value")
+    """Postings of the lists that hold more than one component, with the lists' lengths m."""
+    by = Window.partitionBy("value")
+    return (postings.select("value", "cid", "n", "w", "comp", F.min("comp").over(by).alias("lo"), F.max("comp").over(by).alias("hi"),
+                            F.count(F.lit(1)).over(by).alias("m")).where("lo < hi").drop("lo", "hi"))
 
 
-def _partners(postings: DataFrame, by_list: DataFrame, similarity: float) -> DataFrame:
-    """(cid, n, comp, partners): of the classes ``by_list`` (value, some) those of other components and fitting size, each once."""
+def _with_pivots(postings: DataFrame, pivots: int) -> DataFrame:
+    """Postings with ``pivot``: whether the class is the most central one of its list, or of one of the list's ``pivots`` shares."""
+    share = F.pmod(F.xxhash64("cid"), F.lit(pivots)) if pivots > 1 else F.lit(0)
+    rank = Window.partitionBy("value", "share").orderBy(F.desc("w"), F.desc("cid"))
+    return postings.withColumn("share", share).withColumn("pivot", F.row_number().over(rank) == 1).drop("share")
+
+
+def _partners(postings: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
+    """(cid, n, comp, partners): of the classes ``some`` of its lists those of other components and fitting size, each once."""
+    by_list = some.groupBy("value").agg(F.collect_list(F.struct("cid", "n", "comp")).alias("some"))
     met = postings.join(by_list, "value").groupBy("cid", "n", "comp").agg(F.array_distinct(F.flatten(F.collect_set("some"))).alias("some"))
 
     def fits(p):
@@ -136,19 +145,9 @@ def _partners(postings: DataFrame, by_list: DataFrame, similarity: float) -> Dat
     return met.select("cid", "n", "comp", F.filter("some", fits).alias("partners")).where(F.size("partners") > 0)
 
 
-def _pivot_pairs(postings: DataFrame, similarity: float, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """The most central class of each list (or of each of its ``pivots`` shares), and the other classes with these as partners."""
-    share = F.pmod(F.xxhash64("cid"), F.lit(pivots)) if pivots > 1 else F.lit(0)
-    chosen = (postings.groupBy("value", share.alias("share")).agg(F.max(F.struct("w", "cid", "n", "comp")).alias("p"))
-              .select("value", F.struct("p.cid", "p.n", "p.comp").alias("p")))
-    by_list = chosen.groupBy("value").agg(F.collect_list("p").alias("some"))
-    return chosen.select("value", "p.cid", "p.n"), _partners(postings, by_list, similarity)
-
-
 def _short_pairs(postings: DataFrame, similarity: float) -> DataFrame:
     """All pairs across components in lists of at most SHORT members, each on the side of the larger id."""
-    by_list = postings.groupBy("value").agg(F.collect_list(F.struct("cid", "n", "comp")).alias("some"))
-    both = _partners(postings, by_list, similarity)
+    both = _partners(postings, postings, similarity)
     return both.withColumn("partners", F.filter("partners", lambda p: p["cid"] < F.col("cid"))).where(F.size("partners") > 0)
 
 
@@ -215,18 +214,38 @@ def _may_be(differ: int, total: int, similarity: float) -> bool:
     return differ <= total - 2 * similarity / (1 + similarity) * total + 1e-6
 
 
+def _structs(column) -> tuple[pa.StructArray, np.ndarray]:
+    """The rows of a column of arrays of structs one after the other, and where each array begins."""
+    column = column.combine_chunks()
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    sizes = [np.diff(c.offsets.to_numpy()) for c in chunks]
+    rows = [c.flatten() for c in chunks]
+    return (pa.concat_arrays(rows) if rows else pa.array([], column.type.value_type)), np.cumsum(np.concatenate([[0], *sizes])).astype(np.int64)
+
+
 def _likely(similarity: float):
     """The classes with those of their partners that the sketches leave."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = dict(zip(right.column("other").to_pylist(), _lists(right.column("other_v"))))
-        keep, some = [], []
-        for i, (n, partners, mine) in enumerate(zip(left.column("n").to_pylist(), left.column("partners").to_pylist(), _lists(left.column("v")))):
-            left_over = [p for p in partners if _may_be(_differ(mine, other := held[p["cid"]], max(len(mine), len(other)))[0], n + p["n"], similarity)]
+        partners, begin = _structs(left.column("partners"))
+        cid, size = (partners.field(name).to_pylist() for name in ("cid", "n"))
+        keep, stay, ends, fresh, fresh_ends, named = [], [], [0], [], [0], set()
+        for i, (n, mine) in enumerate(zip(left.column("n").to_pylist(), _lists(left.column("v")))):
+            left_over = [j for j in range(begin[i], begin[i + 1])
+                         if _may_be(_differ(mine, other := held[cid[j]], max(len(mine), len(other)))[0], n + size[j], similarity)]
             if left_over:
                 keep.append(i)
-                some.append(left_over)
+                stay += left_over
+                ends.append(len(stay))
+                for j in left_over:
+                    if cid[j] not in named:
+                        named.add(cid[j])
+                        fresh.append(j)
+                fresh_ends.append(len(fresh))
         out = left.select(["cid", "n", "comp"]).take(pa.array(keep, pa.int64()))
-        return out.append_column("partners", pa.array(some, left.schema.field("partners").type))
+        for name, chosen, at in (("partners", stay, ends), ("fresh", fresh, fresh_ends)):
+            out = out.append_column(name, pa.ListArray.from_arrays(pa.array(at, pa.int32()), partners.take(pa.array(chosen, pa.int64()))))
+        return out
     return run
 
 
@@ -254,6 +273,11 @@ def _forest(similarity: float):
     return run
 
 
+def _named(likely: DataFrame) -> DataFrame:
+    """(cid, n) of the partners that are left; as a task names one once, no row for every pair."""
+    return likely.select(F.explode("fresh").alias("p")).select("p.cid", "p.n")
+
+
 class Links:
     """Confirmed links so far, as components of classes; sketches and full sets of the classes that may have links."""
 
@@ -276,20 +300,22 @@ class Links:
         source = (sieve(self.docs.select("doc_id", "text"), wanted, "doc_id")
                   .join(wanted.withColumnRenamed("doc_id", "r"), F.col("doc_id").eqNullSafe(F.col("r"))).select("cid", "text", "d"))
         made = stage(_sets_of(source, self.width), "nd-sets")
+        if not made.groupBy("cid").count().where("count > 1").isEmpty():  # doc_ids that several rows have
+            made = stage(made.dropDuplicates(["cid"]), "nd-sets")
         self.sets = made if self.sets is None else self.sets.union(made)
 
     def likely(self, pairs: DataFrame, others: DataFrame) -> DataFrame:
         """``pairs`` without the partners that the sketches reject."""
         pairs = stage(pairs, "nd-pairs")
         if pairs.isEmpty():
-            return pairs
-        return stage(meet(pairs, others, self.sketches, _likely(self.similarity), PAIRS, BLOCK * 4), "nd-likely")
+            return pairs.withColumn("fresh", F.col("partners"))
+        return stage(meet(pairs, others, self.sketches, _likely(self.similarity), LIKELY, BLOCK * 8), "nd-likely")
 
     def confirm(self, likely: DataFrame) -> None:
         """Confirm classes with their partners on full sets and merge the components that are linked."""
         if likely.isEmpty():
             return
-        partners = likely.select(F.explode("partners").alias("p")).select("p.cid", "p.n")
+        partners = _named(likely)
         self.need(likely.select("cid").union(partners.select("cid")))
         held = self.sets.withColumnRenamed("shingles", "v")
         links = stage(meet(likely, partners, held, _forest(self.similarity), "a long, b long", BLOCK), "nd-links")
@@ -319,27 +345,26 @@ def _components(docs: DataFrame, width: int, similarity: float) -> tuple[DataFra
     classes = stage(rows.where("digest IS NOT NULL").groupBy("digest")
                     .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
                     .withColumn("cid", F.monotonically_increasing_id()), "nd-classes")
-    postings = stage(_open_lists(inverted_lists(classes, similarity).withColumn("comp", F.col("cid"))), "nd-lists")
+    postings = stage(_with_pivots(_open_lists(inverted_lists(classes, similarity).withColumn("comp", F.col("cid"))), 1), "nd-lists")
     links = None if postings.isEmpty() else Links(docs, classes, postings, width, similarity)
     if links:
-        pivots, pairs = _pivot_pairs(postings, similarity, 1)
-        links.confirm(links.likely(pairs, pivots))
-        postings = stage(_open_lists(links.relabel(postings.join(pivots, ["value", "cid"], "left_anti"))), "nd-open")
-        sizes = postings.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
-        short = postings.join(sizes.where(F.col("m") <= SHORT).select("value"), "value")
-        long = stage(postings.join(sizes.where(F.col("m") > SHORT).select("value"), "value").select("cid").distinct(), "nd-long")
+        links.confirm(links.likely(_partners(postings, postings.where("pivot"), similarity), postings.where("pivot")))
+        postings = stage(_open_lists(links.relabel(postings.where("NOT pivot"))), "nd-open")
+        short = postings.where(F.col("m") <= SHORT)
+        long = stage(postings.where(F.col("m") > SHORT).select("cid").distinct(), "nd-long")
         likely = links.likely(_short_pairs(short, similarity), short)
-        partners = likely.select(F.explode("partners").alias("p")).select("p.cid")
-        links.need(long.union(likely.select("cid")).union(partners))  # one pass over the texts for both
+        links.need(long.union(likely.select("cid")).union(_named(likely).select("cid")))  # one pass over the texts for both
         links.confirm(likely)
         if not long.isEmpty():
-            exact = exact_lists(links.sets.join(long, "cid"), similarity).withColumn("comp", F.col("cid"))
-            postings = stage(_open_lists(links.relabel(exact)), "nd-open")
+            postings = exact_lists(links.sets.join(long, "cid"), similarity).withColumn("comp", F.col("cid"))
             step = 0
-            while not postings.isEmpty():
-                pivots, pairs = _pivot_pairs(postings, similarity, PIVOTS[step] if step < len(PIVOTS) else PIVOTS[-1] * 4 ** (step - len(PIVOTS) + 1))
-                links.confirm(links.likely(pairs, pivots))
-                postings = stage(_open_lists(links.relabel(postings.join(pivots, ["value", "cid"], "left_anti"))), "nd-open")
+            while True:
+                pivots = PIVOTS[step] if step < len(PIVOTS) else PIVOTS[-1] * 4 ** (step - len(PIVOTS) + 1)
+                postings = stage(_with_pivots(_open_lists(links.relabel(postings)), pivots), "nd-open")
+                if postings.isEmpty():
+                    break
+                links.confirm(links.likely(_partners(postings, postings.where("pivot"), similarity), postings.where("pivot")))
+                postings = postings.where("NOT pivot")
                 step += 1
     comps = links.comps if links else None
     member = classes.select("digest", "cid", "rep")
@@ -380,7 +405,7 @@ def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataF
 
 
 def _sets_of(source: DataFrame, width: int) -> DataFrame:
-    """Full sets of the class representatives; rows that share a doc_id with one but not its set are left out."""
+    """Full sets of the class representatives, one for every row that has the id and the set; rows that share a doc_id with one but not its set are left out."""
     def run(batches):
         for part in text_slices(batches, "text", max_bytes=1 << 20):
             s, at = shingle_sets(part.column("text").to_pylist(), width)
@@ -389,7 +414,7 @@ def _sets_of(source: DataFrame, width: int) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s, pa.int64()))
             out = pa.RecordBatch.from_arrays([part.column("cid"), sets], names=["cid", "shingles"])
             yield out.filter(pa.array(right))
-    return source.mapInArrow(run, "cid long, shingles array<long>").dropDuplicates(["cid"])
+    return source.mapInArrow(run, "cid long, shingles array<long>")
 
 
 @query("op5_near_dedup")

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from srcindex.llm import near_dedup
@@ -117,3 +118,22 @@ def test_regular_words_have_hashes_of_their_own():
         sets, at = shingle_sets([word, other, f"x {word} y z", f"x {other} y z", word.upper()], 3)
         one, two, three, four, five = (set(sets[a:b].tolist()) for a, b in zip(at[:-1], at[1:]))
         assert not one & two and len(three & four) == 0 and one == five
+
+
+def test_a_task_names_its_partners_once():
+    """40 classes that are all partners of the same 3: 120 pairs, but 3 rows name the sets that are needed."""
+    sketch = list(range(50))
+    three = [{"cid": c, "n": 50, "comp": c} for c in (1, 2, 3)]
+    kind = pa.list_(pa.struct([("cid", pa.int64()), ("n", pa.int64()), ("comp", pa.int64())]))
+    ids = list(range(10, 50))
+    left = pa.table({"cid": ids, "n": [50] * 40, "comp": ids, "partners": pa.array([three] * 40, kind), "v": pa.array([sketch] * 40, pa.list_(pa.int64()))})
+    right = pa.table({"other": [1, 2, 3], "other_v": pa.array([sketch] * 3, pa.list_(pa.int64()))})
+    out = near_dedup._likely(0.85)(left, right)
+    assert out.column("partners").to_pylist() == [three] * 40
+    assert [p["cid"] for row in out.column("fresh").to_pylist() for p in row] == [1, 2, 3]
+
+
+def test_repeated_ids_with_one_set_in_other_texts(spark):
+    """Rows of one doc_id whose different texts have the same set: the set is made once."""
+    rows = [(1, "a b c d e f g h i j"), (1, "A b  c d e f g h i j"), (2, "a b c d e f g h i j k"), (3, "x y z")]
+    assert got(spark, rows, 3, 85) == [(1, 8, 1), (1, 8, 1), (2, 9, 1), (3, 1, 3)]
