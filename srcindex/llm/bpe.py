@@ -295,6 +295,11 @@ class Words(dict):
         self.update(zip(new, ids))
         return [w for w in new if len(w) > WORD_BYTES]
 
+    def forget(self) -> None:
+        """Hold no word: workers that wait for other tasks keep the vocabulary only."""
+        self.clear()
+        self.older = {}
+
 
 def piece_cutter():
     """text -> its pieces."""
@@ -399,11 +404,14 @@ def bpe(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches):
         codec = _codec(vocabulary, words)
-        for part in text_slices(batches, "text"):
-            ids = codec.encode_all(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-                 pa.array([codec.decode(x) for x in ids], pa.string())], names=[*keep, "n_tokens", "ids", "decoded"])
+        try:
+            for part in text_slices(batches, "text"):
+                ids = codec.encode_all(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array([codec.decode(x) for x in ids], pa.string())], names=[*keep, "n_tokens", "ids", "decoded"])
+        finally:
+            codec.words.forget()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long, ids binary, decoded string"])

@@ -106,3 +106,21 @@ def test_full_word_cache(spark, monkeypatch, tmp_path):
     codec, t = bpe.Codec(bpe.default_vocabulary(), str(tmp_path / "w")), lib()
     for text in ["one two three four the", "two " + "x" * 70 + " the five", "one six seven", "x" * 70, "two <|endoftext|> one", ""] * 3:
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_waiting_workers_hold_no_words(spark):
+    """After a run the workers that made it hold the vocabulary, but no cache of words."""
+    import pyarrow as pa
+
+    from srcindex.llm import bpe as B
+    from srcindex.session import ship_package
+    ship_package(spark)
+    docs = spark.range(400, numPartitions=4).selectExpr("id AS doc_id", "concat('word', id, ' other', id * 7) AS text")
+    assert B.bpe(docs, B.default_vocabulary()).where("n_tokens > 0").count() == 400
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"n": [sum(len(c.words) + len(c.words.older) for c in B._CODECS.values())], "codecs": [len(B._CODECS)]})
+
+    rows = spark.range(64, numPartitions=16).mapInArrow(held, "n long, codecs long").collect()
+    assert sum(r.codecs for r in rows) > 0 and sum(r.n for r in rows) == 0

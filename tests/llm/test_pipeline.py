@@ -81,3 +81,25 @@ def test_clashing_columns_pass_through_every_stage(spark):
         rows = out.collect()
         assert rows and all(r[c] == f"{i}-{r.doc_id}" for r in rows for i, c in enumerate(extra))
     assert corpus_pipeline.encode(spark, docs, SF).count() == 60
+
+
+def test_batches_for_workers_are_bounded(spark):
+    """40 texts of 500 KB, far fewer than a batch's 10,000 rows, come in several batches; a session's own bound stays."""
+    import pyarrow as pa
+
+    from srcindex.session import ARROW_BYTES, ship_package
+    ship_package(spark)
+    docs = spark.range(40, numPartitions=1).select(F.repeat(F.lit("word "), 100_000).alias("text"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    sizes = [r.n for r in docs.mapInArrow(size, "n long").collect()]
+    assert len(sizes) > 3 and max(sizes) < 8_000_000 and sum(sizes) > 20_000_000 - 1
+    spark.conf.set(ARROW_BYTES[0], "1m")
+    try:
+        ship_package(spark)
+        assert spark.conf.get(ARROW_BYTES[0]) == "1m"
+    finally:
+        spark.conf.set(*ARROW_BYTES)
