@@ -3,7 +3,9 @@
 A band is a few random hyperplanes; the signs of a vector on them are its cell. Two
 vectors at an angle a share a cell of r planes with probability (1 - a / pi)^r. The
 planes per band grow with the index, so that a cell holds about ``CELL`` entries whatever
-its size. The number of bands comes from the data: the nearest neighbours of a bounded
+its size. A vector travels once per band: cells are as large as one group takes, as each
+plane less saves about a third of the bands at the same recall, for some 1.3 times the
+distances. The number of bands comes from the data: the nearest neighbours of a bounded
 sample are searched exactly, and bands are added until the expected share of these that
 meet in some band reaches the recall asked for (neighbours in the whole index are nearer,
 so this errs to the safe side).
@@ -26,9 +28,9 @@ from srcindex.operators.blocks import dense_kernel
 from srcindex.session import stage
 
 #: Entries of a cell that the planes per band aim at; most entries and queries of one group, on average.
-CELL, PART_ROWS, BLOCK_ROWS = 512, 32_768, 4_096
+CELL, PART_ROWS, BLOCK_ROWS = 8_192, 16_384, 16_384
 #: Rows of the sample that the bands are chosen on, and of its queries; most bands.
-SAMPLE, SAMPLE_QUERIES, MOST_BANDS = 4_000, 200, 96
+SAMPLE, SAMPLE_QUERIES, MOST_BANDS = 4_000, 200, 32
 
 
 def planes(dim: int, bits: int, band: int, seed: int) -> np.ndarray:

@@ -115,6 +115,30 @@ def test_lsh_bands_follow_the_data():
     assert choose(loose, 10 ** 6, 5, 1.1)[1] == MOST_BANDS
 
 
+def test_lsh_sends_a_vector_few_times():
+    """Vectors without structure, at any size of the index: the bands (copies of each vector) stay few, the sample's recall is no less."""
+    from srcindex.operators.lsh import choose
+    loose = np.random.default_rng(8).normal(size=(4000, 64))
+    assert [choose(loose, n, 5, 0.95)[1] <= most for n, most in ((10_000, 4), (50_000, 16), (10 ** 6, 32), (10 ** 8, 32))] == [True] * 4
+
+
+def test_selection_before_the_running_top_k():
+    """What the kernel offers holds the k smallest of a row with their ties on nine places; null values never hide others."""
+    from srcindex.operators.blocks import _not_beyond
+    rng = np.random.default_rng(6)
+    for width in (1, 4, 64):
+        for k in (1, 3, 8):
+            d = np.round(rng.random((20, 301)), 2) + rng.integers(-4, 5, (20, 301)) * 1e-10
+            d[3, ::7] = np.nan
+            d[4] = np.nan
+            keep = _not_beyond(d, k, 2e-9, width)
+            for row, kept in zip(d, keep):
+                rank = np.round(row, 9)
+                assert kept[np.argsort(rank, kind="stable")[:k]].all()
+            assert keep[:3].sum() < 3 * 301 or width == 64
+    assert np.array_equal(_not_beyond(np.arange(512.0)[None], 2, 0.0)[0], np.arange(512) <= 1)
+
+
 def test_lsh_splits_hot_cells_and_fills(spark):
     """A third of all rows share one vector: groups stay small, and lonely queries are searched exactly."""
     rng = np.random.default_rng(5)
