@@ -17,8 +17,8 @@ r"""Near-duplicate classes from bottom-k sketches of one hash function.
   of 1, 16, 64, ... pivots per list, across components only, until each list is one
   component or every pair was looked at.
 * A pair is never a row: a class carries its partners as an array and meets them by
-  blocks, twice. First the sketches meet: partners whose sketches differ in more values
-  than the whole sets may are left. Full sets are made, and travel, only for classes that
+  blocks, twice. First the sketches meet, as the upper halves of their values: partners
+  whose sketches differ in more values than the whole sets may are left. Full sets are made, and travel, only for classes that
   still have partners: a task takes these in order of the union-sketch estimate, confirms
   on the full sets, skips components that it has joined already and returns a spanning
   forest of its links.
@@ -198,6 +198,16 @@ def _differ(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, float]:
     return len(a) + len(b) - 2 * both, both / (len(a) + len(b) - both)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """At least so many values are in one set only, by the halves that both sketches reach.
+
+    The last half itself is left out: the set whose sketch ends there may hold more values of that half.
+    """
+    end = min(a[-1], b[-1])
+    a, b = a[:np.searchsorted(a, end)], b[:np.searchsorted(b, end)]
+    return len(a) + len(b) - 2 * _common(a, b)
+
+
 def _lists(column) -> list[np.ndarray]:
     """A column of arrays as NumPy arrays."""
     column = column.combine_chunks()
@@ -232,7 +242,7 @@ def _likely(similarity: float):
         keep, stay, ends, fresh, fresh_ends, named = [], [], [0], [], [0], set()
         for i, (n, mine) in enumerate(zip(left.column("n").to_pylist(), _lists(left.column("v")))):
             left_over = [j for j in range(begin[i], begin[i + 1])
-                         if _may_be(_differ(mine, other := held[cid[j]], max(len(mine), len(other)))[0], n + size[j], similarity)]
+                         if _may_be(_apart(mine, held[cid[j]]), n + size[j], similarity)]
             if left_over:
                 keep.append(i)
                 stay += left_over
@@ -273,6 +283,11 @@ def _forest(similarity: float):
     return run
 
 
+def halves(sketch):
+    """The upper halves of a sketch's values, in the same order; equal values have equal ones."""
+    return F.transform(sketch, lambda v: F.shiftright(v, 32).cast("int"))
+
+
 def _named(likely: DataFrame) -> DataFrame:
     """(cid, n) of the partners that are left; as a task names one once, no row for every pair."""
     return likely.select(F.explode("fresh").alias("p")).select("p.cid", "p.n")
@@ -285,7 +300,7 @@ class Links:
         self.docs, self.classes, self.width, self.similarity = docs, classes, width, similarity
         self.comps = self.sets = None
         listed = stage(postings.select("cid").distinct(), "nd-listed")
-        self.sketches = stage(sieve(classes.select("cid", F.col("sketch").alias("v")), listed, "cid").join(listed, "cid"), "nd-held")
+        self.sketches = stage(sieve(classes.select("cid", halves("sketch").alias("v")), listed, "cid").join(listed, "cid"), "nd-held")
 
     def need(self, cids: DataFrame) -> None:
         """Full sets of these classes (cid) are at hand from now on; those not made yet are made from the texts."""

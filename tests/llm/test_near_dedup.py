@@ -96,6 +96,25 @@ def test_partners_share_enough_of_their_sketches(similarity):
             assert shared >= near_dedup.spare(math.ceil(max(n, m) * similarity - 1e-9)) or shared >= both
 
 
+def test_sketches_travel_as_halves(spark):
+    """Four bytes a value, in the same order; they never count more differences than the sets have, whatever halves fall together."""
+    rng = np.random.default_rng(12)
+    sets, rows = [], []
+    for crowded in (1 << 62, 1 << 38, 1 << 34):  # of the last, 8 halves in all
+        for i in range(60):
+            pool = np.unique(rng.integers(-crowded, crowded, 90))
+            sets.append([np.sort(rng.choice(pool, rng.integers(1, 80), replace=False)) for _ in "ab"])
+            rows.append([s[:rng.integers(1, len(s) + 1)].tolist() for s in sets[-1]])
+    held = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i long, a array<long>, b array<long>")
+    half = held.select("i", near_dedup.halves("a").alias("a"), near_dedup.halves("b").alias("b"))
+    assert dict(half.dtypes) == {"i": "bigint", "a": "array<int>", "b": "array<int>"}
+    for r in half.collect():
+        a, b = (np.array(x, np.int32) for x in (r.a, r.b))
+        assert a.tolist() == (np.array(rows[r.i][0]) >> 32).tolist() and (np.diff(a) >= 0).all()
+        assert near_dedup._apart(a, b) <= len(np.setxor1d(*sets[r.i]))
+    assert near_dedup._apart(np.arange(0, 40, 2, np.int32), np.arange(0, 90, 3, np.int32)) == 19 + 13 - 2 * 7
+
+
 def test_small_blocks_and_a_large_list_without_links(spark, monkeypatch):
     """A passage that all documents share lists them together, though few are alike; blocks and parts of a few sets."""
     monkeypatch.setattr(near_dedup, "BLOCK", 600)
