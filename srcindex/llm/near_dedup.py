@@ -15,7 +15,8 @@ r"""Near-duplicate classes from bottom-k sketches of one hash function.
   must share one of the rarest 15 % or so of its shingles, and a class with too many
   shingles of its own drops out of the list for good. What is left goes through rounds
   of 1, 16, 64, ... pivots per list, across components only, until each list is one
-  component or every pair was looked at.
+  component or every pair was looked at; when all the pairs that are left are few, they
+  are looked at in one round.
 * A pair is never a row: a class carries its partners as an array and meets them by
   blocks, twice. First the sketches meet, as the upper halves of their values: partners
   whose sketches differ in more values than the whole sets may are left. Full sets are made, and travel, only for classes that
@@ -47,6 +48,10 @@ from srcindex.session import stage
 
 #: Shingles of a block's sets together (8 bytes each), and smallest values of a set that the estimate looks at.
 BLOCK, K = 1 << 20, 64
+#: A partner in a class's array weighs as much as so many shingles; so many are one group, without blocks.
+PARTNER, GROUP = 16, 4 << 20
+#: So many pairs (one in several lists counts again) end the rounds over the full sets' lists at once.
+FEW = 1 << 22
 #: Longest list whose members are paired at once; pivots per list in the rounds over the full sets' lists, then fourfold.
 SHORT, PIVOTS = 24, (1, 16, 64)
 #: What pairs look like: a class and those that it is compared with.
@@ -70,7 +75,7 @@ def sketch_size(n, similarity: float):
 def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, text_key (a hash of the text), n (set size), digest of the set (16 bytes, null if empty), sketch of every row."""
     def run(batches):
-        for part in text_slices(batches, "text", max_bytes=1 << 20):
+        for part in text_slices(batches, "text", max_bytes=1 << 19):
             s, at = shingle_sets(part.column("text").to_pylist(), width)
             n = np.diff(at)
             digest = [hashlib.blake2b(s[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
@@ -121,10 +126,14 @@ def exact_lists(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _open_lists(postings: DataFrame) -> DataFrame:
-    """Postings of the lists that hold more than one component, with the lists' lengths m."""
+    """Postings of the lists that hold more than one component, with the lists' lengths m; of lists of the same classes (by 128 bits and m) one.
+
+    Classes with a passage in common share as many lists as it has listed values.
+    """
     by = Window.partitionBy("value")
-    return (postings.select("value", "cid", "n", "w", "comp", F.min("comp").over(by).alias("lo"), F.max("comp").over(by).alias("hi"),
-                            F.count(F.lit(1)).over(by).alias("m")).where("lo < hi").drop("lo", "hi"))
+    open_ = postings.select("value", "cid", "n", "w", "comp", F.min("comp").over(by).alias("lo"), F.max("comp").over(by).alias("hi"), F.count(F.lit(1)).over(by).alias("m"),
+                            *(F.bit_xor(F.xxhash64(F.lit(seed), "cid")).over(by).alias(f"all_{seed}") for seed in (0, 1))).where("lo < hi")
+    return open_.groupBy("all_0", "all_1", "m", "cid", "n", "w", "comp").agg(F.min("value").alias("value")).select("value", "cid", "n", "w", "comp", "m")
 
 
 def _with_pivots(postings: DataFrame, pivots: int) -> DataFrame:
@@ -136,11 +145,13 @@ def _with_pivots(postings: DataFrame, pivots: int) -> DataFrame:
 
 def _partners(postings: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
     """(cid, n, comp, partners): of the classes ``some`` of its lists those of other components and fitting size, each once."""
-    by_list = some.groupBy("value").agg(F.collect_list(F.struct("cid", "n", "comp")).alias("some"))
-    met = postings.join(by_list, "value").groupBy("cid", "n", "comp").agg(F.array_distinct(F.flatten(F.collect_set("some"))).alias("some"))
+    # sorted, so that equal lists come once, and a class's partners side by side: array_distinct compares all pairs of structs
+    by_list = some.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("cid", "n", "comp"))).alias("some"))
+    met = postings.join(by_list, "value").groupBy("cid", "n", "comp").agg(F.sort_array(F.flatten(F.collect_set("some"))).alias("some"))
 
-    def fits(p):
-        return (p["comp"] != F.col("comp")) & (F.least(p["n"], F.col("n")) >= similarity * F.greatest(p["n"], F.col("n")) - 1e-9)
+    def fits(p, i):
+        again = (i > 0) & (p["cid"] == F.get("some", i - 1)["cid"])
+        return ~F.coalesce(again, F.lit(False)) & (p["comp"] != F.col("comp")) & (F.least(p["n"], F.col("n")) >= similarity * F.greatest(p["n"], F.col("n")) - 1e-9)
 
     return met.select("cid", "n", "comp", F.filter("some", fits).alias("partners")).where(F.size("partners") > 0)
 
@@ -154,11 +165,17 @@ def _short_pairs(postings: DataFrame, similarity: float) -> DataFrame:
 def meet(pairs: DataFrame, others: DataFrame, held: DataFrame, task, schema: str, block: int) -> DataFrame:
     """``task`` on the classes of ``pairs`` (cid, n, comp, partners) and their partners, both with what ``held`` (cid, v) has of them.
 
-    ``others`` (cid, n) holds all classes that may be partners.
+    ``others`` (cid, n) holds all classes that may be partners; None: all meet in one group.
     Partners lie in hashed blocks of some ``block`` shingles. A class goes to the blocks of
     its partners; a block with more classes than fit is dealt to parts, which get all of
-    the block. So sets travel once per block, however many pairs meet there.
+    the block. So sets travel once per block, however many pairs meet there. Long arrays of
+    partners count as shingles do, so a part is bounded by both.
     """
+    if others is None:
+        # both are bounded by GROUP, and ``held`` need not move to them
+        left = held.join(F.broadcast(pairs), "cid").select(F.lit(0).alias("block"), "cid", "n", "comp", "partners", "v")
+        right = held.join(F.broadcast(_all_partners(pairs).select("cid")), "cid").select(F.lit(0).alias("at_block"), F.col("cid").alias("other"), F.col("v").alias("other_v"))
+        return left.groupBy("block").cogroup(right.groupBy("at_block")).applyInArrow(task, schema)
     wanted = stage(others.select("cid", "n").distinct(), "nd-others")
     blocks = 1 + int((wanted.agg(F.sum("n")).first()[0] or 0) // block)
 
@@ -168,7 +185,7 @@ def meet(pairs: DataFrame, others: DataFrame, held: DataFrame, task, schema: str
     here = F.filter("partners", lambda p: block_of(p["cid"]) == F.col("block"))
     sent = (pairs.withColumn("block", F.explode(F.array_distinct(F.transform("partners", lambda p: block_of(p["cid"])))))
             .withColumn("partners", here))
-    parts = stage(sent.groupBy("block").agg((F.lit(1) + F.floor(F.sum("n") / block)).alias("parts")), "nd-parts")
+    parts = stage(sent.groupBy("block").agg((F.lit(1) + F.floor(F.sum(F.col("n") + PARTNER * F.size("partners")) / block)).alias("parts")), "nd-parts")
     # written before they meet the sets: with their size known, small ones are sent to the sets and not these to them
     asked = stage(sent.join(parts, "block").withColumn("part", F.pmod(F.xxhash64(F.col("cid"), F.lit(1)), F.col("parts")))
                   .select("block", "part", "cid", "n", "comp", "partners"), "nd-asked")
@@ -233,23 +250,31 @@ def _structs(column) -> tuple[pa.StructArray, np.ndarray]:
     return (pa.concat_arrays(rows) if rows else pa.array([], column.type.value_type)), np.cumsum(np.concatenate([[0], *sizes])).astype(np.int64)
 
 
+def _places(right: pa.Table, cids: np.ndarray) -> np.ndarray:
+    """In which row of ``right`` each of the classes is."""
+    other = right.column("other").to_numpy()
+    order = np.argsort(other)
+    return order[np.searchsorted(other, cids, sorter=order)]
+
+
 def _likely(similarity: float):
     """The classes with those of their partners that the sketches leave."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = dict(zip(right.column("other").to_pylist(), _lists(right.column("other_v"))))
+        held = _lists(right.column("other_v"))
         partners, begin = _structs(left.column("partners"))
-        cid, size = (partners.field(name).to_pylist() for name in ("cid", "n"))
-        keep, stay, ends, fresh, fresh_ends, named = [], [], [0], [], [0], set()
-        for i, (n, mine) in enumerate(zip(left.column("n").to_pylist(), _lists(left.column("v")))):
+        cid, size = (partners.field(name).to_numpy() for name in ("cid", "n"))
+        at, named = _places(right, cid), np.zeros(right.num_rows, bool)
+        keep, stay, ends, fresh, fresh_ends = [], [], [0], [], [0]
+        for i, (n, mine) in enumerate(zip(left.column("n").to_numpy(), _lists(left.column("v")))):
             left_over = [j for j in range(begin[i], begin[i + 1])
-                         if _may_be(_apart(mine, held[cid[j]]), n + size[j], similarity)]
+                         if _may_be(_apart(mine, held[at[j]]), n + size[j], similarity)]
             if left_over:
                 keep.append(i)
                 stay += left_over
                 ends.append(len(stay))
                 for j in left_over:
-                    if cid[j] not in named:
-                        named.add(cid[j])
+                    if not named[at[j]]:
+                        named[at[j]] = True
                         fresh.append(j)
                 fresh_ends.append(len(fresh))
         out = left.select(["cid", "n", "comp"]).take(pa.array(keep, pa.int64()))
@@ -262,7 +287,10 @@ def _likely(similarity: float):
 def _forest(similarity: float):
     """The links (a, b) that the full sets confirm, as a forest."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets, top = dict(zip(right.column("other").to_pylist(), _lists(right.column("other_v")))), {}
+        sets, top = _lists(right.column("other_v")), {}
+        partners, begin = _structs(left.column("partners"))
+        others, other_comps, sizes = (partners.field(name).to_numpy() for name in ("cid", "comp", "n"))
+        at = _places(right, others)
 
         def root(x):
             while (y := top.get(x, x)) != x:
@@ -270,15 +298,20 @@ def _forest(similarity: float):
             return x
 
         links = []
-        for cid, comp, partners, mine in zip(left.column("cid").to_pylist(), left.column("comp").to_pylist(),
-                                             left.column("partners").to_pylist(), _lists(left.column("v"))):
-            order = [(_differ(mine, sets[p["cid"]], K)[1], p["cid"], p["comp"]) for p in partners if root(p["comp"]) != root(comp)]
-            for _, b, b_comp in sorted(order, reverse=True):
+        for i, (cid, comp, mine) in enumerate(zip(left.column("cid").to_pylist(), left.column("comp").to_pylist(), _lists(left.column("v")))):
+            order = []
+            for j in range(begin[i], begin[i + 1]):
+                if root(int(other_comps[j])) != root(comp):
+                    differ, alike = _differ(mine, sets[at[j]], K)
+                    if _may_be(differ, len(mine) + sizes[j], similarity):
+                        order.append((alike, j))
+            for _, j in sorted(order, reverse=True):
+                b, b_comp = sets[at[j]], int(other_comps[j])
                 if root(b_comp) != root(comp):
-                    both = _common(mine, sets[b])
-                    if both >= similarity * (len(mine) + len(sets[b]) - both) - 1e-9:
+                    both = _common(mine, b)
+                    if both >= similarity * (len(mine) + len(b) - both) - 1e-9:
                         top[root(b_comp)] = root(comp)
-                        links.append((cid, b))
+                        links.append((cid, int(others[j])))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
     return run
 
@@ -293,6 +326,20 @@ def _named(likely: DataFrame) -> DataFrame:
     return likely.select(F.explode("fresh").alias("p")).select("p.cid", "p.n")
 
 
+def _weight(pairs: DataFrame) -> int:
+    """Shingles of the classes and of their partners, and their arrays' weight; 0: no pairs. It is exact up to GROUP; beyond, partners may count again."""
+    of_partners = F.aggregate("partners", F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    own, named = (x or 0 for x in pairs.agg(F.sum(F.col("n") + PARTNER * F.size("partners")), F.sum(of_partners)).first())
+    if own > GROUP or own + named <= GROUP:
+        return own + named
+    return own + _all_partners(pairs).agg(F.sum("n")).first()[0]
+
+
+def _all_partners(pairs: DataFrame) -> DataFrame:
+    """(cid, n) of all partners; only for pairs of a GROUP, as each is a row on the way."""
+    return pairs.select(F.explode("partners").alias("p")).select("p.cid", "p.n").distinct()
+
+
 class Links:
     """Confirmed links so far, as components of classes; sketches and full sets of the classes that may have links."""
 
@@ -319,21 +366,24 @@ class Links:
             made = stage(made.dropDuplicates(["cid"]), "nd-sets")
         self.sets = made if self.sets is None else self.sets.union(made)
 
-    def likely(self, pairs: DataFrame, others: DataFrame) -> DataFrame:
-        """``pairs`` without the partners that the sketches reject."""
+    def likely(self, pairs: DataFrame, others: DataFrame, made: bool = False) -> DataFrame:
+        """``pairs`` without the partners that the sketches reject; few of them stay as they are if their full sets are ``made``."""
         pairs = stage(pairs, "nd-pairs")
-        if pairs.isEmpty():
+        weight = _weight(pairs)
+        if not weight or made and weight <= GROUP:
             return pairs.withColumn("fresh", F.col("partners"))
-        return stage(meet(pairs, others, self.sketches, _likely(self.similarity), LIKELY, BLOCK * 8), "nd-likely")
+        return stage(meet(pairs, None if weight <= GROUP else others, self.sketches, _likely(self.similarity), LIKELY, BLOCK * 8), "nd-likely")
 
-    def confirm(self, likely: DataFrame) -> None:
-        """Confirm classes with their partners on full sets and merge the components that are linked."""
-        if likely.isEmpty():
+    def confirm(self, likely: DataFrame, made: bool = False) -> None:
+        """Confirm classes with their partners on full sets and merge the components that are linked; ``made``: the sets are at hand."""
+        weight = _weight(likely)
+        if not weight:
             return
         partners = _named(likely)
-        self.need(likely.select("cid").union(partners.select("cid")))
+        if not made:
+            self.need(likely.select("cid").union(partners.select("cid")))
         held = self.sets.withColumnRenamed("shingles", "v")
-        links = stage(meet(likely, partners, held, _forest(self.similarity), "a long, b long", BLOCK), "nd-links")
+        links = stage(meet(likely, None if weight <= GROUP else partners, held, _forest(self.similarity), "a long, b long", BLOCK), "nd-links")
         if links.isEmpty():
             return
         edges = links if self.comps is None else self.relabel(self.relabel(links.withColumn("comp", F.col("a"))).withColumn("a", F.col("comp")).withColumn("comp", F.col("b"))) \
@@ -369,16 +419,19 @@ def _components(docs: DataFrame, width: int, similarity: float) -> tuple[DataFra
         long = stage(postings.where(F.col("m") > SHORT).select("cid").distinct(), "nd-long")
         likely = links.likely(_short_pairs(short, similarity), short)
         links.need(long.union(likely.select("cid")).union(_named(likely).select("cid")))  # one pass over the texts for both
-        links.confirm(likely)
+        links.confirm(likely, made=True)
         if not long.isEmpty():
             postings = exact_lists(links.sets.join(long, "cid"), similarity).withColumn("comp", F.col("cid"))
             step = 0
             while True:
                 pivots = PIVOTS[step] if step < len(PIVOTS) else PIVOTS[-1] * 4 ** (step - len(PIVOTS) + 1)
                 postings = stage(_with_pivots(_open_lists(links.relabel(postings)), pivots), "nd-open")
-                if postings.isEmpty():
+                met = postings.agg(F.sum("m")).first()[0] or 0
+                if met <= FEW:
+                    if met:
+                        links.confirm(links.likely(_short_pairs(postings, similarity), postings, made=True), made=True)
                     break
-                links.confirm(links.likely(_partners(postings, postings.where("pivot"), similarity), postings.where("pivot")))
+                links.confirm(links.likely(_partners(postings, postings.where("pivot"), similarity), postings.where("pivot"), made=True), made=True)
                 postings = postings.where("NOT pivot")
                 step += 1
     comps = links.comps if links else None
@@ -422,7 +475,7 @@ def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataF
 def _sets_of(source: DataFrame, width: int) -> DataFrame:
     """Full sets of the class representatives, one for every row that has the id and the set; rows that share a doc_id with one but not its set are left out."""
     def run(batches):
-        for part in text_slices(batches, "text", max_bytes=1 << 20):
+        for part in text_slices(batches, "text", max_bytes=1 << 19):
             s, at = shingle_sets(part.column("text").to_pylist(), width)
             wanted = part.column("d").to_pylist()
             right = [hashlib.blake2b(s[a:b].tobytes(), digest_size=16).digest() == bytes(w) for a, b, w in zip(at[:-1], at[1:], wanted)]
