@@ -1,38 +1,3 @@
-"""A Bloom filter of fixed size that keeps rows from being shuffled to a join that they would leave."""
+"""The Bloom filter lives in ``srcindex.functions.sieve``; the index store uses it too."""
 
-from __future__ import annotations
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Bits of the filter, at most (8 MB), and bits for a key while there are few keys.
-BITS, PER_KEY = 1 << 26, 16
-
-
-def sieve(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """``frame`` without most of the rows whose ``column`` is not in ``keys`` (null is a key like others).
-
-    A join has to follow: some other rows pass. The filter never grows beyond BITS bits;
-    with very many keys it lets everything pass and the join does all the work.
-    """
-    n = keys.count()
-    size = 1 << min(BITS, max(1 << 10, n * PER_KEY)).bit_length() - 1
-    places = [F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(size)) for salt in (1, 2)]
-    # at most BITS / 64 rows come to the driver
-    words = (keys.select(F.explode(F.array(*places)).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("at"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("word")).toArrow())
-    bits = np.zeros(size // 64, np.int64)
-    bits[words.column("at").to_numpy()] = words.column("word").to_numpy()
-    shared = frame.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def may_hold(a: pd.Series, b: pd.Series) -> pd.Series:
-        words = shared.value.view(np.uint64)
-        ok = np.ones(len(a), bool)
-        for p in (a.to_numpy(np.int64), b.to_numpy(np.int64)):
-            ok &= (words[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return pd.Series(ok)
-
-    return frame.where(may_hold(*places))
+from srcindex.functions.sieve import sieve  # noqa: F401
